@@ -127,7 +127,7 @@ def with_neighbours(
     with one row per chunk carries values across chunk borders.
     """
     c, edge = "__chunk", "__edge"
-    chunked = df.withColumn(c, F.floor(F.col(order) / chunk))
+    chunked = df.withColumn(c, F.expr(f"`{order}` div {chunk}"))
     inside = Window.partitionBy(group, c).orderBy(order)
     # Wrapped, so that a missing neighbour differs from a neighbour without a value.
     cell = F.struct(F.col(value).alias("v"))
@@ -149,13 +149,15 @@ def with_neighbours(
     )
     before = F.coalesce(F.col("__prev"), F.col(f"{edge}.before"))
     after = F.coalesce(F.col("__next"), F.col(f"{edge}.after"))
+    edges = edges.withColumnsRenamed({group: "__group", c: "__edge_chunk"})
+    same = F.col(group).eqNullSafe(F.col("__group")) & F.col(c).eqNullSafe(F.col("__edge_chunk"))
     return (
-        local.join(edges, [group, c])
+        local.join(edges, same)
         .withColumn("previous", before["v"])
         .withColumn("next", after["v"])
         .withColumn("is_first", before.isNull())
         .withColumn("is_last", after.isNull())
-        .drop(c, edge, "__prev", "__next")
+        .drop(c, edge, "__prev", "__next", "__group", "__edge_chunk")
     )
 
 

@@ -133,22 +133,32 @@ def compact_keep_links(
     or a sensitive word together with their neighbours. A mail within ``max_chars`` stays
     as it is. Links and warnings are never dropped to meet the length.
     """
-    whole = text.mail_text(subject, body)
     head, tail = int(max_chars * text.HEAD_SHARE), int(max_chars * text.TAIL_SHARE)
     marked = f"{URL}|(?i)\\b(?:{'|'.join(words)})"
 
+    def word_start(t: Column) -> Column:
+        """Characters of ``t`` that belong to the word it opens with."""
+        return F.length(F.regexp_extract(t, r"^\S*+", 0))
+
     def shortened(t: Column) -> Column:
-        middle = F.substring(t, F.lit(head + 1), F.length(t) - (head + tail))
-        sentences = F.split(middle, r"(?<=[.!?\n])\s+")
-        kept = text.let(sentences, lambda s: _neighbourhood(s, lambda x: x.rlike(marked)))
+        # Both cuts move outward to a blank, so that no link is cut in two.
+        size = F.length(t)
+        first = F.lit(head) + word_start(F.substring(t, F.lit(head + 1), size))
+        last = size - tail - word_start(F.reverse(F.substring(t, F.lit(1), size - tail)))
+        middle = F.substring(t, first + 1, F.greatest(last - first, F.lit(0)))
+        kept = text.let(
+            F.split(middle, r"(?<=[.!?\n])\s+"),
+            lambda s: _neighbourhood(s, lambda x: x.rlike(marked)),
+        )
         return F.concat(
-            F.substring(t, 1, head),
+            F.substring(t, F.lit(1), first),
             F.lit(text.TRUNCATION_MARK),
             F.array_join(kept, " "),
             F.lit(text.TRUNCATION_MARK),
-            F.right(t, F.lit(tail)),
+            F.substring(t, F.greatest(first, last) + 1, size),
         )
 
     return text.let(
-        whole, lambda t: F.when(F.length(t) > max_chars, shortened(t)).otherwise(t)
+        text.mail_text(subject, body),
+        lambda t: F.when(F.length(t) > max_chars, shortened(t)).otherwise(t),
     )
