@@ -247,7 +247,7 @@ def fill_blank(spark, sf):
 
 @query
 def squash_ws(spark, sf):
-    odd = F.concat(F.lit(" \t "), F.regexp_replace("text", " t", " 　t"), F.lit("\x1c"))
+    odd = F.concat(F.lit(" \t\u2003"), F.regexp_replace("text", " t", " \u3000\xa0 t"), F.lit("\x1c"))
     docs = fx.table(spark, sf, "documents")
     return docs.select(F.col("doc_id").alias("key"), text.squash_ws(odd).alias("text"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailsift.functions import mime
 from mailsift.operators.clean import GENERATED, Profile, clean_text, keep_valid
 from mailsift.operators.dedup import dedup_exact
 
@@ -14,12 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def before_newline(c: Column) -> Column:
-    return F.split_part(c, F.lit("\n"), F.lit(1))
+    return F.substring_index(c, "\n", 1)
 
 
 def after_newline(c: Column) -> Column:
-    cut = F.instr(c, "\n")
-    return F.when(cut > 0, F.substring(c, cut + 1, F.length(c))).otherwise("")
+    return mime.from_char(c, F.length(before_newline(c)) + 2)
 
 
 def mail(spark: SparkSession, sf: str) -> DataFrame:

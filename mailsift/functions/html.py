@@ -58,7 +58,7 @@ def char_of(code: Column) -> Column:
         units(F.shiftright(above, 10) + 0xD800, 4), units(above.bitwiseAND(0x3FF) + 0xDC00, 4)
     )
     return (
-        F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull(), "�")
+        F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull(), "\ufffd")
         .when(code < 0x10000, F.decode(units(code, 4), "UTF-16BE"))
         .otherwise(F.decode(pair, "UTF-16BE"))
     )

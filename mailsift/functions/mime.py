@@ -16,6 +16,11 @@ _NESTED = r"(?imd)^Content-Type:[^/]*(?:multipart|message)/"
 _ENCODED = r"(?imd)^Content-Transfer-Encoding:\s*(?:base64|quoted-printable|(?:x-)?uue)"
 
 
+def from_char(c: Column, start: Column) -> Column:
+    """Text from a character on, counted from 1; no need to know how much is left."""
+    return F.substring(c, start, F.lit(2**31 - 1))
+
+
 def unix_lines(raw: Column) -> Column:
     return F.replace(raw, F.lit("\r\n"), F.lit("\n"))
 
@@ -34,8 +39,8 @@ def body_raw(raw: Column) -> Column:
     """Everything after the first empty line, transfer encoding left as it is."""
     cut = F.instr(raw, "\n\n")
     return (
-        F.when(F.startswith(raw, F.lit("\n")), F.substring(raw, F.lit(2), F.length(raw)))
-        .when(cut > 0, F.substring(raw, cut + 2, F.length(raw)))
+        F.when(F.startswith(raw, F.lit("\n")), from_char(raw, F.lit(2)))
+        .when(cut > 0, from_char(raw, cut + 2))
         .otherwise(F.when(raw.isNotNull(), ""))
     )
 

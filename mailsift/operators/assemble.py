@@ -65,11 +65,11 @@ def split_sizes_for(n: int, holdout: Fraction, test_share: Fraction) -> dict[str
 
 
 def proportional(total: int, sizes: Mapping) -> dict:
-    """Divide a total in proportion to sizes: largest remainder, ties to the smaller class."""
+    """Divide a total in proportion to sizes: largest remainder, ties to the class listed first."""
     whole = sum(sizes.values())
     exact = {value: Fraction(total * n, whole) for value, n in sizes.items()}
     quota = {value: int(x) for value, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda v: (quota[v] - exact[v], v))
+    by_remainder = sorted(exact, key=lambda value: quota[value] - exact[value])
     for value in by_remainder[: total - sum(quota.values())]:
         quota[value] += 1
     return quota

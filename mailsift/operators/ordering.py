@@ -149,15 +149,14 @@ def with_neighbours(
     )
     before = F.coalesce(F.col("__prev"), F.col(f"{edge}.before"))
     after = F.coalesce(F.col("__next"), F.col(f"{edge}.after"))
-    edges = edges.withColumnsRenamed({group: "__group", c: "__edge_chunk"})
-    same = F.col(group).eqNullSafe(F.col("__group")) & F.col(c).eqNullSafe(F.col("__edge_chunk"))
+    # Joined on the window's own keys, so the wide side is not shuffled again.
     return (
-        local.join(edges, same)
+        local.join(edges, [group, c], "left")
         .withColumn("previous", before["v"])
         .withColumn("next", after["v"])
         .withColumn("is_first", before.isNull())
         .withColumn("is_last", after.isNull())
-        .drop(c, edge, "__prev", "__next", "__group", "__edge_chunk")
+        .drop(c, edge, "__prev", "__next")
     )
 
 

@@ -8,11 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailsift.functions.mime import from_char
 from mailsift.functions.text import apply_na_tokens
 from mailsift.operators.parse import stamp
 from mailsift.schemas import CLEAN_MAIL
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 # Empty markers another reader of the same files treats as missing; pass as `na_tokens`.
 COMMON_NA_TOKENS = ["NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A"]
@@ -58,10 +59,8 @@ def read_mbox(spark: SparkSession, path: str | list[str], scan_order: bool = Fal
     with a ``From `` line, as the format asks.
     """
     df = spark.read.option("lineSep", "\nFrom ").text(path)
-    after_separator = F.when(
-        F.instr("value", "\n") > 0,
-        F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value")),
-    ).otherwise("")
+    first_line = F.length(F.substring_index("value", "\n", 1))
+    after_separator = from_char(F.col("value"), first_line + 2)
     return df.filter(F.length("value") > 0).select(
         *(_scan_order() if scan_order else []), after_separator.alias("message")
     )

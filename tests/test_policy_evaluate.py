@@ -1,0 +1,122 @@
+import pytest
+from pyspark.sql import functions as F
+
+from mailsift.functions import answers
+from mailsift.operators import evaluate, policy
+
+PREDICTED = "dataset int, label int, predicted_label int"
+
+# Published confusion counts per source (TP, TN, FP, FN) and the ratios that go with them.
+BY_SOURCE = {
+    1: ((0, 606, 1, 0), (0.9983525535420099, 0.0, 0.0, 0.0)),
+    2: ((106, 0, 0, 2), (0.9814814814814815, 1.0, 0.9814814814814815, 0.9906542056074766)),
+    3: ((391, 0, 0, 2), (0.9949109414758269, 1.0, 0.9949109414758269, 0.9974489795918368)),
+    4: ((128, 0, 0, 0), (1.0, 1.0, 1.0, 1.0)),
+}
+OVERALL = (0.9959546925566343, 0.9984025559105432, 0.9936406995230525, 0.9960159362549801)
+INVALID = 22
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    cells = ((1, 1), (0, 0), (0, 1), (1, 0))
+    rows = [(d, y, p, n) for d, (counts, _) in BY_SOURCE.items() for (y, p), n in zip(cells, counts)]
+    rows.append((1, 0, None, INVALID))
+    df = spark.createDataFrame(rows, PREDICTED + ", times int")
+    return df.filter("times > 0").select(
+        "dataset", "label", "predicted_label", F.explode(F.expr("sequence(1, times)")).alias("i")
+    )
+
+
+def ratios(row):
+    return tuple(row[c] for c in evaluate.RATIOS)
+
+
+def test_published_overall_quality(published):
+    row = evaluate.quality(published).first()
+    assert tuple(row[c] for c in evaluate.COUNTS) == (625, 606, 1, 4)
+    assert (row.total, row.n, row.invalid) == (1258, 1236, 22)
+    assert ratios(row) == pytest.approx(OVERALL, abs=1e-12)
+    assert row["Conservative accuracy"] == pytest.approx(0.978537, abs=5e-7)
+
+
+def test_published_quality_by_source(published):
+    rows = {r.dataset: r for r in evaluate.quality(published, ["dataset"]).collect()}
+    for dataset, (counts, expected) in BY_SOURCE.items():
+        assert tuple(rows[dataset][c] for c in evaluate.COUNTS) == counts
+        assert ratios(rows[dataset]) == pytest.approx(expected, abs=1e-12)
+
+
+def test_one_pass_report_equals_both(published):
+    report = {r.dataset: r for r in evaluate.quality_report(published).collect()}
+    assert report[None].scope == "all" and len(report) == 5
+    assert ratios(report[None]) == ratios(evaluate.quality(published).first())
+    for r in evaluate.quality(published, ["dataset"]).collect():
+        assert ratios(report[r.dataset]) == ratios(r) and report[r.dataset].scope == "group"
+
+
+def test_published_baseline_run(spark):
+    counts = spark.createDataFrame([(560, 155, 474, 69, 1258, 1258)], "TP int, TN int, FP int, FN int, n int, total int")
+    row = evaluate.with_ratios(counts).first()
+    assert [round(x, 4) for x in ratios(row)] == [0.5684, 0.5416, 0.8903, 0.6735]
+
+
+def test_no_valid_answer_and_no_rows(spark):
+    invalid = spark.createDataFrame([(1, 1, None), (1, 0, None)], PREDICTED)
+    row = evaluate.quality(invalid).first()
+    assert (row.total, row.n, row.invalid) == (2, 0, 2) and ratios(row) == (0.0,) * 4
+    empty = evaluate.quality(invalid.limit(0)).first()
+    assert empty.total == 0 and ratios(empty) == (0.0,) * 4 and empty["Conservative accuracy"] == 0.0
+
+
+def test_compare_runs(published, spark):
+    baseline = spark.createDataFrame([(0.5, 0.25, 0.1, 0.2, 1, 2, 3, 4)], [*evaluate.RATIOS, *evaluate.COUNTS])
+    table = evaluate.compare_runs({"before": baseline, "after": evaluate.quality(published)})
+    assert table.columns == ["Model", *evaluate.RATIOS, *evaluate.COUNTS]
+    assert {r.Model: r.TP for r in table.collect()} == {"before": 1, "after": 625}
+
+
+def test_targets(spark):
+    metrics = spark.createDataFrame([(0.79, 0.92, 0.85, 0.99)], list(evaluate.RATIOS))
+    verdicts = {r.metric: r.verdict for r in evaluate.check_targets(metrics).collect()}
+    assert verdicts == {"Accuracy": "below", "Precision": "within", "Recall": "within", "F1-score": "above"}
+
+
+ANSWERS = [
+    ("phishing", 1, 1), (" Phishing.", 1, 1), ("Legitimate", 0, 0), ("legitimate, not phishing", 1, 0),
+    ("not phishing but legitimate", 1, 1), ("unsure", None, None), ("", None, None), (None, None, None),
+    ("LEGITIMATEPHISHING", 1, 0),
+]
+
+
+def test_answer_parsers(column_of):
+    texts = [a for a, _, _ in ANSWERS]
+    assert column_of(answers.parse_answer_any, texts) == [x for _, x, _ in ANSWERS]
+    assert column_of(answers.parse_answer_first, texts) == [x for _, _, x in ANSWERS]
+    assert column_of(lambda c: answers.invalid_as_text(answers.parse_answer_any(c)), texts)[5] == "invalid"
+    assert column_of(lambda c: answers.invalid_as_number(answers.parse_answer_any(c)), texts)[5] == -1
+
+
+def test_invalid_is_never_correct(spark):
+    df = spark.createDataFrame(
+        [(1, 2, "s", 1, "phishing"), (2, 2, "s", 1, "?"), (3, 2, "s", None, "?"), (4, 1, "s", 0, "phishing")],
+        "index long, dataset int, subject string, label int, raw_prediction string")
+    rows = {r["index"]: r for r in policy.prediction_rows(df).collect()}
+    assert {i: r.correct for i, r in rows.items()} == {1: True, 2: False, 3: False, 4: False}
+    assert rows[4].expected == "legitimate" and rows[2].predicted_label is None
+
+
+@pytest.mark.parametrize("threshold, unusable", [(0.0, "BLOCK"), (0.5, "BLOCK"), (0.55, "PASS"), (1.0, "PASS")])
+def test_gate(spark, threshold, unusable):
+    df = spark.createDataFrame(
+        [(1, "mail", " PHISHING "), (2, "mail", "Legitimate"), (3, "mail", "dunno"), (4, " \n\u3000", "phishing"),
+         (5, None, "phishing"), (6, "mail", None), (7, "mail", "legitimate, not phishing")],
+        "i int, email_text string, raw_prediction string")
+    rows = {r.i: r for r in policy.gate(df, threshold, display=True).collect()}
+    got = {i: (r.risk_score, r.risk_level, r.action) for i, r in rows.items()}
+    assert got == {
+        1: (1.0, "HIGH", "BLOCK"), 2: (0.0, "LOW", "PASS"), 3: (0.5, "UNKNOWN", unusable),
+        4: (0.0, "NONE", "ERROR"), 5: (0.0, "NONE", "ERROR"), 6: (0.5, "UNKNOWN", unusable),
+        7: (1.0, "HIGH", "BLOCK")}
+    assert rows[1].response == "phishing" and rows[4].response is None
+    assert "(dunno)" in rows[3].shown_action and f"({unusable})" in rows[3].shown_action
