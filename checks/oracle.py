@@ -58,7 +58,7 @@ _MARKUP = "(?is)<(?:" + "|".join(
 def html_text(x: str) -> str:
     out = f"regexp_replace({x}, '{_MARKUP}', ' ', 'g')"
     for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        out = f"replace({out}, '&{name};', '{char}')"
+        out = rf"regexp_replace({out}, '&{name}(?:;|\b)', '{char}', 'g')"
     return squash(out)
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters Unicode-aware `\s` stands for. Java's own `\s` covers
-# only six of them, so every pattern spells the class out. The part above ASCII sits
-# behind one range test, which is all that an ordinary letter is compared with.
-_RARE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-WS = rf"[\t-\r\x1c-\x20[\x{{85}}-\x{{3000}}&&{_RARE}]]"
+# only six of them, so every pattern spells the class out. Those below U+0100 are listed
+# one by one, which Java turns into a table look-up; the rest sit behind one range test.
+_RARE = r"[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}"
+    rf"[\x{{1680}}-\x{{3000}}&&{_RARE}]]"
+)
 
 # Texts and proportions of a shortened prompt.
 TRUNCATION_MARK = "\n\n[...truncated...]\n\n"

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift.functions.mime import from_char
 from mailsift.functions.text import apply_na_tokens
@@ -85,16 +86,20 @@ def read_tagged(
 def read_clean(
     spark: SparkSession, path: str | list[str], na_tokens: Sequence[str] | None = None
 ) -> DataFrame:
-    """Cleaned mail, columns found by name and typed by the contract."""
+    """Cleaned mail, columns found by name and typed by the contract.
+
+    A label or source id that is no number becomes null, which the contract report shows
+    as a class of its own, instead of ending the job.
+    """
     df = _csv(spark, path)
-    return df.select(
-        *[
-            (apply_na_tokens(F.col(f.name), na_tokens) if f.name in ("subject", "body") else F.trim(f.name))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in CLEAN_MAIL
-        ]
-    )
+
+    def typed(field: T.StructField) -> Column:
+        c = F.col(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return apply_na_tokens(c, na_tokens).alias(field.name)
+        return F.trim(c).try_cast(field.dataType).alias(field.name)
+
+    return df.select(*[typed(field) for field in CLEAN_MAIL])
 
 
 def read_split(

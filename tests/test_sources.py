@@ -72,6 +72,12 @@ def test_clean_csv_null_tokens_and_column_order(spark, tmp_path):
     assert (tokens[2].subject, tokens[2].body, tokens[1].body) == (None, None, None)
 
 
+def test_label_that_is_no_number_is_null(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("subject,body,label,dataset\ns,b,spam,1\ns,b, 1 ,x\n")
+    rows = sorted((r.label is None, r.dataset) for r in readers.read_clean(spark, str(tmp_path)).collect())
+    assert rows == [(False, None), (True, 1)]
+
+
 def test_split_csv_ignores_byte_order_mark(spark, tmp_path):
     (tmp_path / "test.csv").write_text("subject,body,label,dataset\ns,b,1,4\n", encoding="utf-8-sig")
     row = readers.read_split(spark, str(tmp_path / "test.csv"), "test").first()
