@@ -13,6 +13,7 @@ from mailsift.functions.html import html_to_text
 from mailsift.operators import assemble, clean, classify, evaluate, parse, policy, prompts
 from mailsift.operators.contract import check_contract
 from mailsift.operators.dedup import dedup_exact
+from mailsift.plans import corpus, training
 from mailsift.plans.evaluation import evaluate_run
 from mailsift.sources import readers, sinks
 from mailsift.sources.scratch import land, scratch_path
@@ -392,6 +393,26 @@ def head_n(spark, sf):
     return assemble.head_n(fx.clean_mail(spark, sf), 200).select("key", "subject", "label")
 
 
+@query
+def build_dataset(spark, sf):
+    """Legitimate mail and HTML mail cleaned, united, balanced, split and shuffled."""
+    legit = parse.stamp(fx.mail(spark, sf).filter("dataset = 1"), 0, 1)
+    pages = fx.table(spark, sf, "pages").select(
+        F.col("page_id").alias("key"), F.col("url").alias("subject"), F.col("html").alias("body")
+    )
+    cleaned = [
+        clean.to_contract(clean.clean(legit, clean.RAW_MESSAGE, ["key"])),
+        clean.to_contract(clean.clean(parse.stamp(pages, 1, 2), clean.HTML_MAIL, ["key"])),
+    ]
+    return corpus.build_dataset(*cleaned).drop("body")
+
+
+@query
+def training_rows(spark, sf):
+    rows = training.training_rows(labelled(spark, sf), cap=150, max_chars=1000)
+    return rows.select("key", "prompt", "full")
+
+
 # --- prompts and training rows ------------------------------------------------------------
 
 

@@ -285,6 +285,27 @@ _RAW_CLEAN = f"""cleaned AS (
   SELECT key, {squash(strip_prefix(f"CASE WHEN key % 50 = 0 THEN '' ELSE ltrim(CASE WHEN key % 3 = 0 THEN 'RE: Fwd : ' ELSE '' END || subject, ' ' || chr(9)) END"))} AS subject,
     {squash('body')} AS body, 0 AS label, 1 AS dataset FROM mail)"""
 
+def digest_sql(*columns: str) -> str:
+    parts = (f"length({c}::VARCHAR) || '|' || {c}::VARCHAR" for c in columns)
+    return f"upper(sha256({' || '.join(parts)}))"
+
+
+# Two cleaned corpora under content keys, cut down to equal classes.
+_BUILT = f"""legit AS (
+  SELECT subject, body, 0 AS label, 1 AS dataset FROM (
+    SELECT key, {squash(strip_prefix('subject'))} AS subject, {squash('body')} AS body
+    FROM mail WHERE dataset = 1)
+  WHERE subject <> '' AND body <> '' AND length(subject) + length(body) >= 20
+  QUALIFY row_number() OVER (PARTITION BY subject, body ORDER BY key) = 1),
+html_mail AS (
+  SELECT subject, body, 1 AS label, 2 AS dataset FROM (
+    SELECT page_id, {squash('url')} AS subject, {html_text('html')} AS body FROM pages)
+  WHERE subject <> '' AND length(body) >= 20
+  QUALIFY row_number() OVER (PARTITION BY subject, body ORDER BY page_id) = 1),
+labelled AS (
+  SELECT *, {digest_sql('dataset', 'subject', 'body')} AS key
+  FROM (FROM legit UNION ALL FROM html_mail))"""
+
 _RUN = """SELECT '{name}' AS "Model", {validity}, {counts}
   FROM (SELECT *, {label} AS predicted_label FROM pred)"""
 
@@ -401,6 +422,20 @@ ORACLE: dict[str, str] = {
     "head_n": using(
         MAIL, CLEANED, DEDUPED, select="SELECT key, subject, label FROM deduped ORDER BY key LIMIT 200"
     ),
+    "build_dataset": using(
+        MAIL, _BUILT, BALANCED, SPLIT,
+        select=f"""SELECT key, subject, label, dataset, split,
+          row_number() OVER (ORDER BY {seeded()}, key) - 1 AS index FROM split_mail""",
+    ),
+    "training_rows": using(
+        *_LABELLED,
+        f"""drawn AS (SELECT *, {compact_sql('t', 1000)} AS text FROM (SELECT *, {mail_text_sql()} AS t
+          FROM labelled ORDER BY {seeded()}, key LIMIT 150)),
+        asked AS (SELECT key, label, '<|im_start|>system' || chr(10) || {lit(chat.TRAIN_SYSTEM)}
+          || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
+          || '<|im_start|>assistant' || chr(10) AS prompt FROM drawn)""",
+        select=f"""SELECT key, prompt, prompt || {WORD} || '<|im_end|>' || chr(10) AS "full" FROM asked""",
+    ),
     "label_word": using(MAIL, select=f"SELECT key, {WORD} AS word, {WORD} AS padded FROM mail"),
     "mail_text": using(
         MAIL, select=f"SELECT key, {mail_text_sql(b='CASE WHEN key % 4 <> 0 THEN body END')} AS text FROM mail"

@@ -42,6 +42,11 @@ def squash_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS + "++", " "))
 
 
+def strip_ws(c: Column) -> Column:
+    """No Unicode whitespace at either end; the inside stays as it is."""
+    return F.regexp_replace(c, rf"^{WS}++|{WS}++\z", "")
+
+
 def strip_reply_prefix(c: Column) -> Column:
     """Drop every leading ``re:`` / ``fw:`` / ``fwd:``, however they are stacked.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -73,6 +74,22 @@ def score(df: DataFrame, model: PipelineModel, margin: float = 0.05) -> DataFram
     return scored.withColumn("raw_prediction", answer_of(F.col("p_phishing"), margin))
 
 
+def model_answers(load: Callable[[], Callable[[list[str]], list[str]]]):
+    """Column function that asks an outside model, for instance a language model.
+
+    ``load`` runs once per Python worker and returns the model: a batch of prompts in, as
+    many answers out. Prompts travel in Arrow batches. Use as
+    ``df.withColumn("raw_prediction", model_answers(load)(prompt_column))``.
+    """
+
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for prompts in batches:
+            yield pd.Series(model(list(prompts)), dtype="object")
+
+    return F.pandas_udf(answer, "string")
+
+
 def row_loss(p: Column, label: Column) -> Column:
     of_label = F.when(label == 1, p).otherwise(1 - p)
     bounded = F.least(F.greatest(of_label, F.lit(MIN_PROBABILITY)), F.lit(1.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.answers import parse_answer_any
-from mailsift.functions.text import label_word, squash_ws
+from mailsift.functions.text import label_word, strip_ws
 
 # Risk score, level and action of each outcome; the strict and the lenient
 # outcome are those of an answer that names neither class.
@@ -27,19 +27,29 @@ REASONS = {
     "lenient": "no usable answer, and the lenient threshold delivers such mail",
 }
 
-# What the operator's screen shows, level and action. {answer} is the
-# model's answer.
+# What the operator's screen shows: level, action and details. {answer} is
+# the model's answer, {threshold} the chosen threshold.
 DISPLAY = {
-    "blank": ("無", "⚠️ 錯誤"),
-    "phishing": ("HIGH (高風險)", "🚨 攔截並發出警報 (BLOCK) —— 專屬模型判定為 Phishing 威脅"),
-    "legitimate": ("LOW (低風險)", "🟢 安全放行 (PASS) —— 專屬模型判定為 Legitimate 安全"),
+    "blank": ("無", "⚠️ 錯誤", "請先輸入測試文本（主旨或內文）"),
+    "phishing": (
+        "HIGH (高風險)",
+        "🚨 攔截並發出警報 (BLOCK) —— 專屬模型判定為 Phishing 威脅",
+        "【模型偵測結果】: {answer}\n【資安決策】: 模型認定此郵件包含高度商業郵件詐騙 (BEC) 特徵，系統已強制阻斷。",
+    ),
+    "legitimate": (
+        "LOW (低風險)",
+        "🟢 安全放行 (PASS) —— 專屬模型判定為 Legitimate 安全",
+        "【模型偵測結果】: {answer}\n【資安決策】: 模型評估此郵件無可疑社交工程特徵，准予放行至員工收件匣。",
+    ),
     "strict": (
         "UNKNOWN (無法辨識)",
         "🚨 攔截控制 (BLOCK) —— 模型輸出異常({answer})，依防禦政策強制阻斷！",
+        "【異常處理】: 模型無法給出明確標籤。因為網頁端設定的門檻為 {threshold} (屬嚴格政策)，資安系統採取『寧可錯殺』方針。",
     ),
     "lenient": (
         "UNKNOWN (無法辨識)",
         "🟢 異常放行 (PASS) —— 模型輸出異常({answer})，依防禦政策容忍放行。",
+        "【異常處理】: 模型無法給出明確標籤。因為網頁端設定的門檻為 {threshold} (屬寬鬆政策)，系統選擇放行。",
     ),
 }
 
@@ -65,7 +75,7 @@ def _outcome(mail: Column, answer: Column, threshold: float) -> Column:
     unusable = "strict" if threshold <= STRICT_UP_TO else "lenient"
     label = parse_answer_any(answer)
     return (
-        F.when(F.coalesce(squash_ws(mail), F.lit("")) == "", "blank")
+        F.when(F.coalesce(strip_ws(mail), F.lit("")) == "", "blank")
         .when(label == 1, "phishing")
         .when(label == 0, "legitimate")
         .otherwise(unusable)
@@ -79,8 +89,11 @@ def gate(
     answer: str = "raw_prediction",
     display: bool = False,
 ) -> DataFrame:
-    """Decide on each mail. A pure projection, so it serves batches and streams alike."""
-    response = F.lower(squash_ws(F.coalesce(answer, F.lit(""))))
+    """Decide on each mail. A pure projection, so it serves batches and streams alike.
+
+    ``display`` adds the texts of the operator's screen.
+    """
+    response = F.lower(strip_ws(F.coalesce(F.col(answer), F.lit(""))))
     decided = df.withColumn("__outcome", _outcome(F.col(mail), F.col(answer), threshold))
     outcome = F.col("__outcome")
 
@@ -98,7 +111,7 @@ def gate(
         "reason": pick({k: F.lit(v) for k, v in REASONS.items()}),
     }
     if display:
-        shown = {k: F.replace(F.lit(v[1]), F.lit("{answer}"), response) for k, v in DISPLAY.items()}
-        columns["shown_level"] = pick({k: F.lit(v[0]) for k, v in DISPLAY.items()})
-        columns["shown_action"] = pick(shown)
+        for i, name in enumerate(("shown_level", "shown_action", "shown_details")):
+            texts = {k: F.lit(v[i].replace("{threshold}", str(threshold))) for k, v in DISPLAY.items()}
+            columns[name] = F.replace(pick(texts), F.lit("{answer}"), response)
     return decided.withColumns(columns).drop("__outcome")

@@ -51,6 +51,21 @@ def test_answer_margin(spark):
     assert df.select(classify.answer_of(F.col("p"))).collect()[2][0] == "phishing"
 
 
+def test_outside_model_is_loaded_once_and_asked_in_batches(spark):
+    def load():
+        calls = []
+
+        def model(prompts):
+            calls.append(len(prompts))
+            return ["phishing" if "verify" in p else f"legitimate {len(calls)}" for p in prompts]
+
+        return model
+
+    df = spark.createDataFrame([("please verify",), ("lunch",)] * 50, "prompt string").coalesce(1)
+    answers = df.select(classify.model_answers(load)(F.col("prompt"))).collect()
+    assert [a[0] for a in answers] == ["phishing", "legitimate 1"] * 50
+
+
 def test_log_loss(spark):
     rows = [(i, 0.1 * (i + 1), i % 2) for i in range(9)]
     df = spark.createDataFrame(rows, "index long, p_phishing double, label int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import catalog
 from checks import fixtures as fx
 from mailsift.operators import assemble, clean, evaluate
-from mailsift.plans import corpus
+from mailsift.plans import corpus, training
 from mailsift.plans.evaluation import evaluate_run
 
 
@@ -67,6 +67,20 @@ def test_evaluate_run_writes_reports(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "run" / "targets")).count() == len(evaluate.TARGET_BANDS)
 
 
+def test_training_picks_a_model_on_valid(spark):
+    mails = spark.range(100).select(
+        F.col("id").alias("key"), F.lit("s").alias("subject"), (F.col("id") % 2).cast("int").alias("label"),
+        F.when(F.col("id") % 2 == 1, "bad").otherwise("good").alias("body"))
+    grid = [{"regularisation": 50.0, "features": 64}, {"regularisation": 0.01, "features": 64}]
+    splits = assemble.stratified_split(mails)
+    model, losses = training.train_classifier(splits, grid)
+    assert model.stages[-1].getRegParam() == 0.01 and losses.count() == 2
+    rows = training.training_rows(mails, cap=10).collect()
+    assert len(rows) == 10 and all(r.full.startswith(r.prompt) for r in rows)
+    with pytest.raises(ValueError, match="split"):
+        training.train_classifier(mails)
+
+
 LAZY = [n for n in catalog.QUERIES if n not in ("classify_batch", "gate_stream")]
 
 

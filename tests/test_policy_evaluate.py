@@ -109,7 +109,7 @@ def test_invalid_is_never_correct(spark):
 @pytest.mark.parametrize("threshold, unusable", [(0.0, "BLOCK"), (0.5, "BLOCK"), (0.55, "PASS"), (1.0, "PASS")])
 def test_gate(spark, threshold, unusable):
     df = spark.createDataFrame(
-        [(1, "mail", " PHISHING "), (2, "mail", "Legitimate"), (3, "mail", "dunno"), (4, " \n\u3000", "phishing"),
+        [(1, "mail", " PHISHING "), (2, "mail", "Legitimate"), (3, "mail", "\tDun  no\n"), (4, " \n\u3000", "phishing"),
          (5, None, "phishing"), (6, "mail", None), (7, "mail", "legitimate, not phishing")],
         "i int, email_text string, raw_prediction string")
     rows = {r.i: r for r in policy.gate(df, threshold, display=True).collect()}
@@ -119,4 +119,6 @@ def test_gate(spark, threshold, unusable):
         4: (0.0, "NONE", "ERROR"), 5: (0.0, "NONE", "ERROR"), 6: (0.5, "UNKNOWN", unusable),
         7: (1.0, "HIGH", "BLOCK")}
     assert rows[1].response == "phishing" and rows[4].response is None
-    assert "(dunno)" in rows[3].shown_action and f"({unusable})" in rows[3].shown_action
+    assert "(dun  no)" in rows[3].shown_action and f"({unusable})" in rows[3].shown_action
+    assert f" {threshold} " in rows[3].shown_details and rows[3].response == "dun  no"
+    assert rows[2].shown_details.startswith("【模型偵測結果】: legitimate\n")
