@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift.functions.hashing import hash_bucket, seed_hash
 
@@ -25,6 +27,14 @@ def class_totals(df: DataFrame, label: str) -> dict:
     return dict(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0])))
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], **types: T.DataType) -> DataFrame:
+    """A driver-side table of a few rows, planned as a local relation."""
+    schema = T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+    return spark.createDataFrame(
+        pa.Table.from_arrays([pa.array(column) for column in zip(*rows)], names=list(types)), schema
+    )
+
+
 def rank_cutoffs(
     df: DataFrame, ranks: Mapping, label: str | None, key: str, seed: int
 ) -> dict[tuple, tuple[str, object]]:
@@ -43,8 +53,8 @@ def rank_cutoffs(
     rows = df.select(group.alias("g"), F.col(key).alias("k"), seed_hash(seed, key).alias("h"))
     rows = rows.withColumn("bucket", hash_bucket(F.col("h")))
 
-    group_type = rows.schema["g"].dataType.simpleString()
-    targets = spark.createDataFrame(wanted, f"g {group_type}, rank long")
+    kind = rows.schema["g"].dataType
+    targets = _small_table(spark, wanted, g=kind, rank=T.LongType())
     running = Window.partitionBy("g").orderBy("bucket")
     counts = (
         rows.groupBy("g", "bucket")
@@ -63,8 +73,8 @@ def rank_cutoffs(
     )
 
     # As many rows as cuts were asked for, so the table below is as small as `ranks`.
-    cut_table = spark.createDataFrame(
-        [tuple(c) for c in cuts], f"cg {group_type}, cbucket string, rank long, local long"
+    cut_table = _small_table(
+        spark, cuts, cg=kind, cbucket=T.StringType(), rank=T.LongType(), local=T.LongType()
     )
     in_bucket = Window.partitionBy("g", "bucket").orderBy("h", "k")
     next_key = F.lead(F.struct("h", "k")).over(in_bucket)
