@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailsift.functions.text import let
+
 # Patterns below use `d`, so that `^` and `$` know no line end but "\n".
 _SUBJECT = r"(?imd)^Subject:[ \t]*([^\n]*(?:\n[ \t][^\n]*+)*+)"
 _HEADER_BLOCK = r"\A(?:[!-9;-~]++:[^\n]*+(?:\n[ \t][^\n]*+)*+(?:\n|\z))*+\z"
@@ -21,28 +23,39 @@ def from_char(c: Column, start: Column) -> Column:
     return F.substring(c, start, F.lit(2**31 - 1))
 
 
-def unix_lines(raw: Column) -> Column:
-    return F.replace(raw, F.lit("\r\n"), F.lit("\n"))
+def _cut(raw: Column) -> Column:
+    """Place of the line end before the first empty line, 0 if there is none."""
+    bare, with_cr = F.instr(raw, "\n\n"), F.instr(raw, "\n\r\n")
+    return F.when((bare > 0) & ((with_cr == 0) | (bare < with_cr)), bare).otherwise(with_cr)
+
+
+def _unix_lines(c: Column) -> Column:
+    return F.replace(c, F.lit("\r\n"), F.lit("\n"))
+
+
+def _opens_empty(raw: Column) -> Column:
+    """The first line is empty already, so the message has no headers."""
+    return F.startswith(raw, F.lit("\n")) | F.startswith(raw, F.lit("\r\n"))
 
 
 def header_block(raw: Column) -> Column:
-    """Lines before the first empty line, of a message with unix line ends."""
-    cut = F.instr(raw, "\n\n")
-    return (
-        F.when(F.startswith(raw, F.lit("\n")), "")
-        .when(cut > 0, F.substring(raw, F.lit(1), cut - 1))
-        .otherwise(raw)
+    """Lines before the first empty line, with unix line ends."""
+    head = let(
+        _cut(raw), lambda cut: F.when(cut > 0, F.substring(raw, F.lit(1), cut)).otherwise(raw)
     )
+    lines = _unix_lines(head)
+    return F.when(_opens_empty(raw), "").otherwise(F.regexp_replace(lines, r"\n\z", ""))
 
 
 def body_raw(raw: Column) -> Column:
     """Everything after the first empty line, transfer encoding left as it is."""
-    cut = F.instr(raw, "\n\n")
-    return (
-        F.when(F.startswith(raw, F.lit("\n")), from_char(raw, F.lit(2)))
-        .when(cut > 0, from_char(raw, cut + 2))
-        .otherwise(F.when(raw.isNotNull(), ""))
-    )
+    after = let(_cut(raw), lambda cut: F.when(cut > 0, from_char(raw, cut + 1)).otherwise(""))
+    rest = F.when(_opens_empty(raw), raw).otherwise(after)
+
+    def without_empty_line(r: Column) -> Column:
+        return from_char(r, F.when(F.startswith(r, F.lit("\r\n")), 3).otherwise(2))
+
+    return F.when(raw.isNotNull(), let(rest, without_empty_line))
 
 
 def subject_in(header: Column, missing: str | None = "") -> Column:
@@ -52,7 +65,7 @@ def subject_in(header: Column, missing: str | None = "") -> Column:
 
 def subject_of(raw: Column, missing: str | None = "") -> Column:
     """First ``Subject`` header, folded lines and encoded words left as they are."""
-    return subject_in(header_block(unix_lines(raw)), missing)
+    return subject_in(header_block(raw), missing)
 
 
 def needs_parser(header: Column, raw: Column, decode: bool) -> Column:

@@ -24,14 +24,18 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
     Spark from evaluating it for every row.
     """
     missing = None if decode else ""
-    text = once(df.withColumnRenamed(column, "__raw"), __text=mime.unix_lines(F.col("__raw")))
-    cut = once(text, __head=mime.header_block(F.col("__text")), __body=mime.body_raw(F.col("__text")))
-    odd = mime.needs_parser(F.col("__head"), F.col("__raw"), decode)
+    raw = F.col("__raw")
+    cut = once(
+        df.withColumnRenamed(column, "__raw"),
+        __head=mime.header_block(raw),
+        __body=mime.body_raw(raw),
+    )
+    odd = mime.needs_parser(F.col("__head"), raw, decode)
     routed = once(cut, __odd=F.coalesce(odd, F.lit(False)))
     narrow = (
-        routed.withColumn("__there", F.col("__raw").isNotNull())
-        .withColumn("__python", F.when(F.col("__odd"), F.col("__raw").cast("binary")))
-        .drop("__raw", "__text")
+        routed.withColumn("__there", raw.isNotNull())
+        .withColumn("__python", F.when(F.col("__odd"), raw.cast("binary")))
+        .drop("__raw")
     )
     done = narrow.withColumn("__mime", mime.mime_parser(decode)(F.col("__python")))
 
