@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailsift.functions import text
 from mailsift.functions.html import html_to_text
 from mailsift.operators.dedup import dedup_exact, text_digest
+from mailsift.operators.projection import once
 from mailsift.schemas import CONTRACT
 
 
@@ -29,19 +30,6 @@ HTML_MAIL = Profile(html=True, min_body=20)
 GENERATED = Profile()
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Replace columns by expressions that are evaluated exactly once per row.
-
-    Without this, filters on a cleaned column are pushed below the projection and
-    every regular expression in it runs again for each mention. A one-element
-    ``inline`` is a boundary the optimizer does not push through, and it stays inside
-    whole-stage code generation.
-    """
-    kept = [F.col(c) for c in df.columns if c not in columns]
-    made = F.struct(*[expr.alias(name) for name, expr in columns.items()])
-    return df.select(*kept, F.inline(F.array(made)))
-
-
 def clean_text(df: DataFrame, profile: Profile = GENERATED) -> DataFrame:
     body = html_to_text(F.col("body")) if profile.html else text.clean_body(F.col("body"))
     return once(

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions import mime
-from mailsift.operators.clean import once
 from mailsift.operators.ordering import with_ordinals
+from mailsift.operators.projection import once
 
 
 def parse_messages(df: DataFrame, column: str = "message", decode: bool = False) -> DataFrame:
