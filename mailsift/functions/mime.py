@@ -83,14 +83,10 @@ def mime_parser(decode: bool):
     """
 
     def parse(raws: pd.Series) -> pd.DataFrame:
-        def plain_parts(message):
-            texts = []
-            for part in message.walk():
-                if part.get_content_type() == "text/plain":
-                    payload = part.get_payload(decode=True)
-                    if payload:
-                        texts.append(payload.decode(errors="ignore"))
-            return "".join(texts)
+        def plain_text(message):
+            kinds = ((part.get_content_type(), part) for part in message.walk())
+            payloads = (part.get_payload(decode=True) for kind, part in kinds if kind == "text/plain")
+            return "".join(p.decode(errors="ignore") for p in payloads if p)
 
         def one(raw):
             if raw is None:
@@ -102,7 +98,7 @@ def mime_parser(decode: bool):
                     message, missing = email.message_from_string(raw.decode()), ""
                 subject = message.get("Subject", missing)
                 if message.is_multipart():
-                    body = plain_parts(message)
+                    body = plain_text(message)
                 elif decode:
                     body = message.get_payload(decode=True).decode(errors="ignore")
                 else:

@@ -43,8 +43,11 @@ def squash_ws(c: Column) -> Column:
 
 
 def strip_ws(c: Column) -> Column:
-    """No Unicode whitespace at either end; the inside stays as it is."""
-    return F.regexp_replace(c, rf"^{WS}++|{WS}++\z", "")
+    """No Unicode whitespace at either end; the inside stays as it is.
+
+    The look-behind lets a run inside the text be tried once, not from each of its blanks.
+    """
+    return F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
 def strip_reply_prefix(c: Column) -> Column:

@@ -39,7 +39,7 @@ def balance(
     drawn = F.lit(False)
     if size:
         cutoffs = rank_cutoffs(df.filter(_is_class(label, draw)), {draw: [size]}, label, key, seed)
-        drawn = up_to(cutoffs[(draw, size)], key, seed)
+        drawn = up_to(cutoffs[(draw, size)], seed_hash(seed, key), key)
     return df.filter(_is_class(label, keep) | (_is_class(label, draw) & drawn))
 
 
@@ -108,13 +108,13 @@ def stratified_split(
     def within(value, rank: int) -> Column:
         if rank <= 0 or rank >= totals[value]:
             return F.lit(rank > 0)
-        return up_to(cutoffs[(value, rank)], key, seed)
+        return up_to(cutoffs[(value, rank)], F.col("__hash"), key)
 
     split = F.lit(None).cast("string")
     for value, (train, valid) in quotas.items():
         part = F.when(within(value, train), "train").when(within(value, train + valid), "valid")
         split = F.when(_is_class(label, value), part.otherwise("test")).otherwise(split)
-    return df.withColumn("split", split)
+    return df.withColumn("__hash", seed_hash(seed, key)).withColumn("split", split).drop("__hash")
 
 
 def class_counts(df: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
@@ -142,7 +142,8 @@ def sample_at_most(
         return df
     if cap <= 0:
         return df.limit(0)
-    return df.filter(up_to(rank_cutoffs(df, {None: [cap]}, None, key, seed)[(None, cap)], key, seed))
+    cutoff = rank_cutoffs(df, {None: [cap]}, None, key, seed)[(None, cap)]
+    return df.filter(up_to(cutoff, seed_hash(seed, key), key))
 
 
 def head_n(df: DataFrame, n: int | None, *order: str) -> DataFrame:

@@ -100,10 +100,9 @@ def rank_cutoffs(
     return result
 
 
-def up_to(cutoff: tuple[str, object], key: str, seed: int) -> Column:
+def up_to(cutoff: tuple[str, object], hashed: Column, key: str) -> Column:
     """True for rows at or before a cutoff in seeded hash order."""
     h, k = cutoff
-    hashed = seed_hash(seed, key)
     return (hashed < h) | ((hashed == h) & (F.col(key) <= F.lit(k)))
 
 

@@ -89,12 +89,9 @@ def test_messages_of_a_mail(spark):
 
 
 def brute_labels(prompt, full, n):
-    prompt, full = prompt[:n], full[:n]
-    hidden = min(len(prompt), len(full))
-    labels = [-100] * hidden + full[hidden:]
-    if full and set(labels) == {-100}:
-        labels[-1] = full[-1]
-    return labels
+    full = full[:n]
+    trained = set(range(len(prompt[:n]), len(full))) or {len(full) - 1}
+    return [x if i in trained else -100 for i, x in enumerate(full)]
 
 
 def test_answer_only_labels(spark):
