@@ -26,6 +26,9 @@ MARKUP = "(?is)<(?:%s)" % "|".join(
     ]
 )
 
+# Noncharacters that stand in for markup openings which are never closed.
+_OPEN, _DASHES = "\ufdd0", "\ufdd1"
+
 # Names that make up nearly all references in mail; any other takes the general way.
 FREQUENT = ("nbsp", "lt", "gt", "quot", "apos", "copy", "reg", "middot", "bull", "hellip",
             "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "amp")
@@ -127,6 +130,40 @@ def decode_entities(c: Column) -> Column:
     )
 
 
+def _shelter(c: Column) -> Column:
+    """Hide ``<`` after the last ``>`` and ``<!--`` after the last ``-->``.
+
+    Neither can open anything that matches, yet each would make the matcher look through
+    the rest of the text: quadratic time on hostile or plain text with many of them.
+    """
+
+    def in_tail(t: Column, end: str, old: str, new: str) -> Column:
+        tail = F.substring_index(t, end, -1)
+        head = F.left(t, F.length(t) - F.length(tail))
+        return F.concat(head, F.replace(tail, F.lit(old), F.lit(new)))
+
+    return let(
+        in_tail(c, "-->", "<!--", f"<!{_DASHES}"), lambda t: in_tail(t, ">", "<", _OPEN)
+    )
+
+
+def _uncover(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(_DASHES), F.lit("--")), F.lit(_OPEN), F.lit("<"))
+
+
+def without_markup(c: Column) -> Column:
+    """Every piece of markup becomes a blank."""
+
+    def blanked(t: Column) -> Column:
+        return F.regexp_replace(t, MARKUP, " ")
+
+    unclosed = F.contains(F.substring_index(c, ">", -1), F.lit("<")) | F.contains(
+        F.substring_index(c, "-->", -1), F.lit("<!--")
+    )
+    clash = F.contains(c, F.lit(_OPEN)) | F.contains(c, F.lit(_DASHES))
+    return F.when(unclosed & ~clash, _uncover(blanked(_shelter(c)))).otherwise(blanked(c))
+
+
 def html_to_text(c: Column) -> Column:
     """Text nodes joined by a blank; comments, declarations, scripts and styles left out."""
-    return squash_ws(decode_entities(F.regexp_replace(fill_blank(c), MARKUP, " ")))
+    return squash_ws(decode_entities(let(fill_blank(c), without_markup)))

@@ -1,10 +1,12 @@
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.functions.html import FREQUENT, decode_entities, html_to_text
+from mailsift.functions.html import FREQUENT, MARKUP, decode_entities, html_to_text, without_markup
 
 
 class Walker(HTMLParser):
@@ -39,7 +41,7 @@ def test_pages_like_the_standard_parser(spark, scale):
     assert rows and all(walk(r.html) == r.text for r in rows)
 
 
-MARKUP = [
+CASES = [
     "a<!-- x --> b", "a < b > c", "x<a title='>'>y</a>", 'x<a title=">" b>y', "a<!DOCTYPE html>b",
     "a<?php echo 1>2?>b", "<script>var a='</p>';", "a<!-->b-->c", "</3>x", "a<style>p{}</STYLE >b",
     "<sCript x='>'>k</script>z", "<p don't>a 'b' c", "<script-x>k</script-x>", "a <b =x>k",
@@ -51,7 +53,7 @@ MARKUP = [
 
 
 def test_markup_like_the_standard_parser(column_of):
-    assert column_of(html_to_text, MARKUP) == [walk(h) for h in MARKUP]
+    assert column_of(html_to_text, CASES) == [walk(h) for h in CASES]
 
 
 def test_numeric_references_out_of_range(column_of):
@@ -71,3 +73,18 @@ def test_both_ways_of_decoding_agree(column_of):
 
 def test_missing_html_is_empty(column_of):
     assert column_of(html_to_text, [None]) == [""]
+
+
+def test_sheltering_changes_nothing(column_of):
+    rng = random.Random(12)
+    parts = ["<", ">", "<!--", "-->", "--", "<a ", "</b", "<script>", "</script>", "<style x='>'", '="', '"', "'", "x", " ",
+             "<!", "<?", "\ufdd0", "="]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    assert column_of(without_markup, values) == column_of(lambda c: F.regexp_replace(c, MARKUP, " "), values)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!-- ", "<!-- >", "</", "<script ", "<", "&#", "&amp"])
+def test_unclosed_markup_takes_linear_time(column_of, piece):
+    start = time.time()
+    column_of(html_to_text, ["text " + piece * 100000])
+    assert time.time() - start < 20
