@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries that a Python worker keeps in a cache before it starts the cache anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_500_000
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -41,7 +42,7 @@ def map_rows(
     """Run a Python generator over each row, in Arrow batches.
 
     ``make()`` is called once per task and returns a function of the named columns that
-    yields output rows; so caches live as long as a task, and rows leave as they come.
+    yields output rows.
     """
     out = df.select(*columns)
     arrow = pa.schema(_arrow_fields(df.sparkSession, schema))
@@ -75,6 +76,16 @@ def _arrow_fields(spark: SparkSession, schema: str) -> list[pa.Field]:
     return [pa.field(f.name, to_arrow_type(f.dataType)) for f in struct]
 
 
+#: Ids up to this many (8 bytes each) are broadcast to a scan; more are joined by a shuffle.
+MOST_BROADCAST_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose id is among those of a written table."""
+    few = ids.count() <= MOST_BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before."""
 
@@ -88,6 +99,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The hashes of this worker process."""
+    return WordHashes()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

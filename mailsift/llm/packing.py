@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from array import array
@@ -45,7 +46,9 @@ class _Encoded(dict):
 
     def learn(self, parts: list[str]) -> None:
         """Encode the chunks not seen before, all at once."""
-        new = list(set(parts) - self.keys())
+        new = [c for c in set(parts) if c not in self]
+        if not new:
+            return
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = list(set(parts))
@@ -63,6 +66,12 @@ class _Encoded(dict):
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> _Encoded:
+    """One for each worker process, so that later tasks know what earlier ones met."""
+    return _Encoded(path)
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -77,7 +86,7 @@ def cut(
     """
 
     def make():
-        encoded = _Encoded(vocabulary)
+        encoded = encoder(vocabulary)
         end = _bytes([END_ID])
 
         def row(i, value):

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import UPPER, LOWER, WordHashes, id_and_text, map_rows, window_hashes
+from mailsift.llm.common import UPPER, LOWER, id_and_text, map_rows, window_hashes, word_hashes
 from mailsift.sources.scratch import land
 
 SYMBOLS = b"#*$%&|<>"
@@ -51,7 +51,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """Counts of every whole text that the rules vote on; one pass, no shuffle."""
 
     def make():
-        hashes = WordHashes()
+        hashes = word_hashes()
 
         def row(i, value):
             data = (value or "").encode()

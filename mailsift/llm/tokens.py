@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -125,8 +126,12 @@ class _Chunks(dict):
         return count
 
 
+@functools.lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[str], int]:
-    """A function that counts the tokens of a text; special strings are one token each."""
+    """A function that counts the tokens of a text; special strings are one token each.
+
+    One for each worker process, so that later tasks know what earlier ones have counted.
+    """
     ranks, special = read_vocabulary(path)
     by_chunk = _Chunks(ranks)
     marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -152,7 +157,7 @@ def count_tokens(
     ``vocabulary`` is the path of a byte-level BPE file, the same on every machine.
     Merging starts from bytes and always takes the lowest rank, leftmost first, so counts
     equal those of the vocabulary's own library; no identifiers are made. One pass, no
-    shuffle: each task keeps the counts of strings it has seen, up to a bound.
+    shuffle: each worker keeps the counts of strings it has seen, up to a bound.
 
     A null or empty text has 0 bytes and 0 tokens. Texts of any length are counted whole.
     Rows are neither merged nor dropped: repeated rows and null ids come out as they are;

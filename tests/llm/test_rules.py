@@ -76,7 +76,8 @@ def test_junk_goes_and_clean_text_stays(docs_of, prose):
     assert all(out[i] for i, _ in clean) and not any(out[1000 + i] for i in range(40))
 
 
-def test_query_against_labels(spark, sf):
+def test_query_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
     kept = QUERIES["op10_quality_rules"](spark, sf).filter("not base_failed").select("doc_id", "kept")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     shares = labels.join(kept, "doc_id").selectExpr("quality", "int(kept) AS k").groupBy("quality").avg("k")
