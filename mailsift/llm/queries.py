@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import lines, packing, rules, tokens
+from mailsift.llm import decontam, html_density, langid, lines, minhash, packing, quality, rules, tokens, toolcalls
 from mailsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,43 @@ def query(make: Query) -> Query:
     return QUERIES.setdefault(make.__name__, make)
 
 
+@query
+def op1_minhash_dedup(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"), minhash.Scheme(words=4, percent=80))
+
+
+ORACLE["op1_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id,
+        unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 2, 2))]) AS s
+    FROM words WHERE len(w) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+    WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), least AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 @query
 def op2_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,6 +90,187 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op4_benchmark_decontamination(spark, sf):
+    return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+_TOKENS = r"""regexp_extract_all(
+    regexp_replace(coalesce(text, ''), '(^|[.!?:;\n][ \t\n\r"''(]*)(\p{Lu})', '\1' || chr(1) || '\2', 'g'),
+    '\x01?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*')"""
+_SYMBOLS = f"""[
+    CASE WHEN substr(t, 1, 1) BETWEEN '0' AND '9' THEN '#number'
+         WHEN ltrim(lower(t), chr(1)) IN ({_UNITS}) THEN '#unit'
+         WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND length(t) > 1
+              AND substr(t, 2) = lower(substr(t, 2)) THEN '#name'
+         ELSE ltrim(lower(t), chr(1)) END
+    FOR t IN tokens]"""
+ORACLE["op4_benchmark_decontamination"] = f"""
+WITH d AS (
+    SELECT doc_id, tokens, {_SYMBOLS} AS symbols FROM (SELECT doc_id, {_TOKENS} AS tokens FROM documents)
+), b AS (
+    SELECT item_id, tokens, {_SYMBOLS} AS symbols FROM (SELECT item_id, {_TOKENS} AS tokens FROM benchmark)
+    WHERE len(tokens) >= 5
+), dw AS (
+    SELECT doc_id, unnest(range(1, len(symbols) - 3)) AS p,
+           unnest([array_to_string(symbols[i:i + 4], ' ') FOR i IN range(1, len(symbols) - 3)]) AS s FROM d
+), bw AS (
+    SELECT item_id, len(symbols) - 4 AS item_windows, unnest(range(1, len(symbols) - 3)) AS q,
+           unnest([array_to_string(symbols[i:i + 4], ' ') FOR i IN range(1, len(symbols) - 3)]) AS s FROM b
+), hits AS (
+    SELECT doc_id, item_id, item_windows, p, q, p - q AS shift FROM dw JOIN bw USING (s)
+), enough AS (
+    SELECT doc_id, item_id FROM hits GROUP BY ALL
+    HAVING count(DISTINCT q) >= 0.5 * any_value(item_windows)
+), slots AS (
+    SELECT DISTINCT doc_id, item_id, shift, lower(b.tokens[i]) AS ours, lower(d.tokens[i + shift]) AS theirs
+    FROM (SELECT DISTINCT doc_id, item_id, shift, unnest(range(q, q + 5)) AS i
+          FROM hits JOIN enough USING (doc_id, item_id))
+    JOIN b USING (item_id) JOIN d USING (doc_id)
+    WHERE b.symbols[i] LIKE '#%'
+), alignments AS (
+    SELECT doc_id, item_id, shift, bool_or(ours <> theirs) AS reworded
+    FROM slots GROUP BY ALL HAVING count(*) = count(DISTINCT ours)
+), judged AS (
+    SELECT h.*, coalesce(a.reworded, false) AS reworded
+    FROM hits h JOIN enough USING (doc_id, item_id)
+    LEFT JOIN alignments a ON a.doc_id = h.doc_id AND a.item_id = h.item_id AND a.shift = h.shift
+    WHERE a.shift IS NOT NULL
+       OR NOT EXISTS (FROM slots s WHERE s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.shift = h.shift)
+)
+SELECT doc_id, item_id, item_windows, count(DISTINCT q) AS matched, bool_or(reworded) AS reworded
+FROM judged GROUP BY ALL HAVING count(DISTINCT q) >= 0.5 * item_windows
+"""
+
+
+@query
+def op5_quality_classifier(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), quality.trusted_ids(table(spark, sf, "labels")))
+
+
+# Conversations have no tool calls, so each user turn is read as a call whose answer is the
+# next assistant turn. Some arguments are ill-typed, missing or unknown; some calls need
+# the result of the call before or of the one after.
+def _calls(turns: DataFrame) -> DataFrame:
+    length, turn = F.length("text"), F.col("turn")
+
+    def reference(to):
+        return F.concat(F.lit(', "after": "$result:'), "conv_id", F.lit("-"), to, F.lit('"'))
+
+    more = (
+        F.when(turn % 6 == 2, reference(turn - 2))
+        .when(turn % 12 == 4, reference(turn + 2))
+        .when(length % 11 == 0, ', "lang": null')
+        .otherwise("")
+    )
+    arguments = F.concat(
+        F.lit('{"text": "'),
+        F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 40),
+        F.lit('", "limit": '),
+        F.when(length % 7 == 0, '"many"').otherwise(length.cast("string")),
+        more,
+        F.lit("}"),
+    )
+    tool = F.when(turn % 10 == 8, "browse").when(length % 3 == 0, "search").otherwise("translate")
+    return turns.filter("role = 'user'").select(
+        F.col("conv_id").alias("conversation"),
+        "turn",
+        F.concat_ws("-", "conv_id", "turn").alias("call_id"),
+        tool.alias("tool"),
+        arguments.alias("arguments"),
+    )
+
+
+def _results(turns: DataFrame) -> DataFrame:
+    asked = F.concat_ws("-", "conv_id", F.col("turn") - 1)
+    return turns.filter("role = 'assistant'").select(
+        F.col("conv_id").alias("conversation"), asked.alias("call_id"), F.col("text").alias("content")
+    )
+
+
+SCHEMAS = [
+    ("search", "text", "string", True),
+    ("search", "limit", "number", False),
+    ("search", "after", "string", False),
+    ("translate", "text", "string", True),
+    ("translate", "limit", "number", False),
+    ("translate", "after", "number", False),
+    ("translate", "lang", "string", True),
+]
+
+
+@query
+def op6_tool_calls(spark, sf):
+    turns = table(spark, sf, "conversations")
+    schemas = spark.createDataFrame(SCHEMAS, "tool string, parameter string, type string, required boolean")
+    linked = toolcalls.link_tool_calls(_calls(turns), _results(turns), schemas)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
+ORACLE["op6_tool_calls"] = r"""
+WITH made AS (
+    SELECT conv_id, turn, length(text) AS n,
+           substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 40) AS words
+    FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL
+), calls AS (
+    SELECT conv_id AS conversation, turn, conv_id || '-' || turn AS call_id, n,
+           CASE WHEN turn % 10 = 8 THEN 'browse' WHEN n % 3 = 0 THEN 'search' ELSE 'translate' END AS tool,
+           CASE WHEN turn % 6 = 2 THEN turn - 2 WHEN turn % 12 = 4 THEN turn + 2 END AS needs,
+           n % 11 = 0 AND turn % 6 <> 2 AND turn % 12 <> 4 AS has_lang,
+           CASE WHEN n % 7 = 0 THEN '"many"' ELSE n::VARCHAR END AS wanted, words
+    FROM made
+), answers AS (
+    SELECT conv_id AS conversation, conv_id || '-' || (turn - 1) AS call_id,
+           count(DISTINCT text) AS n_results, min(text) AS content
+    FROM conversations WHERE role = 'assistant' GROUP BY ALL
+), linked AS (
+    SELECT c.*, o.turn AS found, coalesce(a.n_results, 0) AS n_results, a.content
+    FROM calls c
+    LEFT JOIN calls o ON o.conversation = c.conversation AND o.turn = c.needs
+    LEFT JOIN answers a ON a.conversation = c.conversation AND a.call_id = c.call_id
+), late AS (
+    SELECT DISTINCT conversation FROM linked WHERE found >= turn
+), levelled AS (
+    SELECT l.*, CASE WHEN l.conversation NOT IN (FROM late) OR l.found IS NULL THEN 0
+                     WHEN o.found IS NULL THEN 1 ELSE 2 END AS level
+    FROM linked l LEFT JOIN linked o ON o.conversation = l.conversation AND o.turn = l.found
+)
+SELECT conversation, call_id, tool,
+       row_number() OVER (PARTITION BY conversation ORDER BY level, turn) - 1 AS position,
+       false AS cyclic, n_results,
+       array_to_string(list_sort(list_filter([
+           CASE WHEN tool = 'translate' AND NOT has_lang THEN 'missing lang' END,
+           CASE WHEN n_results = 0 THEN 'no result' END,
+           CASE WHEN n_results > 1 THEN 'several results' END,
+           CASE WHEN tool = 'translate' AND has_lang THEN 'type of lang' END,
+           CASE WHEN tool <> 'browse' AND n % 7 = 0 THEN 'type of limit' END,
+           CASE WHEN needs IS NOT NULL AND tool = 'browse' THEN 'unknown after' END,
+           CASE WHEN tool <> 'translate' AND has_lang THEN 'unknown lang' END,
+           CASE WHEN tool = 'browse' THEN 'unknown limit' END,
+           CASE WHEN needs IS NOT NULL AND found IS NULL THEN 'unknown reference' END,
+           CASE WHEN tool = 'browse' THEN 'unknown text' END,
+           CASE WHEN tool = 'browse' THEN 'unknown tool' END], lambda x: x IS NOT NULL)), '; ') AS problems,
+       '{"arguments":{'
+           || CASE WHEN needs IS NOT NULL THEN '"after":"$result:' || conversation || '-' || needs || '",' ELSE '' END
+           || CASE WHEN has_lang THEN '"lang":null,' ELSE '' END
+           || '"limit":' || wanted || ',"text":"' || words || '"},"id":"' || call_id || '","name":"' || tool || '"'
+           || CASE WHEN n_results = 1 THEN ',"result":' || to_json(content) ELSE '' END || '}' AS json,
+       problems = '' AS valid
+FROM levelled
+"""
+
+
+@query
+def op7_language_id(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
+
+
+@query
+def op8_html_extraction(spark, sf):
+    return html_density.extract_text(table(spark, sf, "pages"))
+
+
 @query
 def op9_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -1,0 +1,85 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mailsift.llm import langid
+from mailsift.llm.queries import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double"
+WORDS = {
+    "en": "the of and with that this from they house water light think",
+    "de": "der die und nicht ein ist haus wasser licht denken über größe",
+    "nl": "het een van niet zijn huis water licht denken zoals voor groot",
+    "fr": "le des une est dans maison eau lumière penser être où très",
+    "es": "el los una está con casa agua luz pensar señor más año",
+    "ja": "日本 の は を 家 水 光 思う 人 時 大きい 小さい",
+}
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = np.random.default_rng(2)
+    langs = sorted(WORDS)
+    return [
+        (i, " ".join(rnd.choice(WORDS[langs[i % 6]].split(), 30)), langs[i % 6], "s", 0.0) for i in range(240)
+    ]
+
+
+def test_families():
+    assert langid.family_of("de-AT") == langid.family_of("en") == "germanic"
+    assert langid.family_of("fr") == "romance" and langid.family_of("ja") == "ja"
+
+
+def test_held_out_languages(spark, texts, odd_texts):
+    odd = [(1000 + i, t, None, None, None) for i, t in enumerate(odd_texts)]
+    df = spark.createDataFrame([*texts, *odd, (None, "the house", "en", "s", 0.0), *texts[:2]], SCHEMA)
+    rows = langid.identify(df).collect()
+    assert len(rows) == df.count()
+    known = {i: lang for i, _, lang, *_ in texts}
+    by_id = {r.doc_id: r for r in rows}
+    for i, lang in known.items():
+        assert by_id[i].lang_pred == lang
+        assert by_id[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    for i, t in enumerate(odd_texts):
+        letters = any(c.isalpha() for c in t or "")
+        r = by_id[1000 + i]
+        assert (r.lang_pred in WORDS) if letters else (r.lang_pred, r.score) == ("und", 0.0)
+    assert all(0 <= r.score <= 1 for r in rows) and by_id[None].held_out is False
+
+
+def test_held_out_rows_are_not_learned_from(spark, texts):
+    """A language that only held-out documents have is never predicted."""
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in texts]
+    rows = [(i, t, "xx" if h else lang, s, n) for h, (i, t, lang, s, n) in zip(held, texts)]
+    got = langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert "xx" not in {r.lang_pred for r in got}
+
+
+def test_little_to_learn_from(spark):
+    none = spark.createDataFrame([(1, "text", None, "s", 0.0)], SCHEMA)
+    assert [(r.lang_pred, r.score) for r in langid.identify(none).collect()] == [("und", 0.0)]
+    one = spark.createDataFrame([(i, f"text {i}", "en", "s", 0.0) for i in range(10)], SCHEMA)
+    assert {(r.lang_pred, r.score) for r in langid.identify(one).collect()} == {("en", 1.0)}
+    assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sample_is_bounded(spark, texts):
+    df = spark.createDataFrame(texts, SCHEMA).withColumnRenamed("doc_id", "id")
+    counts = langid.labelled_sample(df, 7).groupBy("lang").count().collect()
+    assert [r["count"] for r in counts] == [7] * 6
+
+
+def test_features_of_blocks(monkeypatch, prose):
+    text = prose(1, 300) + "é"
+    whole = langid.features(text)
+    monkeypatch.setattr(langid, "_BLOCK", 100)
+    assert np.array_equal(langid.features(text), whole) and abs((whole**2).sum() - 1) < 1e-9
+
+
+def test_accuracy_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    found = QUERIES["op7_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    right = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.97

@@ -1,0 +1,79 @@
+import pytest
+import test_lines
+import test_minhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline as pipeline
+from mailsift.llm import packing, quality
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Input and output of every stage, the extra columns included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("id", F.lit(1)).withColumn("kept", F.lit("x"))
+    extra = spark.createDataFrame([(None, None, None, None, None, 1, "x"), (9_999, "", "en", "s", 0, 1, "x")], docs.schema)
+    docs, found = docs.union(extra), {}
+    for name, stage in pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        found[name] = docs, out
+        docs = out
+    return found
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.select("doc_id").collect()), key=repr)
+
+
+def test_order():
+    assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_columns_stay(stages):
+    for name, (docs, out) in list(stages.items())[:-1]:
+        assert out.dtypes == docs.dtypes, name
+
+
+def test_quality(spark, stages):
+    docs, out = stages["quality_classifier"]
+    judged = quality.classify(docs, quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    rejected = {r.doc_id for r in judged if not r.kept}
+    assert rejected and ids(out) == [i for i in ids(docs) if i not in rejected]
+
+
+def test_lines(stages):
+    docs, out = stages["line_dedup"]
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = [(i, text) for i, text, *_ in test_lines.brute(pairs)]
+    rows = out.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(expected, key=repr)
+    assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+
+
+def test_near_duplicates(stages):
+    docs, out = stages["near_dedup"]
+    pairs = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    kept = [i for i, _, _, k in test_minhash.brute(pairs, 5, 80) if k]
+    assert ids(out) == sorted([*kept, None], key=repr)
+
+
+def test_decontamination(spark, stages):
+    docs, out = stages["decontamination"]
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    holds = {r.doc_id for r in docs.collect() if any(b.text in (r.text or "") for b in benchmark if len(b.text) > 60)}
+    left = ids(out)
+    assert holds and not holds & set(left) and len(left) < len(ids(docs))
+
+
+def test_packing(stages):
+    docs, out = stages["packing"]
+    assert sorted({r.doc_id for r in out.collect()}, key=repr) == sorted(set(ids(docs)), key=repr)
+    assert set(packing._PLACED) == set(out.columns)
+
+
+def test_run(spark, stages):
+    rows = pipeline.run(spark, SF).collect()
+    assert rows and {r.doc_id for r in rows} == {r.doc_id for r in stages["packing"][1].collect()} - {None, 9_999}
