@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +46,7 @@ def symbol_of(token: Column) -> Column:
     """
     low = F.lower(token)
     first, rest = F.substring(token, 1, 1), F.substring(token, 2, 1)
-    plain = F.ltrim(F.lit(_STARTED), low)
+    plain = F.ltrim(low, F.lit(_STARTED))
     return (
         F.when(first.between("0", "9"), NUMBER)
         .when(plain.isin(UNITS), UNIT)
@@ -68,33 +66,26 @@ def templates(df: DataFrame, key: str, text: str) -> DataFrame:
     return taken.select("id", "tokens", _once(F.transform("tokens", symbol_of).alias("symbols")))
 
 
-def window_hashes(symbols: Column, widths: Iterable[int]) -> Column:
-    """``place, hash`` of every run of symbols of the given widths, as an array."""
-    runs = []
-    for width in widths:
-        # An empty text has no run, and a sequence must not count down.
-        last = F.size(symbols) - width
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def window_hashes(symbols: Column, width: int = WINDOW) -> Column:
+    """``place, hash`` of every run of so many symbols, as an array."""
+    last = F.size(symbols) - width
+    # A shorter text has no run, and a sequence must not count down.
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-        def run(i: Column, width: int = width) -> Column:
-            parts = [F.get(symbols, i + k) for k in range(width)]
-            return F.struct(i.alias("place"), F.xxhash64(F.lit(width), *parts).alias("hash"))
+    def run(i: Column) -> Column:
+        return F.struct(i.alias("place"), F.xxhash64(*[F.get(symbols, i + k) for k in range(width)]).alias("hash"))
 
-        runs.append(F.transform(at, run))
-    return F.concat(*runs) if len(runs) > 1 else runs[0]
+    return F.transform(at, run)
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item_id, item_place, hash, item_windows`` of every item that is long enough.
-
-    An item with fewer tokens than a window is one window as a whole.
-    """
+    """``item_id, item_place, hash, item_windows`` of every item that is long enough."""
     shaped = templates(items, key, text).filter(F.size("symbols") >= LEAST_TOKENS)
     per_item = shaped.groupBy("id").agg(F.max_by("symbols", F.size("symbols")).alias("symbols"))
     windows = per_item.select(
         F.col("id").alias("item_id"),
         (F.size("symbols") - WINDOW + 1).cast("long").alias("item_windows"),
-        _once(window_hashes(F.col("symbols"), [WINDOW]).alias("w")),
+        _once(window_hashes(F.col("symbols")).alias("w")),
     )
     return windows.select("item_id", "item_windows", F.inline("w").alias("item_place", "hash"))
 
@@ -133,7 +124,7 @@ def find_leaks(
     items = items.filter(F.col(item_key).isNotNull())
     windows = land(benchmark_windows(items, item_key, item_text), "benchmark_windows")
     few = windows.count() <= MOST_BROADCAST_WINDOWS
-    shaped = templates(docs, key, text).select("id", _once(window_hashes(F.col("symbols"), [WINDOW]).alias("w")))
+    shaped = templates(docs, key, text).select("id", _once(window_hashes(F.col("symbols")).alias("w")))
     found = shaped.select(F.col("id").alias("doc_id"), F.inline("w").alias("place", "hash"))
     hits = (
         found.join(F.broadcast(windows) if few else windows, "hash")
