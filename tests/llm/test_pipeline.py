@@ -1,6 +1,6 @@
 import pytest
-import test_lines
-import test_minhash
+import test_lines as by_lines
+import test_minhash as by_pairs
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -47,7 +47,7 @@ def test_quality(spark, stages):
 def test_lines(stages):
     docs, out = stages["line_dedup"]
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
-    expected = [(i, text) for i, text, *_ in test_lines.brute(pairs)]
+    expected = [(i, text) for i, text, *_ in by_lines.brute(pairs)]
     rows = out.collect()
     assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(expected, key=repr)
     assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
@@ -56,7 +56,7 @@ def test_lines(stages):
 def test_near_duplicates(stages):
     docs, out = stages["near_dedup"]
     pairs = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
-    kept = [i for i, _, _, k in test_minhash.brute(pairs, 5, 80) if k]
+    kept = [i for i, _, _, k in by_pairs.brute(pairs, 5, 80) if k]
     assert ids(out) == sorted([*kept, None], key=repr)
 
 
