@@ -103,6 +103,13 @@ def scan_raw_csv(spark, sf):
     return readers.read_raw_csv(spark, path)
 
 
+@query
+def scan_raw_json(spark, sf):
+    path = scratch_path(spark, "raw_json")
+    raw_mail(spark, sf).select("message").write.json(path)
+    return readers.read_raw_json(spark, path)
+
+
 @query
 def scan_mbox(spark, sf):
     path = scratch_path(spark, "mbox")
@@ -117,10 +124,14 @@ def scan_mbox(spark, sf):
 
 @query
 def scan_tagged(spark, sf):
+    """Files of one folder whose columns stand in different orders."""
     clean_path, poisoned_path = (scratch_path(spark, n) for n in ("tagged3", "tagged4"))
     mails = fx.mail(spark, sf)
-    sinks.write_csv(mails.filter(K() % 2 == 0).select("subject", "body"), clean_path, quote_all=True)
-    sinks.write_csv(mails.filter(K() % 2 == 1).select("subject", "body"), poisoned_path, quote_all=True)
+    for path, rest in ((clean_path, 0), (poisoned_path, 1)):
+        own = mails.filter(K() % 2 == rest)
+        sinks.write_csv(own.filter(K() % 3 == 0).select("subject", "body"), f"{path}/a", quote_all=True)
+        sinks.write_csv(own.filter(K() % 3 != 0).select("body", "key", "subject"), f"{path}/b", quote_all=True)
+    clean_path, poisoned_path = f"{clean_path}/*", f"{poisoned_path}/*"
     tagged = readers.read_tagged(spark, {clean_path: (1, 3), poisoned_path: (1, 4)})
     return tagged.select(
         text.fill_blank(S()).alias("subject"), text.fill_blank(B()).alias("body"), "label", "dataset"
@@ -136,12 +147,14 @@ def scan_clean(spark, sf):
 
 @query
 def scan_split(spark, sf):
+    """Files with and without a byte-order mark, in two orders of columns."""
     path = scratch_path(spark, "split")
-    marked = clean.to_contract(fx.labelled_mail(spark, sf)).withColumnRenamed(
-        "subject", readers.BOM + "subject"
-    )
-    sinks.write_csv(marked, path)
-    return readers.read_split(spark, path, "test")
+    mails = fx.labelled_mail(spark, sf)
+    for name, rest, columns in (("a", 0, clean.CONTRACT), ("b", 1, clean.CONTRACT[::-1]), ("c", 2, clean.CONTRACT)):
+        own = clean.to_contract(mails.filter(K() % 3 == rest)).select(*columns)
+        marked = own.withColumnRenamed(columns[0], readers.BOM + columns[0]) if rest < 2 else own
+        sinks.write_csv(marked, f"{path}/{name}")
+    return readers.read_split(spark, f"{path}/*", "test")
 
 
 @query
@@ -409,7 +422,7 @@ def build_dataset(spark, sf):
 
 @query
 def training_rows(spark, sf):
-    rows = training.training_rows(labelled(spark, sf), cap=150, max_chars=1000)
+    rows = training.training_rows(labelled(spark, sf))
     return rows.select("key", "prompt", "full")
 
 
@@ -448,7 +461,7 @@ def fill_template(spark, sf):
 
 @query
 def chat_messages(spark, sf):
-    rows = prompts.add_messages(fx.labelled_mail(spark, sf), max_chars=2000)
+    rows = prompts.add_messages(fx.labelled_mail(spark, sf))
     turn = F.explode("messages").alias("m")
     return rows.select("key", turn).select("key", "m.role", "m.content")
 
@@ -473,7 +486,12 @@ def render_chat_tools(spark, sf):
     turns = fx.table(spark, sf, "conversations")
     role = F.when((F.col("turn") + F.col("conv_id")) % 3 == 2, "tool").otherwise(F.col("role"))
     role = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") > 1), "tool").otherwise(role)
-    return prompts.render_turns(turns.withColumn("role", role), tools=TOOLS)
+    look_up = F.struct(F.lit("look_up").alias("name"), F.concat(F.lit('{"turn": '), "turn", F.lit("}")).alias("arguments"))
+    # None, one or two calls in a turn, with words before them or without.
+    calls = F.array_repeat(look_up, (F.col("conv_id") % 3).cast("int"))
+    words = F.when((F.col("conv_id") + F.col("turn")) % 4 == 1, "").otherwise(F.col("text"))
+    made = turns.withColumns({"role": role, "calls": calls, "text": words})
+    return prompts.render_turns(made, tools=TOOLS, tool_calls="calls")
 
 
 @query
@@ -596,6 +614,13 @@ def log_loss_batched(spark, sf):
     return capped.select(F.round("loss", 6).alias("loss"))
 
 
+@query
+def log_loss_all_batches(spark, sf):
+    rows = assemble.with_index(labelled(spark, sf)).withColumn("p_phishing", p_of(K()))
+    every = classify.log_loss(rows, index="index", batch_size=16)
+    return every.select(F.round("loss", 6).alias("loss"))
+
+
 @query
 def best_candidate(spark, sf):
     epochs = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("epoch")

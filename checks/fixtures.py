@@ -10,24 +10,9 @@ from mailsift.operators.clean import GENERATED, Profile, clean_text, keep_valid
 from mailsift.operators.dedup import dedup_exact
 
 
-# A single file between these sizes may be one row group, which one task would read alone.
-SPREAD_BYTES = range(2 << 20, 1 << 30)
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table, dealt out to all cores when it is one small file.
-
-    A large table is many files and row groups already; it is read as it lies, without
-    this shuffle.
-    """
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    files = df.inputFiles()
-    if len(files) != 1:
-        return df
-    size = spark.read.format("binaryFile").load(files[0]).select("length").first()[0]
-    if size not in SPREAD_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
+    """A given table as it lies."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def before_newline(c: Column) -> Column:

@@ -42,7 +42,7 @@ def seeded(x: str = "key") -> str:
     return f"md5('42|' || {x})"
 
 
-_TAG = r"""(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]))*(?:=\s*)?>"""
+_TAG = r"""(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>])?)*>"""
 _MARKUP = "(?is)<(?:" + "|".join(
     [
         r"!--.*?-->",
@@ -214,6 +214,9 @@ def turns_sql(source: str, cue: str, tools: list[dict] = ()) -> str:
     || CASE WHEN role = 'system' THEN text ELSE {lit(chat.DEFAULT_SYSTEM)} END
     || {lit(listed + chat.TURN_END)} ELSE '' END
   || CASE WHEN role = 'system' AND before IS NULL THEN ''
+    WHEN role = 'assistant' AND calls <> ''
+      THEN '<|im_start|>assistant' || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END
+        || calls || '<|im_end|>' || chr(10)
     WHEN role IN ('system', 'user', 'assistant')
       THEN '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)
     WHEN role = 'tool' THEN CASE WHEN before = 'tool' THEN '' ELSE '<|im_start|>user' END
@@ -275,8 +278,10 @@ def bands_sql() -> str:
     return "SELECT *, CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'within' END AS verdict FROM (" + " UNION ALL ".join(rows) + ")"
 
 
-CONV = "SELECT * FROM conversations"
-CONV_TOOLS = """SELECT conv_id, turn, text, CASE WHEN conv_id % 5 = 0 AND turn > 1 THEN 'tool'
+CONV = "SELECT *, '' AS calls FROM conversations"
+CONV_TOOLS = """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 1 THEN '' ELSE text END AS text,
+  repeat(chr(10) || '<tool_call>' || chr(10) || '{"name": "look_up", "arguments": {"turn": ' || turn || '}}'
+    || chr(10) || '</tool_call>', CAST(conv_id % 3 AS INTEGER)) AS calls, CASE WHEN conv_id % 5 = 0 AND turn > 1 THEN 'tool'
   WHEN (turn + conv_id) % 3 = 2 THEN 'tool' ELSE role END AS role FROM conversations"""
 
 COUNTED = f"counted AS (SELECT {VALIDITY}, {COUNTS} FROM answered)"
@@ -311,6 +316,7 @@ _RUN = """SELECT '{name}' AS "Model", {validity}, {counts}
 
 ORACLE: dict[str, str] = {
     "scan_raw_csv": using(MAIL, RAW, select="SELECT message FROM raw"),
+    "scan_raw_json": using(MAIL, RAW, select="SELECT message FROM raw"),
     "scan_mbox": using(
         MAIL,
         select=r"""SELECT key, ltrim(subject, ' ' || chr(9)) AS subject,
@@ -429,8 +435,7 @@ ORACLE: dict[str, str] = {
     ),
     "training_rows": using(
         *_LABELLED,
-        f"""drawn AS (SELECT *, {compact_sql('t', 1000)} AS text FROM (SELECT *, {mail_text_sql()} AS t
-          FROM labelled ORDER BY {seeded()}, key LIMIT 150)),
+        f"""drawn AS (SELECT *, {mail_text_sql()} AS text FROM labelled),
         asked AS (SELECT key, label, '<|im_start|>system' || chr(10) || {lit(chat.TRAIN_SYSTEM)}
           || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
           || '<|im_start|>assistant' || chr(10) AS prompt FROM drawn)""",
@@ -456,7 +461,7 @@ ORACLE: dict[str, str] = {
     "chat_messages": using(
         *_LABELLED,
         select=f"""SELECT key, 'system' AS role, {lit(chat.TRAIN_SYSTEM)} AS content FROM labelled
-          UNION ALL SELECT key, 'user', {compact_sql('t', 2000)} FROM (SELECT key, {mail_text_sql()} AS t FROM labelled)
+          UNION ALL SELECT key, 'user', {mail_text_sql()} FROM labelled
           UNION ALL SELECT key, 'assistant', {WORD} FROM labelled""",
     ),
     "render_chat": turns_sql(CONV, f"{chat.TURN_START}assistant\n"),
@@ -515,6 +520,13 @@ ORACLE: dict[str, str] = {
             (row_number() OVER (ORDER BY {seeded()}, key) - 1) // 16 AS batch FROM labelled)
           WHERE batch < 10 GROUP BY batch)""",
     ),
+    "log_loss_all_batches": using(
+        *_LABELLED,
+        select=f"""SELECT round(avg(loss), 6) AS loss FROM (SELECT avg({LOSS}) AS loss
+          FROM (SELECT *, {p_sql()} AS p,
+            (row_number() OVER (ORDER BY {seeded()}, key) - 1) // 16 AS batch FROM labelled)
+          GROUP BY batch)""",
+    ),
     "best_candidate": using(
         *_LABELLED,
         select=f"""SELECT epoch, round(loss, 6) AS loss FROM (SELECT epoch, avg({LOSS}) AS loss

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.text import fill_blank, let, squash_ws
 
-# The inside of a tag up to its `>`: a quoted attribute value may itself hold `>`.
-# Possessive, so long attributes (embedded images) neither backtrack nor recurse.
-_TAG_END = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]))*+(?:=\s*+)?>"""
+# The inside of a tag up to its `>`: a quoted attribute value may itself hold `>`, a quote
+# that nothing closes is a plain character. Possessive, so long attributes (embedded
+# images) neither backtrack nor recurse; and since any tag ends at some later `>`, no text
+# is gone through again for the next one.
+_TAG_END = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>])?)*+>"""
 
 # Everything that is not text, found in one left-to-right pass, so that a tag inside
 # a comment or a script is never taken for markup of its own.
@@ -20,6 +22,8 @@ MARKUP = "(?is)<(?:%s)" % "|".join(
         r"!--.*?-->",
         rf"script(?:[\s/]{_TAG_END}|>).*?(?:</script\s*+>|\z)",
         rf"style(?:[\s/]{_TAG_END}|>).*?(?:</style\s*+>|\z)",
+        rf"template(?:[\s/]{_TAG_END}|>).*?(?:</template\s*+>|\z)",
+        rf"r[tp](?:[\s/]{_TAG_END}|>)[^<]*+",
         rf"/?[a-z]{_TAG_END}",
         r"[!?][^>]*+>",
         r"/[^a-z>][^>]*+>",
@@ -165,5 +169,7 @@ def without_markup(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Text nodes joined by a blank; comments, declarations, scripts and styles left out."""
+    """Text nodes joined by a blank; without comments, declarations, scripts, styles,
+    templates, and the reading aids of ruby text (what directly follows ``<rt>``, ``<rp>``).
+    """
     return squash_ws(decode_entities(let(fill_blank(c), without_markup)))

@@ -14,7 +14,7 @@ from mailsift.functions.text import let
 _SUBJECT = r"(?imd)^Subject:[ \t]*([^\n]*(?:\n[ \t][^\n]*+)*+)"
 _HEADER_BLOCK = r"\A(?:[!-9;-~]++:[^\n]*+(?:\n[ \t][^\n]*+)*+(?:\n|\z))*+\z"
 _HAS_SUBJECT = r"(?imd)^Subject:"
-_NESTED = r"(?imd)^Content-Type:[^/]*(?:multipart|message)/"
+_NESTED = r"(?imd)^Content-Type:[ \t]*+(?:\n[ \t]++)*+(?:multipart|message)/"
 _ENCODED = r"(?imd)^Content-Transfer-Encoding:\s*(?:base64|quoted-printable|(?:x-)?uue)"
 
 

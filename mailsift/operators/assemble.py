@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.hashing import seed_hash
-from mailsift.operators.ordering import class_totals, rank_cutoffs, up_to, with_position
+from mailsift.operators.ordering import checked, class_totals, cutoffs, rank_cutoffs, up_to, with_position
+from mailsift.sources.scratch import land
 
 SEED = 42
 
@@ -32,7 +32,8 @@ def balance(
     Reads label and key to find the cutoff; the mails themselves are only filtered, never
     shuffled. Hand in a landed table (``land``) when ``df`` is expensive to compute.
     """
-    totals = class_totals(df, label)
+    both = df.filter(_is_class(label, keep) | _is_class(label, draw))
+    totals = {row.g: row.n for row in class_totals(both, label).collect()}
     size, available = totals.get(keep, 0), totals.get(draw, 0)
     if available < size:
         raise ValueError(f"cannot draw {size} rows of class {draw!r} from {available}")
@@ -64,24 +65,29 @@ def split_sizes_for(n: int, holdout: Fraction, test_share: Fraction) -> dict[str
     return {"train": n - held, "valid": held - test, "test": test}
 
 
-def proportional(total: int, sizes: Mapping) -> dict:
-    """Divide a total in proportion to sizes: largest remainder, ties to the class listed first."""
-    whole = sum(sizes.values())
-    exact = {value: Fraction(total * n, whole) for value, n in sizes.items()}
-    quota = {value: int(x) for value, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda value: quota[value] - exact[value])
-    for value in by_remainder[: total - sum(quota.values())]:
-        quota[value] += 1
-    return quota
+def proportional(sizes: DataFrame, total: int, whole: int, of: str, name: str) -> DataFrame:
+    """Add ``name``: a total divided in proportion to column ``of``, which adds up to ``whole``.
+
+    Largest remainder; ties go to the smaller class, a missing class first. One small row
+    per class is ordered, never the classes' rows.
+    """
+    exact = F.col(of).cast("decimal(38,0)") * F.lit(total).cast("decimal(18,0)")
+    shares = sizes.withColumn("__exact", exact)
+    shares = shares.withColumn("__rest", F.expr(f"__exact % {max(whole, 1)}"))
+    shares = land(shares.withColumn(name, F.expr(f"__exact div {max(whole, 1)}")).drop("__exact"), "shares")
+    left = total - (shares.agg(F.sum(name)).first()[0] or 0)
+    order = Window.orderBy(F.desc("__rest"), F.asc_nulls_first("g"))
+    more = (F.row_number().over(order) <= left).cast("long")
+    return shares.withColumn(name, F.col(name) + more).drop("__rest")
 
 
-def split_quotas(totals: Mapping, holdout: Fraction, test_share: Fraction) -> dict:
-    """Rows per class that go to train and to valid; the rest is test."""
-    sizes = split_sizes_for(sum(totals.values()), holdout, test_share)
-    train = proportional(sizes["train"], totals)
-    held = {value: n - train[value] for value, n in totals.items()}
-    valid = proportional(sizes["valid"], held) if sum(held.values()) else dict.fromkeys(totals, 0)
-    return {value: (train[value], valid[value]) for value in totals}
+def split_quotas(totals: DataFrame, holdout: Fraction, test_share: Fraction) -> DataFrame:
+    """``g, n, train, valid``: rows per class that go to train and to valid; the rest is test."""
+    totals = land(totals, "totals")
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    sizes = split_sizes_for(n, holdout, test_share)
+    held = proportional(totals, sizes["train"], n, "n", "train").withColumn("held", F.col("n") - F.col("train"))
+    return proportional(held, sizes["valid"], n - sizes["train"], "held", "valid").drop("held")
 
 
 def stratified_split(
@@ -95,26 +101,36 @@ def stratified_split(
     """Add ``split``: exact train / valid / test sizes, every class in proportion.
 
     Per class, the first rows in seeded hash order are train, the next valid, the rest
-    test. As in ``balance``, only label and key are read to place the cuts, and the table
-    itself passes through one map-only projection.
+    test. As in ``balance``, only label and key are read to place the cuts. There may be
+    any number of classes: quotas and cuts are tables with a row per class, and rows meet
+    the cuts of their class by a join, which shuffles nothing while that table is small.
     """
     totals = class_totals(df, label)
-    quotas = split_quotas(totals, Fraction(holdout), Fraction(test_share))
-    ranks = {}
-    for value, (train, valid) in quotas.items():
-        ranks[value] = [r for r in (train, train + valid) if 0 < r < totals[value]]
-    cutoffs = rank_cutoffs(df, ranks, label, key, seed)
+    quotas = land(split_quotas(totals, Fraction(holdout), Fraction(test_share)), "quotas").select(
+        F.col("g").alias("__g"), F.col("n").alias("__n"), F.col("train").alias("__a"),
+        (F.col("train") + F.col("valid")).alias("__b"),
+    )
+    ends = quotas.select("__n", F.col("__g").alias("g"), F.explode(F.array("__a", "__b")).alias("rank"))
+    cuts = checked(cutoffs(df, ends.filter("rank > 0 AND rank < __n"), label, key, seed), key)
+
+    def cut_at(end: str) -> Column:
+        return F.min(F.when(F.col("rank") == F.col(end), F.struct("h", "k"))).alias(f"{end}_cut")
+
+    of_class = land(
+        quotas.join(cuts, F.col("__g").eqNullSafe(F.col("g")), "left")
+        .groupBy("__g", "__n", "__a", "__b")
+        .agg(cut_at("__a"), cut_at("__b")),
+        "cuts_of_classes",
+    )
+    place = F.struct(seed_hash(seed, key).alias("h"), F.col(key).alias("k"))
 
-    def within(value, rank: int) -> Column:
-        if rank <= 0 or rank >= totals[value]:
-            return F.lit(rank > 0)
-        return up_to(cutoffs[(value, rank)], F.col("__hash"), key)
+    def within(end: str) -> Column:
+        first = F.when(F.col(end) >= F.col("__n"), True).otherwise(place <= F.col(f"{end}_cut"))
+        return (F.col(end) > 0) & first
 
-    split = F.lit(None).cast("string")
-    for value, (train, valid) in quotas.items():
-        part = F.when(within(value, train), "train").when(within(value, train + valid), "valid")
-        split = F.when(_is_class(label, value), part.otherwise("test")).otherwise(split)
-    return df.withColumn("__hash", seed_hash(seed, key)).withColumn("split", split).drop("__hash")
+    split = F.when(within("__a"), "train").when(within("__b"), "valid").otherwise("test")
+    joined = df.join(of_class, F.col(label).eqNullSafe(F.col("__g")))
+    return joined.withColumn("split", split).drop(*of_class.columns)
 
 
 def class_counts(df: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
@@ -147,5 +163,29 @@ def sample_at_most(
 
 
 def head_n(df: DataFrame, n: int | None, *order: str) -> DataFrame:
-    """The first ``n`` rows by ``order``; none or 0 means all. Planned as a top-k."""
-    return df.orderBy(*(order or ("key",))).limit(n) if n else df
+    """The first ``n`` rows by ``order``; none or 0 means all.
+
+    The place of the last one is found on the order columns alone, dealt out by range; the
+    rows are then filtered by it, so ``n`` may be large. Of rows that tie for the last
+    places any are taken.
+    """
+    if not n:
+        return df
+    order = order or ("key",)
+    at = F.struct(*order)
+    ranges = df.select(at.alias("at")).repartitionByRange("at").withColumn("part", F.spark_partition_id())
+    ranges = land(ranges, "ranges")
+    before = 0
+    for part, rows in sorted(ranges.groupBy("part").count().collect()):
+        if before + rows >= n:
+            break
+        before += rows
+    else:
+        return df.orderBy(*order)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    own = ranges.filter(F.col("part") == part).withColumn("place", place)
+    last = own.filter(F.col("place") == n - before).select(F.col("at").alias("__last"))
+    marked = df.join(F.broadcast(last), at <= F.col("__last"))
+    upto = ranges.join(F.broadcast(last), F.col("at") < F.col("__last")).count()
+    tied = marked.filter(at == F.col("__last")).limit(n - upto)
+    return marked.filter(at < F.col("__last")).union(tied).drop("__last").orderBy(*order)

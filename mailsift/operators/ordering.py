@@ -15,89 +15,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsift.functions.hashing import hash_bucket, seed_hash
+from mailsift.sources.scratch import land
 
-MAX_CLASSES = 10_000
 
+def class_totals(df: DataFrame, label: str) -> DataFrame:
+    """``g, n``: rows per class."""
+    return df.groupBy(F.col(label).alias("g")).agg(F.count("*").alias("n"))
 
-def class_totals(df: DataFrame, label: str) -> dict:
-    """Rows per class, smallest class value first. Classes are few by contract."""
-    rows = df.groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values; it is not a class")
-    return dict(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0])))
 
+def cutoffs(df: DataFrame, ranks: DataFrame, label: str | None, key: str, seed: int) -> DataFrame:
+    """``g, rank, h, k, tied``: hash and key at each wanted rank of each class, in seeded order.
 
-def _small_table(spark: SparkSession, rows: list[tuple], **types: T.DataType) -> DataFrame:
-    """A driver-side table of a few rows, planned as a local relation."""
-    schema = T.StructType([T.StructField(name, kind) for name, kind in types.items()])
-    return spark.createDataFrame(
-        pa.Table.from_arrays([pa.array(column) for column in zip(*rows)], names=list(types)), schema
-    )
-
-
-def rank_cutoffs(
-    df: DataFrame, ranks: Mapping, label: str | None, key: str, seed: int
-) -> dict[tuple, tuple[str, object]]:
-    """The ``(hash, key)`` at each wanted rank of each class, in seeded hash order.
-
-    ``ranks`` maps a class value to the ranks wanted (from 1 to the class size). Reads
-    only label and key: one pass counts 65,536 hash buckets per class and finds the
-    bucket of each rank, a second ranks the rows of just those buckets. ``key`` must be
-    unique, or a cut could fall between equal rows; that is checked.
+    ``ranks`` has a row ``g, rank`` for each rank wanted (from 1 to the class size; ``g`` is
+    null for the only class where there is no ``label``). Reads only label and key: one pass
+    counts 65,536 hash buckets per class and finds the bucket of each rank, a second ranks
+    the rows of just those buckets. No class is sorted as a whole.
     """
-    wanted = [(value, r) for value, group in ranks.items() for r in sorted(set(group))]
-    if not wanted:
-        return {}
-    spark = df.sparkSession
     group = F.col(label) if label else F.lit(None).cast("string")
     rows = df.select(group.alias("g"), F.col(key).alias("k"), seed_hash(seed, key).alias("h"))
     rows = rows.withColumn("bucket", hash_bucket(F.col("h")))
-
-    kind = rows.schema["g"].dataType
-    targets = _small_table(spark, wanted, g=kind, rank=T.LongType())
     running = Window.partitionBy("g").orderBy("bucket")
     counts = (
         rows.groupBy("g", "bucket")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(running))
     )
-    here = (
-        counts["g"].eqNullSafe(targets["g"])
-        & (targets["rank"] > counts["upto"] - counts["n"])
-        & (targets["rank"] <= counts["upto"])
-    )
-    cuts = (
-        counts.join(F.broadcast(targets), here)
-        .select(targets["g"], "bucket", "rank", (F.col("rank") - F.col("upto") + F.col("n")).alias("local"))
-        .collect()
+    wanted = ranks.select(F.col("g").alias("cg"), "rank").distinct()
+    within = (
+        F.col("g").eqNullSafe(F.col("cg"))
+        & (F.col("rank") > F.col("upto") - F.col("n"))
+        & (F.col("rank") <= F.col("upto"))
     )
+    local = (F.col("rank") - F.col("upto") + F.col("n")).alias("local")
+    cuts = land(counts.join(wanted, within).select("cg", F.col("bucket").alias("cbucket"), "rank", local), "cuts")
 
-    # As many rows as cuts were asked for, so the table below is as small as `ranks`.
-    cut_table = _small_table(
-        spark, cuts, cg=kind, cbucket=T.StringType(), rank=T.LongType(), local=T.LongType()
-    )
     in_bucket = Window.partitionBy("g", "bucket").orderBy("h", "k")
     next_key = F.lead(F.struct("h", "k")).over(in_bucket)
-    hit_buckets = cut_table.select("cg", "cbucket").distinct()
+    here = F.col("g").eqNullSafe(F.col("cg")) & (F.col("bucket") == F.col("cbucket"))
     ranked = (
-        rows.join(
-            F.broadcast(hit_buckets),
-            F.col("g").eqNullSafe(F.col("cg")) & (F.col("bucket") == F.col("cbucket")),
-            "left_semi",
-        )
-        .withColumn("local", F.row_number().over(in_bucket))
+        rows.join(cuts.select("cg", "cbucket").distinct(), here, "left_semi")
+        .withColumn("place", F.row_number().over(in_bucket))
         .withColumn("tied", F.coalesce(next_key == F.struct("h", "k"), F.lit(False)))
     )
-    found = ranked.alias("r").join(
-        F.broadcast(cut_table.alias("c")),
-        F.expr("r.g <=> c.cg AND r.bucket = c.cbucket AND r.local = c.local"),
+    found = ranked.join(cuts, here & (F.col("place") == F.col("local")))
+    return found.select("g", "rank", "h", "k", "tied")
+
+
+def rank_cutoffs(
+    df: DataFrame, ranks: Mapping, label: str | None, key: str, seed: int
+) -> dict[tuple, tuple[str, object]]:
+    """``cutoffs`` for the few ranks a caller names, by ``(class, rank)``.
+
+    ``key`` must be unique, or a cut could fall between equal rows; that is checked.
+    """
+    wanted = [(value, r) for value, group in ranks.items() for r in sorted(set(group))]
+    if not wanted:
+        return {}
+    kind = df.schema[label].dataType if label else T.StringType()
+    table = _small_table(df.sparkSession, wanted, g=kind, rank=T.LongType())
+    found = cutoffs(df, table, label, key, seed).collect()
+    if any(row.tied for row in found):
+        raise ValueError(_TIED.format(key))
+    return {(row.g, row.rank): (row.h, row.k) for row in found}
+
+
+_TIED = "'{}' is not unique, so rows cannot be drawn by it"
+
+
+def checked(found: DataFrame, key: str) -> DataFrame:
+    """Written cutoffs, once none of them falls between equal rows."""
+    found = land(found, "cutoffs")
+    if not found.filter("tied").isEmpty():
+        raise ValueError(_TIED.format(key))
+    return found.drop("tied")
+
+
+def _small_table(spark: SparkSession, rows: list[tuple], **types: T.DataType) -> DataFrame:
+    """A driver-side table of a few rows, planned as a local relation."""
+    schema = T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+    return spark.createDataFrame(
+        pa.Table.from_arrays([pa.array(column) for column in zip(*rows)], names=list(types)), schema
     )
-    result = {}
-    for row in found.select("r.g", "c.rank", "r.h", "r.k", "r.tied").collect():
-        if row["tied"]:
-            raise ValueError(f"{key!r} is not unique, so rows cannot be drawn by it")
-        result[(row["g"], row["rank"])] = (row["h"], row["k"])
-    return result
 
 
 def up_to(cutoff: tuple[str, object], hashed: Column, key: str) -> Column:
@@ -158,14 +156,17 @@ def with_neighbours(
     )
     before = F.coalesce(F.col("__prev"), F.col(f"{edge}.before"))
     after = F.coalesce(F.col("__next"), F.col(f"{edge}.after"))
-    # Joined on the window's own keys, so the wide side is not shuffled again.
+    # Joined on the window's own keys, so the wide side is not shuffled again; a null group
+    # is a group like any other.
+    theirs = edges.select(F.col(group).alias("__group"), F.col(c).alias("__of"), edge)
+    same = F.col(group).eqNullSafe(F.col("__group")) & F.col(c).eqNullSafe(F.col("__of"))
     return (
-        local.join(edges, [group, c], "left")
+        local.join(theirs, same, "left")
         .withColumn("previous", before["v"])
         .withColumn("next", after["v"])
         .withColumn("is_first", before.isNull())
         .withColumn("is_last", after.isNull())
-        .drop(c, edge, "__prev", "__next")
+        .drop(c, edge, "__group", "__of", "__prev", "__next")
     )
 
 

@@ -54,16 +54,23 @@ def render_turns(
     add_cue: bool = False,
     tools: Sequence[dict] = (),
     default_system: str = chat.DEFAULT_SYSTEM,
+    tool_calls: str | None = None,
 ) -> DataFrame:
     """Render a table with one row per turn; every row gives its ``piece`` of the chat.
 
     Pieces of a conversation in turn order, put end to end, are the rendered chat. No
-    conversation is gathered anywhere, so its length does not matter.
+    conversation is gathered anywhere, so its length does not matter. ``tool_calls`` names
+    a column of ``array<struct<name, arguments>>`` with the calls of assistant turns.
     """
     placed = with_neighbours(df, conversation, turn, role)
     start = chat.opening(F.col(role), F.col(content), tools, default_system)
     own = chat.turn_text(
-        F.col(role), F.col(content), F.col("previous"), F.col("next"), F.col("is_first")
+        F.col(role),
+        F.col(content),
+        F.col("previous"),
+        F.col("next"),
+        F.col("is_first"),
+        F.col(tool_calls) if tool_calls else None,
     )
     cue = f"{chat.TURN_START}assistant\n" if add_cue else ""
     piece = F.concat(

@@ -18,12 +18,14 @@ GRID = ({"regularisation": 0.1}, {"regularisation": 0.01}, {"regularisation": 0.
 def training_rows(
     mails: DataFrame,
     cap: int | None = None,
-    max_chars: int = 6000,
+    max_chars: int | None = None,
     system: str = chat.TRAIN_SYSTEM,
     seed: int = assemble.SEED,
 ) -> DataFrame:
     """Prompt and full chat text of every mail, or of ``cap`` mails drawn by seed.
 
+    Mails go in whole; ``max_chars`` shortens longer ones as ``compact_text`` does.
+
     Tokenise both, then ``chat.answer_only_labels`` masks the prompt's part.
     """
     chosen = assemble.sample_at_most(mails, cap, seed=seed)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +20,38 @@ BOM = "\ufeff"
 COMMON_NA_TOKENS = ["NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A"]
 
 
-def _csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Quoted, multi-line, doubled-quote CSV; every column as text, named by its header.
+def _header_groups(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """Files by their first line, a byte-order mark aside; one group where all agree."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "seq").alias("header"))
+    header = F.rtrim(F.ltrim("header", F.lit(BOM)), F.lit("\r"))
+    groups = first.groupBy(header.alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [row.files for row in groups.orderBy("header").collect()]
+
 
-    A multi-line CSV file cannot be cut into blocks, so one file is one task: keep the
-    exchange files many and moderate, or ``land`` what was read before working on it.
+def _csv(
+    spark: SparkSession, path: str | list[str], select: Callable[[DataFrame], DataFrame], multi_line: bool = True
+) -> DataFrame:
+    """What ``select`` takes by name from quoted, doubled-quote CSV; every column is text.
+
+    Each file names its own columns: files whose headers differ are read apart and their
+    selections united by name. A file with line breaks inside fields cannot be cut into
+    blocks and is one task; without them pass ``multi_line=False``, or exchange raw
+    messages as JSON lines.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df
+    parts = []
+    for files in _header_groups(spark, path):
+        df = spark.read.csv(files, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
+        first = df.columns[0]
+        parts.append(select(df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df))
+    if not parts:
+        raise ValueError(f"no CSV file with a header in {path}")
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _scan_order() -> list[Column]:
@@ -45,10 +68,22 @@ def _scan_order() -> list[Column]:
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str | list[str], column: str = "message", scan_order: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    column: str = "message",
+    scan_order: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """One raw message per row in the named column."""
-    df = _csv(spark, path)
+    order = _scan_order() if scan_order else []
+    return _csv(spark, path, lambda df: df.select(*order, F.col(column).alias("message")), multi_line)
+
+
+def read_raw_json(
+    spark: SparkSession, path: str | list[str], column: str = "message", scan_order: bool = False
+) -> DataFrame:
+    """One raw message per line of JSON, in the named member; files of any size are read in blocks."""
+    df = spark.read.json(path, T.StructType([T.StructField(column, T.StringType())]))
     return df.select(*(_scan_order() if scan_order else []), F.col(column).alias("message"))
 
 
@@ -76,10 +111,9 @@ def read_tagged(
     """Files of one kind, each tagged with its ``(label, dataset)``."""
     parts = []
     for path, (label, dataset) in tags.items():
-        df = _csv(spark, path)
         texts = [apply_na_tokens(F.col(c), na_tokens).alias(c) for c in ("subject", "body")]
-        df = df.select(*(_scan_order() if scan_order else []), *texts)
-        parts.append(stamp(df, label, dataset))
+        order = _scan_order() if scan_order else []
+        parts.append(stamp(_csv(spark, path, lambda df: df.select(*order, *texts)), label, dataset))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -91,15 +125,13 @@ def read_clean(
     A label or source id that is no number becomes null, which the contract report shows
     as a class of its own, instead of ending the job.
     """
-    df = _csv(spark, path)
-
     def typed(field: T.StructField) -> Column:
         c = F.col(field.name)
         if isinstance(field.dataType, T.StringType):
             return apply_na_tokens(c, na_tokens).alias(field.name)
         return F.trim(c).try_cast(field.dataType).alias(field.name)
 
-    return df.select(*[typed(field) for field in CLEAN_MAIL])
+    return _csv(spark, path, lambda df: df.select(*[typed(field) for field in CLEAN_MAIL]))
 
 
 def read_split(

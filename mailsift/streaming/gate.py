@@ -8,22 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mailsift.functions.text import clean_body, clean_subject
+from mailsift.operators.clean import GENERATED, Profile, clean_text
 from mailsift.operators.policy import gate
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def decide(mails: DataFrame, score: Scorer, threshold: float = 0.5) -> DataFrame:
+def decide(
+    mails: DataFrame, score: Scorer, threshold: float = 0.5, profile: Profile = GENERATED
+) -> DataFrame:
     """Clean, score and decide on mails; the same projection for a batch and a stream.
 
-    ``score`` adds ``raw_prediction``. Nothing here keeps state, so a restarted stream
+    ``score`` sees ``subject`` and ``body`` as training saw them, cleaned by ``profile``,
+    and adds ``raw_prediction``. Nothing here keeps state, so a restarted stream
     continues from its checkpoint with nothing to rebuild.
     """
-    cleaned = mails.withColumn("subject", clean_subject(F.col("subject"))).withColumn(
-        "email_text", clean_body(F.col("body"))
-    )
-    return gate(score(cleaned), threshold)
+    cleaned = clean_text(mails, profile)
+    return gate(score(cleaned.withColumn("email_text", F.col("body"))), threshold)
 
 
 def gate_stream(
@@ -33,10 +34,11 @@ def gate_stream(
     checkpoint: str,
     threshold: float = 0.5,
     available_now: bool = False,
+    profile: Profile = GENERATED,
 ) -> StreamingQuery:
     """Write a decision for every arriving mail to Parquet, each exactly once."""
     writer = (
-        decide(arriving, score, threshold)
+        decide(arriving, score, threshold, profile)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

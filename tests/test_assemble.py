@@ -1,10 +1,9 @@
+import random
 from collections import Counter
 from fractions import Fraction
 from hashlib import md5
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mailsift.operators import assemble
@@ -27,24 +26,39 @@ def keys(df):
     return sorted(r.key for r in df.select("key").collect())
 
 
-def test_published_sizes():
-    quotas = assemble.split_quotas({0: 6288, 1: 6288}, Fraction("0.2"), Fraction("0.5"))
-    assert quotas == {0: (5030, 629), 1: (5030, 629)}
+def quotas_of(spark, totals):
+    table = spark.createDataFrame(list(totals.items()), "g int, n long")
+    rows = assemble.split_quotas(table, Fraction("0.2"), Fraction("0.5")).collect()
+    return {r.g: (r.train, r.valid) for r in rows}
+
+
+def test_published_sizes(spark):
+    assert quotas_of(spark, {0: 6288, 1: 6288}) == {0: (5030, 629), 1: (5030, 629)}
     assert assemble.split_sizes_for(12576, Fraction("0.2"), Fraction("0.5")) == {
         "train": 10060, "valid": 1258, "test": 1258}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(0, 5), st.integers(1, 500), min_size=1))
-def test_quotas_are_exact_and_fit(totals):
-    quotas = assemble.split_quotas(totals, Fraction("0.2"), Fraction("0.5"))
+@pytest.mark.parametrize("seed", range(8))
+def test_quotas_are_exact_and_fit(spark, seed):
+    rnd = random.Random(seed)
+    totals = {c: rnd.randint(1, 500) for c in rnd.sample([None, *range(8)], rnd.randint(1, 9))}
+    quotas = quotas_of(spark, totals)
     n = sum(totals.values())
     held = -(-n // 5)
+    assert quotas.keys() == totals.keys()
     assert sum(t for t, _ in quotas.values()) == n - held
     assert sum(v for _, v in quotas.values()) == held - -(-held // 2)
     assert all(0 <= t and 0 <= v and t + v <= totals[c] for c, (t, v) in quotas.items())
 
 
+def test_twenty_thousand_classes(spark):
+    df = spark.range(60_000).selectExpr("id AS key", "id % 20000 AS label", "1 AS dataset", "'x' AS n")
+    split = assemble.stratified_split(df)
+    assert {r.split: r.n for r in assemble.split_sizes(split).collect()} == {"train": 48_000, "valid": 6_000, "test": 6_000}
+    assert split.columns == ["key", "label", "dataset", "n", "split"]
+    assert assemble.balance(df, keep=3, draw=7).count() == 6
+
+
 def test_balance_draws_the_seeded_first(rows):
     balanced = assemble.balance(rows, seed=7)
     expected = sorted((k for k in range(1000) if k % 4), key=lambda k: hashed(7, k))[:250]
@@ -111,6 +125,10 @@ def test_samples(rows):
 
 def test_head(rows):
     assert keys(assemble.head_n(rows, 5)) == [0, 1, 2, 3, 4]
+    assert keys(assemble.head_n(rows, 700)) == list(range(700)) and assemble.head_n(rows, 2000).count() == 1000
+    tied = assemble.head_n(rows, 600, "label")
+    assert tied.count() == 600 and tied.filter("label = 0").count() == 600
+    assert assemble.head_n(rows, 800, "label").filter("label = 0").count() == 750
     assert assemble.head_n(rows, 0) is rows and assemble.head_n(rows, None) is rows
 
 
@@ -142,8 +160,6 @@ def test_neighbours_across_chunks(spark, chunk):
     got = {(r.g, r.t): r for r in with_neighbours(df, "g", "t", "v", chunk).collect()}
     assert len(got) == len(data)
     for g, ts in turns.items():
-        if g is None:
-            continue
         values = {t: None if t % 5 == 0 else f"{g}{t}" for t in ts}
         for i, t in enumerate(ts):
             r = got[(g, t)]
