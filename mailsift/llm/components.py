@@ -12,14 +12,16 @@ def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every id in the links ``a, b``; the smallest id names it.
 
     Each round points every node to its neighbour of lowest rank, if lower than its own,
-    follows the pointers twice, and merges nodes that point to the same one. Ranks are
-    hashes that change from round to round, so long chains shrink as fast as stars: the
-    number of rounds grows with the logarithm of the largest component. Rounds are joins
-    and aggregations of tables in the shared folder; a node with very many links is
-    counted up inside tasks first. Repeated links and links of an id to itself do no harm.
+    follows the pointers twice, and merges nodes that point to the same one. Ranks are ids
+    and fresh hashes by turns: the first collapse a star around its smallest id at once,
+    the second shrink chains of any numbering by a constant factor, so rounds grow with
+    the logarithm of the longest chain. Rounds are joins and aggregations of tables in the
+    shared folder; a node with very many links is counted up inside tasks first. Repeated
+    links and links of an id to itself do no harm.
     """
     edges = land(links.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = land(_both(links.select("a", "b")).select(F.col("a").alias("id"), F.col("a").alias("root")).distinct(), "labels")
+    ids = _both(links.select("a", "b")).select(F.col("a").alias("id")).distinct()
+    labels = land(ids.withColumn("root", F.col("id")), "labels")
     turn = 0
     while not edges.isEmpty():
         roots = land(_roots(edges, turn), "roots")
@@ -45,7 +47,8 @@ def _roots(edges: DataFrame, turn: int) -> DataFrame:
     """``node, root``: where two steps along lowest-ranked neighbours lead."""
 
     def ranked(column: str):
-        return F.struct(F.xxhash64(F.col(column), F.lit(turn)).alias("rank"), F.col(column).alias("id"))
+        rank = F.xxhash64(F.col(column), F.lit(turn)) if turn % 2 else F.lit(0)
+        return F.struct(rank.alias("rank"), F.col(column).alias("id"))
 
     nearest = _both(edges).groupBy("a").agg(F.min(ranked("b")).alias("best"))
     steps = land(nearest.select(F.col("a").alias("node"), F.least("best", ranked("a"))["id"].alias("next")), "steps")
