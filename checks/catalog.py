@@ -13,7 +13,7 @@ from mailsift.functions.html import html_to_text
 from mailsift.operators import assemble, clean, classify, evaluate, parse, policy, prompts
 from mailsift.operators.contract import check_contract
 from mailsift.operators.dedup import dedup_exact
-from mailsift.plans import corpus, training
+from mailsift.plans import corpus, prediction, training
 from mailsift.plans.evaluation import evaluate_run
 from mailsift.sources import readers, sinks
 from mailsift.sources.scratch import land, scratch_path
@@ -284,9 +284,22 @@ def clean_subject(spark, sf):
     )
 
 
+# Markup in which tags, text and references are easily mistaken; the SQL has what is seen of it.
+HARD_HTML = (
+    "a<template><p>T</p></template>b",
+    """<a title="x>y" b='>'>q</a>""",
+    "<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>",
+    "1 < 2 &amp;lt; <!-- <p>c</p> -->",
+    """<SCRIPT type="t">if (a</b) "</p>"</SCRIPT >s""",
+)
+
+
 @query("html_to_text")
 def html_text(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    """Whole pages, each with a piece of hard markup in front."""
+    hard = F.get(F.array(*map(F.lit, HARD_HTML)), (F.col("page_id") % len(HARD_HTML)).cast("int"))
+    page = F.concat(hard, F.lit(" "), F.col("html"))
+    return fx.table(spark, sf, "pages").select("page_id", html_to_text(page).alias("text"))
 
 
 # --- filters, de-duplication, funnel ------------------------------------------------
@@ -542,9 +555,13 @@ def mail_at(spark, sf):
 
 @query
 def compact_keep_links(spark, sf):
+    """Every shipped word, and a link, in place of a common word."""
+    words = F.array(*map(F.lit, prompts.SENSITIVE_WORDS))
+    word = F.concat(F.lit(" "), F.get(words, (K() % 15).cast("int")), F.lit(" "))
+    sign = F.when(K() % 4 == 3, " http://x.example/y?z=1 ").otherwise(word)
     return fx.clean_mail(spark, sf).select(
         "key",
-        prompts.compact_keep_links(S(), B(), 400, words=["the", "les", "des", "los"]).alias("text"),
+        prompts.compact_keep_links(S(), F.replace(B(), F.lit(" the "), sign), 400).alias("text"),
     )
 
 
@@ -579,14 +596,16 @@ def _gate_input(spark, sf):
     )
 
 
-GATE_COLUMNS = ("key", "response", "risk_score", "risk_level", "action")
+GATE_COLUMNS = ("key", "response", "risk_score", "risk_level", "action", "reason")
 
 
 @query
 def policy_gate(spark, sf):
     rows = land(_gate_input(spark, sf), "gate_input")
     outcomes = [
-        policy.gate(rows, t).select(*GATE_COLUMNS).withColumn("threshold", F.lit(t))
+        policy.gate(rows, t, display=True)
+        .select(*GATE_COLUMNS, "shown_level", "shown_action", "shown_details")
+        .withColumn("threshold", F.lit(t))
         for t in (0.0, 0.5, 0.55, 1.0)
     ]
     return assemble.union_sources(*outcomes)
@@ -594,10 +613,46 @@ def policy_gate(spark, sf):
 
 @query
 def classify_batch(spark, sf):
-    """Train on the train split, answer for all labelled mail (rows-only check)."""
-    model = classify.fit_classifier(split_mail(spark, sf).filter("split = 'train'"))
-    scored = classify.score(labelled(spark, sf), model)
-    return scored.select("key", "label", "p_phishing", "raw_prediction")
+    """Train on all labelled mail and answer for it: what must hold of any trained model."""
+    rows = labelled(spark, sf)
+    scored = land(classify.score(rows, classify.fit_classifier(rows)), "scored")
+    p, answer = F.col("p_phishing"), F.col("raw_prediction")
+    unsure = (answer == "unsure") & (F.abs(p - 0.5) < 0.05)
+    sure = (answer == F.when(p >= 0.5, "phishing").otherwise("legitimate")) & (F.abs(p - 0.5) >= 0.05)
+    right = F.count_if((p >= 0.5).cast("int") == F.col("label"))
+    majority = F.greatest(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1))
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.count_if(p.between(0, 1)).alias("in_range"),
+        F.count_if(unsure | sure).alias("agreeing"),
+        (right > majority).alias("beats_majority"),
+    )
+
+
+@query
+def score_answers(spark, sf):
+    """Answers for made-up probabilities: two margins, and probabilities that are missing."""
+    p = p_of(K())
+    return fx.labelled_mail(spark, sf).select(
+        "key",
+        classify.answer_of(p, 0.05).alias("narrow"),
+        classify.answer_of(p, 0.4).alias("wide"),
+        classify.answer_of(F.when(K() % 5 != 0, p)).alias("holed"),
+    )
+
+
+def _stand_in():
+    """A model whose answer depends on the whole prompt."""
+    answers_by_size = ["Phishing.", "legitimate", "not legitimate but phishing", "?"]
+    return lambda prompts: [answers_by_size[len(p) % 4] for p in prompts]
+
+
+@query
+def predict_run(spark, sf):
+    """Mails asked about, answered, parsed and judged in one job."""
+    rows = labelled(spark, sf).withColumnRenamed("key", "index")
+    tables = prediction.predict_run(rows, _stand_in, parse=answers.parse_answer_first)
+    return _rounded(tables["report"], *evaluate.RATIOS).drop("Conservative accuracy")
 
 
 @query
@@ -692,14 +747,22 @@ def check_targets(spark, sf):
 
 @query
 def gate_stream(spark, sf):
-    """The same mails as a stream of files; answers arrive with the mails."""
+    """HTML mails as a stream of files, cleaned as for training, scored by what is left of them."""
     arriving = scratch_path(spark, "arriving")
-    rows = fx.pred(spark, sf).select("key", "subject", "body", "raw_prediction")
-    rows.withColumn("body", F.when(K() % 13 == 0, " \n").otherwise(B())).write.parquet(arriving)
+    pages = fx.table(spark, sf, "pages")
+    body = F.when(F.col("page_id") % 13 == 0, " \n").otherwise(F.col("html")).alias("body")
+    pages.select(F.col("page_id").alias("key"), F.col("url").alias("subject"), body).write.parquet(arriving)
     schema = spark.read.parquet(arriving).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(arriving)
     path = scratch_path(spark, "decisions")
     state = scratch_path(spark, "gate_state")
-    running = streaming_gate.gate_stream(stream, lambda df: df, path, state, available_now=True)
+
+    def score(df: DataFrame) -> DataFrame:
+        p = F.length("body") % 100 / F.lit(100.0)
+        return df.withColumn("raw_prediction", classify.answer_of(p, 0.05))
+
+    running = streaming_gate.gate_stream(
+        stream, score, path, state, available_now=True, profile=clean.HTML_MAIL
+    )
     running.awaitTermination()
     return spark.read.parquet(path).select(*GATE_COLUMNS)

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from checks.catalog import TOOLS
-from mailsift.functions import chat
-from mailsift.functions.text import TRUNCATION_MARK
-from mailsift.operators import evaluate, prompts
+from checks import expected as ex
 
 # Whitespace as one character class of the RE2 dialect.
 WS = (
@@ -172,9 +167,18 @@ FROM (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE ("TP" + "TN")::DOUBLE / n
 _KEEP_COUNTS = 'total, n, invalid, "TP", "TN", "FP", "FN"'
 
 
-def gate_sql(threshold: float) -> str:
-    unusable = "BLOCK" if threshold <= 0.5 else "PASS"
-    return f"""SELECT key,
+def gate_sql(threshold: float, display: bool = False) -> str:
+    unusable, how = ("BLOCK", "strict") if threshold <= 0.5 else ("PASS", "lenient")
+
+    def text(i: int) -> str:
+        shown = {k: v[i].replace("{threshold}", str(threshold)) for k, v in ex.GATE_TEXTS.items()}
+        return f"""replace(CASE WHEN blank THEN {lit(shown['blank'])} WHEN answer LIKE '%phishing%' THEN
+          {lit(shown['phishing'])} WHEN answer LIKE '%legitimate%' THEN {lit(shown['legitimate'])}
+          ELSE {lit(shown[how])} END, '{{answer}}', answer)"""
+
+    names = ("reason", "shown_level", "shown_action", "shown_details")
+    texts = "".join(f"{text(i)} AS {n}, " for i, n in enumerate(names[: 4 if display else 1]))
+    return f"""SELECT key, {texts}
   CASE WHEN blank THEN NULL ELSE answer END AS response,
   CASE WHEN blank THEN 0.0 WHEN answer LIKE '%phishing%' THEN 1.0
     WHEN answer LIKE '%legitimate%' THEN 0.0 ELSE 0.5 END::DOUBLE AS risk_score,
@@ -188,6 +192,11 @@ GATE_INPUT = f"""gate_input AS (
   SELECT key, trim(lower(coalesce(raw_prediction, '')), ' ') AS answer,
     key % 13 = 0 OR {squash('body')} = '' AS blank FROM pred)"""
 
+def score_sql(p: str, margin: float) -> str:
+    return f"""CASE WHEN ({p}) IS NULL OR abs(({p}) - 0.5) < {margin} THEN 'unsure'
+      WHEN ({p}) >= 0.5 THEN 'phishing' ELSE 'legitimate' END"""
+
+
 LOSS = "-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)"
 
 
@@ -206,13 +215,12 @@ FROM (SELECT *, CASE WHEN subject = '' THEN 1 WHEN body = '' THEN 2
   WHEN length(subject) + length(body) < 20 THEN 3 ELSE 4 END AS step FROM cleaned) {group}"""
 
 
-def turns_sql(source: str, cue: str, tools: list[dict] = ()) -> str:
-    specs = "".join("\n" + json.dumps(t, ensure_ascii=False) for t in tools)
-    listed = chat.TOOLS_INTRO + specs + chat.TOOLS_OUTRO if tools else ""
+def turns_sql(source: str, cue: str, spec: str = "") -> str:
+    listed = f"{ex.TOOLS_INTRO}\n{spec}{ex.TOOLS_OUTRO}" if spec else ""
     return f"""SELECT conv_id, turn,
-  CASE WHEN before IS NULL THEN {lit(chat.TURN_START + "system" + chr(10))}
-    || CASE WHEN role = 'system' THEN text ELSE {lit(chat.DEFAULT_SYSTEM)} END
-    || {lit(listed + chat.TURN_END)} ELSE '' END
+  CASE WHEN before IS NULL THEN {lit(ex.TURN_START + "system" + chr(10))}
+    || CASE WHEN role = 'system' THEN text ELSE {lit(ex.DEFAULT_SYSTEM)} END
+    || {lit(listed + ex.TURN_END)} ELSE '' END
   || CASE WHEN role = 'system' AND before IS NULL THEN ''
     WHEN role = 'assistant' AND calls <> ''
       THEN '<|im_start|>assistant' || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END
@@ -229,7 +237,7 @@ FROM (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM ({so
 
 
 def chat_sql(with_answer: bool) -> str:
-    turns = f"""'<|im_start|>system' || chr(10) || {lit(chat.TRAIN_SYSTEM)} || '<|im_end|>' || chr(10)
+    turns = f"""'<|im_start|>system' || chr(10) || {lit(ex.TRAIN_SYSTEM)} || '<|im_end|>' || chr(10)
   || '<|im_start|>user' || chr(10) || {mail_text_sql()} || '<|im_end|>' || chr(10)"""
     if with_answer:
         turns += f" || '<|im_start|>assistant' || chr(10) || {WORD} || '<|im_end|>' || chr(10)"
@@ -238,13 +246,13 @@ def chat_sql(with_answer: bool) -> str:
 
 def compact_sql(x: str, size: int) -> str:
     return f"""CASE WHEN length({x}) > {size} THEN substr({x}, 1, {int(size * 0.65)})
-  || {lit(TRUNCATION_MARK)} || right({x}, {int(size * 0.25)}) ELSE {x} END"""
+  || {lit(ex.TRUNCATION_MARK)} || right({x}, {int(size * 0.25)}) ELSE {x} END"""
 
 
 def keep_links_sql(size: int, words: list[str]) -> str:
     head, tail = int(size * 0.65), int(size * 0.25)
     marked = rf"""(?i)(?:https?://|www\.)[^\s<>"'']+|(?i)\b(?:{'|'.join(words)})"""
-    mark = lit(TRUNCATION_MARK)
+    mark = lit(ex.TRUNCATION_MARK)
     return f"""SELECT key, CASE WHEN n <= {size} THEN t ELSE
     substr(t, 1, first) || {mark} || coalesce(array_to_string(list_transform(
       list_filter(range(1, len(s) + 1), lambda i: hit[i] OR coalesce(hit[i - 1] AND i > 1, false)
@@ -255,7 +263,7 @@ FROM (SELECT *, list_transform(s, lambda x: regexp_matches(x, '{marked}')) AS hi
       substr(t, first + 1, greatest(last - first, 0)), '([.!?\\n])\\s+', '\\1' || chr(31), 'g'), chr(31)) AS s
     FROM (SELECT *, {head} + length(regexp_extract(substr(t, {head + 1}), '^\\S*')) AS first,
         n - {tail} - length(regexp_extract(substr(t, 1, greatest(n - {tail}, 0)), '\\S*$')) AS last
-      FROM (SELECT key, {mail_text_sql()} AS t, length({mail_text_sql()}) AS n FROM deduped))))"""
+      FROM (SELECT key, {mail_text_sql()} AS t, length({mail_text_sql()}) AS n FROM warned))))"""
 
 
 def labels_sql() -> str:
@@ -273,7 +281,7 @@ FROM (SELECT key, CASE WHEN hidden >= len(f) THEN
 def bands_sql() -> str:
     rows = [
         f"""SELECT '{m}' AS metric, "{m}" AS value, {low}::DOUBLE AS low, {high}::DOUBLE AS high FROM metrics"""
-        for m, (low, high) in evaluate.TARGET_BANDS.items()
+        for m, (low, high) in ex.TARGET_BANDS.items()
     ]
     return "SELECT *, CASE WHEN value < low THEN 'below' WHEN value > high THEN 'above' ELSE 'within' END AS verdict FROM (" + " UNION ALL ".join(rows) + ")"
 
@@ -379,7 +387,8 @@ ORACLE: dict[str, str] = {
           || subject || ' ' || chr(10) AS x FROM mail)""",
         select=f"SELECT key, {squash(strip_prefix('x'))} AS stripped, {squash('x')} AS kept FROM made",
     ),
-    "html_to_text": f"SELECT page_id, {html_text('html')} AS text FROM pages",
+    "html_to_text": f"""SELECT page_id, (['a b', 'q', '漢', '1 < 2 &lt;', 's'])[1 + page_id % 5] || ' ' || {html_text('html')} AS text
+      FROM pages""",
     "filter_subject": using(MAIL, CLEANED, select="SELECT key, subject FROM cleaned WHERE subject <> ''"),
     "filter_body": using(MAIL, CLEANED, select="SELECT key FROM cleaned WHERE body <> ''"),
     "filter_body_min": using(MAIL, CLEANED, select="SELECT key FROM cleaned WHERE length(body) >= 20"),
@@ -436,7 +445,7 @@ ORACLE: dict[str, str] = {
     "training_rows": using(
         *_LABELLED,
         f"""drawn AS (SELECT *, {mail_text_sql()} AS text FROM labelled),
-        asked AS (SELECT key, label, '<|im_start|>system' || chr(10) || {lit(chat.TRAIN_SYSTEM)}
+        asked AS (SELECT key, label, '<|im_start|>system' || chr(10) || {lit(ex.TRAIN_SYSTEM)}
           || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
           || '<|im_start|>assistant' || chr(10) AS prompt FROM drawn)""",
         select=f"""SELECT key, prompt, prompt || {WORD} || '<|im_end|>' || chr(10) AS "full" FROM asked""",
@@ -455,17 +464,17 @@ ORACLE: dict[str, str] = {
     ),
     "fill_template": using(
         MAIL,
-        select=f"""SELECT key, {lit('System:' + chr(10) + chat.EVAL_SYSTEM + chr(10) * 2 + 'User:' + chr(10) + 'Subject: ')}
+        select=f"""SELECT key, {lit('System:' + chr(10) + ex.EVAL_SYSTEM + chr(10) * 2 + 'User:' + chr(10) + 'Subject: ')}
           || '{{body}} ' || subject || chr(10) || 'Body: ' || body || chr(10) AS prompt FROM mail""",
     ),
     "chat_messages": using(
         *_LABELLED,
-        select=f"""SELECT key, 'system' AS role, {lit(chat.TRAIN_SYSTEM)} AS content FROM labelled
+        select=f"""SELECT key, 'system' AS role, {lit(ex.TRAIN_SYSTEM)} AS content FROM labelled
           UNION ALL SELECT key, 'user', {mail_text_sql()} FROM labelled
           UNION ALL SELECT key, 'assistant', {WORD} FROM labelled""",
     ),
-    "render_chat": turns_sql(CONV, f"{chat.TURN_START}assistant\n"),
-    "render_chat_tools": turns_sql(CONV_TOOLS, "", TOOLS),
+    "render_chat": turns_sql(CONV, f"{ex.TURN_START}assistant\n"),
+    "render_chat_tools": turns_sql(CONV_TOOLS, "", ex.TOOL_SPEC),
     "render_chat_mail": using(
         *_LABELLED,
         select=f"""SELECT key, {chat_sql(True)} AS "full",
@@ -473,20 +482,23 @@ ORACLE: dict[str, str] = {
     ),
     "instruction_rows": using(
         *_LABELLED,
-        select=f"""SELECT key, CAST(json_object('instruction', {lit(chat.TRAIN_SYSTEM)},
+        select=f"""SELECT key, CAST(json_object('instruction', {lit(ex.TRAIN_SYSTEM)},
           'input', {mail_text_sql()}, 'output', {WORD}) AS VARCHAR) AS record FROM labelled""",
     ),
     "answer_only_labels": using(*_LABELLED, select=labels_sql()),
-    "resolve_columns": f"""SELECT doc_id AS key, '{prompts.NO_SUBJECT}' AS subject, text AS email_text FROM documents
+    "resolve_columns": f"""SELECT doc_id AS key, '{ex.NO_SUBJECT}' AS subject, text AS email_text FROM documents
       UNION ALL SELECT doc_id, split_part(text, chr(10), 1),
-        {lit(prompts.SUBJECT_AS_BODY)} || split_part(text, chr(10), 1) FROM documents""",
+        {lit(ex.SUBJECT_AS_BODY)} || split_part(text, chr(10), 1) FROM documents""",
     "mail_at": using(
         *_LABELLED,
         select=f"""SELECT index, key, subject FROM (SELECT *,
           row_number() OVER (ORDER BY {seeded()}, key) - 1 AS index FROM labelled) WHERE index = 7""",
     ),
     "compact_keep_links": using(
-        MAIL, CLEANED, DEDUPED, select=keep_links_sql(400, ["the", "les", "des", "los"])
+        MAIL, CLEANED, DEDUPED,
+        f"""warned AS (SELECT key, subject, replace(body, ' the ', CASE WHEN key % 4 = 3 THEN ' http://x.example/y?z=1 '
+          ELSE ' ' || ({ex.SENSITIVE_WORDS})[1 + key % 15] || ' ' END) AS body FROM deduped)""",
+        select=keep_links_sql(400, ex.SENSITIVE_WORDS),
     ),
     "parse_answer_any": using(
         *_ANSWERED,
@@ -505,7 +517,7 @@ ORACLE: dict[str, str] = {
     "policy_gate": using(
         *_PRED, GATE_INPUT,
         select=" UNION ALL ".join(
-            f"{gate_sql(t)}, {t}::DOUBLE AS threshold FROM gate_input" for t in (0.0, 0.5, 0.55, 1.0)
+            f"{gate_sql(t, True)}, {t}::DOUBLE AS threshold FROM gate_input" for t in (0.0, 0.5, 0.55, 1.0)
         ),
     ),
     "log_loss": using(
@@ -570,8 +582,34 @@ ORACLE: dict[str, str] = {
         select=bands_sql(),
     ),
     "gate_stream": using(
-        *_PRED,
-        GATE_INPUT,
+        f"""arrived AS (SELECT page_id AS key, CASE WHEN page_id % 13 = 0 THEN '' ELSE {html_text('html')} END AS body
+          FROM pages)""",
+        f"""gate_input AS (SELECT key, body = '' AS blank, {score_sql("(length(body) % 100) / 100.0::DOUBLE", 0.05)} AS answer
+          FROM arrived)""",
         select=f"{gate_sql(0.5)} FROM gate_input",
     ),
+    "score_answers": using(
+        *_LABELLED,
+        select=f"""SELECT key, {score_sql('p', 0.05)} AS narrow, {score_sql('p', 0.4)} AS wide,
+          {score_sql('CASE WHEN key % 5 <> 0 THEN p END', 0.0)} AS holed FROM (SELECT key, {p_sql()} AS p FROM labelled)""",
+    ),
+    "classify_batch": using(
+        *_LABELLED,
+        select="""SELECT count(*) AS n, count(*) AS in_range, count(*) AS agreeing, true AS beats_majority
+          FROM labelled""",
+    ),
+    "predict_run": using(
+        *_LABELLED,
+        f"""asked AS (SELECT *, '<|im_start|>system' || chr(10) || {lit(ex.EVAL_SYSTEM)} || {lit(ex.TURN_END)}
+          || '<|im_start|>user' || chr(10) || {mail_text_sql()} || {lit(ex.TURN_END)}
+          || '<|im_start|>assistant' || chr(10) AS prompt FROM labelled)""",
+        """pred AS (SELECT *, CASE length(prompt) % 4 WHEN 0 THEN 'Phishing.' WHEN 1 THEN 'legitimate'
+          WHEN 2 THEN 'not legitimate but phishing' ELSE '?' END AS raw_prediction FROM asked)""",
+        f"answered AS (SELECT *, {FIRST_LABEL} AS predicted_label FROM pred)",
+        select=ratios(
+            f"""SELECT dataset, CASE WHEN grouping(dataset) = 1 THEN 'all' ELSE 'group' END AS scope,
+              {VALIDITY}, {COUNTS} FROM answered GROUP BY GROUPING SETS ((dataset), ())""",
+            "dataset, scope, " + _KEEP_COUNTS,
+        ),
+    ),
 }

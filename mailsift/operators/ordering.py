@@ -133,20 +133,27 @@ def with_neighbours(
     of the order range, so a group of any size is spread over many tasks; a narrow table
     with one row per chunk carries values across chunk borders.
     """
-    c, edge = "__chunk", "__edge"
-    chunked = df.withColumn(c, F.expr(f"`{order}` div {chunk}"))
-    inside = Window.partitionBy(group, c).orderBy(order)
+    # A missing group is a group like any other: told by a flag, as nulls never join.
+    c, edge, own = "__chunk", "__edge", ["__missing", "__group"]
+    chunked = df.withColumns(
+        {
+            c: F.expr(f"`{order}` div {chunk}"),
+            "__missing": F.col(group).isNull(),
+            "__group": F.coalesce(F.col(group).cast("string"), F.lit("")),
+        }
+    )
+    inside = Window.partitionBy(*own, c).orderBy(order)
     # Wrapped, so that a missing neighbour differs from a neighbour without a value.
     cell = F.struct(F.col(value).alias("v"))
     local = chunked.withColumn("__prev", F.lag(cell).over(inside)).withColumn(
         "__next", F.lead(cell).over(inside)
     )
-    across = Window.partitionBy(group).orderBy(c)
+    across = Window.partitionBy(*own).orderBy(c)
     edges = (
-        chunked.groupBy(group, c)
+        chunked.groupBy(*own, c)
         .agg(F.min_by(cell, order).alias("first"), F.max_by(cell, order).alias("last"))
         .select(
-            group,
+            *own,
             c,
             F.struct(
                 F.lag("last").over(across).alias("before"),
@@ -156,17 +163,14 @@ def with_neighbours(
     )
     before = F.coalesce(F.col("__prev"), F.col(f"{edge}.before"))
     after = F.coalesce(F.col("__next"), F.col(f"{edge}.after"))
-    # Joined on the window's own keys, so the wide side is not shuffled again; a null group
-    # is a group like any other.
-    theirs = edges.select(F.col(group).alias("__group"), F.col(c).alias("__of"), edge)
-    same = F.col(group).eqNullSafe(F.col("__group")) & F.col(c).eqNullSafe(F.col("__of"))
+    # Joined on the window's own keys, so the wide side is not shuffled again.
     return (
-        local.join(theirs, same, "left")
+        local.join(edges, [*own, c], "left")
         .withColumn("previous", before["v"])
         .withColumn("next", after["v"])
         .withColumn("is_first", before.isNull())
         .withColumn("is_last", after.isNull())
-        .drop(c, edge, "__group", "__of", "__prev", "__next")
+        .drop(*own, c, edge, "__prev", "__next")
     )
 
 

@@ -14,13 +14,16 @@ from mailsift.sources.sinks import write_report
 def evaluate_run(scored: DataFrame, path: str | None = None, parse=parse_answer_any) -> dict[str, DataFrame]:
     """Predictions, quality overall and per source, and the target check of one run.
 
-    Predictions are landed, so that scoring runs once however many tables are made.
+    Predictions are landed, so that scoring runs once however many tables are made; the
+    metrics of all rows and of each source come from one pass over them.
     """
     predictions = land(prediction_rows(scored, parse=parse), "predictions")
+    report = land(evaluate.quality_report(predictions), "report")
     tables = {
         "predictions": predictions,
-        "overall": evaluate.quality(predictions),
-        "by_dataset": evaluate.quality(predictions, ["dataset"]).orderBy("dataset"),
+        "report": report,
+        "overall": report.filter("scope = 'all'").drop("scope", "dataset"),
+        "by_dataset": report.filter("scope = 'group'").drop("scope").orderBy("dataset"),
     }
     tables["targets"] = evaluate.check_targets(tables["overall"].select(*evaluate.RATIOS))
     if path:

@@ -83,6 +83,26 @@ def test_sheltering_changes_nothing(column_of):
     assert column_of(without_markup, values) == column_of(lambda c: F.regexp_replace(c, MARKUP, " "), values)
 
 
+@pytest.mark.parametrize("piece, tail", [("<a ", "='>"), ("<script ", '=">'), ("<a ='", ">"), ("<rt>", ">"), ("<template ", ">")])
+def test_tags_that_end_late_take_linear_time(column_of, piece, tail):
+    def seconds(n):
+        start = time.time()
+        column_of(html_to_text, [piece * n + tail])
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(100_000) < 6 * max(seconds(25_000), 0.5)
+
+
+def test_templates_and_reading_aids_are_no_text(column_of):
+    values = ["a<template>T</template>b", "<template><p>x", "<ruby>k<rt>r</rt></ruby>", "<rt>r<b>s</b>", "<rtc>x</rtc>"]
+    assert column_of(html_to_text, values) == ["a b", "", "k", "s", "x"]
+
+
+def test_an_unclosed_quote_is_a_plain_character(column_of):
+    assert column_of(html_to_text, ["<p title='a>b</p>", '<p a=">c', "<p a='x>y'>d"]) == ["b", "c", "d"]
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<!-- ", "<!-- >", "</", "<script ", "<", "&#", "&amp"])
 def test_unclosed_markup_takes_linear_time(column_of, piece):
     start = time.time()

@@ -1,5 +1,7 @@
 import email
 
+import time
+
 import pytest
 
 from mailsift.functions import mime
@@ -85,6 +87,16 @@ def test_only_odd_rows_reach_python(spark):
     assert "ArrowEvalPython" in plan and "CASE WHEN" in plan.split("ArrowEvalPython", 1)[1][:200]
 
 
+def test_header_routing_takes_linear_time(column_of):
+    def seconds(n):
+        start = time.time()
+        column_of(lambda c: mime.needs_parser(mime.header_block(c), c, False).cast("string"), ["Content-Type: x\n" * n + "\n"])
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(32_000) < 6 * max(seconds(8_000), 0.5)
+
+
 def test_stamp(spark):
     row = stamp(spark.range(1), 1, 2).first()
     assert (row.label, row.dataset) == (1, 2)

@@ -61,7 +61,7 @@ def test_corpora_to_splits(spark, files):
 
 def test_evaluate_run_writes_reports(spark, sf, tmp_path):
     tables = evaluate_run(fx.pred(spark, sf).withColumnRenamed("key", "index"), str(tmp_path / "run"))
-    assert set(tables) == {"predictions", "overall", "by_dataset", "targets"}
+    assert set(tables) == {"predictions", "report", "overall", "by_dataset", "targets"}
     stored = spark.read.parquet(str(tmp_path / "run" / "overall")).first()
     assert stored.total == tables["predictions"].count()
     assert spark.read.parquet(str(tmp_path / "run" / "targets")).count() == len(evaluate.TARGET_BANDS)
@@ -114,5 +114,5 @@ def test_conversations_are_shuffled_once(spark, sf):
         plan = plan_of(render_turns(fx.table(spark, sf, "conversations")))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    wide = [l for l in plan.split("\n") if "Exchange hashpartitioning(conv_id" in l and "__chunk" in l]
+    wide = [l for l in plan.split("\n") if "Exchange hashpartitioning(__missing" in l and "__chunk" in l]
     assert plan.count("Exchange") == 4 and len(wide) == 3

@@ -155,3 +155,28 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session())
+
+
+def test_every_file_names_its_own_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffsubject,body,label,dataset\ns1,b1,1,3\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("dataset,body,subject,label\n4,\"b\n2\",s2,0\n")
+    (tmp_path / "c.csv").write_text("subject,body,label,dataset\r\ns3,b3,x,3\r\n")
+    rows = readers.read_split(spark, str(tmp_path)).orderBy("subject").collect()
+    assert [tuple(r) for r in rows] == [("s1", "b1", 1, 3), ("s2", "b\n2", 0, 4), ("s3", "b3", None, 3)]
+
+
+def test_json_lines_are_read_in_blocks(spark, small_blocks, tmp_path):
+    path = str(tmp_path / "raw")
+    messages = [f"Subject: {i}\n\n" + "x" * (7 * i) for i in range(100)] + [None]
+    spark.createDataFrame([(m,) for m in messages], "message string").coalesce(1).write.json(path)
+    frame = readers.read_raw_json(spark, path, scan_order=True)
+    assert frame.select("block").distinct().count() > 5
+    assert sorted(r.message for r in frame.collect() if r.message) == sorted(filter(None, messages))
+
+
+def test_landed_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda s: str(tmp_path))
+    assert scratch.land(spark.range(3)).count() == 3
+    assert list(tmp_path.rglob("*.parquet"))
+    scratch.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
