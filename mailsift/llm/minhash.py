@@ -28,6 +28,7 @@ class Scheme:
     bands: int = 20
     rows: int = 4
     sketch_words: int = 4  # of 64 bits each
+    parity_words: int = 16
 
     @property
     def samples(self) -> int:
@@ -73,10 +74,18 @@ class Signer:
         return mixed(rows.sum(axis=1, dtype=np.uint64) + self.band).view(np.int64)
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
-        """Parity bitmap: every (place, sample) flips the bit that it hashes to."""
-        bits = mixed(mixed(samples) + self.place) % np.uint64(self.scheme.sketch_bits)
-        odd = np.bincount(bits.astype(np.int64), minlength=self.scheme.sketch_bits) & 1
-        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        """Odd sketch: every (place, sample) flips the bit that it hashes to."""
+        return _flipped(mixed(mixed(samples) + self.place), self.scheme.sketch_words)
+
+    def parity(self, hashes: np.ndarray) -> np.ndarray:
+        """The same over the whole set: no more bits can differ than elements do."""
+        return _flipped(mixed(hashes + np.uint64(1)), self.scheme.parity_words)
+
+
+def _flipped(hashes: np.ndarray, words: int) -> np.ndarray:
+    bits = (hashes % np.uint64(64 * words)).astype(np.int64)
+    odd = np.bincount(bits, minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -86,7 +95,7 @@ def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``id, n, set_key, bands, sketch`` of every row of ``id, text``."""
+    """``id, n, set_key, bands, sketch, parity`` of every row of ``id, text``."""
 
     def make():
         hashes, signer = word_hashes(), Signer(scheme)
@@ -94,7 +103,7 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
         def row(i, text):
             found = shingles(text, scheme.words, hashes)
             if not len(found):
-                yield i, 0, None, None, None
+                yield i, 0, None, None, None, None
                 return
             samples = signer.samples(found)
             yield (
@@ -103,13 +112,14 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 xxhash.xxh3_128_digest(found.tobytes()),
                 signer.bands(samples),
                 signer.sketch(samples),
+                signer.parity(found),
             )
 
         return row
 
     return map_rows(
         docs, ["id", "text"], make,
-        "id bigint, n bigint, set_key binary, bands array<bigint>, sketch array<bigint>",
+        "id bigint, n bigint, set_key binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>",
     )
 
 
@@ -130,17 +140,23 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 # --- candidates ---------------------------------------------------------------------
 
 
-def odd_bits(a: str, b: str, scheme: Scheme) -> Column:
-    """Bits in which two odd sketches differ."""
-    words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(scheme.sketch_words)]
-    return sum(words[1:], words[0])
+def odd_bits(a: str, b: str, words: int) -> Column:
+    """Bits in which two bitmaps differ."""
+    counts = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)]
+    return sum(counts[1:], counts[0])
 
 
 def may_be_alike(a: str, b: str, scheme: Scheme) -> Column:
-    """Sizes allow the similarity, and the sketches do not speak against it."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = 100 * F.least(n, m) >= scheme.percent * F.greatest(n, m)
-    return sizes & (odd_bits(f"{a}.sketch", f"{b}.sketch", scheme) <= scheme.most_odd_bits())
+    """Sizes allow the similarity, and neither bitmap speaks against it.
+
+    Of similar sets, at most (1 - s) / (1 + s) of the elements differ, and each flips one
+    bit of the parity bitmap: more odd bits than that rule a pair out for certain.
+    """
+    n, m, s = F.col(f"{a}.n"), F.col(f"{b}.n"), scheme.percent
+    sizes = 100 * F.least(n, m) >= s * F.greatest(n, m)
+    sketches = odd_bits(f"{a}.sketch", f"{b}.sketch", scheme.sketch_words) <= scheme.most_odd_bits()
+    differing = odd_bits(f"{a}.parity", f"{b}.parity", scheme.parity_words)
+    return sizes & sketches & ((100 + s) * differing <= (100 - s) * (n + m))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -168,7 +184,7 @@ def star_pairs(reps: DataFrame, buckets: DataFrame, scheme: Scheme) -> DataFrame
     """Every document with the first one of each of its buckets: linear in the buckets."""
     met = _bucketed(reps).join(buckets, "bucket").filter("id <> leader")
     pairs = met.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    sketches = reps.select("id", "n", "sketch")
+    sketches = reps.select("id", "n", "sketch", "parity")
     return (
         pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id"))
         .join(sketches.alias("y"), F.col("b") == F.col("y.id"))
@@ -204,14 +220,14 @@ def bridge_pairs(reps: DataFrame, buckets: DataFrame, found: DataFrame, scheme:
     size_class = F.floor(F.log("n") / step).cast("int")
     sides = (
         members.join(mixed_buckets, "bucket")
-        .join(reps.select("id", "n", "sketch"), "id")
+        .join(reps.select("id", "n", "sketch", "parity"), "id")
         .withColumn("rest", F.col("component") != F.col("bulk"))
         .withColumn("class", size_class)
         .drop("bulk")
     )
     sides = land(sides, "sides")
     near = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class")
-    own = sides.filter("rest").select("bucket", "id", "component", "n", "sketch", near).alias("x")
+    own = sides.filter("rest").select("bucket", "id", "component", "n", "sketch", "parity", near).alias("x")
     other = sides.alias("y")
     on = (
         (F.col("x.bucket") == F.col("y.bucket"))
@@ -238,8 +254,9 @@ def near_duplicates(
     Documents with equal sets are one class from the start, whatever their number. Of each
     class one representative enters the buckets of its MinHash bands. The samples are also
     folded into an odd sketch, a parity bitmap; the bits of the XOR of two sketches count
-    the samples that differ, precisely so for high similarities, and drop nearly all
-    false candidates. Those left are confirmed on full sets. Every pair in a bucket is
+    the samples that differ, precisely so for high similarities, and drop most false
+    candidates; a parity bitmap of the set itself drops those it can rule out for certain.
+    Those left are confirmed on full sets. Every pair in a bucket is
     either tried or already connected, so no group is capped and none is spelled out in
     pairs. Fingerprints, links and components stay in tables; loops only ask whether a
     table is empty.
@@ -257,7 +274,7 @@ def near_duplicates(
         .agg(
             F.min("id").alias("id"),
             F.count("*").alias("members"),
-            F.min_by(F.struct("n", "bands", "sketch"), "id").alias("of"),
+            F.min_by(F.struct("n", "bands", "sketch", "parity"), "id").alias("of"),
         )
         .select("set_key", "id", "members", "of.*"),
         "classes",
