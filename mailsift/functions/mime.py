@@ -15,6 +15,10 @@ _SUBJECT = r"(?imd)^Subject:[ \t]*([^\n]*(?:\n[ \t][^\n]*+)*+)"
 _HEADER_BLOCK = r"\A(?:[!-9;-~]++:[^\n]*+(?:\n[ \t][^\n]*+)*+(?:\n|\z))*+\z"
 _HAS_SUBJECT = r"(?imd)^Subject:"
 _NESTED = r"(?imd)^Content-Type:[ \t]*+(?:\n[ \t]++)*+(?:multipart|message)/"
+_TRANSFER = r"(?imd)^Content-Transfer-Encoding:"
+_BASE64 = r"(?imd)^Content-Transfer-Encoding:[ \t]*+base64$"
+# Whole groups of four, padding only at the end: what every decoder reads alike.
+_WHOLE_BASE64 = r"\A(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 _ENCODED = r"(?imd)^Content-Transfer-Encoding:\s*(?:base64|quoted-printable|(?:x-)?uue)"
 
 
@@ -68,11 +72,26 @@ def subject_of(raw: Column, missing: str | None = "") -> Column:
     return subject_in(header_block(raw), missing)
 
 
-def needs_parser(header: Column, raw: Column, decode: bool) -> Column:
-    """True for messages that plain string functions would not take apart correctly."""
+def base64_text(header: Column, body: Column) -> Column:
+    """The decoded body of clean base64 mail that holds UTF-8 text; null for any other."""
+    only = header.rlike(_BASE64) & (F.regexp_count(header, F.lit(_TRANSFER)) == 1)
+
+    def decoded(letters: Column) -> Column:
+        text = F.try_to_binary(letters, F.lit("base64")).cast("string")
+        return F.when(letters.rlike(_WHOLE_BASE64), let(text, lambda t: F.when(F.is_valid_utf8(t), t)))
+
+    return F.when(only, let(F.regexp_replace(body, r"\r?\n", ""), decoded))
+
+
+def needs_parser(header: Column, raw: Column, decode: bool, decoded: Column | None = None) -> Column:
+    """True for messages that plain string functions would not take apart correctly.
+
+    ``decoded`` is the text of a body whose transfer encoding has been undone already.
+    """
     odd = ~header.rlike(_HEADER_BLOCK) | F.contains(header, F.lit("\r")) | header.rlike(_NESTED)
     if decode:
-        odd = odd | header.rlike(_ENCODED) | header.rlike(r"[^\x00-\x7f]") | ~F.is_valid_utf8(raw)
+        encoded = header.rlike(_ENCODED) & (decoded.isNull() if decoded is not None else F.lit(True))
+        odd = odd | encoded | header.rlike(r"[^\x00-\x7f]") | ~F.is_valid_utf8(raw)
     return odd
 
 

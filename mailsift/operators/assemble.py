@@ -184,8 +184,8 @@ def head_n(df: DataFrame, n: int | None, *order: str) -> DataFrame:
         return df.orderBy(*order)
     place = F.row_number().over(Window.partitionBy("part").orderBy("at"))
     own = ranges.filter(F.col("part") == part).withColumn("place", place)
-    last = own.filter(F.col("place") == n - before).select(F.col("at").alias("__last"))
-    marked = df.join(F.broadcast(last), at <= F.col("__last"))
-    upto = ranges.join(F.broadcast(last), F.col("at") < F.col("__last")).count()
-    tied = marked.filter(at == F.col("__last")).limit(n - upto)
-    return marked.filter(at < F.col("__last")).union(tied).drop("__last").orderBy(*order)
+    last = own.filter(F.col("place") == n - before).first()["at"]
+    kinds = [df.schema[c].dataType for c in order]
+    end = F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(last, kinds, order)])
+    upto = ranges.filter(F.col("at") < end).count()
+    return df.filter(at < end).union(df.filter(at == end).limit(n - upto)).orderBy(*order)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import tagged_text
+from mailsift.sources.scratch import land
 
 _STEPS = ("__tokens", "__counts", "__features", "__raw", "__probability", "__prediction")
 _TEXT = "__text"
@@ -23,14 +24,8 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumn(_TEXT, tagged_text(F.col("subject"), F.col("body")))
 
 
-def fit_classifier(
-    train: DataFrame,
-    label: str = "label",
-    features: int = 1 << 18,
-    regularisation: float = 0.01,
-    iterations: int = 30,
-) -> PipelineModel:
-    """Hashed, weighted words into a logistic regression.
+def fit_features(train: DataFrame, features: int = 1 << 18) -> PipelineModel:
+    """Hashed words, weighted by how rare they are.
 
     Hashing needs no vocabulary on the driver, so the model's size is fixed by
     ``features`` and not by the corpus.
@@ -39,18 +34,39 @@ def fit_classifier(
         RegexTokenizer(inputCol=_TEXT, outputCol="__tokens", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=features),
         IDF(inputCol="__counts", outputCol="__features", minDocFreq=2),
-        LogisticRegression(
-            featuresCol="__features",
-            labelCol=label,
-            rawPredictionCol="__raw",
-            probabilityCol="__probability",
-            predictionCol="__prediction",
-            regParam=regularisation,
-            maxIter=iterations,
-        ),
     ]
-    rows = _with_text(train).select(_TEXT, F.col(label).cast("double").alias(label))
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=stages).fit(_with_text(train).select(_TEXT))
+
+
+def _featured(df: DataFrame, model: PipelineModel, label: str) -> DataFrame:
+    """Label and features of every row, written once for all that is fitted on them."""
+    rows = _with_text(df).select(_TEXT, F.col(label).cast("double").alias(label))
+    return land(model.transform(rows).select(label, "__features"), "features")
+
+
+def _regression(label: str, regularisation: float = 0.01, iterations: int = 30) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="__features",
+        labelCol=label,
+        rawPredictionCol="__raw",
+        probabilityCol="__probability",
+        predictionCol="__prediction",
+        regParam=regularisation,
+        maxIter=iterations,
+    )
+
+
+def fit_classifier(
+    train: DataFrame,
+    label: str = "label",
+    features: int = 1 << 18,
+    regularisation: float = 0.01,
+    iterations: int = 30,
+) -> PipelineModel:
+    """Hashed, weighted words into a logistic regression."""
+    words = fit_features(train, features)
+    fitted = _regression(label, regularisation, iterations).fit(_featured(train, words, label))
+    return PipelineModel(stages=[*words.stages, fitted])
 
 
 def probability(df: DataFrame, model: PipelineModel, name: str = "p_phishing") -> DataFrame:
@@ -127,15 +143,28 @@ def best_candidate(losses: DataFrame, candidate: str = "epoch", loss: str = "los
 
 
 def fit_best(
-    train: DataFrame, valid: DataFrame, grid: Sequence[Mapping]
+    train: DataFrame,
+    valid: DataFrame,
+    grid: Sequence[Mapping],
+    label: str = "label",
+    features: int = 1 << 18,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Train every parameter set, keep the model with the lowest validation loss."""
-    spark = train.sparkSession
-    models = [fit_classifier(train, **params) for params in grid]
-    losses = [
-        log_loss(probability(valid, model)).select(F.lit(i).alias("epoch"), "loss")
-        for i, model in enumerate(models)
-    ]
-    rows = [df.first() for df in losses]
-    table = spark.createDataFrame([tuple(r) for r in rows], "epoch int, loss double")
+    """Train every parameter set, keep the model with the lowest validation loss.
+
+    Words are hashed and weighted once for every number of features; only the regressions
+    are fitted anew.
+    """
+    learned: dict[int, tuple] = {}
+    models, losses = [], []
+    for i, params in enumerate(grid):
+        size = params.get("features", features)
+        if size not in learned:
+            words = fit_features(train, size)
+            learned[size] = words, _featured(train, words, label), _featured(valid, words, label)
+        words, seen, held = learned[size]
+        model = _regression(label, **{k: v for k, v in params.items() if k != "features"}).fit(seen)
+        scored = model.transform(held).withColumn("p_phishing", vector_to_array("__probability")[1])
+        losses.append((i, log_loss(scored, label=label).first().loss))
+        models.append(PipelineModel(stages=[*words.stages, model]))
+    table = train.sparkSession.createDataFrame(losses, "epoch int, loss double")
     return models[best_candidate(table).first()["epoch"]], table

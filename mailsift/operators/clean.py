@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import text
 from mailsift.functions.html import html_to_text
-from mailsift.operators.dedup import dedup_exact, text_digest
+from mailsift.operators.dedup import dedup_exact, first_of_each, text_digest
 from mailsift.operators.projection import once
 from mailsift.schemas import CONTRACT
 
@@ -70,6 +70,27 @@ def to_contract(df: DataFrame, *retained: str) -> DataFrame:
     return df.select(*retained, *CONTRACT)
 
 
+def mark(df: DataFrame, profile: Profile = GENERATED, parsed: Column | None = None) -> DataFrame:
+    """Cleaned text, the filter a row fails (``__step``) and a digest of what passes all.
+
+    ``parsed`` tells the parsed records from the rest (default: all parsed). All regular
+    expressions and digests are here; ``kept_of`` and ``funnel_of`` read the result, which
+    is worth landing when both are wanted.
+    """
+    is_parsed = F.lit(True) if parsed is None else F.coalesce(parsed, F.lit(False))
+    step = F.when(~F.col("__parsed"), "unparsed").otherwise(removal_step(profile))
+    marked = clean_text(df.withColumn("__parsed", is_parsed), profile).withColumn("__step", step)
+    digest = F.when(F.col("__step").isNull(), text_digest(F.col("subject"), F.col("body")))
+    return marked.drop("__parsed").withColumn("__digest", digest)
+
+
+def kept_of(marked: DataFrame, order: Sequence[str] = ("dataset", "key")) -> DataFrame:
+    """Marked rows that pass all filters, the first of each text by ``order``."""
+    valid = marked.filter("__step IS NULL").drop("__step")
+    retained = [c for c in order if c not in CONTRACT]
+    return to_contract(first_of_each(valid, "__digest", order), *retained)
+
+
 def clean(
     df: DataFrame,
     profile: Profile = GENERATED,
@@ -84,20 +105,20 @@ def clean(
 def funnel(
     df: DataFrame, profile: Profile = GENERATED, by: Sequence[str] = (), parsed: Column | None = None
 ) -> DataFrame:
-    """How many rows each step removes, each row counted where it first fails.
+    """How many rows each step removes, each row counted where it first fails."""
+    return funnel_of(mark(df, profile, parsed), by)
+
+
+def funnel_of(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The funnel of marked rows.
 
-    ``parsed`` tells the parsed records from the rest (default: all parsed). One scan and
-    one narrow shuffle: only digests and counts travel. Rows that fail a filter share a
-    single null digest, which the map-side aggregate folds into one row per task.
+    One scan and one narrow shuffle: only digests and counts travel. Rows that fail a
+    filter share a single null digest, which the map-side aggregate folds into one row per
+    task.
     """
     by = list(by)
-    is_parsed = F.lit(True) if parsed is None else F.coalesce(parsed, F.lit(False))
-    marked = clean_text(df.withColumn("__parsed", is_parsed), profile).withColumn(
-        "__step", F.when(~F.col("__parsed"), "unparsed").otherwise(removal_step(profile))
-    )
-    digest = F.when(F.col("__step").isNull(), text_digest(F.col("subject"), F.col("body")))
     per_text = (
-        marked.select(*by, F.coalesce("__step", F.lit("kept")).alias("__step"), digest.alias("__digest"))
+        marked.select(*by, F.coalesce("__step", F.lit("kept")).alias("__step"), "__digest")
         .groupBy(*by, "__step", "__digest")
         .agg(F.count("*").alias("__n"))
     )

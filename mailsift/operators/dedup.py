@@ -39,3 +39,18 @@ def dedup_exact(
         .filter(F.col(_RANK) == 1)
         .drop(_DIGEST, _RANK)
     )
+
+
+def first_of_each(df: DataFrame, digest: str, order: Sequence[str]) -> DataFrame:
+    """Keep the first row by ``order`` of every digest of a written table.
+
+    ``order`` must be unique per row. Winners are chosen on digest and order columns alone
+    and then meet their rows: no text travels to be compared, and copies of one text, which
+    are told apart by their order, do not meet in one task.
+    """
+    winners = df.groupBy(digest).agg(F.min(F.struct(*order)).alias("__first"))
+    places = winners.select(F.col(digest).alias("__of"), *[F.col(f"__first.{c}").alias(f"__{i}") for i, c in enumerate(order)])
+    same = F.col(digest) == F.col("__of")
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    return df.join(places, same, "left_semi").drop(digest)

@@ -19,7 +19,7 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
     ``decode=True``: body transfer-decoded to UTF-8 with bad bytes dropped, missing
     subject null. Multipart mails give the text of all their ``text/plain`` parts.
 
-    Well-formed single-part mail is split by JVM expressions. Only the rest has its text
+    Well-formed single-part mail is split, and clean base64 decoded, by JVM expressions. Only the rest has its text
     sent to Python: the others pass a null, as a ``when`` around the call would not stop
     Spark from evaluating it for every row.
     """
@@ -30,7 +30,12 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
         __head=mime.header_block(raw),
         __body=mime.body_raw(raw),
     )
-    odd = mime.needs_parser(F.col("__head"), raw, decode)
+    if decode:
+        plain = mime.base64_text(F.col("__head"), F.col("__body"))
+        cut = once(cut, __decoded=plain)
+    else:
+        cut = cut.withColumn("__decoded", F.lit(None).cast("string"))
+    odd = mime.needs_parser(F.col("__head"), raw, decode, F.col("__decoded"))
     routed = once(cut, __odd=F.coalesce(odd, F.lit(False)))
     narrow = (
         routed.withColumn("__there", raw.isNotNull())
@@ -47,7 +52,7 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
         *[c for c in df.columns if c != column],
         either("ok", F.col("__there")).alias("parsed"),
         either("subject", subject),
-        either("body", F.col("__body")),
+        either("body", F.coalesce("__decoded", "__body")),
     )
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.operators import assemble
-from mailsift.operators.clean import Profile, clean, funnel
+from mailsift.operators.clean import Profile, funnel_of, kept_of, mark
 from mailsift.operators.dedup import text_digest
-from mailsift.operators.parse import drop_unparsed, exclude_ordinals, parse_messages, stamp
+from mailsift.operators.parse import exclude_ordinals, parse_messages, stamp
 from mailsift.sources.readers import read_mbox, read_raw_csv, read_tagged
 from mailsift.sources.scratch import land
 
@@ -41,12 +41,12 @@ def tagged_source(spark: SparkSession, tags: Mapping[str, tuple[int, int]], na_t
 def clean_source(df: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """Cleaned mail of a parsed source, and the report of what was removed.
 
-    Parsed rows are landed first: both results read them, raw files are read and parsed
-    once, scan order is fixed, and what came from one large CSV file can be split.
+    Cleaned and marked rows are landed first: both results read them, so raw files are
+    read, parsed and cleaned once, scan order is fixed, and what came from one large CSV
+    file can be split.
     """
-    parsed = land(df, "parsed")
-    cleaned = clean(drop_unparsed(parsed), profile, ("dataset", *FILE_ORDER))
-    return cleaned.drop(*FILE_ORDER), funnel(parsed, profile, parsed=F.col("parsed"))
+    marked = land(mark(df, profile, F.col("parsed")), "marked")
+    return kept_of(marked, ("dataset", *FILE_ORDER)).drop(*FILE_ORDER), funnel_of(marked)
 
 
 def add_key(df: DataFrame) -> DataFrame:
@@ -66,4 +66,4 @@ def build_dataset(*cleaned: DataFrame, seed: int = assemble.SEED) -> DataFrame:
     """
     mails = land(add_key(assemble.union_sources(*cleaned)), "union")
     balanced = land(assemble.balance(mails, seed=seed), "balanced")
-    return assemble.with_index(assemble.stratified_split(balanced, seed=seed), seed=seed)
+    return land(assemble.with_index(assemble.stratified_split(balanced, seed=seed), seed=seed), "dataset")
