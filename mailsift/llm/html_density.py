@@ -25,10 +25,10 @@ BLOCKS = frozenset(
 ASIDE_TAGS = frozenset(
     "nav footer aside form menu dialog button select datalist object svg canvas audio video math template head".split()
 )
-#: Words of class, id and role attributes that name what surrounds an article.
+#: Words of class, id, role and aria-label attributes that name what surrounds an article.
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs consent "
-    "contentinfo cookie cookies footer gdpr header login masthead menu modal nav navbar navigation newsletter "
+    "ad ads advert adverts advertisement advertising adsense alert announcement banner breadcrumb breadcrumbs consent "
+    "contentinfo cookie cookies footer gdpr login masthead menu modal nav navbar navigation newsletter "
     "notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion "
     "recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription taboola toolbar topbar widget".split()
@@ -36,6 +36,10 @@ ASIDE_WORDS = frozenset(
 #: The same for what readers write below it; an article element may be one of these.
 READER_WORDS = frozenset("comment comments disqus replies reply respond responses".split())
 ARTICLE_TAGS = ("article", "main")
+#: Beginnings and ends of such words written as one: topnav, menubar, siteheader, commentlist.
+ASIDE_STARTS = ("adverti", "breadcrumb", "cookie", "footer", "menu", "navbar", "newsletter", "sidebar", "sponsor")
+ASIDE_ENDS = ("banner", "cookies", "footer", "menu", "navbar", "sidebar", "topnav", "subnav", "sitenav")
+READER_STARTS, READER_ENDS = ("commentbox", "commentform", "commentlist", "commentsection"), ("comment", "comments")
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?P<value>["']|[^\s>"'][^\s>]*+)?)?""")
@@ -47,13 +51,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     """An element with what the density of its subtree is made of."""
 
-    __slots__ = ("tag", "parent", "parts", "aside", "reader", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "aside", "reader", "chars", "tags", "link_chars", "link_tags", "density", "total", "head")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False, reader: bool = False):
         self.tag, self.parent, self.aside, self.reader = tag, parent, aside, reader
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.head = False
         if parent is not None:
             parent.parts.append(self)
 
@@ -138,6 +143,7 @@ class Tree:
             return at
         aside, reader = _surrounds(tag, attributes)
         node = Node(tag, self.open[-1], aside, reader)
+        node.head = tag == "header" or _HEADER.search(attributes.get("class", "") + " " + attributes.get("id", "")) is not None
         self.nodes.append(node)
         if tag not in VOID:
             if tag in _ENDS or tag in _LISTS:
@@ -185,19 +191,26 @@ _ENDS = {
 
 
 def _surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether an element surrounds the article, and whether readers wrote it."""
+    """Whether an element surrounds the article, and whether readers wrote it.
+
+    The header of a page surrounds the article; that of an article is settled later.
+    """
     if tag in ASIDE_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True, False
     if not attributes:
-        return tag == "header", False
+        return False, False
     if _HIDDEN.search(attributes.get("style", "")):
         return True, False
-    words = {w for a in ("class", "id", "role") if a in attributes for w in _WORDS.split(attributes[a].lower())}
-    if words & READER_WORDS:
+    words = {w for a in _TELLING if a in attributes for w in _WORDS.split(attributes[a].lower())}
+    if any(w in READER_WORDS or w.startswith(READER_STARTS) or w.endswith(READER_ENDS) for w in words):
         return True, True
     if tag in ARTICLE_TAGS:
         return False, False
-    return tag == "header" or not words.isdisjoint(ASIDE_WORDS), False
+    return any(w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) or w.endswith(ASIDE_ENDS) for w in words), False
+
+
+_HEADER = re.compile(r"(?i)(?:^|[^a-z])(?:site|page|top|main)?header(?![a-z])")
+_TELLING = ("class", "id", "role", "aria-label")
 
 
 def _settle(tree: Tree) -> None:
@@ -206,8 +219,8 @@ def _settle(tree: Tree) -> None:
     for node in tree.nodes:  # parents come first
         if node.tag in ARTICLE_TAGS and not node.reader or id(node.parent) in inside and not node.reader:
             inside.add(id(node))
-        if node.tag == "header" and id(node) in inside and node.parent is not tree.root:
-            node.aside = False
+        if node.head and id(node) not in inside and node.tag not in ARTICLE_TAGS:
+            node.aside = True
     for node in tree.nodes:
         if node.tag in ARTICLE_TAGS and not node.reader:
             above = []

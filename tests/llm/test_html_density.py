@@ -26,6 +26,22 @@ def test_article_without_what_surrounds_it():
     assert text == f"Title & more\n{LONG}\nShort.\nOnetwo three four <five>\nFirst\nSecond item"
 
 
+@pytest.mark.parametrize(
+    "what",
+    ['class="topnav"', 'id="main-menu"', 'class="x sideBar-left"', 'aria-label="Main navigation"', 'role="navigation"',
+     'id="commentlist"', 'class="user-comments"', 'style="display: none"', "hidden"],
+)
+def test_surroundings_by_their_attributes(what):
+    part = f"<div {what}><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(page(f"{part}<article class='commentary'><p>{LONG}</p>{part}<p>b</p></article>{part}")) == f"{LONG}\nb"
+
+
+def test_the_header_of_an_article_is_not_that_of_the_page():
+    head = f'<div class="header page-header"><h1>Title</h1><p>{LONG}</p></div>'
+    assert main_text(page(f"{head}<article>{head}<p>{LONG}</p></article>")) == f"Title\n{LONG}\n{LONG}"
+    assert main_text(page(f'<div id="siteheader"><article><p>{LONG}</p></article></div>')) == LONG
+
+
 def test_without_article_element():
     body = f'<div><a href="/">Home</a> <a href="/b">About us</a></div><div id="c"><h2>T</h2><p>{LONG}</p><p>{LONG}</p><p>Ok.</p></div>'
     body += '<div><ul><li><a href="/1">Other story one</a></li><li><a href="/2">Other story two</a></li></ul></div>'
