@@ -9,6 +9,7 @@ import time
 
 from checks.catalog import QUERIES
 from checks.session import local_session
+from mailsift.sources.scratch import clear
 
 HEADLINE = (
     "clean_funnel",
@@ -20,6 +21,8 @@ HEADLINE = (
     "parse_multipart",
     "balance_classes",
     "stratified_split",
+    "build_dataset",
+    "classify_batch",
     "render_chat",
     "compact_keep_links",
     "quality_by_source",
@@ -38,10 +41,11 @@ def seconds(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     spark = local_session()
-    times = {}
+    times: dict[str, float] = {}
     for name in HEADLINE:
         seconds(spark, name, sf_dir)
         times[name] = round(statistics.median(seconds(spark, name, sf_dir) for _ in range(RUNS)), 3)
+    clear(spark)
     print(
         json.dumps(
             {

@@ -333,7 +333,8 @@ def filter_short(spark, sf):
 @query("dedup_exact")
 def dedup_first(spark, sf):
     """Copies under several sources: the lowest source id wins, then the lowest key."""
-    return dedup_exact(_cleaned(spark, sf), order=["dataset", "key"]).select("key", "dataset", "subject")
+    kept = dedup_exact(_cleaned(spark, sf), order=["dataset", "key"])
+    return kept.select("key", "dataset", "subject", "body")
 
 
 @query

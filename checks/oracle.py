@@ -399,7 +399,7 @@ ORACLE: dict[str, str] = {
     ),
     "dedup_exact": using(
         MAIL, CLEANED,
-        select="""SELECT key, dataset, subject FROM cleaned
+        select="""SELECT key, dataset, subject, body FROM cleaned
           QUALIFY row_number() OVER (PARTITION BY subject, body ORDER BY dataset, key) = 1""",
     ),
     "clean_funnel": using(MAIL, CLEANED, select=funnel_sql()),
