@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, as `bytes.split` and `bytes.strip` take it.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Entries that a Python worker keeps in a cache before it starts the cache anew.
-CACHE_ENTRIES = 1_500_000
+#: Entries that a Python worker keeps in a cache, some 200 bytes each, and of those for
+#: which looking them up saves little.
+CACHE_ENTRIES, SMALL_CACHE_ENTRIES = 1_000_000, 250_000
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -86,12 +88,19 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+def halve(cache: dict) -> None:
+    """Forget the younger half: what came first is what comes most often."""
+    older = list(islice(cache.items(), len(cache) // 2))
+    cache.clear()
+    cache.update(older)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+        if len(self) >= SMALL_CACHE_ENTRIES:
+            halve(self)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 

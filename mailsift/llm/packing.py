@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import CACHE_ENTRIES, id_and_text, map_rows
+from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, map_rows
 from mailsift.llm.tokens import chunks
 from mailsift.sources.scratch import land
 
@@ -50,8 +50,8 @@ class _Encoded(dict):
         if not new:
             return
         if len(self) + len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = list(set(parts))
+            halve(self)
+            new = [c for c in set(parts) if c not in self]
         found = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
         self.update(zip(new, (_bytes(e.ids) for e in found)))
 

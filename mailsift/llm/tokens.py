@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import CACHE_ENTRIES, id_and_text, map_rows
+from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, map_rows
 
 #: How byte-level vocabularies of this kind split text before they merge; a fixed value.
 PATTERN = (
@@ -101,7 +101,7 @@ class _Pieces(dict):
         count = count_merged([self.symbols[b] for b in piece.encode()], self.ranks)
         if len(piece) <= 64:
             if len(self) >= CACHE_ENTRIES // 2:
-                self.clear()
+                halve(self)
             self[piece] = count
         return count
 
@@ -121,7 +121,7 @@ class _Chunks(dict):
         count = self.whole(" " + chunk)
         if len(chunk) <= 64:
             if len(self) >= CACHE_ENTRIES:
-                self.clear()
+                halve(self)
             self[chunk] = count
         return count
 

@@ -100,3 +100,12 @@ def test_encoding_equals_the_library(prose, odd_texts):
     encoded = packing._Encoded(PATH)
     for text in [*filter(None, odd_texts), prose(3, 500), " ".join(prose(i, 3) for i in range(50))]:
         assert np.frombuffer(encoded.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+
+
+def test_a_full_cache_forgets_and_goes_on(prose, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 300)
+    encoded = packing._Encoded(PATH)
+    for seed in range(20):
+        text = prose(seed, 150)
+        assert np.frombuffer(encoded.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+    assert len(encoded) <= 450

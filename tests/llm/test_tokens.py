@@ -62,3 +62,9 @@ def test_heap_equals_repeated_scan():
 @pytest.mark.parametrize("n", [20_000, 80_000])
 def test_long_words_take_n_log_n(n):
     assert count("ab" * n) == library("ab" * n)
+
+
+def test_a_full_cache_forgets_and_goes_on(prose, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 200)
+    counted = tokens.counter.__wrapped__(PATH)
+    assert all(counted(t) == library(t) for t in (prose(s, 150) for s in range(20)))
