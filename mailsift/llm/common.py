@@ -52,9 +52,8 @@ def map_rows(
     def run(batches):
         function = make()
         for batch in batches:
-            # A few rows at a time: a batch may hold many long texts.
             rows = []
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
+            for values in rows_of(batch):
                 rows.extend(function(*values))
                 if len(rows) >= 4096:
                     yield _batch(rows, arrow)
@@ -65,6 +64,12 @@ def map_rows(
     return out.mapInArrow(run, schema)
 
 
+def rows_of(batch: pa.RecordBatch, few: int = 256) -> Iterator[tuple]:
+    """Rows as Python values, a few at a time: a batch may hold many long texts."""
+    for start in range(0, batch.num_rows, few):
+        yield from zip(*(c.to_pylist() for c in batch.slice(start, few).columns))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema
@@ -109,9 +114,17 @@ class WordHashes(dict):
 
 
 @functools.lru_cache(maxsize=1)
+def kept(make: Callable, *args):
+    """What ``make`` makes, kept by this worker process for later tasks of the same kind.
+
+    Only one such thing is kept: a task of another operator lets go of it, so the caches
+    of several operators do not add up.
+    """
+    return make(*args)
+
+
 def word_hashes() -> WordHashes:
-    """The hashes of this worker process."""
-    return WordHashes()
+    return kept(WordHashes)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import functools
+import json
 import os
 import zlib
 from array import array
 from collections import defaultdict
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, map_rows
-from mailsift.llm.tokens import chunks
+from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, kept, map_rows
+from mailsift.llm.tokens import byte_symbols, chunks, read_vocabulary
 from mailsift.sources.scratch import land
 
 SEQUENCE_LENGTH, END_ID = 2048, 1
+#: How byte-level vocabularies of this kind split text before they merge; a fixed value.
+TIKTOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one length are numbered in so many parts; a fixed number, whatever the input.
 RANK_PARTS = 4096
 
@@ -31,7 +32,11 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 # --- tokens -------------------------------------------------------------------------
 
 
-class _Encoded(dict):
+#: Longer strings go to the library itself, whose time is bounded for any text.
+_LONG_CHUNK = 1000
+
+
+class Encoded(dict):
     """Ids, as little-endian 32-bit numbers, of a chunk with the space in front of it."""
 
     def __init__(self, path: str):
@@ -40,36 +45,46 @@ class _Encoded(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merged = _by_ranks(path) or self._by_library
+
+    def _by_library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def learn(self, parts: list[str]) -> None:
-        """Encode the chunks not seen before, all at once."""
-        new = [c for c in set(parts) if c not in self]
-        if not new:
-            return
-        if len(self) + len(new) > CACHE_ENTRIES:
-            halve(self)
-            new = [c for c in set(parts) if c not in self]
-        found = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-        self.update(zip(new, (_bytes(e.ids) for e in found)))
+        return _bytes((self.merged if len(text) <= _LONG_CHUNK else self._by_library)(text))
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.whole(" " + chunk)
+        if len(chunk) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                halve(self)
+            self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self.whole(text)
+            return _bytes(self._by_library(text))
         parts = iter(chunks(text))
-        out = [self.whole(next(parts))]
-        while some := list(islice(parts, 100_000)):
-            self.learn(some)
-            out += map(self.__getitem__, some)
-        return b"".join(out)
+        return self.whole(next(parts)) + b"".join(map(self.__getitem__, parts))
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str) -> _Encoded:
-    """One for each worker process, so that later tasks know what earlier ones met."""
-    return _Encoded(path)
+def _by_ranks(path: str):
+    """The merges of a vocabulary file as ranks, which a lighter library applies to words.
+
+    Only where ids stand in the order of the merges, so that ranks are ids; the results
+    are then those of the file's own library.
+    """
+    import tiktoken
+
+    ranks, _ = read_vocabulary(path)
+    with open(path, encoding="utf-8") as file:
+        ids = json.load(file)["model"]["vocab"]
+    if any(ids.get(a + b) != 256 + rank for (a, b), rank in ranks.items()):
+        return None
+    byte_of = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
+    as_bytes = {bytes(byte_of[c] for c in token): i for token, i in ids.items() if i < 256 + len(ranks)}
+    encoding = tiktoken.Encoding("ranks", pat_str=TIKTOKEN_PATTERN, mergeable_ranks=as_bytes, special_tokens={})
+    return encoding.encode_ordinary
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -86,7 +101,7 @@ def cut(
     """
 
     def make():
-        encoded = encoder(vocabulary)
+        encoded = kept(Encoded, vocabulary)
         end = _bytes([END_ID])
 
         def row(i, value):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -11,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, map_rows
+from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, kept, map_rows
 
 #: How byte-level vocabularies of this kind split text before they merge; a fixed value.
 PATTERN = (
@@ -126,12 +125,8 @@ class _Chunks(dict):
         return count
 
 
-@functools.lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[str], int]:
-    """A function that counts the tokens of a text; special strings are one token each.
-
-    One for each worker process, so that later tasks know what earlier ones have counted.
-    """
+    """A function that counts the tokens of a text; special strings are one token each."""
     ranks, special = read_vocabulary(path)
     by_chunk = _Chunks(ranks)
     marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -165,7 +160,7 @@ def count_tokens(
     """
 
     def make():
-        count = counter(vocabulary)
+        count = kept(counter, vocabulary)
 
         def row(i, value):
             value = value or ""

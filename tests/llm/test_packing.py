@@ -12,6 +12,7 @@ from mailsift.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+ENCODED = packing.Encoded(PATH)
 
 
 def ids_of(text):
@@ -97,14 +98,26 @@ def test_slots_cover_every_rank():
 
 
 def test_encoding_equals_the_library(prose, odd_texts):
-    encoded = packing._Encoded(PATH)
+    encoded = packing.Encoded(PATH)
     for text in [*filter(None, odd_texts), prose(3, 500), " ".join(prose(i, 3) for i in range(50))]:
         assert np.frombuffer(encoded.encode(text), "<u4").tolist() == ids_of(text)[:-1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet=" \n\t'stlreab1.,\u00a0\u3000\u00e9\x1c\x85", max_size=40))
+def test_any_text_is_encoded_as_by_the_library(text):
+    text = text.encode("utf-8", "replace").decode()
+    assert np.frombuffer(ENCODED.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+
+
+def test_long_strings_go_to_the_library(prose):
+    text = "a" * 5000 + " " * 5000 + prose(1, 5) + "\n" * 3000 + "!" * 4000
+    assert np.frombuffer(ENCODED.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+
+
 def test_a_full_cache_forgets_and_goes_on(prose, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 300)
-    encoded = packing._Encoded(PATH)
+    encoded = packing.Encoded(PATH)
     for seed in range(20):
         text = prose(seed, 150)
         assert np.frombuffer(encoded.encode(text), "<u4").tolist() == ids_of(text)[:-1]
