@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import CACHE_ENTRIES, halve, id_and_text, kept, map_rows
+from mailsift.llm.common import SMALL_CACHE_ENTRIES, halve, id_and_text, kept, map_rows
 from mailsift.llm.tokens import byte_symbols, chunks, read_vocabulary
 from mailsift.sources.scratch import land
 
@@ -56,7 +56,7 @@ class Encoded(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.whole(" " + chunk)
         if len(chunk) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= SMALL_CACHE_ENTRIES:
                 halve(self)
             self[chunk] = ids
         return ids
