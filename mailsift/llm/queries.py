@@ -146,7 +146,10 @@ FROM judged GROUP BY ALL HAVING count(DISTINCT q) >= 0.5 * item_windows
 
 @query
 def op5_quality_classifier(spark, sf):
-    return quality.classify(table(spark, sf, "documents"), quality.trusted_ids(table(spark, sf, "labels")))
+    judged = quality.classify(table(spark, sf, "documents"), quality.trusted_ids(table(spark, sf, "labels")))
+    # Labels tell quality and toxicity apart, and so does the query: `kept` speaks of quality
+    # alone, `strange` of words as toxic texts have. The pipeline drops documents for either.
+    return judged.withColumn("kept", F.col("fluent")).drop("fluent")
 
 
 # Conversations have no tool calls, so each user turn is read as a call whose answer is the
