@@ -23,7 +23,8 @@ BLOCKS = frozenset(
 
 #: Elements that never hold the article's text.
 ASIDE_TAGS = frozenset(
-    "nav footer aside form menu dialog button select datalist object svg canvas audio video math template head".split()
+    "nav footer aside menu dialog button select datalist object svg canvas audio video annotation annotation-xml "
+    "template head".split()
 )
 #: Words of class, id, role and aria-label attributes that name what surrounds an article.
 ASIDE_WORDS = frozenset(
@@ -33,6 +34,15 @@ ASIDE_WORDS = frozenset(
     "recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription taboola toolbar topbar widget".split()
 )
+#: Those of them that may as well name a part of the article: such a part goes only where it
+#: is short or mostly links.
+UNSURE_WORDS = frozenset(
+    "alert announcement banner login notice notices notification promotion recommended related search share sharing "
+    "signup skip social subscription widget".split()
+)
+#: Fewer characters than this are short.
+SHORT = 60
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The same for what readers write below it; an article element may be one of these.
 READER_WORDS = frozenset("comment comments disqus replies reply respond responses".split())
 ARTICLE_TAGS = ("article", "main")
@@ -51,10 +61,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     """An element with what the density of its subtree is made of."""
 
-    __slots__ = ("tag", "parent", "parts", "aside", "reader", "chars", "tags", "link_chars", "link_tags", "density", "total", "head")
+    __slots__ = ("tag", "parent", "parts", "aside", "reader", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "head")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False, reader: bool = False):
-        self.tag, self.parent, self.aside, self.reader = tag, parent, aside, reader
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, reader: bool = False, named: str = ""):
+        self.tag, self.parent, self.aside, self.reader, self.named = tag, parent, aside, reader, named
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -141,8 +151,7 @@ class Tree:
         if tag == "br":
             self._text(" ")
             return at
-        aside, reader = _surrounds(tag, attributes)
-        node = Node(tag, self.open[-1], aside, reader)
+        node = Node(tag, self.open[-1], *_surrounds(tag, attributes))
         node.head = tag == "header" or _HEADER.search(attributes.get("class", "") + " " + attributes.get("id", "")) is not None
         self.nodes.append(node)
         if tag not in VOID:
@@ -190,29 +199,65 @@ _ENDS = {
 }
 
 
-def _surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether an element surrounds the article, and whether readers wrote it.
+def _surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, str]:
+    """Whether an element surrounds the article, whether readers wrote it, and if its name tells.
 
-    The header of a page surrounds the article; that of an article is settled later.
+    A name is SURE or UNSURE; `_weigh` has the last word on these. The header of a page
+    surrounds the article; that of an article is settled later.
     """
     if tag in ASIDE_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True, False
-    if not attributes:
-        return False, False
+        return True, False, ""
     if _HIDDEN.search(attributes.get("style", "")):
-        return True, False
+        return True, False, ""
+    if tag in HEADINGS:
+        return False, False, ""
     words = {w for a in _TELLING if a in attributes for w in _WORDS.split(attributes[a].lower())}
     if any(w in READER_WORDS or w.startswith(READER_STARTS) or w.endswith(READER_ENDS) for w in words):
-        return True, True
+        return True, True, SURE
     if tag in ARTICLE_TAGS:
-        return False, False
-    return any(w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) or w.endswith(ASIDE_ENDS) for w in words), False
+        return False, False, ""
+    telling = {w for w in words if w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) or w.endswith(ASIDE_ENDS)}
+    if tag == "form" or telling - UNSURE_WORDS:
+        return True, False, SURE
+    return bool(telling), False, UNSURE if telling else ""
 
 
+SURE, UNSURE = "sure", "unsure"
 _HEADER = re.compile(r"(?i)(?:^|[^a-z])(?:site|page|top|main)?header(?![a-z])")
 _TELLING = ("class", "id", "role", "aria-label")
 
 
+def _weigh(tree: Tree, lenient: bool) -> None:
+    """Keep what only its name makes an aside, if what it holds says otherwise.
+
+    A name that may be a section's counts for short parts and for links. Without an article
+    element, no name hides most of the page's text. A lenient look goes by no name at all.
+    """
+    chars = {id(n): 0 for n in tree.nodes}
+    links = dict(chars)
+    for node in reversed(tree.nodes):
+        if node.aside and not node.named:
+            continue
+        for part in node.parts:
+            if isinstance(part, str):
+                chars[id(node)] += sum(map(len, part.split()))
+        if node.tag == "a":
+            links[id(node)] = chars[id(node)]
+        if node.parent is not None:
+            chars[id(node.parent)] += chars[id(node)]
+            links[id(node.parent)] += links[id(node)]
+    article = any(n.tag in ARTICLE_TAGS and not n.reader for n in tree.nodes)
+    for node in tree.nodes:
+        own, linked = chars[id(node)], links[id(node)]
+        most = not article and 2 * own > chars[id(tree.root)]
+        if node.named and (
+            lenient or most and not node.reader or node.named == UNSURE and own >= SHORT and 2 * linked < own
+        ):
+            node.aside = node.reader = False
+        if most or lenient:
+            node.head = False
+
+
 def _settle(tree: Tree) -> None:
     """Let go of the article what only seemed to surround it."""
     inside: set[int] = set()
@@ -291,9 +336,13 @@ def _chosen(tree: Tree) -> tuple[Node, float]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for node in path:
-        if node.tag in ARTICLE_TAGS:
-            return node, threshold
+    articles = [n for n in path if n.tag in ARTICLE_TAGS]
+    if articles:
+        # An article within another is a part of it; articles side by side are parts of their parent.
+        top = ([articles[0]] + [n for n in articles if n.tag == "article"])[-1]
+        beside = [x for x in top.parent.parts if isinstance(x, Node) and x is not top and x.tag == top.tag]
+        prose = [x for x in beside if not x.aside and x.chars >= SHORT and 2 * x.link_chars < x.chars]
+        return top.parent if prose else top, threshold
     chosen = best
     for node in path[1:]:
         if any(_dense(x, threshold) for x in node.parts if isinstance(x, Node) and x is not chosen):
@@ -308,12 +357,21 @@ def _dense(node: Node, threshold: float) -> bool:
 
 
 def _link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol") and node.link_tags > 1 and 10 * node.link_chars >= 9 * node.chars
+    """Whether an element is a list of links with short labels, as menus are and sources are not."""
+    links = node.tag in ("ul", "ol") and node.link_tags > 1 and 10 * node.link_chars >= 9 * node.chars
+    return links and node.link_chars < SHORT // 2 * node.link_tags
+
+
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag != "article":
+        node = node.parent
+    return node is not None
 
 
 def _blocks(top: Node) -> list[str]:
     """Texts of the blocks of a subtree in page order, white space made single."""
     blocks: list[list[str]] = [[]]
+    lists = _in_article(top) or any(isinstance(x, Node) and x.tag == "article" for x in top.parts)
     work: list[str | Node | None] = [top]
     while work:
         part = work.pop()
@@ -321,7 +379,7 @@ def _blocks(top: Node) -> list[str]:
             blocks.append([])
         elif isinstance(part, str):
             blocks[-1].append(part)
-        elif part is top or not (part.aside or _link_list(part)):
+        elif part is top or not (part.aside or not lists and _link_list(part)):
             if part.tag in BLOCKS:
                 blocks.append([])
                 work.append(None)
@@ -334,12 +392,17 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds."""
     if not page:
         return ""
-    tree = Tree(page)
-    _settle(tree)
-    _cover(tree)
-    _measure(tree)
-    top, _ = _chosen(tree)
-    return "\n".join(_blocks(top))
+    for lenient in (False, True):
+        tree = Tree(page)
+        _weigh(tree, lenient)
+        _settle(tree)
+        _cover(tree)
+        _measure(tree)
+        top, _ = _chosen(tree)
+        blocks = _blocks(top)
+        if blocks or not any(n.named or n.head for n in tree.nodes):
+            break
+    return "\n".join(blocks)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -350,8 +413,10 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
     widened to the article or main element around it, or else to parents with other
     children as dense as the least dense element between it and the body. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-    left out by element, class, id and role before densities are taken, and so are lists
-    of links. Character references are decoded, white space in a block becomes one space,
+    left out by element, class, id and role before densities are taken. A name alone hides
+    no heading, no long part in prose if it may name a section, and not most of a page
+    without an article element; where nothing is left, names do not count. Outside an
+    article, lists of links with short labels are left out. Character references are decoded, white space in a block becomes one space,
     blocks are joined by one line feed; nothing else is dropped.
 
     Pages are read one at a time in one pass without a shuffle, in time and memory linear

@@ -94,6 +94,35 @@ def test_hostile_pages_take_linear_time(piece, tail):
     assert large < 30 * small + 1
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content with-sidebar'", "form", "div class='header'", "div class='user-comments'"])
+def test_a_name_does_not_hide_the_whole_page(wrapper):
+    body = f"<{wrapper}><h2>T</h2><p>{LONG}</p><p>{LONG}</p></{wrapper.split()[0]}>"
+    assert main_text(page(body)) == f"T\n{LONG}\n{LONG}"
+
+
+def test_parts_of_an_article_with_telling_names():
+    text = main_text(page(
+        f'<article><h1 id="search">Search</h1><p>{LONG}</p><section id="related-work"><h2 id="related-work">Related work</h2>'
+        f'<p>{LONG}</p></section><div class="notice"><p>{LONG}</p></div><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn>'
+        '<annotation>x=1</annotation></math></p><div class="share">Share this</div>'
+        f'<div class="related"><a href="/">{LONG}</a></div></article>'
+    ))
+    assert text == f"Search\n{LONG}\nRelated work\n{LONG}\n{LONG}\nso x=1"
+
+
+def test_sources_of_an_article():
+    sources = '<ol><li><a href="/1">Source one</a></li><li><a href="/2">Source two</a></li></ol>'
+    assert main_text(page(f"<article><p>{LONG}</p>{sources}</article>")) == f"{LONG}\nSource one\nSource two"
+
+
+def test_several_articles():
+    long, short = (f"<article>{f'<p>{LONG}</p>' * n}</article>" for n in (4, 1))
+    body = f'<div class="nav"><a href="/">Home</a></div><div id="c">{long}{short}</div>'
+    assert main_text(page(body)) == "\n".join([LONG] * 5)
+    nested = f"<article><p>{LONG}</p>{long}</article>"
+    assert main_text(page(nested)) == "\n".join([LONG] * 5)
+
+
 def test_density():
     assert density(0, 0, 0, 0, 0.0) == 0.0
     assert density(400, 2, 0, 0, 0.1) > density(400, 8, 0, 0, 0.1) > density(400, 8, 300, 6, 0.1) > 0
