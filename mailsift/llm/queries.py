@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import decontam, html_density, langid, lines, minhash, packing, quality, rules, tokens, toolcalls
+from mailsift.llm import (
+    decontam, html_density, langid, lines, minhash, packing, pq, quality, rules, structure, token_files, tokens, toolcalls,
+)
 from mailsift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,3 +287,61 @@ def op10_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "quality",
     )
+
+
+@query
+def op11_token_files(spark, sf):
+    return token_files.roundtrip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    return structure.repair_conversations(table(spark, sf, "conversations"))
+
+
+@query
+def op13_vector_codes(spark, sf):
+    return pq.quantize(table(spark, sf, "embeddings"))
+
+
+# One round after the other, each as the assignment of all parts and the entries that follow.
+def _pq_sql() -> str:
+    def assigned(entries: str) -> str:
+        return f"""
+    SELECT vec_id, p, arg_min(struct_pack(e := e, d := d), struct_pack(d := d, e := e)) AS best FROM (
+        SELECT x.vec_id, x.p, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts x JOIN {entries} c USING (p)) GROUP BY ALL"""
+
+    rounds = "".join(
+        f"""), a{i} AS MATERIALIZED ({assigned(f"c{i}")}
+), c{i + 1} AS MATERIALIZED (
+    SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT p, e, list(floored ORDER BY k) AS v FROM (
+            SELECT p, e, k, (s - ((s % n) + n) % n) // n AS floored FROM (
+                SELECT p, best.e AS e, k, sum(x)::BIGINT AS s, count(*) AS n
+                FROM (SELECT vec_id, p, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM parts) JOIN a{i} USING (vec_id, p)
+                GROUP BY ALL)) GROUP BY ALL) m ON m.p = c.p AND m.e = c.e
+"""
+        for i in range(pq.ROUNDS)
+    )
+    last = f"c{pq.ROUNDS}"
+    return f"""
+WITH vectors AS (
+    SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM vectors, range(4) AS t(p)
+), c0 AS MATERIALIZED (
+    SELECT p, e, v FROM parts JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM vectors ORDER BY vec_id LIMIT 256) USING (vec_id)
+{rounds}), coded AS (
+    SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+    FROM ({assigned(last)}) GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256
+FROM coded JOIN vectors USING (vec_id)
+"""
+
+
+ORACLE["op13_vector_codes"] = _pq_sql()
