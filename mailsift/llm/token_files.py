@@ -20,7 +20,7 @@ from mailsift.sources.scratch import scratch_path
 END_ID = 0
 #: Ids of a block, which has a grammar of its own. A shard is one block, or more if its last
 #: document is longer than that.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: A pair becomes a rule if it is found so often; the rarest pairs of a round are so many
 #: times rarer than its most frequent; rounds end when one saves less than this share.
 LEAST_COUNT, SPREAD, LEAST_GAIN = 8, 64, 1 / 32
@@ -29,15 +29,33 @@ ROW_GROUP = 32 << 20
 
 # --- grammars -----------------------------------------------------------------------
 
+#: Pairs that become rules are looked up in so many slots (as a power of two) by their hash.
+#: Of two pairs in one slot the rarer waits for the next round, which hashes in another way.
+_SLOT_BITS = 16
+#: Ids below this are numbered by a table, larger ones by sorting.
+_TABLE = 1 << 22
 
-def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, ascending, and the place of each id among them."""
+    if not len(ids) or int(ids.max()) >= _TABLE:
+        return np.unique(ids, return_inverse=True)
+    there = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(int(ids.max()) + 1, np.uint32)
+    place[there] = np.arange(len(there))
+    return there, place[ids]
+
+
+def _frequent(keys: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that become rules in this round, ascending, and how often each is found."""
     keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     counts = np.diff(np.append(first, len(keys)))
-    if not len(counts) or counts.max() < LEAST_COUNT:
+    if not len(keys) or not room or counts.max() < LEAST_COUNT:
         return keys[:0], counts[:0]
-    often = counts >= max(LEAST_COUNT, counts.max() // SPREAD)
+    often = np.flatnonzero(counts >= max(LEAST_COUNT, counts.max() // SPREAD))
+    if len(often) > room:
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
     return keys[first[often]], counts[often]
 
 
@@ -47,168 +65,152 @@ def _places(weights: np.ndarray) -> np.ndarray:
     ``weights`` has the weight of the pair at each place, 0 for none. Equal weights side by
     side are the same pair over one symbol (aaaa), of which every second place counts.
     """
-    at = np.flatnonzero(weights)
-    w = weights[at]
-    joined = np.zeros(len(at) + 1, bool)
-    joined[1:-1] = at[1:] == at[:-1] + 1
-    same = joined[:-1].copy()
-    same[1:] &= w[1:] == w[:-1]
-    begins = np.flatnonzero(~same)
-    along = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-    at, w = at[along % 2 == 0], w[along % 2 == 0]
-    joined = np.zeros(len(at) + 1, bool)
-    joined[1:-1] = at[1:] == at[:-1] + 1
-    left = np.concatenate(([0], w[:-1])) * joined[:-1]
-    right = np.concatenate((w[1:], [0])) * joined[1:]
-    return at[(w > left) & (w > right)]
-
-
-def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    again = np.flatnonzero((weights[1:] == weights[:-1]) & (weights[1:] > 0)) + 1
+    if len(again):
+        begins = np.flatnonzero(np.diff(again, prepend=-2) > 1)
+        along = np.arange(len(again)) - np.repeat(begins, np.diff(np.append(begins, len(again))))
+        weights[again[along % 2 == 0]] = 0
+    best = weights > 0
+    best[1:] &= weights[1:] > weights[:-1]
+    best[:-1] &= weights[:-1] > weights[1:]
+    return np.flatnonzero(best)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs by new symbols until none is frequent.
 
-    ``ends`` is true at the last id of a document; no pair goes beyond it. Returns the
-    symbols that are left, where documents end among them, the rules as pairs, and the
-    first new symbol. Rule i is symbol ``base + i`` and uses earlier symbols only. A round
-    replaces all pairs that are about as frequent as the most frequent one.
+    ``ends`` has the places of the last ids of documents; no pair goes beyond one. Returns
+    the symbols that are left, the places of document ends among them, the rules as pairs
+    of symbols, and the different ids. These are symbols 0, 1, ...; rules are the symbols
+    behind them and use earlier symbols only. A round replaces all pairs that are about as
+    frequent as the most frequent one.
     """
-    base = int(ids.max()) + 1 if len(ids) else 0
-    symbols, ends = ids.astype(np.int64), ends.copy()
-    rules: list[np.ndarray] = []
-    made = 0
+    terminals, symbols = _numbered(ids)
+    made, rules, rounds = len(terminals), [], 0
+    half, whole, bits = (np.uint16, np.uint32, 16) if made < 1 << 15 else (np.uint32, np.uint64, 32)
+    odd, down = 0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15, whole(2 * bits - _SLOT_BITS)
+    symbols = symbols.astype(half)
     while len(symbols) > 1:
-        keys, inside = symbols[:-1] << 32 | symbols[1:], ~ends[:-1]
-        pairs, counts = _frequent(keys[inside])
+        keys = symbols[:-1].astype(whole)
+        keys <<= whole(bits)
+        keys |= symbols[1:]
+        closed = ends[ends < len(keys)]
+        pairs, counts = _frequent(np.delete(keys, closed), (1 << bits) - made)
         if not len(pairs):
             break
-        weight = np.empty(len(pairs), np.int64)
-        weight[np.argsort(counts, kind="stable")] = np.arange(1, len(pairs) + 1)
-        found = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        weights = np.where((pairs[found] == keys) & inside, weight[found], 0)
+        # Heavier pairs are written later, so they win their slots.
+        rising = np.argsort(counts, kind="stable")
+        slot = ((pairs * whole(odd + 2 * rounds)) >> down)[rising]
+        owner = np.zeros(1 << _SLOT_BITS, np.int32)
+        weight = np.zeros(1 << _SLOT_BITS, np.int32)
+        owner[slot], weight[slot] = rising, np.arange(1, len(pairs) + 1)
+        key_of = pairs[owner]
+        slots = (keys * whole(odd + 2 * rounds)) >> down
+        weights = weight[slots]
+        weights *= key_of[slots] == keys
+        weights[closed] = 0
         at = _places(weights)
-        uses = np.bincount(found[at], minlength=len(pairs))
-        worth = uses >= LEAST_COUNT // 2
-        at = at[worth[found[at]]]
+        which = owner[slots[at]]
+        worth = np.bincount(which, minlength=len(pairs)) >= LEAST_COUNT // 2
+        at, which = at[worth[which]], which[worth[which]]
         if not len(at):
             break
-        number = np.cumsum(worth) - 1
-        symbols[at] = base + made + number[found[at]]
-        ends[at] = ends[at + 1]
-        left = np.ones(len(symbols), bool)
-        left[at + 1] = False
+        symbols[at] = (made + np.cumsum(worth) - 1)[which]
+        ends = ends - np.searchsorted(at + 1, ends, "right")
+        n = len(symbols)
+        symbols = np.delete(symbols, at + 1)
         rules.append(pairs[worth])
-        made += int(worth.sum())
-        symbols, ends = symbols[left], ends[left]
-        if len(at) < LEAST_GAIN * len(left):
+        made, rounds = made + int(worth.sum()), rounds + 1
+        if len(at) < LEAST_GAIN * n:
             break
-    joined = np.concatenate(rules) if rules else np.empty(0, np.int64)
-    return symbols, ends, np.stack([joined >> 32, joined & 0xFFFFFFFF], 1), base
+    joined = np.concatenate(rules) if rules else np.empty(0, whole)
+    return symbols, ends, np.stack([joined >> whole(bits), joined & whole((1 << bits) - 1)], 1), terminals
 
 
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids that each rule stands for."""
-    lengths: list[int] = []
+def expansion_lengths(rules: np.ndarray, n_terminals: int) -> np.ndarray:
+    """Ids that each symbol stands for."""
+    lengths = [1] * n_terminals
     for a, b in rules.tolist():
-        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
+        lengths.append(lengths[a] + lengths[b])
     return np.array(lengths, np.int64)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """Ids that symbols stand for; only the rules that they need are written out."""
-    is_rule = symbols >= base
-    size = np.ones(len(symbols), np.int64)
-    size[is_rule] = lengths[symbols[is_rule] - base]
-    starts = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
-    out[starts[~is_rule]] = symbols[~is_rule]
-    if is_rule.any():
-        used, inverse = np.unique(symbols[is_rule], return_inverse=True)
-        written = _written(used - base, rules, base)
-        flat = np.frombuffer(b"".join(written), "<u4")
-        of_rule = lengths[used - base]
-        origin = (np.cumsum(of_rule) - of_rule)[inverse]
-        n = size[is_rule]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(starts[is_rule], n) + step] = flat[np.repeat(origin, n) + step]
-    return out
-
-
-def _written(wanted: np.ndarray, rules: np.ndarray, base: int) -> list[bytes]:
-    """Ids of the wanted rules as bytes; rules come after those that they use."""
-    needed = np.zeros(len(rules), bool)
-    needed[wanted] = True
-    pairs = rules.tolist()
-    for i in range(int(wanted.max()), -1, -1) if len(wanted) < len(rules) else ():
-        if needed[i]:
-            for s in pairs[i]:
-                if s >= base:
-                    needed[s - base] = True
-    out: dict[int, bytes] = {}
-    for i in np.flatnonzero(needed).tolist() if len(wanted) < len(rules) else range(len(pairs)):
-        a, b = pairs[i]
-        out[i] = (out[a - base] if a >= base else a.to_bytes(4, "little")) + (
-            out[b - base] if b >= base else b.to_bytes(4, "little")
-        )
-    return [out[i] for i in wanted.tolist()]
+def expand(symbols: np.ndarray, rules: np.ndarray, terminals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids that symbols stand for; where they are few, only the rules that they need are written out."""
+    n = len(terminals)
+    needed = np.ones(len(rules), bool)
+    if len(symbols) < len(rules):
+        needed[:] = False
+        needed[symbols[symbols >= n] - n] = True
+        for i in range(len(rules) - 1, -1, -1):
+            if needed[i]:
+                for s in rules[i].tolist():
+                    if s >= n:
+                        needed[s - n] = True
+    chosen = np.flatnonzero(needed)
+    written = [t.to_bytes(4, "little") for t in terminals.tolist()] + [b""] * len(rules)
+    for i, (a, b) in zip(chosen.tolist(), rules[chosen].tolist()):
+        written[n + i] = written[a] + written[b]
+    flat = np.frombuffer(b"".join(written), "<u4")
+    there = np.concatenate([np.ones(n, bool), needed])
+    size = np.where(there, lengths, 0)
+    origin, out_size = (np.cumsum(size) - size)[symbols], lengths[symbols]
+    out_start = np.cumsum(out_size) - out_size
+    return flat[np.repeat(origin - out_start, out_size) + np.arange(int(out_size.sum()))]
 
 
 # --- shards -------------------------------------------------------------------------
 
 # A shard, all numbers little-endian: magic, documents, blocks; then per document its id
 # (64 bits), whether that is null (8 bits), and the first id and first symbol of each and of
-# the end (64 bits); then the blocks, each with: rules, symbols, ids, base and bytes of a
-# symbol (32 bits each), the pairs and the expansion lengths of the rules (32 bits), the
-# symbols.
+# the end (64 bits); then the blocks, each with: different ids, rules, symbols, bytes of a
+# symbol (32 bits each), the different ids, the pairs and the expansion lengths of the rules
+# (32 bits each), the symbols.
 _MAGIC = b"RPG1"
-_HEAD, _BLOCK_HEAD = struct.Struct("<4sII"), struct.Struct("<5I")
+_HEAD, _BLOCK_HEAD = struct.Struct("<4sII"), struct.Struct("<4I")
 
 
 def write_shard(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A shard of whole documents: their ids, how many tokens each has, and all tokens."""
-    ends = np.zeros(len(ids), bool)
-    ends[np.cumsum(sizes) - 1] = True
+    upto = np.cumsum(sizes)
     blocks, last = [], []
     before = 0
     for start in range(0, len(ids), block):
         piece = ids[start : start + block]
-        symbols, stops, rules, base = compress(piece, ends[start : start + block])
-        last.append(before + np.flatnonzero(stops) + 1)
+        ends = upto[(upto > start) & (upto <= start + len(piece))] - 1 - start
+        symbols, ends, rules, terminals = compress(piece, ends)
+        last.append(before + ends + 1)
         before += len(symbols)
-        top = base + len(rules)
-        width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
+        width = 2 if symbols.dtype == np.uint16 else 4
         blocks += [
-            _BLOCK_HEAD.pack(len(rules), len(symbols), len(piece), base, width),
+            _BLOCK_HEAD.pack(len(terminals), len(rules), len(symbols), width),
+            terminals.astype("<u4").tobytes(),
             rules.astype("<u4").tobytes(),
-            expansion_lengths(rules, base).astype("<u4").tobytes(),
-            symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes(),
+            expansion_lengths(rules, len(terminals))[len(terminals) :].astype("<u4").tobytes(),
+            symbols.astype(f"<u{width}").tobytes(),
         ]
     known = np.array([0 if i is None else i for i in doc_ids], "<i8")
     null = np.array([i is None for i in doc_ids], np.uint8)
-    tokens = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
+    tokens = np.concatenate(([0], upto)).astype("<u8")
     first = np.concatenate([[0], *last]).astype("<u8")
-    head = _HEAD.pack(_MAGIC, len(doc_ids), len(blocks) // 4)
+    head = _HEAD.pack(_MAGIC, len(doc_ids), len(blocks) // 5)
     return b"".join([head, known.tobytes(), null.tobytes(), tokens.tobytes(), first.tobytes(), *blocks])
 
 
 class _Block:
     def __init__(self, data: memoryview, at: int):
-        n_rules, self.n_symbols, self.n_ids, self.base, width = _BLOCK_HEAD.unpack_from(data, at)
+        n, n_rules, self.n_symbols, width = _BLOCK_HEAD.unpack_from(data, at)
         at += _BLOCK_HEAD.size
-        self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at).reshape(-1, 2)
-        self.lengths = np.frombuffer(data, "<u4", n_rules, at + 8 * n_rules).astype(np.int64)
-        at += 12 * n_rules
-        packed = np.frombuffer(data, np.uint8, width * self.n_symbols, at).reshape(-1, width)
-        wide = np.zeros((self.n_symbols, 4), np.uint8)
-        wide[:, :width] = packed
-        self.symbols = wide.view("<u4").ravel().astype(np.int64)
+        self.terminals = np.frombuffer(data, "<u4", n, at)
+        self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at + 4 * n).reshape(-1, 2)
+        lengths = np.frombuffer(data, "<u4", n_rules, at + 4 * n + 8 * n_rules)
+        self.lengths = np.concatenate([np.ones(n, np.int64), lengths])
+        at += 4 * n + 12 * n_rules
+        self.symbols = np.frombuffer(data, f"<u{width}", self.n_symbols, at).astype(np.int64)
         self.end = at + width * self.n_symbols
 
-    def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        out[symbols >= self.base] = self.lengths[symbols[symbols >= self.base] - self.base]
-        return out
-
     def expand(self, first: int, stop: int) -> np.ndarray:
-        return expand(self.symbols[first:stop], self.rules, self.lengths, self.base)
+        return expand(self.symbols[first:stop], self.rules, self.terminals, self.lengths)
 
 
 class Shard:
@@ -255,7 +257,7 @@ class Shard:
             before += b.n_symbols
             if low >= high:
                 continue
-            upto = seen + np.cumsum(b.sizes(b.symbols[low:high]))
+            upto = seen + np.cumsum(b.lengths[b.symbols[low:high]])
             i, j = np.searchsorted(upto, start, "right"), np.searchsorted(upto, stop, "left")
             if start < stop and i < len(upto):
                 first = int(upto[i - 1]) if i else seen
@@ -373,7 +375,7 @@ def roundtrip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     ``doc_id, start, n_tokens, ids_crc32``.
 
     Tokens are those of the vocabulary's own library without special ones, closed by id 0.
-    Documents are dealt by ranges of id; a task writes shards of about a million ids, one
+    Documents are dealt by ranges of id; a task writes shards of about half a million ids, one
     after another, so it holds one shard and one document. In every block of a shard,
     frequent pairs of ids are replaced by new symbols, round after round; rules and the
     lengths that they expand to are stored, so a document, or some tokens of it, is decoded

@@ -60,27 +60,35 @@ def test_any_tokens_of_a_document_without_the_rest(prose):
     assert shard.ids(2, -5).tolist() == ids[2][-5:]
 
 
-@pytest.mark.parametrize("alphabet", [1, 2, 5, 300])
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 300, 2**32])
 def test_grammars_expand_to_what_they_were_made_of(alphabet):
     rnd = np.random.default_rng(alphabet)
     for n in (0, 1, 2, 3, 50, 5000):
         ids = rnd.integers(0, alphabet, n).astype(np.uint32)
-        ends = rnd.random(n) < 0.02
-        symbols, stops, rules, base = token_files.compress(ids, ends)
-        lengths = token_files.expansion_lengths(rules, base)
-        assert token_files.expand(symbols, rules, lengths, base).tolist() == ids.tolist()
+        ends = np.flatnonzero(rnd.random(n) < 0.02)
+        symbols, stops, rules, terminals = token_files.compress(ids, ends)
+        lengths = token_files.expansion_lengths(rules, len(terminals))
+        assert token_files.expand(symbols, rules, terminals, lengths).tolist() == ids.tolist()
+        few = symbols[:3]
+        assert token_files.expand(few, rules, terminals, lengths).tolist() == ids[: lengths[few].sum()].tolist()
         # No rule goes beyond the end of a document, and rules use earlier symbols only.
-        sizes = np.ones(len(symbols), int)
-        sizes[symbols >= base] = lengths[symbols[symbols >= base] - base]
-        assert (np.cumsum(sizes)[stops] - 1).tolist() == np.flatnonzero(ends).tolist()
-        assert all(max(pair) < base + i for i, pair in enumerate(rules.tolist()))
+        assert (np.cumsum(lengths[symbols])[stops] - 1).tolist() == ends.tolist()
+        assert all(max(pair) < len(terminals) + i for i, pair in enumerate(rules.tolist()))
+
+
+def test_many_different_ids():
+    ids = np.concatenate([np.arange(40_000), np.tile([7, 8, 9], 20_000)]).astype(np.uint32)
+    symbols, _, rules, terminals = token_files.compress(ids, np.empty(0, np.int64))
+    lengths = token_files.expansion_lengths(rules, len(terminals))
+    assert len(rules) and len(symbols) < 60_000
+    assert (token_files.expand(symbols, rules, terminals, lengths) == ids).all()
 
 
 def test_frequent_pairs_are_gone():
     words = [list(range(10 * w, 10 * w + 6)) for w in range(4)]
     rnd = random.Random(3)
     ids = np.array(sum((rnd.choice(words) for _ in range(2000)), []), np.uint32)
-    symbols, _, rules, _ = token_files.compress(ids, np.zeros(len(ids), bool))
+    symbols, _, rules, _ = token_files.compress(ids, np.empty(0, np.int64))
     assert len(symbols) < len(ids) / 6 and len(rules) >= 20
 
 
