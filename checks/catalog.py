@@ -226,6 +226,41 @@ def parse_multipart(spark, sf):
     return rows.select("key", "subject", "body")
 
 
+def quoted_printable(c):
+    """Text with every byte beyond the plainest spelled out, in lines that end softly."""
+    spelled = F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit(" ")), F.lit("%"), F.lit("="))
+    return F.regexp_replace(spelled, "((?:=[0-9A-F]{2}|[^=]){70})", "$1=\n")
+
+
+@query
+def parse_quoted_printable(spark, sf):
+    head = "Subject: mail\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n"
+    message = F.concat(F.lit(head), quoted_printable(B()))
+    mails = fx.mail(spark, sf).select("key", message.alias("message"))
+    return parse.parse_messages(mails, decode=True).select("key", "subject", "body")
+
+
+@query
+def parse_nested(spark, sf):
+    """Alternatives of a text beside an attachment, as mail programs send them."""
+    inner = "\n--outer\nContent-Type: multipart/alternative;\n boundary=\"=_inner\"\n\n--=_inner\nContent-Type: "
+    message = F.concat(
+        F.lit('Subject: mail\nContent-Type: multipart/mixed;\n\tboundary="outer"\n\nnot for mail programs'),
+        F.lit(inner),
+        F.lit("text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n"),
+        quoted_printable(B()),
+        F.lit("\n--=_inner\nContent-Type: text/html\n\n<p>"),
+        S(),
+        F.lit("\n--=_inner--\n\n--outer\nContent-Type: image/png\nContent-Transfer-Encoding: base64\n\n"),
+        F.base64(B().cast("binary")),
+        F.lit("\n--outer\n\n"),
+        S(),
+        F.lit("\n--outer--\n"),
+    )
+    mails = fx.mail(spark, sf).select("key", message.alias("message"))
+    return parse.parse_messages(mails, decode=True).select("key", "subject", "body")
+
+
 @query
 def parse_skip_bad(spark, sf):
     damaged = F.when(K() % 10 != 0, F.col("message")).alias("message")

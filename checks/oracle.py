@@ -362,6 +362,8 @@ ORACLE: dict[str, str] = {
     ),
     "parse_body_decoded": using(MAIL, select="SELECT key, 'mail' AS subject, body FROM mail"),
     "parse_multipart": using(MAIL, select="SELECT key, 'mail' AS subject, subject || body AS body FROM mail"),
+    "parse_quoted_printable": using(MAIL, select="SELECT key, 'mail' AS subject, body FROM mail"),
+    "parse_nested": using(MAIL, select="SELECT key, 'mail' AS subject, body || subject AS body FROM mail"),
     "parse_skip_bad": using(
         MAIL, RAW,
         select=r"""SELECT key, regexp_extract(split_part(message, chr(10) || chr(10), 1),

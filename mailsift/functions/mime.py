@@ -12,13 +12,13 @@ from mailsift.functions.text import let
 
 # Patterns below use `d`, so that `^` and `$` know no line end but "\n".
 _SUBJECT = r"(?imd)^Subject:[ \t]*([^\n]*(?:\n[ \t][^\n]*+)*+)"
-_HEADER_BLOCK = r"\A(?:[!-9;-~]++:[^\n]*+(?:\n[ \t][^\n]*+)*+(?:\n|\z))*+\z"
+HEADER_BLOCK = r"\A(?:[!-9;-~]++:[^\n]*+(?:\n[ \t][^\n]*+)*+(?:\n|\z))*+\z"
 _HAS_SUBJECT = r"(?imd)^Subject:"
 _NESTED = r"(?imd)^Content-Type:[ \t]*+(?:\n[ \t]++)*+(?:multipart|message)/"
 _TRANSFER = r"(?imd)^Content-Transfer-Encoding:"
 _BASE64 = r"(?imd)^Content-Transfer-Encoding:[ \t]*+base64$"
 # Whole groups of four, padding only at the end: what every decoder reads alike.
-_WHOLE_BASE64 = r"\A(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
+WHOLE_BASE64 = r"\A(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 _ENCODED = r"(?imd)^Content-Transfer-Encoding:\s*(?:base64|quoted-printable|(?:x-)?uue)"
 
 
@@ -27,34 +27,40 @@ def from_char(c: Column, start: Column) -> Column:
     return F.substring(c, start, F.lit(2**31 - 1))
 
 
-def _cut(raw: Column) -> Column:
+def cut_at(raw: Column) -> Column:
     """Place of the line end before the first empty line, 0 if there is none."""
-    bare, with_cr = F.instr(raw, "\n\n"), F.instr(raw, "\n\r\n")
-    return F.when((bare > 0) & ((with_cr == 0) | (bare < with_cr)), bare).otherwise(with_cr)
+    with_cr = F.when(F.contains(raw, F.lit("\r")), F.instr(raw, "\n\r\n")).otherwise(0)
+
+    def first(places: Column) -> Column:
+        bare, cr = places["bare"], places["cr"]
+        return F.when((bare > 0) & ((cr == 0) | (bare < cr)), bare).otherwise(cr)
+
+    return let(F.struct(F.instr(raw, "\n\n").alias("bare"), with_cr.alias("cr")), first)
 
 
 def _unix_lines(c: Column) -> Column:
     return F.replace(c, F.lit("\r\n"), F.lit("\n"))
 
 
-def _opens_empty(raw: Column) -> Column:
+def opens_empty(raw: Column) -> Column:
     """The first line is empty already, so the message has no headers."""
     return F.startswith(raw, F.lit("\n")) | F.startswith(raw, F.lit("\r\n"))
 
 
-def header_block(raw: Column) -> Column:
-    """Lines before the first empty line, with unix line ends."""
+def header_block(raw: Column, cut: Column | None = None) -> Column:
+    """Lines before the first empty line, with unix line ends; ``cut`` tells where that is, if known."""
     head = let(
-        _cut(raw), lambda cut: F.when(cut > 0, F.substring(raw, F.lit(1), cut)).otherwise(raw)
+        cut_at(raw) if cut is None else cut,
+        lambda cut: F.when(cut > 0, F.substring(raw, F.lit(1), cut)).otherwise(raw),
     )
     lines = _unix_lines(head)
-    return F.when(_opens_empty(raw), "").otherwise(F.regexp_replace(lines, r"\n\z", ""))
+    return F.when(opens_empty(raw), "").otherwise(F.regexp_replace(lines, r"\n\z", ""))
 
 
-def body_raw(raw: Column) -> Column:
+def body_raw(raw: Column, cut: Column | None = None) -> Column:
     """Everything after the first empty line, transfer encoding left as it is."""
-    after = let(_cut(raw), lambda cut: F.when(cut > 0, from_char(raw, cut + 1)).otherwise(""))
-    rest = F.when(_opens_empty(raw), raw).otherwise(after)
+    after = let(cut_at(raw) if cut is None else cut, lambda cut: F.when(cut > 0, from_char(raw, cut + 1)).otherwise(""))
+    rest = F.when(opens_empty(raw), raw).otherwise(after)
 
     def without_empty_line(r: Column) -> Column:
         return from_char(r, F.when(F.startswith(r, F.lit("\r\n")), 3).otherwise(2))
@@ -78,17 +84,21 @@ def base64_text(header: Column, body: Column) -> Column:
 
     def decoded(letters: Column) -> Column:
         text = F.try_to_binary(letters, F.lit("base64")).cast("string")
-        return F.when(letters.rlike(_WHOLE_BASE64), let(text, lambda t: F.when(F.is_valid_utf8(t), t)))
+        return F.when(letters.rlike(WHOLE_BASE64), let(text, lambda t: F.when(F.is_valid_utf8(t), t)))
 
     return F.when(only, let(F.regexp_replace(body, r"\r?\n", ""), decoded))
 
 
-def needs_parser(header: Column, raw: Column, decode: bool, decoded: Column | None = None) -> Column:
+def needs_parser(
+    header: Column, raw: Column, decode: bool, decoded: Column | None = None, joined: Column | None = None
+) -> Column:
     """True for messages that plain string functions would not take apart correctly.
 
-    ``decoded`` is the text of a body whose transfer encoding has been undone already.
+    ``decoded`` is the text of a body whose transfer encoding has been undone already,
+    ``joined`` that of the parts of a multipart mail.
     """
-    odd = ~header.rlike(_HEADER_BLOCK) | F.contains(header, F.lit("\r")) | header.rlike(_NESTED)
+    apart = joined.isNull() if joined is not None else F.lit(True)
+    odd = ~header.rlike(HEADER_BLOCK) | F.contains(header, F.lit("\r")) | (header.rlike(_NESTED) & apart)
     if decode:
         encoded = header.rlike(_ENCODED) & (decoded.isNull() if decoded is not None else F.lit(True))
         odd = odd | encoded | header.rlike(r"[^\x00-\x7f]") | ~F.is_valid_utf8(raw)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.functions import mime
+from mailsift.functions import mime, multipart
 from mailsift.operators.ordering import with_ordinals
 from mailsift.operators.projection import once
 
@@ -19,9 +19,10 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
     ``decode=True``: body transfer-decoded to UTF-8 with bad bytes dropped, missing
     subject null. Multipart mails give the text of all their ``text/plain`` parts.
 
-    Well-formed single-part mail is split, and clean base64 decoded, by JVM expressions. Only the rest has its text
-    sent to Python: the others pass a null, as a ``when`` around the call would not stop
-    Spark from evaluating it for every row.
+    Well-formed mail is taken apart by JVM expressions, multipart mail of any depth, clean
+    base64 and quoted-printable included. Only the rest has its text sent to Python: the
+    others pass a null, as a ``when`` around the call would not stop Spark from evaluating
+    it for every row.
     """
     missing = None if decode else ""
     raw = F.col("__raw")
@@ -30,12 +31,14 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
         __head=mime.header_block(raw),
         __body=mime.body_raw(raw),
     )
+    head, body = F.col("__head"), F.col("__body")
+    joined = multipart.multipart_text(head, body, from_bytes=decode)
     if decode:
-        plain = mime.base64_text(F.col("__head"), F.col("__body"))
-        cut = once(cut, __decoded=plain)
+        single = F.coalesce(mime.base64_text(head, body), multipart.quoted_body(head, body))
+        cut = once(cut, __joined=joined, __decoded=single)
     else:
-        cut = cut.withColumn("__decoded", F.lit(None).cast("string"))
-    odd = mime.needs_parser(F.col("__head"), raw, decode, F.col("__decoded"))
+        cut = once(cut, __joined=joined, __decoded=F.lit(None).cast("string"))
+    odd = mime.needs_parser(head, raw, decode, F.col("__decoded"), F.col("__joined"))
     routed = once(cut, __odd=F.coalesce(odd, F.lit(False)))
     narrow = (
         routed.withColumn("__there", raw.isNotNull())
@@ -52,7 +55,7 @@ def parse_messages(df: DataFrame, column: str = "message", decode: bool = False)
         *[c for c in df.columns if c != column],
         either("ok", F.col("__there")).alias("parsed"),
         either("subject", subject),
-        either("body", F.coalesce("__decoded", "__body")),
+        either("body", F.coalesce("__joined", "__decoded", "__body")),
     )
 
 

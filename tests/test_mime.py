@@ -1,10 +1,12 @@
+import base64
 import email
-
+import quopri
+import random
 import time
 
 import pytest
 
-from mailsift.functions import mime
+from mailsift.functions import mime, multipart
 from mailsift.operators.parse import drop_unparsed, parse_messages, stamp
 
 MULTIPART = (
@@ -103,8 +105,6 @@ def test_stamp(spark):
 
 
 def random_messages(n=1500):
-    import random
-
     rng = random.Random(11)
     headers = ["Subject: a", "subject:  b ", "SUBJECT:\tc", "Subject:", "Subject: é", " folded", "\tfolded", "From: x",
                "From x y", "To: a,\n b", "broken", "A : b", ":", "X:1", "Content-Type: text/plain",
@@ -136,3 +136,88 @@ def test_random_messages_like_the_standard_parser(spark, decode):
         subject = wanted[1] and wanted[1].replace("\r\n", "\n")
         assert r.parsed and (r.subject and r.subject.replace("\r\n", "\n")) == subject, repr(raws[r.i])
         assert r.body == wanted[2], repr(raws[r.i])
+
+
+def nested_message(rng, depth=2, end="\n", name="b"):
+    """A well-formed multipart mail: its type header's rest and its body."""
+    kinds = ["text/plain", "text/plain; charset=utf-8", "TEXT/Plain;\n format=flowed", "text/html", "image/png; name=\"a;b\"", None]
+    texts = ["hello", "caf\u00e9 \u4e2d", "", "a=b", "-- \nsigned", "--", "--other\n--other--", "two\n\nblank", "x=3D+%41 +", " lead", "t \t"]
+    lines = [rng.choice(["", "a preamble\n", "\n"])]
+    for i in range(rng.randint(1, 3)):
+        lines.append(f"--{name}" + rng.choice(["", "", " \t"]) + "\n")
+        if depth and rng.random() < 0.4:
+            inner = rng.choice([f"{name}.{i}", f"=_{i}{name}'x", f"{name}{i}"])
+            quoted = f'"{inner}"' if rng.random() < 0.7 else inner
+            fold = rng.choice([" ", "\n\t", ""])
+            lines.append(f"Content-Type: multipart/{rng.choice(['mixed', 'alternative'])};{fold}boundary={quoted}\n\n")
+            lines.append(nested_message(rng, depth - 1, "\n", inner))
+        else:
+            kind, text = rng.choice(kinds), rng.choice(texts)
+            how = rng.choice(["", "7bit", "8BIT", "base64", "quoted-printable", "Quoted-Printable"])
+            data = text.encode()
+            if how == "base64":
+                text = base64.encodebytes(data).decode()
+            if how.lower() == "quoted-printable":
+                text = quopri.encodestring(data).decode() + rng.choice(["", "=C3=\n=A9", "=E9 bad", "soft=\nend=\n", "="])
+            head = (f"Content-Type: {kind}\n" if kind else "") + (f"Content-Transfer-Encoding: {how}\n" if how else "")
+            lines.append(f"{head}\n{text}\n")
+    lines.append(f"--{name}--" + rng.choice(["", "\n", "\nepilogue", "\n\nmore\n"]) + "\n")
+    return "".join(lines).replace("\n", end)
+
+
+def nested_messages(n):
+    rng = random.Random(5)
+    for _ in range(n):
+        end = rng.choice(["\n", "\r\n"])
+        head = "Subject: s\nContent-Type: multipart/mixed; boundary=" + rng.choice(['"b"', "b", "b; charset=x"]) + "\n\n"
+        yield head.replace("\n", end) + nested_message(rng, 3, end)
+
+
+@pytest.mark.parametrize("decode", [False, True])
+def test_well_formed_multipart_needs_no_parser(spark, decode):
+    raws = list(nested_messages(800))
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, message string")
+    raw, at = df.message, lambda c: multipart.multipart_text(mime.header_block(c), mime.body_raw(c), decode)
+    native = {r.i: r.text for r in df.select("i", at(raw).alias("text")).collect()}
+    parsed = {r.i: (r.parsed, r.subject, r.body) for r in parse_messages(df, decode=decode).collect()}
+    for i, text in enumerate(raws):
+        wanted = expected(text, decode)
+        assert parsed[i] == wanted, repr(text)
+        if native[i] is not None:
+            assert native[i] == wanted[2], repr(text)
+    assert sum(v is not None for v in native.values()) > (0.97 if decode else 0.4) * len(raws)
+
+
+def test_multipart_that_is_not_well_formed_is_left_to_the_parser(column_of):
+    good = 'Content-Type: multipart/mixed; boundary="b"\n\n--b\n\ntext\n--b--\n'
+    bad = [
+        good.replace("--b--\n", ""), good.replace("--b\n", ""), good.replace("mixed", "digest"), good.replace('"b"', '"b--"'),
+        good.replace("--b\n", "--b\n--b\n"), good.replace("text", "te\rxt"), good.replace("--b\n", "--b\nno header\n"),
+        good.replace("--b\n", "--b\nContent-Type: message/rfc822\n"), good.replace('"b"', '"<b>"'), good.replace('; boundary="b"', ""),
+        good.replace("--b\n", "--b\nContent-Transfer-Encoding: x-uuencode\n"), good.replace("--b\n", "--b\nContent-Type: text/plain\nContent-Type: text/html\n"),
+        good.replace("--b\n", '--b\nContent-Type: multipart/mixed; boundary="b"\n'), good.replace('boundary="b"', "boundary*0=b"),
+        good.replace("--b\n", "--b\nContent-Transfer-Encoding: quoted-printable\n").replace("text", "te=xt"), good.replace("--b\n", "--b--\n--b\n"),
+    ]
+    got = column_of(lambda c: multipart.multipart_text(mime.header_block(c), mime.body_raw(c), True), [good, *bad])
+    assert got == ["text"] + [None] * len(bad)
+
+
+def test_quoted_printable_like_the_standard_decoder(spark):
+    rng = random.Random(9)
+    pieces = ["=C3=A9", "=C3", "=A9", "=\n", "=\r\n", "\n", "=3D", "a", "+", "%41", "%", "=e4=B8=ad", "=F0=9F=98=80", "=ED=A0=80", "=E4=B8", "\u4e2d", " "]
+    bodies = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) + rng.choice(["", "="]) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    got = {r.i: r.text for r in df.select("i", multipart.quoted_printable_text(df.body).alias("text")).collect()}
+    for i, body in enumerate(bodies):
+        assert got[i] == quopri.decodestring(body.encode()).decode(errors="ignore"), repr(body)
+
+
+def test_many_boundary_lines_take_linear_time(column_of):
+    def seconds(n):
+        start = time.time()
+        raw = 'Content-Type: multipart/mixed; boundary="b"\n\n' + "--b\n\nx\n" * n + "-- \n--c\n" * n + "--b--\n"
+        column_of(lambda c: multipart.multipart_text(mime.header_block(c), mime.body_raw(c), True), [raw])
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(16_000) < 6 * max(seconds(4_000), 0.5)
