@@ -154,31 +154,40 @@ def op5_quality_classifier(spark, sf):
     return judged.withColumn("kept", F.col("fluent")).drop("fluent")
 
 
-# Conversations have no tool calls, so each user turn is read as a call whose answer is the
-# next assistant turn. Some arguments are ill-typed, missing or unknown; some calls need
-# the result of the call before or of the one after.
+# Conversations have no tool calls, so each user or system turn is read as a call with its
+# whole text, whose answer is the next assistant turn. Some arguments are ill-typed, missing
+# or unknown; numbers are spelled in several ways. In every fifth conversation each call
+# needs the next one, in every fifth two calls need each other, and in the others some calls
+# need the result of the call before or of the one after.
 def _calls(turns: DataFrame) -> DataFrame:
-    length, turn = F.length("text"), F.col("turn")
+    length, turn, conv = F.coalesce(F.length("text"), F.lit(0)), F.col("turn"), F.col("conv_id")
 
     def reference(to):
         return F.concat(F.lit(', "after": "$result:'), "conv_id", F.lit("-"), to, F.lit('"'))
 
-    more = (
-        F.when(turn % 6 == 2, reference(turn - 2))
-        .when(turn % 12 == 4, reference(turn + 2))
-        .when(length % 11 == 0, ', "lang": null')
-        .otherwise("")
+    later = (
+        F.when(conv % 5 == 0, 2)
+        .when(conv % 5 == 1, F.when(turn % 4 < 2, 2).otherwise(-2))
+        .when(turn % 6 == 2, -2)
+        .when(turn % 12 == 4, 2)
     )
+    more = F.when(later.isNotNull(), reference(turn + later)).when(length % 11 == 0, ', "lang": null').otherwise("")
+    spelled = F.when(length % 4 == 1, ".0").when(length % 4 == 2, "e0").when(length % 4 == 3, ".000E+0").otherwise("")
     arguments = F.concat(
-        F.lit('{"text": "'),
-        F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 40),
-        F.lit('", "limit": '),
-        F.when(length % 7 == 0, '"many"').otherwise(length.cast("string")),
+        F.lit('{"text": '),
+        F.regexp_extract(F.to_json(F.array("text")), r"(?s)\A\[(.*)\]\z", 1),
+        F.lit(', "limit": '),
+        F.when(length % 7 == 0, '"many"').otherwise(F.concat(length.cast("string"), spelled)),
         more,
         F.lit("}"),
     )
-    tool = F.when(turn % 10 == 8, "browse").when(length % 3 == 0, "search").otherwise("translate")
-    return turns.filter("role = 'user'").select(
+    tool = (
+        F.when(F.col("role") == "system", "configure")
+        .when(turn % 10 == 8, "browse")
+        .when(length % 3 == 0, "search")
+        .otherwise("translate")
+    )
+    return turns.filter("role IN ('user', 'system')").select(
         F.col("conv_id").alias("conversation"),
         "turn",
         F.concat_ws("-", "conv_id", "turn").alias("call_id"),
@@ -195,6 +204,9 @@ def _results(turns: DataFrame) -> DataFrame:
 
 
 SCHEMAS = [
+    ("configure", "text", "string", True),
+    ("configure", "limit", "number", True),
+    ("configure", "after", "string", False),
     ("search", "text", "string", True),
     ("search", "limit", "number", False),
     ("search", "after", "string", False),
@@ -214,20 +226,19 @@ def op6_tool_calls(spark, sf):
 
 
 ORACLE["op6_tool_calls"] = r"""
-WITH made AS (
-    SELECT conv_id, turn, length(text) AS n,
-           substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 40) AS words
-    FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL
-), calls AS (
-    SELECT conv_id AS conversation, turn, conv_id || '-' || turn AS call_id, n,
-           CASE WHEN turn % 10 = 8 THEN 'browse' WHEN n % 3 = 0 THEN 'search' ELSE 'translate' END AS tool,
-           CASE WHEN turn % 6 = 2 THEN turn - 2 WHEN turn % 12 = 4 THEN turn + 2 END AS needs,
-           n % 11 = 0 AND turn % 6 <> 2 AND turn % 12 <> 4 AS has_lang,
-           CASE WHEN n % 7 = 0 THEN '"many"' ELSE n::VARCHAR END AS wanted, words
-    FROM made
+WITH RECURSIVE calls AS (
+    SELECT conv_id AS conversation, turn, conv_id || '-' || turn AS call_id, text, coalesce(length(text), 0) AS n,
+           CASE WHEN role = 'system' THEN 'configure' WHEN turn % 10 = 8 THEN 'browse'
+                WHEN n % 3 = 0 THEN 'search' ELSE 'translate' END AS tool,
+           CASE WHEN conv_id % 5 = 0 THEN turn + 2
+                WHEN conv_id % 5 = 1 THEN CASE WHEN turn % 4 < 2 THEN turn + 2 ELSE turn - 2 END
+                WHEN turn % 6 = 2 THEN turn - 2 WHEN turn % 12 = 4 THEN turn + 2 END AS needs,
+           n % 11 = 0 AND needs IS NULL AS has_lang,
+           CASE WHEN n % 7 = 0 THEN '"many"' ELSE n::VARCHAR END AS wanted
+    FROM conversations WHERE role IN ('user', 'system') AND turn IS NOT NULL AND conv_id IS NOT NULL
 ), answers AS (
     SELECT conv_id AS conversation, conv_id || '-' || (turn - 1) AS call_id,
-           count(DISTINCT text) AS n_results, min(text) AS content
+           count(DISTINCT coalesce(text, '')) AS n_results, min(coalesce(text, '')) AS content
     FROM conversations WHERE role = 'assistant' GROUP BY ALL
 ), linked AS (
     SELECT c.*, o.turn AS found, coalesce(a.n_results, 0) AS n_results, a.content
@@ -236,20 +247,29 @@ WITH made AS (
     LEFT JOIN answers a ON a.conversation = c.conversation AND a.call_id = c.call_id
 ), late AS (
     SELECT DISTINCT conversation FROM linked WHERE found >= turn
+), ways AS (
+    SELECT conversation, turn AS begun, turn AS at, 0 AS level FROM linked
+    UNION ALL
+    SELECT w.conversation, w.begun, l.found, w.level + 1
+    FROM ways w JOIN linked l ON l.conversation = w.conversation AND l.turn = w.at
+    WHERE l.found IS NOT NULL AND w.level <= (SELECT max(n) FROM (SELECT count(*) AS n FROM calls GROUP BY conversation))
+), depths AS (
+    SELECT w.conversation, begun AS turn, max(level) AS level, max(level) >= any_value(size) AS cyclic
+    FROM ways w JOIN (SELECT conversation, count(*) AS size FROM calls GROUP BY ALL) USING (conversation) GROUP BY ALL
 ), levelled AS (
-    SELECT l.*, CASE WHEN l.conversation NOT IN (FROM late) OR l.found IS NULL THEN 0
-                     WHEN o.found IS NULL THEN 1 ELSE 2 END AS level
-    FROM linked l LEFT JOIN linked o ON o.conversation = l.conversation AND o.turn = l.found
+    SELECT l.*, CASE WHEN l.conversation NOT IN (FROM late) THEN 0 WHEN cyclic THEN NULL ELSE level END AS level
+    FROM linked l JOIN depths USING (conversation, turn)
 )
 SELECT conversation, call_id, tool,
-       row_number() OVER (PARTITION BY conversation ORDER BY level, turn) - 1 AS position,
-       false AS cyclic, n_results,
+       row_number() OVER (PARTITION BY conversation ORDER BY level NULLS LAST, turn) - 1 AS position,
+       level IS NULL AS cyclic, n_results,
        array_to_string(list_sort(list_filter([
            CASE WHEN tool = 'translate' AND NOT has_lang THEN 'missing lang' END,
            CASE WHEN n_results = 0 THEN 'no result' END,
            CASE WHEN n_results > 1 THEN 'several results' END,
            CASE WHEN tool = 'translate' AND has_lang THEN 'type of lang' END,
            CASE WHEN tool <> 'browse' AND n % 7 = 0 THEN 'type of limit' END,
+           CASE WHEN tool <> 'browse' AND text IS NULL THEN 'type of text' END,
            CASE WHEN needs IS NOT NULL AND tool = 'browse' THEN 'unknown after' END,
            CASE WHEN tool <> 'translate' AND has_lang THEN 'unknown lang' END,
            CASE WHEN tool = 'browse' THEN 'unknown limit' END,
@@ -259,9 +279,10 @@ SELECT conversation, call_id, tool,
        '{"arguments":{'
            || CASE WHEN needs IS NOT NULL THEN '"after":"$result:' || conversation || '-' || needs || '",' ELSE '' END
            || CASE WHEN has_lang THEN '"lang":null,' ELSE '' END
-           || '"limit":' || wanted || ',"text":"' || words || '"},"id":"' || call_id || '","name":"' || tool || '"'
+           || '"limit":' || wanted || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '},"id":"' || call_id
+           || '","name":"' || tool || '"'
            || CASE WHEN n_results = 1 THEN ',"result":' || to_json(content) ELSE '' END || '}' AS json,
-       problems = '' AS valid
+       problems = '' AND level IS NOT NULL AS valid
 FROM levelled
 """
 

@@ -13,6 +13,37 @@ BLOCK = 1024
 _REFERENCE = r'"\$result:([^"\\]+)"'
 
 
+#: What JSON text is made of: strings, numbers, and runs of anything else.
+_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|.'
+#: A number with an exponent, and up to so many digits that a double tells them all.
+_EXPONENT, _WITH_EXPONENT = r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?[eE][+-]?[0-9]+\z", r"[0-9][eE][+-]?[0-9]"
+_DIGITS = 17
+
+
+def plain_numbers(arguments: Column) -> Column:
+    """JSON text whose numbers with an exponent are spelled out: 1e2 becomes 100.
+
+    The variant type reads plain numbers as exact decimals and spells equal ones alike, but
+    takes any with an exponent for a double. Those of more than 17 digits, or beyond 38
+    digits when spelled out, stay as they are.
+    """
+
+    def plain(token: Column) -> Column:
+        value = token.try_cast("double")
+        fine, whole = token.try_cast("decimal(38,18)"), token.try_cast("decimal(38,0)")
+        short = F.length(F.regexp_replace(token, "[eE].*|[^0-9]", "")) <= _DIGITS
+        spelled = (
+            F.when(fine.cast("double") == value, F.regexp_replace(fine.cast("string"), r"\.?0+$", ""))
+            .when(fine.isNull() & (whole.cast("double") == value), whole.cast("string"))
+            .otherwise(token)
+        )
+        return F.when(token.rlike(_EXPONENT) & short, spelled).otherwise(token)
+
+    tokens = F.regexp_extract_all(arguments, F.lit(_TOKEN), F.lit(0))
+    spelled = F.array_join(F.transform(tokens, plain), "")
+    return F.when(arguments.rlike(_WITH_EXPONENT), spelled).otherwise(arguments)
+
+
 def references(arguments: Column) -> Column:
     """Ids of the calls whose results the arguments ask for."""
     return F.array_distinct(F.regexp_extract_all(arguments, F.lit(_REFERENCE), F.lit(1)))
@@ -71,31 +102,47 @@ def argument_problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return found.groupBy(*ids).agg(F.sort_array(F.collect_set("problem")).alias("problems"))
 
 
+#: Lengths of ways stop growing here: on a cycle they would double for ever.
+_FAR = 1 << 40
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """``conversation, call_id, level`` of the calls of conversations out of turn order.
 
     ``edges`` says which call needs which (``call_id, needs``). A call's level is one more
     than the highest of those it needs; calls on a cycle, or behind one, have none. Each
-    round settles the calls that only need settled ones, so there are as many rounds as
-    levels, and only for conversations in which some call needs a later one.
+    round settles the calls that only need settled ones, and lets every need of a call that
+    itself has a single need point on to that one, the way between them counted. Chains
+    halve with each round, so rounds grow with the logarithm of their length, and with the
+    number of calls of several needs that follow each other.
     """
     ids = ["conversation", "call_id"]
-    settled = calls.join(edges.select(*ids).distinct(), ids, "left_anti").select(*ids, F.lit(0).alias("level"))
-    settled, open_edges = land(settled, "settled"), land(edges.withColumn("level", F.lit(None).cast("int")), "edges")
+    settled = calls.join(edges.select(*ids).distinct(), ids, "left_anti").select(*ids, F.lit(0).cast("long").alias("level"))
+    settled = land(settled, "settled")
+    ways = land(edges.select(*ids, "needs", F.lit(1).cast("long").alias("way"), F.lit(None).cast("long").alias("level")), "ways")
     fresh = settled
-    while not fresh.isEmpty() and not open_edges.isEmpty():
+    while not fresh.isEmpty() and not ways.isEmpty():
         known = fresh.select("conversation", F.col("call_id").alias("needs"), F.col("level").alias("found"))
-        open_edges = land(
-            open_edges.join(known, ["conversation", "needs"], "left").select(
-                *ids, "needs", F.coalesce("level", "found").alias("level")
-            ),
-            "edges",
-        )
-        ready = open_edges.groupBy(*ids).agg(
-            F.bool_and(F.col("level").isNotNull()).alias("ready"), (F.max("level") + 1).alias("level")
+        met = ways.join(known, ["conversation", "needs"], "left")
+        found = land(met.select(*ids, "needs", "way", F.coalesce("level", "found").alias("level")), "found")
+        ready = found.groupBy(*ids).agg(
+            F.bool_and(F.col("level").isNotNull()).alias("ready"), F.max(F.col("level") + F.col("way")).alias("level")
         )
         fresh = land(ready.filter("ready").select(*ids, "level"), "fresh")
-        open_edges = land(open_edges.join(fresh.select(*ids), ids, "left_anti"), "edges")
+        left = land(found.join(fresh.select(*ids), ids, "left_anti"), "left")
+        single = left.groupBy(*ids).agg(
+            F.count("*").alias("n"), F.min("needs").alias("next"), F.min("way").alias("more")
+        )
+        onwards = single.filter("n = 1 AND next <> call_id").select(
+            "conversation", F.col("call_id").alias("needs"), "next", "more"
+        )
+        jumped = left.join(onwards, ["conversation", "needs"], "left").select(
+            *ids,
+            F.coalesce("next", "needs").alias("needs"),
+            F.least(F.col("way") + F.coalesce("more", F.lit(0)), F.lit(_FAR)).alias("way"),
+            "level",
+        )
+        ways = land(jumped.groupBy(*ids, "needs").agg(F.max("way").alias("way"), F.max("level").alias("level")), "ways")
         settled = settled.union(fresh)
     return settled
 
@@ -139,8 +186,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     one, else by level of need, then turn; calls on or behind a cycle come last with
     ``cyclic`` true. ``problems`` lists what is wrong: unknown tool, malformed arguments,
     unknown, missing or ill-typed parameters, unknown reference, no result, several
-    results; ``valid`` calls have none. ``json`` has sorted keys, no spaces and no null
-    members: arguments, id, name, and the result if there is just one.
+    results; ``valid`` calls have none. ``json`` has sorted keys and no spaces: arguments, id,
+    name, and the result if there is just one. Nulls inside arguments stay, as they are
+    values; equal numbers are spelled alike (100, 1e2 and 100.0 as 100; see
+    ``plain_numbers``).
 
     All links are hash joins on conversation and call id. No conversation is gathered in
     one task.
@@ -154,7 +203,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     named = F.col("conversation").isNotNull() & F.col("call_id").isNotNull()
     first = F.min(F.struct("turn", "tool", "arguments")).alias("x")
     calls = calls.filter(named & F.col("turn").isNotNull())
-    calls = land(calls.groupBy(*ids).agg(first).select(*ids, "x.*"), "calls")
+    calls = calls.groupBy(*ids).agg(first).select(*ids, "x.*")
+    calls = land(calls.withColumn("arguments", plain_numbers(F.col("arguments"))), "calls")
     answered = (
         results.filter(named)
         .select(*ids, F.coalesce("content", F.lit("")).alias("content"))
@@ -178,7 +228,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         calls.join(late, "conversation", "left_semi"),
         edges.join(late, "conversation", "left_semi").select(*ids, "needs"),
     )
-    in_order = calls.join(late, "conversation", "left_anti").withColumn("level", F.lit(0))
+    in_order = calls.join(late, "conversation", "left_anti").withColumn("level", F.lit(0).cast("long"))
     sorted_out = calls.join(late, "conversation", "left_semi").join(out_of_turn, ids, "left")
     placed = positions(in_order.union(sorted_out.select(in_order.columns)))
     everything = (
@@ -203,7 +253,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         F.col("tool").alias("name"),
         F.when(F.col("n_results") == 1, F.col("content")).alias("result"),
     )
+    # Numbers that are doubles still, such as 1e300, get no needless fraction.
+    text = F.regexp_replace(F.to_json(member), r'("(?:[^"\\]|\\.)*+")|(-?\d+)\.0(?=[E,}\]])', "$1$2")
     return everything.select(
         *ids, "tool", F.col("position").cast("long").alias("position"), F.col("level").isNull().alias("cyclic"),
-        "n_results", F.sort_array(F.concat(own, more)).alias("problems"), F.to_json(member).alias("json"),
+        "n_results", F.sort_array(F.concat(own, more)).alias("problems"), text.alias("json"),
     ).withColumn("valid", (F.size("problems") == 0) & ~F.col("cyclic"))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -94,6 +95,66 @@ def test_edges(link):
     assert link([]) == {}
 
 
+def test_equal_numbers_are_spelled_alike(link):
+    spelled = ["100", "1e2", "100.0", "1E+2", "10.0e1", "100.000", "1000e-1"]
+    out = link([(1, i, f"c{i}", "add", f'{{"a": {n}, "b": -0.0, "note": "1e2 \\" 3.0,"}}') for i, n in enumerate(spelled)])
+    assert {r.json.split('"id"')[0] for r in out.values()} == {'{"arguments":{"a":100,"b":0,"note":"1e2 \\" 3.0,"},'}
+    small = link([(1, i, f"c{i}", "add", f'{{"a": {n}, "b": 1}}') for i, n in enumerate(["1e-7", "0.0000001", "10.0E-8"])])
+    assert {r.json.split(',"b"')[0] for r in small.values()} == {'{"arguments":{"a":0.0000001'}
+    large = link([(1, i, f"c{i}", "add", f'{{"a": {n}, "b": 1}}') for i, n in enumerate(["1e30", "1" + "0" * 30, "1e300", "1" + "0" * 300, "1e-300"])])
+    begun = [large[1, f"c{i}"].json.split(",")[0] for i in range(5)]
+    assert begun[0] == begun[1] == '{"arguments":{"a":1' + "0" * 30 and begun[2] == begun[3] == '{"arguments":{"a":1E300'
+    assert begun[4] == '{"arguments":{"a":1E-300' and all(float(json.loads(r.json)["arguments"]["a"]) > 0 for r in large.values())
+
+
+def test_malformed_numbers_stay_malformed(link):
+    out = link([(1, i, f"c{i}", "add", f'{{"a": {n}, "b": 1}}') for i, n in enumerate(["01e2", "1e", "1.e2", "+1e2", "1e2.5"])])
+    assert all("malformed arguments" in r.problems for r in out.values())
+
+
+def test_whole_texts_of_any_script(link):
+    text = "Ünï \\ \"quoted\" \n\t 日本語 😀 " * 2000
+    out = link([(1, 0, "c", "list", json.dumps({"by": {"text": text}}))], [(1, "c", text)])
+    assert json.loads(out[1, "c"].json) == {"arguments": {"by": {"text": text}}, "id": "c", "name": "list", "result": text}
+
+
+def depths(edges, calls):
+    """Longest ways by walking them; calls on a cycle or behind one have none."""
+    level, left = {}, set(calls)
+    while fresh := {c for c in left if all(d in level for d in edges.get(c, ()))}:
+        level |= {c: 1 + max((level[d] for d in edges.get(c, ())), default=-1) for c in fresh}
+        left -= fresh
+    return level
+
+
+def test_levels_in_rounds_that_grow_with_the_logarithm(spark, monkeypatch):
+    names, plain = [], toolcalls.land
+    monkeypatch.setattr(toolcalls, "land", lambda df, name="table": names.append(name) or plain(df, name))
+    edges = {f"c{i}": [f"c{i + 1}"] for i in range(999)}
+    calls = spark.createDataFrame([(1, f"c{i}") for i in range(1000)], "conversation long, call_id string")
+    needs = spark.createDataFrame([(1, a, b) for a, bs in edges.items() for b in bs], "conversation long, call_id string, needs string")
+    got = {r.call_id: r.level for r in toolcalls.levels(calls, needs).collect()}
+    assert got == depths(edges, {f"c{i}" for i in range(1000)}) and names.count("fresh") <= 12
+
+
+def test_levels_of_any_graph(spark):
+    rnd = random.Random(6)
+    rows, wanted = [], {}
+    for conv in range(30):
+        calls = [f"c{i}" for i in range(rnd.randint(1, 14))]
+        back = rnd.choice([0, 0, 0.05])
+        edges = {}
+        for i, c in enumerate(calls):
+            found = {calls[j] for j in range(len(calls)) if (j > i and rnd.random() < rnd.choice([0.1, 0.4])) or (j <= i and rnd.random() < back)}
+            if found:
+                edges[c] = sorted(found)
+        rows += [(conv, c, d) for c in calls for d in edges.get(c, [None])]
+        wanted |= {(conv, c): v for c, v in depths(edges, calls).items()}
+    frame = spark.createDataFrame(rows, "conversation long, call_id string, needs string")
+    out = toolcalls.levels(frame.select("conversation", "call_id").distinct(), frame.filter("needs IS NOT NULL"))
+    assert {(r.conversation, r.call_id): r.level for r in out.collect()} == wanted
+
+
 def test_query_equals_sql(spark, sf):
     assert difference(QUERIES["op6_tool_calls"](spark, sf), connect(sf), ORACLE["op6_tool_calls"]) is None
 
