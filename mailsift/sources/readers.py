@@ -13,42 +13,50 @@ from mailsift.functions.mime import from_char
 from mailsift.functions.text import apply_na_tokens
 from mailsift.operators.parse import stamp
 from mailsift.schemas import CLEAN_MAIL
+from mailsift.sources.csv_records import BOM, column_names, header_lines, read_csv_records
 
-BOM = "\ufeff"
+#: How records of a CSV file may lie: True for line breaks inside quoted fields, read in
+#: blocks; False for a record a line; "whole" for files with stray quotes, a task for each.
+MultiLine = bool | str
 
 # Empty markers another reader of the same files treats as missing; pass as `na_tokens`.
 COMMON_NA_TOKENS = ["NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A"]
 
 
-def _header_groups(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
-    """Files by their first line, a byte-order mark aside; one group where all agree."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        "value",
-    )
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "seq").alias("header"))
-    header = F.rtrim(F.ltrim("header", F.lit(BOM)), F.lit("\r"))
-    groups = first.groupBy(header.alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [row.files for row in groups.orderBy("header").collect()]
+def _header_groups(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files by their first line, a byte-order mark aside."""
+    groups: dict[str, list[str]] = {}
+    for file, header in sorted(header_lines(spark, path).items()):
+        if header:
+            groups.setdefault(header.rstrip("\r"), []).append(file)
+    return dict(sorted(groups.items()))
 
 
 def _csv(
-    spark: SparkSession, path: str | list[str], select: Callable[[DataFrame], DataFrame], multi_line: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    select: Callable[[DataFrame, list[Column]], DataFrame],
+    multi_line: MultiLine = True,
+    scan_order: bool = False,
 ) -> DataFrame:
     """What ``select`` takes by name from quoted, doubled-quote CSV; every column is text.
 
     Each file names its own columns: files whose headers differ are read apart and their
-    selections united by name. A file with line breaks inside fields cannot be cut into
-    blocks and is one task; without them pass ``multi_line=False``, or exchange raw
-    messages as JSON lines.
+    selections united by name. Files of any size are read in blocks, line breaks inside
+    fields or not; fields that hold quotes must be quoted, as writers do. For other files
+    ``multi_line="whole"`` reads each by one task.
     """
     parts = []
-    for files in _header_groups(spark, path):
-        df = spark.read.csv(files, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
-        first = df.columns[0]
-        parts.append(select(df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df))
+    for header, files in _header_groups(spark, path).items():
+        if multi_line is True:
+            df = read_csv_records(spark, files, column_names(header))
+            order = [F.col(f"__{c}").alias(c) for c in ("file", "block", "seq")]
+        else:
+            whole = multi_line == "whole"
+            df = spark.read.csv(files, header=True, multiLine=whole, quote='"', escape='"', encoding="UTF-8")
+            order, first = _scan_order(), df.columns[0]
+            df = df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df
+        parts.append(select(df, order if scan_order else []))
     if not parts:
         raise ValueError(f"no CSV file with a header in {path}")
     return functools.reduce(DataFrame.unionByName, parts)
@@ -72,11 +80,11 @@ def read_raw_csv(
     path: str | list[str],
     column: str = "message",
     scan_order: bool = False,
-    multi_line: bool = True,
+    multi_line: MultiLine = True,
 ) -> DataFrame:
     """One raw message per row in the named column."""
-    order = _scan_order() if scan_order else []
-    return _csv(spark, path, lambda df: df.select(*order, F.col(column).alias("message")), multi_line)
+    message = F.col(column).alias("message")
+    return _csv(spark, path, lambda df, order: df.select(*order, message), multi_line, scan_order)
 
 
 def read_raw_json(
@@ -107,18 +115,23 @@ def read_tagged(
     tags: Mapping[str, tuple[int, int]],
     na_tokens: Sequence[str] | None = None,
     scan_order: bool = False,
+    multi_line: MultiLine = True,
 ) -> DataFrame:
     """Files of one kind, each tagged with its ``(label, dataset)``."""
     parts = []
     for path, (label, dataset) in tags.items():
         texts = [apply_na_tokens(F.col(c), na_tokens).alias(c) for c in ("subject", "body")]
-        order = _scan_order() if scan_order else []
-        parts.append(stamp(_csv(spark, path, lambda df: df.select(*order, *texts)), label, dataset))
+        own = _csv(spark, path, lambda df, order: df.select(*order, *texts), multi_line, scan_order)
+        parts.append(stamp(own, label, dataset))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
 def read_clean(
-    spark: SparkSession, path: str | list[str], na_tokens: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    na_tokens: Sequence[str] | None = None,
+    scan_order: bool = False,
+    multi_line: MultiLine = True,
 ) -> DataFrame:
     """Cleaned mail, columns found by name and typed by the contract.
 
@@ -131,7 +144,8 @@ def read_clean(
             return apply_na_tokens(c, na_tokens).alias(field.name)
         return F.trim(c).try_cast(field.dataType).alias(field.name)
 
-    return _csv(spark, path, lambda df: df.select(*[typed(field) for field in CLEAN_MAIL]))
+    fields = [typed(field) for field in CLEAN_MAIL]
+    return _csv(spark, path, lambda df, order: df.select(*order, *fields), multi_line, scan_order)
 
 
 def read_split(
@@ -139,7 +153,9 @@ def read_split(
     path: str | list[str],
     split: str | None = None,
     na_tokens: Sequence[str] | None = None,
+    scan_order: bool = False,
+    multi_line: MultiLine = True,
 ) -> DataFrame:
     """One split file; a byte-order mark before the header is ignored."""
-    df = read_clean(spark, path, na_tokens)
+    df = read_clean(spark, path, na_tokens, scan_order, multi_line)
     return df.withColumn("split", F.lit(split)) if split else df

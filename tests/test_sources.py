@@ -1,5 +1,8 @@
+import csv
+import gzip
 import mailbox
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from mailsift.functions import mime
 from mailsift.operators.contract import check_contract, missing_columns
 from mailsift.operators.ordering import with_ordinals
 from mailsift.operators.parse import exclude_ordinals, parse_messages
-from mailsift.sources import readers, scratch, sinks
+from mailsift.sources import csv_records, readers, scratch, sinks
 
 
 @pytest.fixture
@@ -180,3 +183,53 @@ def test_landed_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     assert list(tmp_path.rglob("*.parquet"))
     scratch.clear(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def csv_rows(n):
+    rnd = random.Random(1)
+    texts = ["a", "b\nc", 'q"uo,te"d', "", "x\n\n\ny", 'é中\n""\n,', "long " * 300, "l\n" * 200, "end\r\nx", " sp ", "\n", '"', ","]
+    return [(str(k), rnd.choice(texts), rnd.choice(["z", "", "w\n"])) for k in range(n)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [97, 997, 10_000_000])
+def test_records_with_line_breaks_are_read_in_blocks(spark, tmp_path, size, end):
+    rows = csv_rows(300)
+    with open(tmp_path / "f 1.csv", "w", newline="", encoding="utf-8-sig") as file:
+        writer = csv.writer(file, lineterminator=end)
+        writer.writerow(("key", "message", "o"))
+        writer.writerows(rows)
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = readers._csv(spark, str(tmp_path), lambda df, order: df.select(*order, "key", "message", "o"), True, True)
+        got = [(r.key, r.message, r.o) for r in sorted(df.collect(), key=lambda r: (r.file, r.block, r.seq))]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    whole = readers._csv(spark, str(tmp_path), lambda df, order: df.select("key", "message", "o"), "whole")
+    assert got == [tuple(r) for r in whole.collect()]
+    assert [k for k, _, _ in got] == [k for k, _, _ in rows]
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("message\n" + '"a\nb"\n' * 400_000)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        assert csv_records._lines(spark, [str(tmp_path / "f.csv")]).rdd.getNumPartitions() >= 10
+        rows = readers.read_raw_csv(spark, str(tmp_path)).groupBy("message").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [tuple(r) for r in rows] == [("a\nb", 400_000)]
+
+
+def test_headers_are_read_without_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffx,y\n1,2\n")
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as file:
+        file.write("y,x,,x\n")
+    (tmp_path / "c.csv").write_text("")
+    found = {Path(k).name: v for k, v in csv_records.header_lines(spark, str(tmp_path)).items()}
+    assert found == {"a.csv": "x,y", "b.csv.gz": "y,x,,x", "c.csv": ""}
+    assert csv_records.column_names("y,x,,x") == ["y", "x1", "_c2", "x3"]
