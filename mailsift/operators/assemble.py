@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift.functions.hashing import seed_hash
-from mailsift.operators.ordering import checked, class_totals, cutoffs, rank_cutoffs, up_to, with_position
+from mailsift.operators.ordering import check_untied, class_totals, cutoffs, rank_cutoffs, up_to, with_position
 from mailsift.sources.scratch import land
 
 SEED = 42
@@ -74,16 +74,18 @@ def proportional(sizes: DataFrame, total: int, whole: int, of: str, name: str) -
     exact = F.col(of).cast("decimal(38,0)") * F.lit(total).cast("decimal(18,0)")
     shares = sizes.withColumn("__exact", exact)
     shares = shares.withColumn("__rest", F.expr(f"__exact % {max(whole, 1)}"))
-    shares = land(shares.withColumn(name, F.expr(f"__exact div {max(whole, 1)}")).drop("__exact"), "shares")
-    left = total - (shares.agg(F.sum(name)).first()[0] or 0)
+    shares = shares.withColumn(name, F.expr(f"__exact div {max(whole, 1)}"))
     order = Window.orderBy(F.desc("__rest"), F.asc_nulls_first("g"))
-    more = (F.row_number().over(order) <= left).cast("long")
-    return shares.withColumn(name, F.col(name) + more).drop("__rest")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = F.row_number().over(order) <= F.lit(total) - F.sum(name).over(every)
+    return shares.withColumn(name, F.col(name) + more.cast("long")).drop("__exact", "__rest")
 
 
 def split_quotas(totals: DataFrame, holdout: Fraction, test_share: Fraction) -> DataFrame:
-    """``g, n, train, valid``: rows per class that go to train and to valid; the rest is test."""
-    totals = land(totals, "totals")
+    """``g, n, train, valid``: rows per class that go to train and to valid; the rest is test.
+
+    Both quotas are one plan over ``totals``, which should be a written table.
+    """
     n = totals.agg(F.sum("n")).first()[0] or 0
     sizes = split_sizes_for(n, holdout, test_share)
     held = proportional(totals, sizes["train"], n, "n", "train").withColumn("held", F.col("n") - F.col("train"))
@@ -105,13 +107,13 @@ def stratified_split(
     any number of classes: quotas and cuts are tables with a row per class, and rows meet
     the cuts of their class by a join, which shuffles nothing while that table is small.
     """
-    totals = class_totals(df, label)
+    totals = land(class_totals(df, label), "totals")
     quotas = land(split_quotas(totals, Fraction(holdout), Fraction(test_share)), "quotas").select(
         F.col("g").alias("__g"), F.col("n").alias("__n"), F.col("train").alias("__a"),
         (F.col("train") + F.col("valid")).alias("__b"),
     )
     ends = quotas.select("__n", F.col("__g").alias("g"), F.explode(F.array("__a", "__b")).alias("rank"))
-    cuts = checked(cutoffs(df, ends.filter("rank > 0 AND rank < __n"), label, key, seed), key)
+    cuts = cutoffs(df, ends.filter("rank > 0 AND rank < __n"), label, key, seed)
 
     def cut_at(end: str) -> Column:
         return F.min(F.when(F.col("rank") == F.col(end), F.struct("h", "k"))).alias(f"{end}_cut")
@@ -119,9 +121,10 @@ def stratified_split(
     of_class = land(
         quotas.join(cuts, F.col("__g").eqNullSafe(F.col("g")), "left")
         .groupBy("__g", "__n", "__a", "__b")
-        .agg(cut_at("__a"), cut_at("__b")),
+        .agg(cut_at("__a"), cut_at("__b"), F.coalesce(F.bool_or("tied"), F.lit(False)).alias("__tied")),
         "cuts_of_classes",
     )
+    check_untied(of_class, "__tied", key)
     place = F.struct(seed_hash(seed, key).alias("h"), F.col(key).alias("k"))
 
     def within(end: str) -> Column:

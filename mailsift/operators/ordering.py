@@ -82,12 +82,10 @@ def rank_cutoffs(
 _TIED = "'{}' is not unique, so rows cannot be drawn by it"
 
 
-def checked(found: DataFrame, key: str) -> DataFrame:
-    """Written cutoffs, once none of them falls between equal rows."""
-    found = land(found, "cutoffs")
-    if not found.filter("tied").isEmpty():
+def check_untied(cuts: DataFrame, tied: str, key: str) -> None:
+    """Make sure that no written cutoff falls between equal rows."""
+    if not cuts.filter(tied).isEmpty():
         raise ValueError(_TIED.format(key))
-    return found.drop("tied")
 
 
 def _small_table(spark: SparkSession, rows: list[tuple], **types: T.DataType) -> DataFrame:
