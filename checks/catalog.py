@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from mailsift.functions import answers, chat, mime, text
 from mailsift.functions.html import html_to_text
-from mailsift.operators import assemble, clean, classify, evaluate, parse, policy, prompts
+from mailsift.operators import assemble, clean, classify, evaluate, growing, parse, policy, prompts
 from mailsift.operators.contract import check_contract
 from mailsift.operators.dedup import dedup_exact
 from mailsift.plans import corpus, prediction, training
 from mailsift.plans.evaluation import evaluate_run
-from mailsift.sources import readers, sinks
+from mailsift.sources import published, readers, sinks
 from mailsift.sources.scratch import land, scratch_path
 from mailsift.streaming import gate as streaming_gate
 
@@ -182,6 +182,16 @@ def preview(spark, sf):
     return sinks.preview(fx.clean_mail(spark, sf).select("key", "subject", "body", "label"), 5, 300)
 
 
+@query
+def publish_splits(spark, sf):
+    """Two versions of the splits; the second one's test mails, by one reader of both."""
+    path = scratch_path(spark, "published")
+    splits = land(split_mail(spark, sf).select("key", "subject", "label", "split"), "splits")
+    published.publish(splits.withColumn("subject", F.lit("of the first version")), path)
+    published.publish(splits, path)
+    return published.read_published(spark, path, split="test")
+
+
 # --- message parsing ----------------------------------------------------------------
 
 
@@ -382,6 +392,16 @@ def clean_funnel_by_source(spark, sf):
     return clean.funnel(fx.mail(spark, sf), by=["dataset"])
 
 
+@query
+def clean_growing(spark, sf):
+    """Mail that arrives in three batches, cleaned against the digests of those before."""
+    root = scratch_path(spark, "corpus")
+    marked = land(clean.mark(fx.mail(spark, sf)), "marked")
+    for batch in range(3):
+        growing.admit(marked.filter(K() % 3 == batch), root, batch, ["key"], buckets=8)
+    return growing.admitted(spark, root).select("key", *clean.CONTRACT, F.col("batch").cast("int").alias("batch"))
+
+
 @query
 def clean_mail(spark, sf):
     return clean.clean(fx.mail(spark, sf), order=["key"])
@@ -802,3 +822,38 @@ def gate_stream(spark, sf):
     )
     running.awaitTermination()
     return spark.read.parquet(path).select(*GATE_COLUMNS)
+
+
+def _arriving(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Mails as a stream of files, in no order, every second one twice; its folder."""
+    path = scratch_path(spark, "arriving")
+    mails = fx.mail(spark, sf)
+    copies = F.explode(F.when(K() % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + (K() * 7919 + F.col("copy") * 611) % 86_400)
+    twice = mails.select("key", "subject", "body", copies.alias("copy")).withColumn("arrived", arrived)
+    twice.repartition(6, "copy", "key").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(path), path
+
+
+def _length_score(df: DataFrame) -> DataFrame:
+    return df.withColumn("raw_prediction", classify.answer_of(F.length("body") % 100 / F.lit(100.0), 0.05))
+
+
+@query
+def gate_stream_once(spark, sf):
+    """A stream of mails with copies: one decision for each text that passes the filters."""
+    stream, _ = _arriving(spark, sf)
+    path, state = scratch_path(spark, "decisions"), scratch_path(spark, "state")
+    streaming_gate.gate_stream_once(stream, _length_score, path, state, "arrived", available_now=True).awaitTermination()
+    return spark.read.parquet(path).select("subject", "body", *GATE_COLUMNS[1:])
+
+
+@query
+def gate_stream_funnel(spark, sf):
+    """What became of the mails of a stream, counted while they passed."""
+    stream, _ = _arriving(spark, sf)
+    counts, path, *state = (scratch_path(spark, n) for n in ("counts", "decisions", "state", "state"))
+    streaming_gate.funnel_stream(stream, counts, state[0], "arrived", "1 hour", available_now=True).awaitTermination()
+    streaming_gate.gate_stream_once(stream, _length_score, path, state[1], "arrived", available_now=True).awaitTermination()
+    return streaming_gate.stream_funnel(spark, counts, path)

@@ -347,6 +347,7 @@ ORACLE: dict[str, str] = {
         select=f"""SELECT key AS index, dataset, subject, label, {WORD} AS expected, raw_prediction,
           predicted_label, coalesce(predicted_label = label, false) AS correct FROM answered""",
     ),
+    "publish_splits": using(*_SPLIT, select="SELECT key, subject, label, split FROM split_mail WHERE split = 'test'"),
     "preview": using(
         MAIL, CLEANED, DEDUPED,
         select="SELECT key, subject, substr(body, 1, 300) AS body, label FROM deduped ORDER BY key LIMIT 5",
@@ -406,6 +407,12 @@ ORACLE: dict[str, str] = {
     ),
     "clean_funnel": using(MAIL, CLEANED, select=funnel_sql()),
     "clean_funnel_by_source": using(MAIL, CLEANED, select=funnel_sql("dataset")),
+    "clean_growing": using(
+        MAIL, CLEANED,
+        select="""SELECT key, subject, body, label, dataset, CAST(key % 3 AS INTEGER) AS batch FROM cleaned
+          WHERE subject <> '' AND body <> '' AND length(subject) + length(body) >= 20
+          QUALIFY row_number() OVER (PARTITION BY subject, body ORDER BY key % 3, key) = 1""",
+    ),
     "clean_mail": using(MAIL, CLEANED, DEDUPED, select="SELECT key, subject, body, label, dataset FROM deduped"),
     "clean_mail_raw": using(
         MAIL, _RAW_CLEAN, DEDUPED, select="SELECT key, subject, body, label, dataset FROM deduped"
@@ -590,6 +597,18 @@ ORACLE: dict[str, str] = {
           FROM arrived)""",
         select=f"{gate_sql(0.5)} FROM gate_input",
     ),
+    "gate_stream_once": using(
+        MAIL, CLEANED, DEDUPED,
+        f"""gate_input AS (SELECT key, subject, body, false AS blank,
+          {score_sql("(length(body) % 100) / 100.0::DOUBLE", 0.05)} AS answer FROM deduped)""",
+        select=f"SELECT * EXCLUDE (key) FROM ({gate_sql(0.5).replace('SELECT key,', 'SELECT key, subject, body,', 1)} FROM gate_input)",
+    ),
+    "gate_stream_funnel": using(
+        MAIL,
+        f"""cleaned AS (SELECT {squash('subject')} AS subject, {squash('body')} AS body
+          FROM mail, range(2) c(i) WHERE i = 0 OR key % 2 = 0)""",
+        select=f"SELECT original, empty_subject, empty_body, short, duplicate, final FROM ({funnel_sql()})",
+    ),
     "score_answers": using(
         *_LABELLED,
         select=f"""SELECT key, {score_sql('p', 0.05)} AS narrow, {score_sql('p', 0.4)} AS wide,

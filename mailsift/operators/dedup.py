@@ -48,8 +48,17 @@ def first_of_each(df: DataFrame, digest: str, order: Sequence[str]) -> DataFrame
     and then meet their rows: no text travels to be compared, and copies of one text, which
     are told apart by their order, do not meet in one task.
     """
-    winners = df.groupBy(digest).agg(F.min(F.struct(*order)).alias("__first"))
-    places = winners.select(F.col(digest).alias("__of"), *[F.col(f"__first.{c}").alias(f"__{i}") for i, c in enumerate(order)])
+    return rows_at(df, first_places(df, digest, order), digest, order)
+
+
+def first_places(df: DataFrame, digest: str, order: Sequence[str]) -> DataFrame:
+    """Every digest with the order columns of its first row, as ``__first``."""
+    return df.groupBy(digest).agg(F.min(F.struct(*order)).alias("__first"))
+
+
+def rows_at(df: DataFrame, first: DataFrame, digest: str, order: Sequence[str]) -> DataFrame:
+    """The rows that stand at first places, without their digest."""
+    places = first.select(F.col(digest).alias("__of"), *[F.col(f"__first.{c}").alias(f"__{i}") for i, c in enumerate(order)])
     same = F.col(digest) == F.col("__of")
     for i, c in enumerate(order):
         same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))

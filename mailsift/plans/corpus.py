@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailsift.operators import assemble
 from mailsift.operators.clean import Profile, funnel_of, kept_of, mark
 from mailsift.operators.dedup import text_digest
+from mailsift.operators.growing import admit
 from mailsift.operators.parse import exclude_ordinals, parse_messages, stamp
 from mailsift.sources.readers import read_mbox, read_raw_csv, read_tagged
 from mailsift.sources.scratch import land
@@ -49,6 +50,18 @@ def clean_source(df: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]
     return kept_of(marked, ("dataset", *FILE_ORDER)).drop(*FILE_ORDER), funnel_of(marked)
 
 
+def grow_source(
+    df: DataFrame, profile: Profile, root: str, batch: int, order=("dataset", *FILE_ORDER)
+) -> tuple[DataFrame, DataFrame]:
+    """Clean a batch of new mail and admit it to the corpus below ``root``.
+
+    Returns the mails that were new, and the funnel of the batch, whose duplicates are
+    those inside the batch alone.
+    """
+    marked = land(mark(df, profile, F.col("parsed") if "parsed" in df.columns else None), "marked")
+    return admit(marked, root, batch, order), funnel_of(marked)
+
+
 def add_key(df: DataFrame) -> DataFrame:
     """Key a mail by what it says and where it is from.
 

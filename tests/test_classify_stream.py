@@ -7,6 +7,7 @@ from checks import catalog
 from checks import fixtures as fx
 from mailsift.operators import assemble, classify, clean
 from mailsift.sources.scratch import land, scratch_path
+from mailsift.streaming import gate
 from mailsift.streaming.gate import decide, gate_stream
 
 
@@ -138,3 +139,63 @@ def test_stream_cleans_as_training_does(spark):
     score = lambda df: classify.score(df, model)
     gate_stream(stream, score, out, state, available_now=True, profile=clean.HTML_MAIL).awaitTermination()
     assert {r.key: r.p_phishing for r in spark.read.parquet(out).collect()} == batch
+
+
+def _arrivals(spark, seconds, path, first_key=0):
+    """A file of mails, one for each arrival, two mails a text."""
+    rows = [(first_key + i, "subject", f"a body of some length, {(first_key + i) // 2}", t) for i, t in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "key long, subject string, body string, t long")
+    df.select("key", "subject", "body", F.timestamp_seconds("t").alias("arrived")).coalesce(1).write.mode("append").parquet(path)
+
+
+def _decide_all(spark, path, out, state, keep_for):
+    schema = "key long, subject string, body string, arrived timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    score = lambda df: df.withColumn("raw_prediction", F.lit("legitimate"))
+    running = gate.gate_stream_once(stream, score, out, state, "arrived", keep_for, available_now=True)
+    running.awaitTermination()
+    return running
+
+
+def test_copies_get_one_decision_across_a_restart(spark):
+    path, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    _arrivals(spark, range(0, 20), path)
+    _decide_all(spark, path, out, state, "1 hour")
+    decided = {r.body: r.key for r in spark.read.parquet(out).collect()}
+    assert len(decided) == spark.read.parquet(out).count() == 10
+    _arrivals(spark, range(20, 60), path)  # the same texts and as many new ones
+    _arrivals(spark, range(60, 70), path, first_key=100)
+    _decide_all(spark, path, out, state, "1 hour")
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == len({r.body for r in rows}) == 25
+    assert all(r.key == decided[r.body] for r in rows if r.body in decided)  # the first that arrived stays
+
+
+def test_state_of_old_copies_is_let_go(spark):
+    path, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    sizes = []
+    for day in range(6):
+        _arrivals(spark, range(day * 86400, day * 86400 + 40), path, first_key=1000 * day)
+        running = _decide_all(spark, path, out, state, "1 hour")
+        sizes.append(max(p.stateOperators[0].numRowsTotal for p in running.recentProgress if p.stateOperators))
+    assert spark.read.parquet(out).count() == 120 and max(sizes) <= 40
+
+
+def test_funnel_of_a_stream(spark):
+    path, out, counts = (scratch_path(spark, n) for n in ("in", "out", "counts"))
+    states = [scratch_path(spark, "state") for _ in range(2)]
+    schema = "key long, subject string, body string, arrived timestamp"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        gate.funnel_stream(stream, counts, states[0], "arrived", "1 hour", available_now=True).awaitTermination()
+        _decide_all(spark, path, out, states[1], "7 days")
+        return tuple(gate.stream_funnel(spark, counts, out).first())
+
+    _arrivals(spark, range(20), path)
+    assert run() == (20, 0, 0, 0, 10, 10)
+    bad = [(500, "", "x", 30), (501, "s", " ", 30), (502, "s", "x", 31)]
+    df = spark.createDataFrame(bad, "key long, subject string, body string, t long")
+    df.select("key", "subject", "body", F.timestamp_seconds("t").alias("arrived")).write.mode("append").parquet(path)
+    _arrivals(spark, range(3590, 3610), path, first_key=10)  # over the border of two spans
+    assert run() == (43, 1, 1, 1, 25, 15)
