@@ -45,6 +45,17 @@ SHORT = 60
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The same for what readers write below it; an article element may be one of these.
 READER_WORDS = frozenset("comment comments disqus replies reply respond responses".split())
+#: With these, a name tells what a whole page or article has beside it, not what an element
+#: is: comments-open, no-comments, with-sidebar.
+BESIDE_WORDS = frozenset("has no with without".split())
+STATE_WORDS = BESIDE_WORDS | frozenset("allowed closed count disabled enabled off on open status".split())
+#: Words of names that tell place or shape. A name with words of other kinds may be about
+#: its subject: sidebar-left is a sidebar, modal-verbs need not be a window.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box col column container content desktop fixed form frame global group header holder "
+    "inline inner item items large layout left link links list main mobile module outer page panel primary region right "
+    "row secondary section site slot small sticky text title top unit user wide wrap wrapper zone".split()
+)
 ARTICLE_TAGS = ("article", "main")
 #: Beginnings and ends of such words written as one: topnav, menubar, siteheader, commentlist.
 ASIDE_STARTS = ("adverti", "breadcrumb", "cookie", "footer", "menu", "navbar", "newsletter", "sidebar", "sponsor")
@@ -81,8 +92,8 @@ class Tree:
     work is linear whatever the markup: no search is repeated that has once failed.
     """
 
-    def __init__(self, page: str):
-        self.page = page
+    def __init__(self, page: str, raw: frozenset[str] = RAW):
+        self.page, self.raw = page, raw
         self.root = Node("body", None)
         self.nodes = [self.root]
         self.open = [self.root]
@@ -141,7 +152,7 @@ class Tree:
         attributes, at = self._attributes(at)
         if tag in ("html", "body"):
             return at
-        if tag in RAW:
+        if tag in self.raw:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
             return self._after(">", close.end()) if close else len(self.page)
         if tag in BLOCKS:
@@ -202,7 +213,8 @@ _ENDS = {
 def _surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, str]:
     """Whether an element surrounds the article, whether readers wrote it, and if its name tells.
 
-    A name is SURE or UNSURE; `_weigh` has the last word on these. The header of a page
+    A name is SURE, UNSURE, or LOOSE, which is UNSURE inside an article; `_weigh` has the last
+    word on these. Names of a state (comments-open) do not make an element the readers'. The header of a page
     surrounds the article; that of an article is settled later.
     """
     if tag in ASIDE_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true":
@@ -211,18 +223,38 @@ def _surrounds(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, str]:
         return True, False, ""
     if tag in HEADINGS:
         return False, False, ""
-    words = {w for a in _TELLING if a in attributes for w in _WORDS.split(attributes[a].lower())}
-    if any(w in READER_WORDS or w.startswith(READER_STARTS) or w.endswith(READER_ENDS) for w in words):
+    names = [
+        frozenset(w for w in _WORDS.split(n) if w) for a in _TELLING if a in attributes for n in attributes[a].lower().split()
+    ]
+    readers = [n for n in names if any(map(_of_readers, n))]
+    if any(not n & STATE_WORDS for n in readers):
         return True, True, SURE
     if tag in ARTICLE_TAGS:
         return False, False, ""
-    telling = {w for w in words if w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) or w.endswith(ASIDE_ENDS)}
-    if tag == "form" or telling - UNSURE_WORDS:
+    if tag == "form":
         return True, False, SURE
-    return bool(telling), False, UNSURE if telling else ""
+    kinds = {_kind(n) for n in names if n in readers or any(map(_of_asides, n))}
+    return bool(kinds), False, next((k for k in (SURE, LOOSE, UNSURE) if k in kinds), "")
+
+
+def _of_readers(word: str) -> bool:
+    return word in READER_WORDS or word.startswith(READER_STARTS) or word.endswith(READER_ENDS)
+
+
+def _of_asides(word: str) -> bool:
+    return word in ASIDE_WORDS or word.startswith(ASIDE_STARTS) or word.endswith(ASIDE_ENDS)
+
+
+def _kind(name: frozenset[str]) -> str:
+    """How surely a name of words, some of which name surroundings, names just these."""
+    telling = set(filter(_of_asides, name))
+    if name & BESIDE_WORDS or not telling - UNSURE_WORDS:
+        return UNSURE
+    others = {w for w in name - telling - LAYOUT_WORDS if len(w) > 1 and not w.isdigit()}
+    return LOOSE if others else SURE
 
 
-SURE, UNSURE = "sure", "unsure"
+SURE, LOOSE, UNSURE = "sure", "loose", "unsure"
 _HEADER = re.compile(r"(?i)(?:^|[^a-z])(?:site|page|top|main)?header(?![a-z])")
 _TELLING = ("class", "id", "role", "aria-label")
 
@@ -247,11 +279,16 @@ def _weigh(tree: Tree, lenient: bool) -> None:
             chars[id(node.parent)] += chars[id(node)]
             links[id(node.parent)] += links[id(node)]
     article = any(n.tag in ARTICLE_TAGS and not n.reader for n in tree.nodes)
-    for node in tree.nodes:
+    inside: set[int] = set()
+    for node in tree.nodes:  # parents come first
+        if not node.reader and (node.tag in ARTICLE_TAGS or id(node.parent) in inside):
+            inside.add(id(node))
         own, linked = chars[id(node)], links[id(node)]
         most = not article and 2 * own > chars[id(tree.root)]
         if node.named and (
-            lenient or most and not node.reader or node.named == UNSURE and own >= SHORT and 2 * linked < own
+            lenient
+            or most and not node.reader
+            or (node.named == UNSURE or node.named == LOOSE and id(node) in inside) and own >= SHORT and 2 * linked < own
         ):
             node.aside = node.reader = False
         if most or lenient:
@@ -266,6 +303,8 @@ def _settle(tree: Tree) -> None:
             inside.add(id(node))
         if node.head and id(node) not in inside and node.tag not in ARTICLE_TAGS:
             node.aside = True
+        if node.tag == "button" and id(node) in inside and _in_sentence(node):
+            node.aside = False
     for node in tree.nodes:
         if node.tag in ARTICLE_TAGS and not node.reader:
             above = []
@@ -282,6 +321,15 @@ def _settle(tree: Tree) -> None:
                     x.reader = False
 
 
+def _in_sentence(node: Node) -> bool:
+    """Whether a paragraph's own text goes on before and after an element."""
+    if node.parent.tag not in ("p", "li", "dd", "td"):
+        return False
+    parts = node.parent.parts
+    at = next(i for i, x in enumerate(parts) if x is node)
+    return all(any(isinstance(x, str) and x.strip() for x in side) for side in (parts[:at], parts[at + 1 :]))
+
+
 def _cover(tree: Tree) -> None:
     """What lies inside an aside is one too."""
     for node in tree.nodes:  # parents come first
@@ -392,15 +440,16 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds."""
     if not page:
         return ""
-    for lenient in (False, True):
-        tree = Tree(page)
+    # By names; by no name, if these hid everything; with what is shown without scripts.
+    for lenient, raw in ((False, RAW), (True, RAW), (False, RAW - {"noscript"})):
+        tree = Tree(page, raw)
         _weigh(tree, lenient)
         _settle(tree)
         _cover(tree)
         _measure(tree)
         top, _ = _chosen(tree)
         blocks = _blocks(top)
-        if blocks or not any(n.named or n.head for n in tree.nodes):
+        if blocks:
             break
     return "\n".join(blocks)
 
@@ -415,7 +464,10 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
     footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
     left out by element, class, id and role before densities are taken. A name alone hides
     no heading, no long part in prose if it may name a section, and not most of a page
-    without an article element; where nothing is left, names do not count. Outside an
+    without an article element; a name that also tells of other things hides no long prose
+    inside an article, and one of a state (comments-open, with-sidebar) no long prose at
+    all. Where nothing is left, names do not count; where nothing is left again, what a
+    page shows without scripts does. A button stays inside a sentence of an article. Outside an
     article, lists of links with short labels are left out. Character references are decoded, white space in a block becomes one space,
     blocks are joined by one line feed; nothing else is dropped.
 

@@ -110,6 +110,83 @@ def test_parts_of_an_article_with_telling_names():
     assert text == f"Search\n{LONG}\nRelated work\n{LONG}\n{LONG}\nso x=1"
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [('<div class="hentry comments-open">', "</div>"), ('<article class="post comments-open">', "</article>"),
+     ('<div class="post no-comments">', "</div>"), ('<div id="x" class="entry comments-closed has-sidebar">', "</div>"),
+     ('<article class="post"><div class="with-sidebar">', "</div></article>")],
+)
+def test_states_in_names_do_not_hide_the_article(start, end):
+    body = f"{start}<h2>T</h2><p>{LONG}</p><p>{LONG}</p>{end}<p>Copyright Example Ltd</p>"
+    assert main_text(page(body)).startswith(f"T\n{LONG}\n{LONG}")
+    comments = f'<div id="comments"><p>{LONG} says a reader</p><p>{LONG}</p><p>{LONG}</p></div>'
+    assert "reader" not in main_text(page(body + comments))
+
+
+@pytest.mark.parametrize("name", ['id="newsletter-history"', 'class="modal-verbs"', 'class="sponsored-bridge-project"'])
+def test_sections_about_what_their_names_tell(name):
+    ads = f'<div class="sponsored-box"><p>{LONG}</p></div><div class="newsletter-signup"><p>{LONG}</p></div>'
+    text = main_text(page(f"<article><p>{LONG}</p><section {name}><h2>H</h2><p>{LONG}</p></section>{ads}</article>"))
+    assert text == f"{LONG}\nH\n{LONG}"
+
+
+def test_buttons_in_sentences():
+    text = main_text(page(f"<article><p>{LONG}</p><p>Press <button>Save</button> to go on.</p><p><button>Buy</button> now</p></article>"))
+    assert text == f"{LONG}\nPress Save to go on.\nnow"
+
+
+def test_pages_that_show_their_text_without_scripts():
+    body = f"<div id='app'></div><noscript><nav>Menu</nav><p>{LONG}</p></noscript>"
+    assert main_text(page(body)) == LONG
+    assert main_text(page(f"<p>{LONG}</p><noscript><p>Turn on scripts. {LONG}</p></noscript>")) == LONG
+
+
+def test_pages_without_articles_against_a_plain_walk(prose):
+    """Which subtree densities choose, against a walk that measures every element anew."""
+    import math
+    import re
+    from mailsift.llm import html_density as d
+
+    def measure(node, body_share):
+        texts, tags, links, linked = [], 0, 0, 0
+        stack = [(x, node.tag == "a") for x in node.parts]
+        linked += node.tag == "a"
+        while stack:
+            x, in_link = stack.pop()
+            if isinstance(x, str):
+                n = len(re.sub(r"\s", "", x))
+                texts.append(n)
+                links += n if in_link else 0
+            elif not x.aside:
+                tags += 1
+                linked += x.tag == "a"
+                stack += [(y, in_link or x.tag == "a") for y in x.parts]
+        chars = sum(texts)
+        if not chars:
+            return 0.0, 0, 0
+        top = math.log(chars / max(chars - links, 1) * links + body_share * chars + math.e)
+        shape = chars / max(links, 1) * max(tags, 1) / max(linked, 1)
+        return chars / max(tags, 1) * math.log(1 + shape) / math.log(1 + top), chars, links
+
+    for k in range(12):
+        paragraphs = "".join(f"<p>{prose(10 * k + i, 20 + 7 * i)}</p>" for i in range(1 + k % 4))
+        menu = "".join(f'<li><a href="/{i}">{prose(500 + i, 2)}</a></li>' for i in range(3 + k))
+        body = f"<div><ul>{menu}</ul></div><div id='c'><h2>{prose(k, 3)}</h2>{paragraphs}</div><div><a href='/'>{prose(k, 4)}</a> {prose(k + 1, 3)}</div>"
+        tree = d.Tree(page(body))
+        d._weigh(tree, False), d._settle(tree), d._cover(tree), d._measure(tree)
+        body_chars, body_links = measure(tree.root, 0.0)[1:]
+        share = body_links / body_chars
+        plain = [n for n in tree.nodes if not n.aside]
+        sums = [sum(measure(x, share)[0] for x in n.parts if isinstance(x, d.Node) and not x.aside) for n in plain]
+        assert all(abs(n.total - s) < 1e-6 * max(s, 1) for n, s in zip(plain, sums))
+        best = plain[sums.index(max(sums))]
+        chosen, threshold = d._chosen(tree)
+        path = [best]
+        while path[-1].parent is not None:
+            path.append(path[-1].parent)
+        assert chosen in path and abs(threshold - min(measure(n, share)[0] for n in path)) < 1e-6
+
+
 def test_sources_of_an_article():
     sources = '<ol><li><a href="/1">Source one</a></li><li><a href="/2">Source two</a></li></ol>'
     assert main_text(page(f"<article><p>{LONG}</p>{sources}</article>")) == f"{LONG}\nSource one\nSource two"
