@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import id_and_text, map_rows
+from mailsift.llm.common import id_and_text, map_rows, with_ids
 from mailsift.sources.scratch import land
 
 #: Language families by ISO 639-1 code; a fixed table. Other codes are a family each.
@@ -122,13 +122,24 @@ def _vote(names: list[str], machines: list[Machine], x: np.ndarray) -> tuple[str
 def labelled_sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """At most so many documents of each language that are not held out, by hash order.
 
-    Expects ``id, text, lang``. Only ids are ranked, and each task passes on no more than
-    the first ones of each language.
+    Expects ``id, text, lang``. A sketch counts the ids of each language; those whose hash
+    lies below a little more than the share wanted are ranked, so a language of any size
+    has a bounded number of ids in the task that ranks it. The chosen ids meet the texts by
+    broadcast, and only texts of the sample are shuffled: rows that repeat an id in a
+    language are one document, the one with the least text.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    # Ten standard deviations more than wanted, and a quarter for the sketch.
+    enough = 1.25 * (per_language + 10 * per_language**0.5 + 50)
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    shares = land(sizes.select("lang", (F.lit(enough) / F.col("n")).alias("share")), "language_shares")
+    place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    low = known.join(shares, "lang").filter(place < F.col("share")).select("lang", "id").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    return known.join(chosen.select("id").distinct(), "id", "left_semi").select("id", "text", "lang")
+    chosen = low.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "id")
+    ids = land(chosen.select("id").distinct(), "language_sample")
+    found = with_ids(known.select("id", "text", "lang"), ids)
+    return found.groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")
 
 
 def _vectors(sample: DataFrame) -> DataFrame:
@@ -186,7 +197,8 @@ def identify(
 
     A null text, and one without a letter, is ``und`` with score 0; so is every text when
     there is nothing to learn from. With one language that one is always predicted.
-    A null id is not held out, nor learned from. Repeated rows come out as they are; an
+    A null id is not held out, nor learned from. Repeated rows come out as they are and are
+    learned from once; an
     empty table gives no rows; extra columns are not read.
     """
     rows = id_and_text(docs, key, text)

@@ -71,6 +71,54 @@ def test_sample_is_bounded(spark, texts):
     assert [r["count"] for r in counts] == [7] * 6
 
 
+def test_sample_is_the_first_by_hash(spark, texts):
+    """However large a language is, and however often an id is repeated."""
+    n = 20_000
+    large = spark.range(n).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    hot = spark.range(5_000).select(F.lit(3).cast("long").alias("id"), F.concat(F.lit("z"), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    small = spark.createDataFrame([(n + i, "wort", "de") for i in range(50)], "id long, text string, lang string")
+    odd = spark.createDataFrame([(None, "x", "en"), (n + 99, "x", None)], "id long, text string, lang string")
+    got = langid.labelled_sample(large.union(hot).union(small).union(odd), 100).collect()
+    hashed = spark.range(n).select("id", F.xxhash64("id").alias("h")).collect()
+    free = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    first = [r.id for r in sorted(hashed, key=lambda r: (r.h, r.id)) if free(r.id)][:100]
+    assert sorted(r.id for r in got if r.lang == "en") == sorted(first)
+    assert sorted(r.id for r in got if r.lang == "de") == [n + i for i in range(50) if free(n + i)]
+
+
+def test_texts_are_not_shuffled_to_be_sampled(spark, texts):
+    docs = spark.createDataFrame(texts, SCHEMA).withColumnRenamed("doc_id", "id")
+    plan = langid.labelled_sample(docs, 7)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert len(exchanges) == 2 and "BroadcastHashJoin" in plan
+    assert any("BroadcastExchange" in e for e in exchanges)  # and the one of the sample itself
+    below = plan[plan.index("BroadcastHashJoin"):]
+    assert "Exchange hashpartitioning" not in below
+
+
+def test_votes_counted_anew(spark, texts):
+    """Every prediction follows from the duels of the machines, counted plainly."""
+    docs = spark.createDataFrame(texts, SCHEMA).withColumnRenamed("doc_id", "id")
+    identifier = langid.learn(docs.select("id", "text", "lang"), 30)
+
+    def winner(names, machines, x):
+        duels = []
+        for m in machines:
+            margin = float(np.dot(m.weights, x) + m.intercept)
+            duels += [(m.first, margin), (m.second, -margin)]
+        score = {n: (sum(d > 0 for w, d in duels if w == n), sum(d for w, d in duels if w == n)) for n in names}
+        best = max(names, key=lambda n: score[n])
+        return best, min((d for w, d in duels if w == best), default=None)
+
+    for _, text, *_ in texts[:60]:
+        x = langid.features(text)
+        family, closest = winner(sorted(identifier.families), identifier.between, x)
+        lang, closer = winner(identifier.families[family], identifier.within[family], x)
+        chance = lambda m: 1.0 if m is None else 1 / (1 + np.exp(-2 * np.clip(m, -20, 20)))
+        got, score = identifier.predict(text)
+        assert got == lang and abs(score - chance(closest) * chance(closer)) < 1e-9
+
+
 def test_features_of_blocks(monkeypatch, prose):
     text = prose(1, 300) + "é"
     whole = langid.features(text)
