@@ -711,6 +711,19 @@ def predict_run(spark, sf):
     return _rounded(tables["report"], *evaluate.RATIOS).drop("Conservative accuracy")
 
 
+@query
+def predict_resumed(spark, sf):
+    """The same in shards: a run that ends after one job, another that answers the rest."""
+    rows = labelled(spark, sf).withColumnRenamed("key", "index")
+    root = scratch_path(spark, "run")
+    shards = prediction.start_run(rows, root, shard_mails=100)
+    prediction.resume_run(spark, root, _stand_in, at_once=-(-shards // 3), most_jobs=1)
+    prediction.start_run(rows, root, shard_mails=100)
+    prediction.resume_run(spark, root, _stand_in)
+    tables = prediction.finish_run(spark, root, parse=answers.parse_answer_first)
+    return _rounded(tables["report"], *evaluate.RATIOS).drop("Conservative accuracy")
+
+
 @query
 def log_loss(spark, sf):
     rows = fx.labelled_mail(spark, sf).withColumn("p_phishing", p_of(K()))

@@ -634,3 +634,6 @@ ORACLE: dict[str, str] = {
         ),
     ),
 }
+
+# A run that is stopped and goes on ends with the same tables.
+ORACLE["predict_resumed"] = ORACLE["predict_run"]
