@@ -336,6 +336,8 @@ HARD_HTML = (
     "<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>",
     "1 < 2 &amp;lt; <!-- <p>c</p> -->",
     """<SCRIPT type="t">if (a</b) "</p>"</SCRIPT >s""",
+    "a<template>x<template>y</template>z</template>b",
+    "<ruby>漢<rt>k<b>a</b>n</rt></ruby>字",
 )
 
 

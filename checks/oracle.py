@@ -390,7 +390,7 @@ ORACLE: dict[str, str] = {
           || subject || ' ' || chr(10) AS x FROM mail)""",
         select=f"SELECT key, {squash(strip_prefix('x'))} AS stripped, {squash('x')} AS kept FROM made",
     ),
-    "html_to_text": f"""SELECT page_id, (['a b', 'q', '漢', '1 < 2 &lt;', 's'])[1 + page_id % 5] || ' ' || {html_text('html')} AS text
+    "html_to_text": f"""SELECT page_id, (['a b', 'q', '漢', '1 < 2 &lt;', 's', 'a b', '漢 字'])[1 + page_id % 7] || ' ' || {html_text('html')} AS text
       FROM pages""",
     "filter_subject": using(MAIL, CLEANED, select="SELECT key, subject FROM cleaned WHERE subject <> ''"),
     "filter_body": using(MAIL, CLEANED, select="SELECT key FROM cleaned WHERE body <> ''"),

@@ -30,6 +30,34 @@ MARKUP = "(?is)<(?:%s)" % "|".join(
     ]
 )
 
+# Elements that hold no phrasing content alone, so that inside a reading aid their end tag
+# belongs to something outside of it, if they were not opened there.
+_BLOCKS = (
+    "address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|footer|form|h[1-6]|header|html|li|main|nav|ol|p|"
+    "pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+)
+_HIDING = "template|ruby|r[tp]"
+_MAY_HIDE = r"(?i)<(?:template|r[tp])[\s/>]"
+
+# As MARKUP, but templates and reading aids are tags like any other; the first group has the
+# name of those that the fold below follows, with its slash.
+_FOLLOWED = "(?is)<(?:%s)" % "|".join(
+    [
+        r"!--.*?-->",
+        rf"script(?:[\s/]{_TAG_END}|>).*?(?:</script\s*+>|\z)",
+        rf"style(?:[\s/]{_TAG_END}|>).*?(?:</style\s*+>|\z)",
+        rf"(?:{_HIDING}|{_BLOCKS})\s*+/>",
+        rf"(/?(?:{_HIDING}|{_BLOCKS}))(?=[\s/>]){_TAG_END}",
+        rf"/?[a-z]{_TAG_END}",
+        r"[!?][^>]*+>",
+        r"/[^a-z>][^>]*+>",
+    ]
+)
+# Noncharacters around the name of a tag that is followed.
+_TAG, _NAMED = "\ufdd2", "\ufdd3"
+#: Tags in one step of the outer fold, and open elements that are told apart.
+_CHUNK, _DEEPEST = 256, 1000
+
 # Noncharacters that stand in for markup openings which are never closed.
 _OPEN, _DASHES = "\ufdd0", "\ufdd1"
 
@@ -155,11 +183,89 @@ def _uncover(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit(_DASHES), F.lit("--")), F.lit(_OPEN), F.lit("<"))
 
 
+def _follow(state: Column, piece: Column) -> Column:
+    """The state after a tag and the text behind it.
+
+    ``templates`` counts open templates; ``open`` has a letter for each open ruby (R),
+    reading aid (A), and block inside an aid (B). An aid ends at its end tag, at the next
+    aid of the same ruby, at the end of the ruby, and at the end of a block around it; a
+    template only at its own end tag. Text is seen where neither is open.
+    """
+    templates, opened = state["templates"], state["open"]
+    tag = F.lower(F.substring_index(piece, _NAMED, 1))
+    behind = F.substring(piece, F.length(tag) + 2, F.length(piece))
+
+    def pushed(letter: str) -> Column:
+        return F.when(F.length(opened) < _DEEPEST, F.concat(opened, F.lit(letter))).otherwise(opened)
+
+    def cut(letter: str) -> Column:
+        """Without the innermost such element and all that is inside it."""
+        return F.regexp_replace(opened, f"{letter}[^{letter}]*$", "")
+
+    in_aid = F.contains(opened, F.lit("A"))
+    now_open = (
+        F.when((tag == "") | (templates > 0) | tag.endswith("template"), opened)
+        .when(tag == "ruby", pushed("R"))
+        .when(tag == "/ruby", cut("R"))
+        .when(tag.isin("rt", "rp"), F.when(opened.endswith("A"), opened).otherwise(pushed("A")))
+        .when(tag.isin("/rt", "/rp"), cut("A"))
+        .when(~F.startswith(tag, F.lit("/")), F.when(in_aid, pushed("B")).otherwise(opened))
+        .when(F.contains(opened, F.lit("B")), cut("B"))
+        .otherwise("")
+    )
+    now_templates = (
+        F.when(tag == "template", templates + 1)
+        .when(tag == "/template", F.greatest(templates - 1, F.lit(0)))
+        .otherwise(templates)
+    )
+    after = F.struct(now_templates.alias("templates"), now_open.alias("open"))
+
+    def seen(s: Column) -> Column:
+        visible = (s["templates"] == 0) & ~F.contains(s["open"], F.lit("A"))
+        text = F.when(visible, F.concat(F.lit(" "), behind)).otherwise(" ")
+        return F.struct(s["templates"], s["open"], F.concat(state["texts"], F.array(text)).alias("texts"))
+
+    return let(after, seen)
+
+
+def _followed(t: Column) -> Column:
+    """Text outside of templates and reading aids, however they are nested.
+
+    Tags are folded in chunks, since a fold that gathers texts copies what it has so far
+    at every step.
+    """
+    start = F.struct(F.lit(0).alias("templates"), F.lit("").alias("open"), F.array().cast("array<string>").alias("texts"))
+
+    def chunk(state: Column, pieces: Column) -> Column:
+        empty = F.struct(state["templates"], state["open"], F.array().cast("array<string>").alias("texts"))
+        return let(
+            F.aggregate(pieces, empty, _follow),
+            lambda s: F.struct(
+                s["templates"],
+                s["open"],
+                F.concat(state["texts"], F.array(F.array_join(s["texts"], ""))).alias("texts"),
+            ),
+        )
+
+    def folded(pieces: Column) -> Column:
+        tags = F.size(pieces) - 1
+        chunks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.greatest(tags - 1, F.lit(0)) / _CHUNK).cast("int")),
+            lambda i: F.slice(pieces, i * _CHUNK + 2, F.lit(_CHUNK)),
+        )
+        texts = F.aggregate(chunks, start, chunk, lambda s: F.array_join(s["texts"], ""))
+        return F.concat(F.element_at(pieces, 1), texts)
+
+    return let(F.split(F.regexp_replace(t, _FOLLOWED, f"{_TAG}$1{_NAMED}"), _TAG), folded)
+
+
 def without_markup(c: Column) -> Column:
     """Every piece of markup becomes a blank."""
 
     def blanked(t: Column) -> Column:
-        return F.regexp_replace(t, MARKUP, " ")
+        # Few mails have such elements; the others are done with in one pass.
+        nested = t.rlike(_MAY_HIDE) & ~F.contains(t, F.lit(_TAG)) & ~F.contains(t, F.lit(_NAMED))
+        return F.when(nested, _followed(t)).otherwise(F.regexp_replace(t, MARKUP, " "))
 
     unclosed = F.contains(F.substring_index(c, ">", -1), F.lit("<")) | F.contains(
         F.substring_index(c, "-->", -1), F.lit("<!--")
@@ -170,6 +276,6 @@ def without_markup(c: Column) -> Column:
 
 def html_to_text(c: Column) -> Column:
     """Text nodes joined by a blank; without comments, declarations, scripts, styles,
-    templates, and the reading aids of ruby text (what directly follows ``<rt>``, ``<rp>``).
+    templates, and the reading aids of ruby text, with all that is inside them.
     """
     return squash_ws(decode_entities(let(fill_blank(c), without_markup)))

@@ -96,7 +96,70 @@ def test_tags_that_end_late_take_linear_time(column_of, piece, tail):
 
 def test_templates_and_reading_aids_are_no_text(column_of):
     values = ["a<template>T</template>b", "<template><p>x", "<ruby>k<rt>r</rt></ruby>", "<rt>r<b>s</b>", "<rtc>x</rtc>"]
-    assert column_of(html_to_text, values) == ["a b", "", "k", "s", "x"]
+    assert column_of(html_to_text, values) == ["a b", "", "k", "", "x"]
+
+
+HIDDEN = [
+    ("a<template>x<template>y</template>z</template>b", "a b"),
+    ("a<TEMPLATE id='x>y'>x</Template >b", "a b"),
+    ("a</template>b<template/>c", "a b c"),
+    ("<ruby>k<rt>r<b>s</b>t</rt></ruby>u", "k u"),
+    ("<ruby>k<rt>r<!-- c -->s</rt>l<rp>(</rp></ruby>", "k l"),
+    ("<ruby>k<rt>r<rt>s</ruby>t", "k t"),
+    ("<ruby>k<rt>r<rp>s</rp>l<rt>t</ruby>u", "k l u"),
+    ("<ruby>k<rt><ruby>l<rt>m</rt></ruby>n</rt></ruby>o", "k o"),
+    ("<p><ruby>k<rt>r</p>s", "k s"),
+    ("<rt><div>a</div>b</rt>c", "c"),
+    ("a</rt>b</ruby>c<rt >d</rt>", "a b c"),
+    ("<template><rt></template>a", "a"),
+    ("<rt>a<template></rt></template>b</rt>c", "c"),
+    ("<script>'<template>'</script>a<!-- <rt> -->b<rt>c</rt>", "a b"),
+    ("a<template title='", "a<template title='"),
+    ("\ufdd2a<template>x</template>b", "\ufdd2a b"),
+]
+
+
+def test_nested_templates_and_reading_aids(column_of):
+    assert column_of(html_to_text, [h for h, _ in HIDDEN]) == [t for _, t in HIDDEN]
+
+
+def test_random_trees_with_hidden_elements(column_of):
+    """Trees whose every element is closed: what is hidden is known when they are made."""
+    rng = random.Random(5)
+
+    def tree(depth, hidden, out):
+        html = ""
+        for _ in range(rng.randint(0, 4)):
+            word = f"w{rng.randint(0, 999)}"
+            html += f" {word} "
+            if not hidden:
+                out.append(word)
+            if depth:
+                tag = rng.choice(["template", "ruby", "rt", "rp", "b", "p", "div", "table", "i"])
+                # An aid right inside an aid would end it.
+                inner = tree(depth - 1, hidden or tag in ("template", "rt", "rp"), out)
+                html += f"<ruby><{tag}>{inner}</{tag}></ruby>" if tag in ("rt", "rp") else f"<{tag} x='>'>{inner}</{tag}>"
+                html += rng.choice(["", "<br>", "<!-- <rt> -->", "<hr/>"])
+        return html
+
+    made = []
+    for _ in range(300):
+        out = []
+        made.append((tree(5, False, out), out))
+    # More tags than go into one chunk of the fold.
+    assert max(h.count("<") for h, _ in made) > 600
+    assert column_of(html_to_text, [h for h, _ in made]) == [" ".join(out) for _, out in made]
+
+
+@pytest.mark.parametrize("piece", ["<template>x", "<template>x</template>y", "<ruby>a<rt>b<i>c</i></rt></ruby>", "<ruby><rt><p>", "<ruby>"])
+def test_hidden_elements_take_linear_time(column_of, piece):
+    def seconds(n):
+        start = time.time()
+        column_of(html_to_text, ["<rt>" + piece * n])
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(60_000) < 6 * max(seconds(15_000), 0.5)
 
 
 def test_an_unclosed_quote_is_a_plain_character(column_of):
