@@ -10,8 +10,12 @@ from mailsift.sources.scratch import land
 
 #: Tokens in a window, and the least tokens an item needs to be told from chance.
 WINDOW, LEAST_TOKENS = 5, 5
-#: Share of an item's windows that a document must hold.
+#: Share of an item's windows that a document must hold, or else
 COVERAGE = 0.5
+#: the share of its tokens that lie in such windows, or else
+TOKEN_COVERAGE = 0.8
+#: the tokens in a row.
+RUN = 13
 #: Benchmarks up to this many windows (some 40 bytes each) are broadcast; larger ones are
 #: shuffled like any other table.
 MOST_BROADCAST_WINDOWS = 2_000_000
@@ -78,16 +82,66 @@ def window_hashes(symbols: Column, width: int = WINDOW) -> Column:
     return F.transform(at, run)
 
 
+def _tells(symbols: Column, place: Column) -> Column:
+    """Whether a window holds a word: one of placeholders alone is in every table of numbers."""
+    return F.exists(F.slice(symbols, place + 1, WINDOW), lambda s: ~F.startswith(s, F.lit("#")))
+
+
 def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item_id, item_place, hash, item_windows`` of every item that is long enough."""
+    """``item_id, item_windows, item_telling, item_place, hash`` of every item that is long enough.
+
+    Windows of placeholders alone are counted in ``item_windows`` but left out.
+    """
     shaped = templates(items, key, text).filter(F.size("symbols") >= LEAST_TOKENS)
     per_item = shaped.groupBy("id").agg(F.max_by("symbols", F.size("symbols")).alias("symbols"))
+    telling = F.filter(window_hashes(F.col("symbols")), lambda w: _tells(F.col("symbols"), w["place"]))
     windows = per_item.select(
         F.col("id").alias("item_id"),
         (F.size("symbols") - WINDOW + 1).cast("long").alias("item_windows"),
-        _once(window_hashes(F.col("symbols")).alias("w")),
+        _once(telling.alias("w")),
+    )
+    return windows.select(
+        "item_id", "item_windows", F.size("w").cast("long").alias("item_telling"), F.inline("w").alias("item_place", "hash")
+    )
+
+
+def _covered(places: Column) -> Column:
+    """The places of an item's tokens that lie in windows at these places."""
+    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(i, i + (WINDOW - 1)))))
+
+
+def _longest(places: Column) -> Column:
+    """Tokens in the longest run of windows that follow each other; places are distinct."""
+
+    def step(run: Column, place: Column) -> Column:
+        now = F.when(place == run["last"] + 1, run["now"] + 1).otherwise(1)
+        return F.struct(
+            place.alias("last"), now.alias("now"), F.greatest(run["most"], now).alias("most")
+        )
+
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.array_sort(places), start, step, lambda run: run["most"] + (WINDOW - 1))
+
+
+def _enough_windows(coverage: float) -> Column:
+    """The share of an item's windows, or all that have words where those are fewer."""
+    return F.least(coverage * F.col("item_windows"), F.col("item_telling").cast("double"))
+
+
+def _item_tokens() -> Column:
+    return F.col("item_windows") + (WINDOW - 1)
+
+
+def _reported(places: Column, longest: Column, coverage: float) -> Column:
+    """Whether an item's matched places, or its longest run, are enough of it."""
+    return (
+        (F.size(places) >= _enough_windows(coverage))
+        | (longest >= RUN)
+        | (F.size(_covered(places)) >= TOKEN_COVERAGE * _item_tokens())
     )
-    return windows.select("item_id", "item_windows", F.inline("w").alias("item_place", "hash"))
+
+
+_PAIR = ("doc_id", "item_id", "item_windows", "item_telling")
 
 
 def find_leaks(
@@ -101,22 +155,25 @@ def find_leaks(
 ) -> DataFrame:
     """Documents that hold benchmark items, word for word or with other parameters.
 
-    One row per document and item: ``doc_id, item_id, item_windows, matched, reworded``.
-    Texts become templates: numbers, names and units turn into typed placeholders, other
-    words into lower case, everything else is a separator. Windows of five template
-    symbols are hash-joined with those of the benchmark; ``matched`` counts the item's
-    windows found in the document. At least ``coverage`` of them must be found by
-    alignments whose slots are consistent: where the item repeats a number, name or unit,
-    the document must repeat one too. ``reworded`` tells whether a slot has other contents
-    than in the item.
+    One row per document and item: ``doc_id, item_id, item_windows, matched, longest_run,
+    reworded``. Texts become templates: numbers, names and units turn into typed
+    placeholders, other words into lower case, everything else is a separator. Windows of
+    five template symbols, of which one is a word, are hash-joined with those of the
+    benchmark; ``matched`` counts the item's windows found in the document, and
+    ``longest_run`` the tokens in the longest row of them. A pair is reported if at least
+    ``coverage`` of the windows are found (all that hold a word, where those are fewer), or
+    windows over 80 % of the item's tokens (a word changed here and there), or 13 tokens in
+    a row (an excerpt of a long item), by alignments whose slots are consistent: where the
+    item repeats a number, name or unit, the document must repeat one too. ``reworded``
+    tells whether a slot has other contents than in the item.
 
     The benchmark's windows are broadcast up to a stated number and shuffled beyond it. A
     document's own hits are counted in the task that reads it, so a passage in a third of
     all documents makes one row per document and item. Slots are compared only for the
     few pairs that are left.
 
-    Null and empty texts hold nothing. Items with fewer than five tokens cannot be told
-    from chance and match nothing. Rows that repeat an id are one document or item (of
+    Null and empty texts hold nothing. Items with fewer than five tokens, or of numbers,
+    names and units alone, cannot be told from chance and match nothing. Rows that repeat an id are one document or item (of
     repeated items the longest text counts). Rows with a null id are not reported. Empty
     tables give no rows; extra columns are not read.
     """
@@ -128,15 +185,21 @@ def find_leaks(
     found = shaped.select(F.col("id").alias("doc_id"), F.inline("w").alias("place", "hash"))
     hits = (
         found.join(F.broadcast(windows) if few else windows, "hash")
-        .groupBy("doc_id", "item_id", "item_windows", (F.col("place") - F.col("item_place")).alias("shift"))
+        .groupBy(*_PAIR, (F.col("place") - F.col("item_place")).alias("shift"))
         .agg(F.collect_set("item_place").alias("places"))
     )
     in_all = F.array_distinct(F.flatten(F.col("aligned.places")))
-    # Stray hits of common words never add up to the coverage; most pairs end here.
+    longest = F.array_max(F.transform("aligned", lambda a: _longest(a["places"])))
+    # What any of the three ways needs at least. Stray hits of common words never add up to
+    # it; most pairs end here.
+    least = F.least(
+        _enough_windows(coverage), F.lit(float(RUN - WINDOW + 1)), TOKEN_COVERAGE / WINDOW * _item_tokens()
+    )
     pairs = land(
-        hits.groupBy("doc_id", "item_id", "item_windows")
+        hits.groupBy(*_PAIR)
         .agg(F.collect_list(F.struct("shift", "places")).alias("aligned"))
-        .filter(F.size(in_all) >= coverage * F.col("item_windows")),
+        .filter(F.size(in_all) >= least)
+        .filter(_reported(in_all, longest, coverage)),
         "aligned",
     )
     return _consistent(pairs, docs, items, coverage, key, text, item_key, item_text)
@@ -154,15 +217,10 @@ def _consistent(pairs, docs, items, coverage, key, text, item_key, item_text) ->
         .agg(F.max_by(F.struct("tokens", "symbols"), F.size("symbols")).alias("x"))
         .select(F.col("id").alias("item_id"), F.col("x.tokens").alias("ours"), F.col("x.symbols").alias("symbols"))
     )
-    one = pairs.select("doc_id", "item_id", "item_windows", F.inline("aligned")).join(item_tokens, "item_id")
-    covered = F.array_distinct(
-        F.flatten(F.transform("places", lambda i: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: i + k)))
-    )
-    slots = F.filter(covered, lambda i: F.substring(F.get("symbols", i), 1, 1) == "#")
-    slotted = one.select("doc_id", "item_id", "item_windows", "shift", "places", "ours", slots.alias("slots"))
-    plain = slotted.filter(F.size("slots") == 0).select(
-        "doc_id", "item_id", "item_windows", "places", F.lit(False).alias("reworded")
-    )
+    one = pairs.select(*_PAIR, F.inline("aligned")).join(item_tokens, "item_id")
+    slots = F.filter(_covered(F.col("places")), lambda i: F.substring(F.get("symbols", i), 1, 1) == "#")
+    slotted = one.select(*_PAIR, "shift", "places", "ours", slots.alias("slots"))
+    plain = slotted.filter(F.size("slots") == 0).select(*_PAIR, "places", F.lit(False).alias("reworded"))
     contents = F.transform(
         "slots",
         lambda i: F.struct(
@@ -172,17 +230,17 @@ def _consistent(pairs, docs, items, coverage, key, text, item_key, item_text) ->
     filled = (
         slotted.filter(F.size("slots") > 0)
         .join(doc_tokens, "doc_id")
-        .select("doc_id", "item_id", "item_windows", "places", F.array_distinct(contents).alias("filled"))
+        .select(*_PAIR, "places", F.array_distinct(contents).alias("filled"))
         .filter(F.size("filled") == F.size(F.array_distinct(F.col("filled.item"))))
         .withColumn("reworded", F.exists("filled", lambda s: s["item"] != s["doc"]))
     )
     both = plain.union(filled.select(plain.columns))
-    return (
-        both.groupBy("doc_id", "item_id", "item_windows")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"),
-            F.bool_or("reworded").alias("reworded"),
-        )
-        .filter(F.col("matched") >= coverage * F.col("item_windows"))
-        .select("doc_id", "item_id", "item_windows", "matched", "reworded")
+    judged = both.groupBy(*_PAIR).agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+        F.max(_longest(F.col("places"))).cast("long").alias("longest_run"),
+        F.bool_or("reworded").alias("reworded"),
+    )
+    matched = F.size("places").cast("long").alias("matched")
+    return judged.filter(_reported(F.col("places"), F.col("longest_run"), coverage)).select(
+        "doc_id", "item_id", "item_windows", matched, "longest_run", "reworded"
     )

@@ -97,7 +97,16 @@ def op4_benchmark_decontamination(spark, sf):
     return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+# Units of measure and money; a fixed list.
+_UNITS = """
+    'cent', 'cents', 'dollar', 'dollars', 'euro', 'euros', 'pence', 'pound', 'pounds', 'percent',
+    'sec', 'secs', 'second', 'seconds', 'minute', 'minutes', 'hr', 'hrs', 'hour', 'hours', 'day', 'days',
+    'week', 'weeks', 'month', 'months', 'year', 'years',
+    'mm', 'cm', 'km', 'millimeter', 'millimeters', 'centimeter', 'centimeters', 'centimetre', 'centimetres',
+    'meter', 'meters', 'metre', 'metres', 'kilometer', 'kilometers', 'kilometre', 'kilometres',
+    'inch', 'inches', 'foot', 'feet', 'yard', 'yards', 'mile', 'miles', 'kmh', 'mph', 'degree', 'degrees',
+    'mg', 'kg', 'gram', 'grams', 'kilogram', 'kilograms', 'ton', 'tons', 'tonne', 'tonnes', 'lb', 'lbs', 'oz',
+    'ounce', 'ounces', 'ml', 'milliliter', 'milliliters', 'liter', 'liters', 'litre', 'litres', 'gallon', 'gallons'"""
 _TOKENS = r"""regexp_extract_all(
     regexp_replace(coalesce(text, ''), '(^|[.!?:;\n][ \t\n\r"''(]*)(\p{Lu})', '\1' || chr(1) || '\2', 'g'),
     '\x01?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*')"""
@@ -118,13 +127,15 @@ WITH d AS (
     SELECT doc_id, unnest(range(1, len(symbols) - 3)) AS p,
            unnest([array_to_string(symbols[i:i + 4], ' ') FOR i IN range(1, len(symbols) - 3)]) AS s FROM d
 ), bw AS (
-    SELECT item_id, len(symbols) - 4 AS item_windows, unnest(range(1, len(symbols) - 3)) AS q,
-           unnest([array_to_string(symbols[i:i + 4], ' ') FOR i IN range(1, len(symbols) - 3)]) AS s FROM b
+    SELECT *, count(*) OVER (PARTITION BY item_id) AS telling FROM (
+        SELECT item_id, len(symbols) - 4 AS item_windows, unnest(range(1, len(symbols) - 3)) AS q,
+               unnest([array_to_string(symbols[i:i + 4], ' ') FOR i IN range(1, len(symbols) - 3)]) AS s FROM b)
+    WHERE NOT regexp_full_match(s, '(#[a-z]+ ?)+')
 ), hits AS (
-    SELECT doc_id, item_id, item_windows, p, q, p - q AS shift FROM dw JOIN bw USING (s)
+    SELECT doc_id, item_id, telling, item_windows, p, q, p - q AS shift FROM dw JOIN bw USING (s)
 ), enough AS (
     SELECT doc_id, item_id FROM hits GROUP BY ALL
-    HAVING count(DISTINCT q) >= 0.5 * any_value(item_windows)
+    HAVING count(DISTINCT q) >= least(0.5 * any_value(item_windows), any_value(telling), 9, 0.16 * any_value(item_windows + 4))
 ), slots AS (
     SELECT DISTINCT doc_id, item_id, shift, lower(b.tokens[i]) AS ours, lower(d.tokens[i + shift]) AS theirs
     FROM (SELECT DISTINCT doc_id, item_id, shift, unnest(range(q, q + 5)) AS i
@@ -140,9 +151,21 @@ WITH d AS (
     LEFT JOIN alignments a ON a.doc_id = h.doc_id AND a.item_id = h.item_id AND a.shift = h.shift
     WHERE a.shift IS NOT NULL
        OR NOT EXISTS (FROM slots s WHERE s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.shift = h.shift)
+), runs AS (
+    SELECT doc_id, item_id, count(*) + 4 AS run FROM (
+        SELECT *, q - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS island
+        FROM (SELECT DISTINCT doc_id, item_id, shift, q FROM judged))
+    GROUP BY doc_id, item_id, shift, island
+), covers AS (
+    SELECT doc_id, item_id, count(DISTINCT i) AS covered
+    FROM (SELECT doc_id, item_id, unnest(range(q, q + 5)) AS i FROM judged) GROUP BY ALL
 )
-SELECT doc_id, item_id, item_windows, count(DISTINCT q) AS matched, bool_or(reworded) AS reworded
-FROM judged GROUP BY ALL HAVING count(DISTINCT q) >= 0.5 * item_windows
+SELECT doc_id, item_id, item_windows, matched, longest_run, reworded FROM (
+    SELECT doc_id, item_id, telling, item_windows, count(DISTINCT q) AS matched, bool_or(reworded) AS reworded
+    FROM judged GROUP BY ALL)
+JOIN (SELECT doc_id, item_id, max(run) AS longest_run FROM runs GROUP BY ALL) USING (doc_id, item_id)
+JOIN covers USING (doc_id, item_id)
+WHERE matched >= least(0.5 * item_windows, telling) OR longest_run >= 13 OR covered >= 0.8 * (item_windows + 4)
 """
 
 

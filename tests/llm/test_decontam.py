@@ -46,9 +46,49 @@ def test_slots_must_be_consistent(leaks):
 
 
 def test_half_of_an_item(leaks):
-    words = [f"word{chr(97 + i)}" for i in range(24)]
+    words = [f"word{chr(97 + i)}" for i in range(20)]
     item = " ".join(words)
-    assert leaks([" ".join(words[:14]), " ".join(words[:13])], [item]) == {(0, 0): False}
+    assert leaks([" ".join(words[:12]), " ".join(words[:11])], [item]) == {(0, 0): False}
+
+
+def words_of(n):
+    return [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+
+
+def test_an_excerpt_of_a_long_item(leaks):
+    """13 tokens in a row are reported, 12 are not, nor are more with a gap."""
+    words = words_of(59)
+    texts = [words[10:41], words[20:33], words[20:32], words[:8] + ["x"] + words[8:16], words[:12] + words[30:42]]
+    assert leaks([" ".join(t) for t in texts], [" ".join(words)]) == {(0, 0): False, (1, 0): False}
+
+
+def test_every_eighth_word_changed(leaks):
+    words = words_of(59)
+    eighth = [f"other{i}" if i % 8 == 7 else w for i, w in enumerate(words)]
+    fifth = [f"other{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    assert leaks([" ".join(eighth), " ".join(fifth)], [" ".join(words)]) == {(0, 0): False}
+
+
+def test_placeholders_alone_say_nothing(leaks):
+    numbers = " ".join(str(i) for i in range(60))
+    item = "What comes after these: " + numbers
+    assert leaks([numbers, " ".join(str(7 * i) for i in range(90))], [item, numbers]) == {}
+    # Numbers that belong to a question do not hide it.
+    assert leaks([item, item.replace("5", "8")], [item])[(0, 0)] is False
+
+
+def test_tables_of_numbers_cost_what_prose_does(leaks):
+    import time
+
+    items = [f"which of these {i} is the least " + " ".join(str(i * k) for k in range(60)) for i in range(20)]
+
+    def seconds(n):
+        start = time.time()
+        assert leaks([" ".join(str(i) for i in range(n))] * 2, items) == {}
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(80_000) < 4 * max(seconds(20_000), 2)
 
 
 def test_edges(leaks, odd_texts):
@@ -84,9 +124,13 @@ def test_query_equals_sql(spark, sf):
 def test_query_equals_sql_with_slots(spark, tmp_path):
     import duckdb
 
+    long = " ".join(words_of(40)) + " 1 2 3 4 5 6 7 8 then 9 days"
     texts = [ITEM, ITEM.replace("12", "7"), ITEM.replace("12", "7", 1), "In Rome, " + ITEM.lower(), None, ""]
+    texts += [long, " ".join(long.split()[3:17]), long.replace("3 4", "4 4"), " ".join(long.split()[3:15]), "1 2 3 4 5 6 7"]
+    texts += [" ".join(f"x{i}" if i % 8 == 7 else w for i, w in enumerate(long.split()))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    items = spark.createDataFrame([(0, ITEM), (1, ITEM.replace("12 apples", "14 pears"))], "item_id long, text string")
+    items = [(0, ITEM), (1, ITEM.replace("12 apples", "14 pears")), (2, long)]
+    items = spark.createDataFrame(items, "item_id long, text string")
     for name, df in (("documents", docs), ("benchmark", items)):
         df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     db = duckdb.connect()
