@@ -177,6 +177,24 @@ def roundtrip_report(spark, sf):
     return spark.read.parquet(f"{path}/predictions")
 
 
+@query
+def roundtrip_splits(spark, sf):
+    """Splits in folders, written over earlier ones; two of them read back."""
+    path = scratch_path(spark, "split_folders")
+    splits = land(split_mail(spark, sf).select("key", "subject", "label", "split"), "splits")
+    sinks.write_splits(splits.filter("label = 0"), path)
+    sinks.write_splits(splits, path)
+    return spark.read.parquet(path).filter("split <> 'train'").select("key", "subject", "label", "split")
+
+
+@query
+def roundtrip_marked_csv(spark, sf):
+    """CSV files that begin with a byte-order mark, read by name."""
+    path = scratch_path(spark, "marked")
+    sinks.write_csv(clean.to_contract(fx.clean_mail(spark, sf)), path, bom=True)
+    return readers.read_clean(spark, path)
+
+
 @query
 def preview(spark, sf):
     return sinks.preview(fx.clean_mail(spark, sf).select("key", "subject", "body", "label"), 5, 300)
@@ -530,6 +548,13 @@ def fill_template(spark, sf):
     return fx.mail(spark, sf).select("key", filled.alias("prompt"))
 
 
+@query
+def chat_messages_body(spark, sf):
+    """What is asked about a pasted text, shortened."""
+    rows = prompts.add_messages(fx.mail(spark, sf), chat.EVAL_SYSTEM, with_answer=False, max_chars=600, body_only=True)
+    return rows.select("key", chat.render_chat(F.col("messages"), add_cue=True).alias("prompt"))
+
+
 @query
 def chat_messages(spark, sf):
     rows = prompts.add_messages(fx.labelled_mail(spark, sf))

@@ -348,6 +348,8 @@ ORACLE: dict[str, str] = {
           predicted_label, coalesce(predicted_label = label, false) AS correct FROM answered""",
     ),
     "publish_splits": using(*_SPLIT, select="SELECT key, subject, label, split FROM split_mail WHERE split = 'test'"),
+    "roundtrip_splits": using(*_SPLIT, select="SELECT key, subject, label, split FROM split_mail WHERE split <> 'train'"),
+    "roundtrip_marked_csv": using(MAIL, CLEANED, DEDUPED, select="SELECT subject, body, label, dataset FROM deduped"),
     "preview": using(
         MAIL, CLEANED, DEDUPED,
         select="SELECT key, subject, substr(body, 1, 300) AS body, label FROM deduped ORDER BY key LIMIT 5",
@@ -476,6 +478,12 @@ ORACLE: dict[str, str] = {
         select=f"""SELECT key, {lit('System:' + chr(10) + ex.EVAL_SYSTEM + chr(10) * 2 + 'User:' + chr(10) + 'Subject: ')}
           || '{{body}} ' || subject || chr(10) || 'Body: ' || body || chr(10) AS prompt FROM mail""",
     ),
+    "chat_messages_body": using(
+        MAIL,
+        select=f"""SELECT key, '<|im_start|>system' || chr(10) || {lit(ex.EVAL_SYSTEM)} || {lit(ex.TURN_END)}
+          || '<|im_start|>user' || chr(10) || {compact_sql('t', 600)} || {lit(ex.TURN_END)}
+          || '<|im_start|>assistant' || chr(10) AS prompt FROM (SELECT key, 'Body: ' || coalesce(body, '') AS t FROM mail)""",
+    ),
     "chat_messages": using(
         *_LABELLED,
         select=f"""SELECT key, 'system' AS role, {lit(ex.TRAIN_SYSTEM)} AS content FROM labelled

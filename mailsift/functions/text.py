@@ -83,6 +83,11 @@ def mail_text(subject: Column, body: Column) -> Column:
     return F.concat(F.lit("Subject: "), fill_blank(subject), F.lit("\nBody: "), fill_blank(body))
 
 
+def body_text(body: Column) -> Column:
+    """A mail without a subject, as pasted into a form."""
+    return F.concat(F.lit("Body: "), fill_blank(body))
+
+
 def tagged_text(subject: Column, body: Column) -> Column:
     return F.concat(F.lit("[SUBJECT] "), fill_blank(subject), F.lit(" [BODY] "), fill_blank(body))
 

@@ -30,9 +30,13 @@ def add_messages(
     system: str = chat.TRAIN_SYSTEM,
     with_answer: bool = True,
     max_chars: int | None = None,
+    body_only: bool = False,
 ) -> DataFrame:
-    """Add ``messages``, the chat that asks about a mail, with the answer for training."""
-    user = text.mail_text(F.col("subject"), F.col("body"))
+    """Add ``messages``, the chat that asks about a mail, with the answer for training.
+
+    ``body_only`` asks about the body alone; the subject is shown nowhere.
+    """
+    user = text.body_text(F.col("body")) if body_only else text.mail_text(F.col("subject"), F.col("body"))
     return df.withColumn(
         "messages",
         chat.chat_messages(

@@ -11,7 +11,9 @@ from mailsift.sources.scratch import land
 from mailsift.sources.sinks import write_report
 
 
-def evaluate_run(scored: DataFrame, path: str | None = None, parse=parse_answer_any) -> dict[str, DataFrame]:
+def evaluate_run(
+    scored: DataFrame, path: str | None = None, parse=parse_answer_any, fmt: str = "parquet", bom: bool = False
+) -> dict[str, DataFrame]:
     """Predictions, quality overall and per source, and the target check of one run.
 
     Predictions are landed, so that scoring runs once however many tables are made; the
@@ -28,5 +30,5 @@ def evaluate_run(scored: DataFrame, path: str | None = None, parse=parse_answer_
     tables["targets"] = evaluate.check_targets(tables["overall"].select(*evaluate.RATIOS))
     if path:
         for name, table in tables.items():
-            write_report(table, f"{path}/{name}")
+            write_report(table, f"{path}/{name}", fmt, bom)
     return tables

@@ -6,8 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:
-    """CSV for exchange: header, no index, text kept to the last blank."""
+_BOM = "\ufeff"
+
+
+def write_csv(
+    df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite", bom: bool = False
+) -> None:
+    """CSV for exchange: header, no index, text kept to the last blank.
+
+    ``bom`` puts a byte-order mark at the beginning of every file, in front of the first
+    column's name, as spreadsheets ask for; it cannot go with ``quote_all``, which would
+    put a quote in front of it.
+    """
+    if bom and quote_all:
+        raise ValueError("a byte-order mark must come before the first quote")
+    if bom:
+        df = df.toDF(_BOM + df.columns[0], *df.columns[1:])
     df.write.mode(mode).csv(
         path,
         header=True,
@@ -25,10 +39,10 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", bom: bool = False) -> None:
     """Predictions or metric tables; missing parent folders are made."""
     if fmt == "csv":
-        write_csv(df, path)
+        write_csv(df, path, bom=bom)
     else:
         df.write.mode("overwrite").format(fmt).save(path)
 

@@ -120,6 +120,20 @@ def test_report_makes_parent_folders(spark, tmp_path):
     assert spark.read.csv(path, header=True).count() == 3
 
 
+def test_files_begin_with_a_mark(spark, tmp_path):
+    path = tmp_path / "marked"
+    rows = [("a, b", "first\nsecond", 1, 2), (" lead", "é", 0, 1)]
+    df = spark.createDataFrame(rows, "subject string, body string, label int, dataset int").repartition(2)
+    sinks.write_csv(df, str(path), bom=True)
+    files = [f.read_bytes() for f in path.glob("*.csv")]
+    assert files and all(f.startswith(b"\xef\xbb\xbfsubject,body") for f in files)
+    for multi_line in (True, "whole"):
+        back = readers.read_split(spark, str(path), "test", multi_line=multi_line)
+        assert sorted(map(tuple, back.drop("split").collect())) == sorted(rows)
+    with pytest.raises(ValueError, match="quote"):
+        sinks.write_csv(df, str(path), quote_all=True, bom=True)
+
+
 def test_preview_cuts_text(spark):
     df = spark.createDataFrame([(3, "c" * 900), (1, "a"), (2, "b" * 400)], "key int, body string")
     assert [(r.key, len(r.body)) for r in sinks.preview(df, 2, 300).collect()] == [(1, 1), (2, 300)]
