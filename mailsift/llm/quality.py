@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.llm import common
-from mailsift.llm.common import kept, map_rows, rows_of, with_ids
+from mailsift.llm.common import kept, rows_of, with_ids
 from mailsift.sources.scratch import land
 
 ORDER = 4
@@ -20,18 +23,25 @@ PRIOR = 50
 FOLDS = 4
 #: A word's mean surprise is taken over this many characters at least.
 LEAST_WORD = 4
+#: Bytes of text in a chunk, whose documents ask the model for each n-gram once.
+CHUNK = 1 << 23
 _BUFFER = 1 << 21
 
-# The alphabet: letters a-z, accented letters by their base, and classes of characters.
+# The alphabet: letters a-z, accented letters by their base, and classes of characters. In the
+# n-grams of documents every other letter is a symbol of its own, by its code point.
 _ACCENTED = {
     "a": "àáâãäåæāăą", "c": "çćč", "e": "èéêëēęě", "i": "ìíîïīį", "n": "ñńň", "o": "òóôõöøœō", "s": "ßśš",
     "u": "ùúûüūů", "y": "ýÿžźż",
 }
 SPACE, LINE, CAPITAL, DIGIT, STOP, COMMA, MARK, SYMBOL, LETTER, OTHER = range(10)
-#: Symbols of the alphabet; a model has at most this to the power of ORDER entries.
+#: Symbols of the alphabet, and n-grams of these alone.
 ALPHABET = 10 + 26 + len(_ACCENTED)
 GRAMS = ALPHABET**ORDER
 _TABLE = 0x3000
+#: Bits of a symbol in the key of an n-gram.
+BITS = 16
+#: Letters beyond 16 bits share, by a hash, the numbers in which no letter is found.
+_BEYOND, _SHARED = 0xD800, 0xF900 - 0xD800
 
 
 def _symbol_table() -> np.ndarray:
@@ -57,56 +67,159 @@ def _symbol_table() -> np.ndarray:
     return table
 
 
+def _letter_table() -> np.ndarray:
+    """Symbols of all scripts: those of the alphabet, other letters by their code points."""
+    table = np.arange(1 << BITS, dtype=np.int32)
+    table[:_TABLE] = _symbol_table()[:_TABLE]
+    for code in range(1 << BITS):
+        c = chr(code)
+        if code < _TABLE:
+            other = table[code] == LETTER or (code >= 0x0250 and table[code] == CAPITAL and c.isalpha())
+            table[code] = code if other else table[code]
+        elif c.isspace():
+            table[code] = SPACE
+        elif not c.isalpha():
+            table[code] = DIGIT if c.isnumeric() else OTHER
+    for chars, symbol in (("。!?", STOP), ("、,", COMMA), (":;「」『』《》()", MARK)):
+        for c in chars:
+            table[ord(c)] = symbol
+    return table
+
+
+def _rolled(symbols: np.ndarray, base: int, dtype: type) -> np.ndarray:
+    """Numbers of all n-grams of a sequence that is ``ORDER - 1`` longer than they are many."""
+    n = len(symbols) - ORDER + 1
+    grams = np.zeros(n, dtype)
+    for i in range(ORDER):
+        grams *= dtype(base)
+        grams += symbols[i : i + n].astype(dtype)
+    return grams
+
+
 class Grams:
     """The n-grams of a text as numbers, one for each character, spaces before the first."""
 
     def __init__(self):
-        self.table = _symbol_table()
+        self.table, self.letters = _symbol_table(), _letter_table()
 
     def of(self, text: str) -> np.ndarray:
+        """Numbers below ``GRAMS``; all letters outside the alphabet are alike."""
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
         symbols = np.full(len(codes) + ORDER - 1, SPACE, np.int32)
         symbols[ORDER - 1 :] = self.table[np.minimum(codes, _TABLE)]
-        grams = np.zeros(len(codes), np.int32)
-        for i in range(ORDER):
-            grams *= ALPHABET
-            grams += symbols[i : i + len(codes)]
-        return grams
+        return _rolled(symbols, ALPHABET, np.int32)
+
+    def split(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of n-grams, -1 where one has a letter outside the alphabet, and keys of those."""
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        symbols = np.full(len(codes) + ORDER - 1, SPACE, np.int32)
+        own = symbols[ORDER - 1 :]
+        own[:] = self.letters[np.minimum(codes, (1 << BITS) - 1)]
+        for i in np.flatnonzero(codes >= 1 << BITS):
+            code = int(codes[i])
+            own[i] = _BEYOND + code * 0x9E3779B1 % (1 << 32) % _SHARED if chr(code).isalpha() else OTHER
+        if not len(codes) or own.max() < ALPHABET:
+            return _rolled(symbols, ALPHABET, np.int32), np.empty(0, np.int64)
+        outside = _rolled((symbols >= ALPHABET).astype(np.int32), 2, np.int32) > 0
+        grams = _rolled(np.minimum(symbols, ALPHABET - 1), ALPHABET, np.int32)
+        return np.where(outside, -1, grams), _rolled(symbols, 1 << BITS, np.uint64)[outside].view(np.int64)
+
+
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of n-grams of the alphabet: their symbols, ``BITS`` bits each."""
+    keys = np.zeros(len(grams), np.int64)
+    for i in range(ORDER):
+        keys |= (grams // ALPHABET**i % ALPHABET).astype(np.int64) << (BITS * i)
+    return keys
+
+
+def _numbers(keys: np.ndarray, size: int = ORDER) -> np.ndarray:
+    """Numbers of n-grams from keys; -1 where a letter is outside the alphabet."""
+    numbers, inside = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+    for i in range(size):
+        symbols = keys >> (BITS * i) & ((1 << BITS) - 1)
+        inside &= symbols < ALPHABET
+        numbers += symbols * ALPHABET**i
+    return np.where(inside, numbers, -1)
+
+
+def _last(gram: Column, size: int) -> Column:
+    """The last symbols of an n-gram."""
+    return gram if size == ORDER else gram.bitwiseAND(F.lit((1 << BITS * size) - 1))
+
+
+def _context(gram: Column) -> Column:
+    """An n-gram without its last symbol."""
+    return F.shiftrightunsigned(gram, BITS)
 
 
 # --- counting -----------------------------------------------------------------------
 
 
+class _Tally:
+    """Counts of n-grams: a table for those of the alphabet, the others added up by sorting."""
+
+    def __init__(self):
+        self.table, self.others, self.size = np.zeros(GRAMS, np.int32), {}, 0
+
+    def add(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        grams = np.concatenate([g for g, _ in found])
+        self.size += len(grams)
+        there, times = np.unique(grams[grams >= 0], return_counts=True)
+        self.table[there] += times.astype(np.int32)
+        keys, counts = np.unique(np.concatenate([k for _, k in found]), return_counts=True)
+        for key, n in zip(keys.tolist(), counts.tolist()):
+            self.others[key] = self.others.get(key, 0) + n
+
+    def take_others(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.others)
+        out = np.fromiter(self.others, np.int64, n), np.fromiter(self.others.values(), np.int64, n)
+        self.others = {}
+        return out
+
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen = np.flatnonzero(self.table)
+        yield _keys(seen), self.table[seen].astype(np.int64)
+        yield self.take_others()
+        self.table[:], self.size = 0, 0
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``model, gram, n`` over all rows of ``model, text``; each task adds up its own first."""
 
     def run(batches):
-        import pyarrow as pa
-
         grams, total, held, size = kept(Grams), {}, {}, 0
 
+        def rows(model, counted):
+            keys, counts = counted
+            for i in range(0, len(keys), 1 << 16):
+                part = keys[i : i + (1 << 16)]
+                columns = [np.full(len(part), model, np.int32), part, counts[i : i + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["model", "gram", "n"])
+
         def add():
             for model, found in held.items():
-                if model not in total:
-                    total[model] = np.zeros(GRAMS, np.int64)
-                total[model] += np.bincount(np.concatenate(found), minlength=GRAMS)
+                tally = total.setdefault(model, _Tally())
+                tally.add(found)
+                if len(tally.others) > common.SMALL_CACHE_ENTRIES:
+                    yield from rows(model, tally.take_others())
+                if tally.size > 1 << 30:
+                    for counted in tally.take():
+                        yield from rows(model, counted)
             held.clear()
 
         for batch in batches:
             for model, text in rows_of(batch):
-                found = grams.of(text or "")
+                found = grams.split(text or "")
                 held.setdefault(model, []).append(found)
-                size += len(found)
+                size += len(found[0])
                 if size >= _BUFFER:
-                    add()
+                    yield from add()
                     size = 0
-        add()
-        for model, counts in total.items():
-            seen = np.flatnonzero(counts)
-            for i in range(0, len(seen), 1 << 16):
-                part = seen[i : i + (1 << 16)]
-                columns = [np.full(len(part), model, np.int32), part, counts[part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["model", "gram", "n"])
+        yield from add()
+        for model, tally in total.items():
+            for counted in tally.take():
+                yield from rows(model, counted)
 
     counted = texts.select("model", "text").mapInArrow(run, "model int, gram bigint, n bigint")
     return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
@@ -129,7 +242,7 @@ def order_counts(counts: DataFrame) -> DataFrame:
     """
     levels = [counts.select("model", F.lit(ORDER).alias("size"), "gram", "n")]
     for size in range(ORDER - 1, 0, -1):
-        shorter = (F.col("gram") % ALPHABET**size).alias("gram")
+        shorter = _last(F.col("gram"), size).alias("gram")
         counts = counts.groupBy("model", shorter).agg(F.count("*").alias("n"))
         levels.append(counts.select("model", F.lit(size).alias("size"), "gram", "n"))
     all_levels = levels[0]
@@ -166,7 +279,7 @@ def smoothed(levels: DataFrame) -> DataFrame:
     discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     counted = (
         levels.join(F.broadcast(per_order), ["model", "size"])
-        .withColumn("context", F.expr(f"gram div {ALPHABET}"))
+        .withColumn("context", _context(F.col("gram")))
         .withColumn("discount", discount)
     )
     contexts = counted.groupBy("model", "size", "context").agg(
@@ -210,76 +323,217 @@ class Model:
         return float(((sums[words.starts] - sums[words.ends]) / np.maximum(length, LEAST_WORD)).max())
 
 
-def _interpolated(parts) -> Model:
-    """A model from the Arrow table of its parts."""
+def _interpolated(parts: pa.Table) -> Model:
+    """A model of the alphabet alone from the Arrow table of its parts."""
     column = {name: parts[name].to_numpy() for name in parts.column_names}
     p = np.full(1, 1.0 / ALPHABET)  # below the single symbols, all are alike
     for size in range(1, ORDER + 1):
         own = column["size"] == size
         left = np.ones(ALPHABET ** (size - 1))
         kept = np.zeros(ALPHABET**size)
-        left[column["context"][own]] = column["left"][own]
-        kept[column["gram"][own]] = column["kept"][own]
+        left[_numbers(column["context"][own], size - 1)] = column["left"][own]
+        kept[_numbers(column["gram"][own], size)] = column["kept"][own]
         # Lower orders forget the first symbol of the context.
         lower = np.broadcast_to(p, (ALPHABET, ALPHABET ** (size - 1))).reshape(-1) if size > 1 else p.repeat(ALPHABET)
         p = kept + np.repeat(left, ALPHABET) * lower
     return Model(np.log2(p).astype(np.float32))
 
 
-def _models(counts: DataFrame, n: int) -> list[Model]:
-    """The first ``n`` models of ``model, gram, n``.
-
-    Counting, continuation counts, discounts and context weights are Spark's work. What
-    comes to the driver is one model at a time: its n-grams are numbers below ``GRAMS``,
-    so its table has that many entries at most, however large the corpus.
-    """
-    parts = land(smoothed(land(order_counts(counts), "orders")), "smoothed")
-    columns = ["size", "gram", "kept", "context", "left"]
-    return [_interpolated(parts.filter(F.col("model") == k).select(columns).toArrow()) for k in range(n)]
+def _parts(counts: DataFrame) -> DataFrame:
+    return land(smoothed(land(order_counts(counts), "orders")), "smoothed")
 
 
 def train(texts: DataFrame) -> Model:
-    """Train on all rows of ``text``."""
+    """Train on all rows of ``text``: a table of the alphabet, for texts outside Spark.
+
+    Letters outside the alphabet are one symbol, so it has ``GRAMS`` entries, however large
+    the corpus. ``classify`` keeps such letters apart and its counts in Spark tables.
+    """
     counts = gram_counts(texts.select(F.lit(0).alias("model"), "text"))
-    return _models(land(counts, "gram_counts"), 1)[0]
+    gram = F.lit(0).cast("long")
+    for i in range(ORDER):
+        symbol = F.shiftrightunsigned("gram", BITS * i).bitwiseAND(F.lit((1 << BITS) - 1))
+        symbol = F.when(symbol < ALPHABET, symbol).otherwise(F.lit(LETTER).cast("long"))
+        gram = gram.bitwiseOR(F.shiftleft(symbol, BITS * i))
+    closed = counts.groupBy("model", gram.alias("gram")).agg(F.sum("n").alias("n"))
+    return _interpolated(_parts(land(closed, "gram_counts")).drop("model").toArrow())
 
 
 def fold(key: str = "id") -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int")
 
 
-def train_held_out(texts: DataFrame) -> list[Model]:
-    """Models of ``id, text``: one without each fold of ids, and at last one of all rows."""
+def train_held_out(texts: DataFrame) -> DataFrame:
+    """The parts of models of ``id, text``: one without each fold of ids, and at last one of all rows."""
     counts = land(gram_counts(texts.select(fold().alias("model"), "text")), "gram_counts")
-    return _models(held_out_counts(counts), FOLDS + 1)
+    return _parts(held_out_counts(counts))
+
+
+def probabilities(parts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``model, gram, p`` of every n-gram of ``model, gram``, joined order by order.
+
+    Counts lie in tables dealt by n-gram and by context, and so do the n-grams asked for, which
+    need not have been seen. Below the single symbols all of the alphabet are alike, and all
+    other letters share the place of one of them.
+    """
+    contexts = parts.groupBy("model", "size", "context").agg(F.first("left").alias("left"))
+    lower = None
+    for size in range(1, ORDER + 1):
+        level = asked.select("model", _last(F.col("gram"), size).alias("gram")).distinct()
+        level = level.withColumns({"context": _context(F.col("gram")), "shorter": _last(F.col("gram"), size - 1)})
+        own = parts.filter(F.col("size") == size).select("model", "gram", "kept")
+        around = contexts.filter(F.col("size") == size).select("model", "context", "left")
+        level = level.join(own, ["model", "gram"], "left").join(around, ["model", "context"], "left")
+        if lower is None:
+            rare = 1.0 / (ALPHABET * ((1 << BITS) - ALPHABET))
+            level = level.withColumn("below", F.when(F.col("gram") < ALPHABET, 1.0 / ALPHABET).otherwise(rare))
+        else:
+            below = lower.select("model", F.col("gram").alias("shorter"), F.col("p").alias("below"))
+            level = level.join(below, ["model", "shorter"])
+        p = F.coalesce("kept", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("below")
+        lower = level.select("model", "gram", p.alias("p"))
+    return lower
 
 
 # --- scoring ------------------------------------------------------------------------
 
 
-def measured(docs: DataFrame, models: list[Model]) -> DataFrame:
-    """``id, lang, n, bits, word, held_bits, held_word`` of every row of ``id, text, lang``.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, bytes]]:
+    """Rows in chunks: a number, the rows and their bytes.
 
-    Characters, their bits and those of the strangest word, under the model of all trusted
-    documents and under the one that has not seen the fold of the id.
+    The number is a hash of the rows, so it is the same wherever a chunk is made again.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def make():
-        grams, known = kept(Grams), shared.value
+    def closed(pieces):
+        rows = pa.Table.from_batches(pieces).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows)
+        payload = sink.getvalue().to_pybytes()
+        return xxhash.xxh3_64_intdigest(payload) - (1 << 63), rows, payload
+
+    pieces, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            pieces.append(batch.slice(start, 256))
+            size += pieces[-1].nbytes
+            if size >= CHUNK:
+                yield closed(pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield closed(pieces)
+
+
+def _packed(batches):
+    """Chunks as one row each."""
+    for number, _, payload in _chunks(batches):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["chunk", "payload"]
+        )
+
 
-        def row(i, text, lang, part):
-            found = grams.of(text or "")
-            words, full, held = Words(found), known[FOLDS], known[part]
-            yield (
-                i, lang, len(found), full.bits(found), full.strangest(found, words),
-                held.bits(found), held.strangest(found, words),
+def _different(texts: pa.ChunkedArray, there: np.ndarray, others: set[int]) -> None:
+    """Mark the n-grams of texts: those of the alphabet in a table, the others in a set."""
+    grams = kept(Grams)
+    for text in texts:
+        found, keys = grams.split(text.as_py() or "")
+        there[found[found >= 0]] = True
+        others.update(keys.tolist())
+
+
+def _marked(there: np.ndarray, others: set[int]) -> Iterator[np.ndarray]:
+    """Keys of marked n-grams, some at a time."""
+    keys = np.concatenate([_keys(np.flatnonzero(there)), np.fromiter(others, np.int64, len(others))])
+    for i in range(0, len(keys), 1 << 16):
+        yield keys[i : i + (1 << 16)]
+
+
+def _all_grams(batches):
+    """The different n-grams of a task; some more than once if they are many."""
+    there, others = np.zeros(GRAMS, bool), set()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            _different(batch.slice(start, 256)["text"], there, others)
+            if len(others) > common.SMALL_CACHE_ENTRIES:
+                for keys in _marked(there[:0], others):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["gram"])
+                others.clear()
+    for keys in _marked(there, others):
+        yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["gram"])
+
+
+def _chunk_grams(batches):
+    """The different n-grams of every chunk."""
+    for number, rows, _ in _chunks(batches):
+        there, others = np.zeros(GRAMS, bool), set()
+        _different(rows["text"], there, others)
+        for keys in _marked(there, others):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), number)), pa.array(keys)], names=["chunk", "gram"]
+            )
+
+
+_MEASURED = pa.schema(
+    [("id", pa.int64()), ("lang", pa.string()), ("n", pa.int64())]
+    + [(name, pa.float64()) for name in ("bits", "word", "held_bits", "held_word")]
+)
+
+
+def _scored(chunks: pa.Table, known: pa.Table) -> pa.Table:
+    """Bits of the documents of a chunk from what the models say of its n-grams."""
+    grams, keys = kept(Grams), known["gram"].to_numpy()
+    order = np.argsort(keys)
+    keys, numbers = keys[order], _numbers(keys[order])
+    # Places of n-grams among the keys, from 1; 0 is for those that are not there.
+    place = np.zeros(GRAMS, np.int32)
+    inside = np.flatnonzero(numbers >= 0)
+    place[numbers[inside]] = inside + 1
+    models = [np.append(np.float32(np.nan), known[f"m{k}"].to_numpy()[order]) for k in range(FOLDS + 1)]
+    out = []
+    for payload in chunks["payload"]:
+        rows = pa.ipc.open_stream(payload.as_buffer()).read_all()
+        for i, text, lang, part in zip(*(rows[c] for c in ("id", "text", "lang", "part"))):
+            value = text.as_py() or ""
+            found, others = grams.split(value)
+            at = place[found]
+            if len(others):
+                near = np.searchsorted(keys, others)
+                there = near < len(keys)
+                there[there] = keys[near[there]] == others[there]
+                at[found < 0] = np.where(there, near + 1, 0)
+            words = Words(grams.of(value))
+            full, held = Model(models[FOLDS]), Model(models[part.as_py()])
+            row = (
+                i.as_py(), lang.as_py(), len(found), full.bits(at), full.strangest(at, words),
+                held.bits(at), held.strangest(at, words),
             )
+            if np.isnan(row[3]):
+                raise RuntimeError("the documents were not the same when they were read again")
+            out.append(row)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _MEASURED.types)], schema=_MEASURED)
 
-        return row
 
+def measured(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``id, lang, n, bits, word, held_bits, held_word`` of every row of ``id, text, lang``.
+
+    Characters, their bits and those of the strangest word, under the model of all trusted
+    documents and under the one that has not seen the fold of the id.
+
+    Different n-grams of all documents are joined with the counts, order by order. Documents
+    then travel in compressed chunks and meet the n-grams of their chunk: each is asked for
+    once a chunk, not once a document, and no table of the model comes to a task whole.
+    """
+    rows = docs.select(F.col("id").cast("long").alias("id"), "text", F.col("lang").cast("string"), fold().alias("part"))
+    found = land(rows.select("text").mapInArrow(_all_grams, "gram bigint").distinct(), "grams")
+    every = F.explode(F.array([F.lit(k) for k in range(FOLDS + 1)])).alias("model")
+    p = probabilities(parts, found.select(every, "gram"))
+    log2 = F.log2("p").cast("float")
+    own = [F.max(F.when(F.col("model") == k, log2)).alias(f"m{k}") for k in range(FOLDS + 1)]
+    table = land(p.groupBy("gram").agg(*own), "probabilities")
+    known = rows.mapInArrow(_chunk_grams, "chunk bigint, gram bigint").join(table, "gram")
+    chunks = rows.mapInArrow(_packed, "chunk bigint, payload binary")
     schema = "id bigint, lang string, n bigint, bits double, word double, held_bits double, held_word double"
-    return map_rows(docs.withColumn("part", fold()), ["id", "text", "lang", "part"], make, schema)
+    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_scored, schema)
 
 
 def _by_language(df: DataFrame, *values: Column) -> tuple[DataFrame, dict]:
@@ -331,8 +585,9 @@ def classify(
     Beyond it a document is ``strange``. Fluent documents that are not strange are kept.
     Words that are spelled like trusted ones pass, whatever they mean.
 
-    Scoring is one pass over the texts against tables of fixed size; no text is shuffled
-    while the trusted ids are few enough to broadcast.
+    Letters of scripts other than Latin are told apart by code point. Counts stay in Spark tables,
+    which grow with the scripts and spellings found; texts are shuffled once, compressed in
+    chunks, to meet the n-grams they ask for (see ``measured``).
 
     A null or empty text has no perplexity and is kept, as nothing speaks against it; so
     is every document when none is trusted. Repeated rows and null ids come out as they
@@ -340,10 +595,10 @@ def classify(
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     ids = land(trusted.select("id").filter("id is not null").distinct(), "trusted_ids")
-    models = train_held_out(with_ids(rows, ids))
+    parts = train_held_out(with_ids(rows, ids))
     known = ids.withColumn("trusted", F.lit(True))
     few = ids.count() <= common.MOST_BROADCAST_IDS
-    marked = measured(rows, models).join(F.broadcast(known) if few else known, "id", "left")
+    marked = measured(rows, parts).join(F.broadcast(known) if few else known, "id", "left")
     scored = land(
         marked.select(
             "id", "lang", "n", "trusted", F.col("bits").alias("fitted_bits"),

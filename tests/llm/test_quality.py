@@ -180,3 +180,93 @@ def test_toxic_documents(spark):
     english = [r.kept for r in rows if r.doc_id in toxic and r.lang == "en"]
     insulting = [r.kept for r in rows if r.doc_id in toxic and INSULT.search(toxic[r.doc_id].text)]
     assert len(insulting) >= 25 and sum(insulting) < 0.2 * len(insulting) and sum(english) < 0.2 * len(english)
+
+
+CYRILLIC = str.maketrans(dict(zip("abcdefghilnorstvwy", "абцдефгхилнорстжшы")))
+
+
+def wide(text):
+    table = quality._letter_table()
+    return [quality.SPACE] * (quality.ORDER - 1) + [int(table[ord(c)]) for c in text]
+
+
+def test_bits_of_documents_equal_brute_force(spark, corpus):
+    texts = [*corpus, *(t.translate(CYRILLIC) for t in corpus), "日本語 の テキスト。", "", "ZZ Ж ж é 😀"]
+    schema = "id long, text string, lang string"
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], schema)
+    trusted = docs.filter("id < 38")
+    part = {r.id: r.part for r in docs.select("id", quality.fold().alias("part")).collect()}
+    rows = quality.measured(docs, quality.train_held_out(trusted)).collect()
+    assert sorted(r.id for r in rows) == list(range(len(texts)))
+    rare = (1 << quality.BITS) - quality.ALPHABET
+    for r in rows[::4]:
+        s = wide(texts[r.id])
+        for got, used in ((r.bits, range(38)), (r.held_bits, [i for i in range(38) if part[i] != part[r.id]])):
+            brute = Brute([wide(texts[i]) for i in used], quality.ORDER, quality.ALPHABET)
+            # The share below the single symbols is smaller for letters outside the alphabet.
+            total, left = brute.contexts[1][()]
+            plain = {c: brute.p((c,)) for c in set(s)}
+            for c in set(s):
+                if c >= quality.ALPHABET:
+                    plain[c] -= left / total * (1 / quality.ALPHABET) * (1 - 1 / rare)
+
+            def full(gram):
+                if len(gram) == 1:
+                    return plain[gram[0]]
+                lower = full(gram[1:])
+                n, held = brute.contexts[len(gram)].get(gram[:-1], (0, 0))
+                if not n:
+                    return lower
+                c = brute.levels[len(gram)].get(gram, 0)
+                own = c - brute.cut[len(gram)][min(c, 3) - 1] if c else 0
+                return own / n + held / n * lower
+
+            expected = -sum(math.log2(full(tuple(s[i : i + 4]))) for i in range(len(texts[r.id])))
+            assert math.isclose(got, expected, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_other_scripts_are_read_letter_by_letter(spark, docs_of, prose):
+    """Letters in any order are not the prose of the same script."""
+    rnd = np.random.default_rng(1)
+
+    def mixed_up(text):
+        return " ".join("".join(rnd.permutation(list(w))) for w in text.split())
+
+    good = [(i, prose(i, 60).translate(CYRILLIC)) for i in range(200)]
+    bad = [(500 + i, mixed_up(prose(500 + i, 60)).translate(CYRILLIC)) for i in range(20)]
+    rows = quality.classify(docs_of([*good, *bad]), spark.range(0, 200, 2)).collect()
+    kept = {r.doc_id: r.kept for r in rows}
+    assert not any(kept[500 + i] for i in range(20)) and sum(kept[i] for i in range(200)) > 190
+
+
+def test_letters_of_all_scripts():
+    found, keys = quality.Grams().split("жЖ日本𠀀😀。١")
+    s = wide("жЖ日本")[3:]
+    assert len(set(s)) == 4 and min(s) >= quality.ALPHABET
+    assert found.tolist()[:7] == [-1] * 7 and len(keys) == (found < 0).sum() == 8
+    assert (keys & 0xFFFF).tolist()[:4] == s and (keys & 0xFFFF).tolist()[5:] == [quality.OTHER, quality.STOP, quality.DIGIT]
+    plain = "A plain text, é 12!"
+    found, keys = quality.Grams().split(plain)
+    assert found.tolist() == quality.Grams().of(plain).tolist() and not len(keys)
+    assert quality._numbers(quality._keys(found)).tolist() == found.tolist()
+
+
+def test_chunks_are_whole_and_made_alike_again(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "CHUNK", 500)
+    rows = [(i if i % 5 else None, "x" * (i % 90), None, i % 4) for i in range(2000)]
+    types = (pa.int64(), pa.string(), pa.string(), pa.int32())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "text", "lang", "part"]
+    )
+    made = list(quality._chunks(iter([batch, batch.slice(0, 0)])))
+    assert len(made) > 4 and [tuple(r.values()) for _, t, _ in made for r in t.to_pylist()] == rows
+    assert [n for n, *_ in quality._chunks(iter([batch]))] == [n for n, *_ in made]
+
+
+def test_no_table_of_the_model_in_a_task(spark, docs_of, prose):
+    """Every document's n-grams are joined with the counts; Python gets no broadcast variable."""
+    docs = docs_of([(i, prose(i, 20)) for i in range(8)]).select(F.col("doc_id").alias("id"), "text", "lang")
+    plan = quality.measured(docs, quality.train_held_out(docs))._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" in plan
