@@ -105,18 +105,18 @@ def resume_run(
     are there are joined away, row by row, so a run that was stopped asks nothing twice
     beyond the job it was stopped in, even if that job had written some of its files.
     ``most_jobs`` ends a run early, for machines that are lent for a time. One run at a
-    time may write below a root.
+    time may write below a root. A job looks into the folders of its own shards only, so
+    the files of all shards are not listed once for each job.
     """
     root = root.rstrip("/")
     open_shards = _open(spark, root)
     groups = [open_shards[i : i + at_once] for i in range(0, len(open_shards), at_once)]
     for group in groups[:most_jobs]:
         shards = [r.shard for r in group]
-        todo = _prompts(spark, root).filter(F.col("shard").isin(shards)).select("shard", "place", "prompt")
+        todo = _prompts(spark, root, shards).select("shard", "place", "prompt")
         begun = [r.shard for r in group if r.answered]
         if begun:
-            there = _answers(spark, root).filter(F.col("shard").isin(begun))
-            todo = todo.join(there, ["shard", "place"], "left_anti")
+            todo = todo.join(_answers(spark, root, begun), ["shard", "place"], "left_anti")
         (
             todo.repartitionByRange(len(shards), "shard")
             .sortWithinPartitions("shard", "place")
@@ -148,17 +148,23 @@ def _run(spark: SparkSession, root: str) -> dict:
     return json.loads(read_small(spark, f"{root}/{_RUN}"))
 
 
-def _prompts(spark: SparkSession, root: str) -> DataFrame:
+def _of_shards(spark: SparkSession, schema, folder: str, shards: list[int] | None) -> DataFrame:
+    """A table in folders of shards, or those of some shards that are there."""
+    paths = [folder] if shards is None else [f"{folder}/shard={s}" for s in shards]
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+
+
+def _prompts(spark: SparkSession, root: str, shards: list[int] | None = None) -> DataFrame:
     from pyspark.sql.types import StructType
 
     found = _run(spark, root)
-    return spark.read.schema(StructType.fromJson(found["schema"])).parquet(f"{root}/{found['prompts']}")
+    return _of_shards(spark, StructType.fromJson(found["schema"]), f"{root}/{found['prompts']}", shards)
 
 
-def _answers(spark: SparkSession, root: str) -> DataFrame:
+def _answers(spark: SparkSession, root: str, shards: list[int] | None = None) -> DataFrame:
     if "answers" not in child_names(spark, root):
         return spark.createDataFrame([], _ANSWERS)
-    return spark.read.schema(_ANSWERS).parquet(f"{root}/answers")
+    return _of_shards(spark, _ANSWERS, f"{root}/answers", shards)
 
 
 def _open(spark: SparkSession, root: str) -> list:

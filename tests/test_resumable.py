@@ -129,3 +129,23 @@ def test_finished_shards_are_not_read(spark, tmp_path, log):
     left = [r.shard for r in prediction._open(spark, root)]
     plan = prediction._prompts(spark, root).filter(F.col("shard").isin(left))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [shard" in plan.replace("isnotnull(shard#", "shard#")
+
+
+def test_a_job_looks_into_its_own_shards_only(spark, tmp_path, log, monkeypatch):
+    root, looked, opened = str(tmp_path / "run"), [], prediction._open
+    prediction.start_run(mails(spark), root, shard_mails=10)
+    some = prediction._prompts(spark, root).filter("index % 3 = 0")
+    some.select("shard", "place", F.lit("phishing").alias("raw_prediction")).write.partitionBy("shard").parquet(f"{root}/answers")
+
+    def then(*args):
+        found = opened(*args)
+        looked.clear()
+        return found
+
+    reader = type(spark.read)
+    read = reader.parquet
+    monkeypatch.setattr(prediction, "_open", then)
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **o: (looked.append(paths), read(self, *paths, **o))[1])
+    prediction.resume_run(spark, root, model(log), at_once=2)
+    assert len(looked) >= 5 and all(len(paths) <= 2 and all("/shard=" in p for p in paths) for paths in looked)
+    assert prediction.finish_run(spark, root)["predictions"].count() == 93
