@@ -864,16 +864,23 @@ def gate_stream(spark, sf):
     return spark.read.parquet(path).select(*GATE_COLUMNS)
 
 
+#: Bytes of mail in a file of a stream, and files of a stream at least.
+FILE_BYTES, LEAST_FILES = 64 << 20, 6
+
+
 def _arriving(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    """Mails as a stream of files, in no order, every second one twice; its folder."""
+    """Mails as a stream of files in two batches, in no order, every second one twice; its folder."""
     path = scratch_path(spark, "arriving")
     mails = fx.mail(spark, sf)
     copies = F.explode(F.when(K() % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     arrived = F.timestamp_seconds(F.lit(1_700_000_000) + (K() * 7919 + F.col("copy") * 611) % 86_400)
     twice = mails.select("key", "subject", "body", copies.alias("copy")).withColumn("arrived", arrived)
-    twice.repartition(6, "copy", "key").write.parquet(path)
+    size = F.coalesce(F.octet_length("subject"), F.lit(0)) + F.coalesce(F.octet_length("body"), F.lit(0))
+    total = twice.agg(F.sum(size.cast("long")).alias("n")).first().n or 0
+    files = max(LEAST_FILES, -(-total // FILE_BYTES))
+    twice.repartition(files, "copy", "key").write.parquet(path)
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(path), path
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path), path
 
 
 def _length_score(df: DataFrame) -> DataFrame:

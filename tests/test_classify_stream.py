@@ -199,3 +199,14 @@ def test_funnel_of_a_stream(spark):
     df.select("key", "subject", "body", F.timestamp_seconds("t").alias("arrived")).write.mode("append").parquet(path)
     _arrivals(spark, range(3590, 3610), path, first_key=10)  # over the border of two spans
     assert run() == (43, 1, 1, 1, 25, 15)
+
+
+def test_a_larger_stream_has_more_files(spark, sf, monkeypatch):
+    """No task deals a fixed share of all mails; the mails are the same."""
+    few, many = [], []
+    for size, out in ((64 << 20, few), (20_000, many)):
+        monkeypatch.setattr(catalog, "FILE_BYTES", size)
+        out += [spark.read.parquet(catalog._arriving(spark, sf)[1])]
+    files = [df[0].select(F.input_file_name()).distinct().count() for df in (few, many)]
+    assert files[0] <= 6 and files[1] > 12
+    assert few[0].exceptAll(many[0]).isEmpty() and many[0].exceptAll(few[0]).isEmpty()
