@@ -39,7 +39,8 @@ _LONG_CHUNK = 1000
 class Encoded(dict):
     """Ids, as little-endian 32-bit numbers, of a chunk with the space in front of it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int | None = None):
+        self.entries = entries or SMALL_CACHE_ENTRIES
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +57,7 @@ class Encoded(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.whole(" " + chunk)
         if len(chunk) <= 64:
-            if len(self) >= SMALL_CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 halve(self)
             self[chunk] = ids
         return ids

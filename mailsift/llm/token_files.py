@@ -24,6 +24,8 @@ BLOCK = 1 << 19
 #: A pair becomes a rule if it is found so often; the rarest pairs of a round are so many
 #: times rarer than its most frequent; rounds end when one saves less than this share.
 LEAST_COUNT, SPREAD, LEAST_GAIN = 8, 64, 1 / 32
+#: Words whose ids a task keeps. A word costs some 200 bytes, and a missing one six look-ups.
+CACHE_WORDS = 500_000
 #: Row groups of a file, so that a reader holds a few shards at a time.
 ROW_GROUP = 32 << 20
 
@@ -293,7 +295,7 @@ def write_tokens(
     )
 
     def run(batches):
-        encoded = kept(Encoded, vocabulary)
+        encoded = kept(Encoded, vocabulary, CACHE_WORDS)
         end = np.array([END_ID], "<u4").tobytes()
         part, written = TaskContext.get().partitionId(), 0
         doc_ids, sizes, held = [], [], bytearray()

@@ -107,3 +107,13 @@ def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = sorted(map(tuple, QUERIES["op11_token_files"](spark, sf).collect()))
     assert got == expected(map(tuple, rows))
+
+
+def test_ids_do_not_depend_on_the_words_that_are_kept(prose):
+    from mailsift.llm.packing import Encoded
+
+    texts = [prose(i, 40) for i in range(20)]
+    for entries in (4, token_files.CACHE_WORDS):
+        encoded = Encoded(PATH, entries)
+        assert [np.frombuffer(encoded.encode(t), "<u4").tolist() for t in texts] == [LIBRARY.encode(t).ids for t in texts]
+        assert len(encoded) <= entries and (entries == 4 or len(encoded) > 100)
