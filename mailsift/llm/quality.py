@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,8 @@ CHUNK = 1 << 23
 _BUFFER = 1 << 21
 
 # The alphabet: letters a-z, accented letters by their base, and classes of characters. In the
-# n-grams of documents every other letter is a symbol of its own, by its code point.
+# n-grams of documents every other letter is a symbol of its own, by its code point, and so are
+# the signs that letters bear: vowels of Indic scripts, points, accents set apart.
 _ACCENTED = {
     "a": "àáâãäåæāăą", "c": "çćč", "e": "èéêëēęě", "i": "ìíîïīį", "n": "ñńň", "o": "òóôõöøœō", "s": "ßśš",
     "u": "ùúûüūů", "y": "ýÿžźż",
@@ -67,6 +69,12 @@ def _symbol_table() -> np.ndarray:
     return table
 
 
+def _of_letters(c: str) -> bool:
+    """Letters, and the signs they bear; variation selectors only tell how to draw a character."""
+    sign = unicodedata.category(c) in ("Mn", "Mc")
+    return c.isalpha() or sign and not unicodedata.name(c, "").startswith("VARIATION SELECTOR")
+
+
 def _letter_table() -> np.ndarray:
     """Symbols of all scripts: those of the alphabet, other letters by their code points."""
     table = np.arange(1 << BITS, dtype=np.int32)
@@ -74,11 +82,11 @@ def _letter_table() -> np.ndarray:
     for code in range(1 << BITS):
         c = chr(code)
         if code < _TABLE:
-            other = table[code] == LETTER or (code >= 0x0250 and table[code] == CAPITAL and c.isalpha())
+            other = table[code] == LETTER or (code >= 0x0250 and table[code] in (CAPITAL, OTHER) and _of_letters(c))
             table[code] = code if other else table[code]
         elif c.isspace():
             table[code] = SPACE
-        elif not c.isalpha():
+        elif not _of_letters(c):
             table[code] = DIGIT if c.isnumeric() else OTHER
     for chars, symbol in (("。!?", STOP), ("、,", COMMA), (":;「」『』《》()", MARK)):
         for c in chars:
@@ -111,14 +119,23 @@ class Grams:
 
     def split(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of n-grams, -1 where one has a letter outside the alphabet, and keys of those."""
+        return self.split_symbols(self.symbols(text))
+
+    def symbols(self, text: str) -> np.ndarray:
+        """The symbol of each character, of all scripts, behind ``ORDER - 1`` spaces."""
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
         symbols = np.full(len(codes) + ORDER - 1, SPACE, np.int32)
         own = symbols[ORDER - 1 :]
         own[:] = self.letters[np.minimum(codes, (1 << BITS) - 1)]
         for i in np.flatnonzero(codes >= 1 << BITS):
             code = int(codes[i])
-            own[i] = _BEYOND + code * 0x9E3779B1 % (1 << 32) % _SHARED if chr(code).isalpha() else OTHER
-        if not len(codes) or own.max() < ALPHABET:
+            own[i] = _BEYOND + code * 0x9E3779B1 % (1 << 32) % _SHARED if _of_letters(chr(code)) else OTHER
+        return symbols
+
+    @staticmethod
+    def split_symbols(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``split`` of a text whose symbols are there."""
+        if symbols.max() < ALPHABET:
             return _rolled(symbols, ALPHABET, np.int32), np.empty(0, np.int64)
         outside = _rolled((symbols >= ALPHABET).astype(np.int32), 2, np.int32) > 0
         grams = _rolled(np.minimum(symbols, ALPHABET - 1), ALPHABET, np.int32)
@@ -293,6 +310,12 @@ def smoothed(levels: DataFrame) -> DataFrame:
 class Words:
     """Places of a text's words: runs of letters that touch no digit."""
 
+    @classmethod
+    def of_all_scripts(cls, symbols: np.ndarray) -> Words:
+        """From ``Grams.symbols``, where only letters and their signs are outside the alphabet."""
+        own = symbols[ORDER - 1 :]
+        return cls(np.where(own < ALPHABET, own, LETTER))
+
     def __init__(self, grams: np.ndarray):
         symbols = grams % ALPHABET
         digit = symbols == DIGIT
@@ -494,14 +517,15 @@ def _scored(chunks: pa.Table, known: pa.Table) -> pa.Table:
         rows = pa.ipc.open_stream(payload.as_buffer()).read_all()
         for i, text, lang, part in zip(*(rows[c] for c in ("id", "text", "lang", "part"))):
             value = text.as_py() or ""
-            found, others = grams.split(value)
+            symbols = grams.symbols(value)
+            found, others = grams.split_symbols(symbols)
             at = place[found]
             if len(others):
                 near = np.searchsorted(keys, others)
                 there = near < len(keys)
                 there[there] = keys[near[there]] == others[there]
                 at[found < 0] = np.where(there, near + 1, 0)
-            words = Words(grams.of(value))
+            words = Words.of_all_scripts(symbols)
             full, held = Model(models[FOLDS]), Model(models[part.as_py()])
             row = (
                 i.as_py(), lang.as_py(), len(found), full.bits(at), full.strangest(at, words),

@@ -270,3 +270,26 @@ def test_no_table_of_the_model_in_a_task(spark, docs_of, prose):
     docs = docs_of([(i, prose(i, 20)) for i in range(8)]).select(F.col("doc_id").alias("id"), "text", "lang")
     plan = quality.measured(docs, quality.train_held_out(docs))._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Join" in plan
+
+
+def test_vowel_signs_and_accents_set_apart_are_symbols():
+    grams = quality.Grams()
+    for a, b in (("कि", "कु"), ("בָ", "בִ"), ("e\u0301", "e\u0300"), ("\U00011013\U00011038", "\U00011013\U00011039")):
+        assert grams.split(a)[1].tolist() != grams.split(b)[1].tolist()
+    # A variation selector is no letter.
+    assert not len(grams.split("a \u2764\ufe0f\U000e0100")[1])
+
+
+def test_words_of_all_scripts():
+    text = "हिन्दी भाषा, 日本。東京　ok😀 e\u0301te\u0301 ٣x 『語』"
+    words = quality.Words.of_all_scripts(quality.Grams().symbols(text))
+    found = [text[a:b] for a, b in zip(words.starts, words.ends)]
+    assert found == ["हिन्दी", "भाषा", "日本", "東京", "ok", "e\u0301te\u0301", "語"]
+    assert len(quality.Words.of_all_scripts(quality.Grams().symbols("")).starts) == 0
+
+
+def test_pictures_are_no_strange_words(spark, corpus):
+    texts = [*corpus, corpus[0] + " 😀🎉😀", corpus[0] + " ぁ" * 3]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, lang string")
+    rows = {r.id: r.word for r in quality.measured(docs, quality.train_held_out(docs.filter("id < 20"))).collect()}
+    assert math.isclose(rows[20], rows[0], rel_tol=1e-6) and rows[21] > rows[0] + 1
