@@ -25,8 +25,11 @@ FOLDS = 4
 #: A word's mean surprise is taken over this many characters at least.
 LEAST_WORD = 4
 #: Bytes of text in a chunk, whose documents ask the model for each n-gram once.
-CHUNK = 1 << 23
-_BUFFER = 1 << 21
+CHUNK = 1 << 22
+#: Rows of a chunk that travel together. A row of the shuffle is copied several times by the JVM,
+#: and arrays of half a megabyte are garbage that it collects late.
+PIECE = 128
+_BUFFER = 1 << 20
 
 # The alphabet: letters a-z, accented letters by their base, and classes of characters. In the
 # n-grams of documents every other letter is a symbol of its own, by its code point, and so are
@@ -421,24 +424,22 @@ def probabilities(parts: DataFrame, asked: DataFrame) -> DataFrame:
 # --- scoring ------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, bytes]]:
-    """Rows in chunks: a number, the rows and their bytes.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, list[pa.RecordBatch]]]:
+    """Rows in chunks: a number, the rows, and these in pieces.
 
     The number is a hash of the rows, so it is the same wherever a chunk is made again.
     """
 
     def closed(pieces):
-        rows = pa.Table.from_batches(pieces).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(rows)
-        payload = sink.getvalue().to_pybytes()
-        return xxhash.xxh3_64_intdigest(payload) - (1 << 63), rows, payload
+        digest = xxhash.xxh3_64()
+        for piece in pieces:
+            digest.update(piece.serialize())
+        return digest.intdigest() - (1 << 63), pa.Table.from_batches(pieces), pieces
 
     pieces, size = [], 0
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            pieces.append(batch.slice(start, 256))
+        for start in range(0, batch.num_rows, PIECE):
+            pieces.append(batch.slice(start, PIECE))
             size += pieces[-1].nbytes
             if size >= CHUNK:
                 yield closed(pieces)
@@ -448,11 +449,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table,
 
 
 def _packed(batches):
-    """Chunks as one row each."""
-    for number, _, payload in _chunks(batches):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["chunk", "payload"]
-        )
+    """The pieces of chunks, a compressed row each."""
+    for number, _, pieces in _chunks(batches):
+        for piece in pieces:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(piece)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["chunk", "payload"],
+            )
 
 
 def _different(texts: pa.ChunkedArray, there: np.ndarray, others: set[int]) -> None:

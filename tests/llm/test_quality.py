@@ -293,3 +293,18 @@ def test_pictures_are_no_strange_words(spark, corpus):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, lang string")
     rows = {r.id: r.word for r in quality.measured(docs, quality.train_held_out(docs.filter("id < 20"))).collect()}
     assert math.isclose(rows[20], rows[0], rel_tol=1e-6) and rows[21] > rows[0] + 1
+
+
+def test_no_row_of_the_shuffle_is_large(prose):
+    import pyarrow as pa
+
+    rows = [(i, prose(i, 400), "en", i % 4) for i in range(2000)]
+    types = (pa.int64(), pa.string(), pa.string(), pa.int32())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "text", "lang", "part"]
+    )
+    sent = pa.Table.from_batches(quality._packed(iter([batch])))
+    assert max(len(p) for p in sent["payload"].to_pylist()) < 1 << 19
+    back = [r for p in sent["payload"] for r in pa.ipc.open_stream(p.as_buffer()).read_all().to_pylist()]
+    assert [tuple(r.values()) for r in back] == rows
+    assert list(dict.fromkeys(sent["chunk"].to_pylist())) == [n for n, *_ in quality._chunks(iter([batch]))]
