@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries that a Python worker keeps in a cache, some 200 bytes each, and of those for
 #: which looking them up saves little.
-CACHE_ENTRIES, SMALL_CACHE_ENTRIES = 1_000_000, 250_000
+CACHE_ENTRIES, SMALL_CACHE_ENTRIES = 1_000_000, 100_000
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -113,14 +113,37 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@functools.lru_cache(maxsize=1)
+_kept: dict[tuple, object] = {}
+
+
 def kept(make: Callable, *args):
     """What ``make`` makes, kept by this worker process for later tasks of the same kind.
 
-    Only one such thing is kept: a task of another operator lets go of it, so the caches
-    of several operators do not add up.
+    Only one such thing is kept: a task of another operator lets go of it, before its own
+    is made, so the caches of several operators do not add up.
     """
-    return make(*args)
+    key = (make, *args)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+#: Rows of an Arrow batch of texts. A batch lies whole in the JVM, outside its heap, and in Python.
+BATCH_ROWS = 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, texts go to Python in batches of few rows; the session's setting comes back after."""
+    before = spark.conf.get(_BATCH_CONF)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 def word_hashes() -> WordHashes:

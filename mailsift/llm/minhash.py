@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import WordHashes, id_and_text, map_rows, mixed, window_hashes, with_ids, word_hashes
+from mailsift.llm.common import WordHashes, id_and_text, map_rows, mixed, small_batches, window_hashes, with_ids, word_hashes
 from mailsift.llm.components import components
 from mailsift.sources.scratch import land
 
@@ -64,8 +64,8 @@ class Signer:
     def samples(self, hashes: np.ndarray) -> np.ndarray:
         least = np.full(self.scheme.samples, np.iinfo(np.uint64).max, np.uint64)
         # In blocks: a very long text has more shingles than a matrix should have columns.
-        for i in range(0, len(hashes), 8192):
-            block = hashes[None, i : i + 8192] * self.factor + self.shift
+        for i in range(0, len(hashes), 1024):
+            block = hashes[None, i : i + 1024] * self.factor + self.shift
             np.minimum(least, block.min(axis=1), out=least)
         return least
 
@@ -167,7 +167,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """
     pairs = land(pairs, "pairs")
     named = land(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
-    sets = land(shingle_sets(with_ids(docs, named), scheme.words), "sets")
+    with small_batches(docs.sparkSession):
+        sets = land(shingle_sets(with_ids(docs, named), scheme.words), "sets")
     first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -267,7 +268,8 @@ def near_duplicates(
     extra columns are not read.
     """
     docs = id_and_text(docs, key, text)
-    signed = land(signatures(docs, scheme), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = land(signatures(docs, scheme), "signatures")
     classes = land(
         signed.filter("n > 0")
         .groupBy("set_key")

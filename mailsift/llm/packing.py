@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import SMALL_CACHE_ENTRIES, halve, id_and_text, kept, map_rows
+from mailsift.llm.common import SMALL_CACHE_ENTRIES, halve, id_and_text, kept, map_rows, small_batches
 from mailsift.llm.tokens import byte_symbols, chunks, read_vocabulary
 from mailsift.sources.scratch import land
 
@@ -41,12 +42,17 @@ class Encoded(dict):
 
     def __init__(self, path: str, entries: int | None = None):
         self.entries = entries or SMALL_CACHE_ENTRIES
+        self.path = path
+        self.merged, self.special = _by_ranks(path)
+        self.merged = self.merged or self._by_library
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The file's own library, read when a text is met that needs it."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merged = _by_ranks(path) or self._by_library
+        return Tokenizer.from_file(self.path)
 
     def _by_library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -73,19 +79,19 @@ def _by_ranks(path: str):
     """The merges of a vocabulary file as ranks, which a lighter library applies to words.
 
     Only where ids stand in the order of the merges, so that ranks are ids; the results
-    are then those of the file's own library.
+    are then those of the file's own library. With the special strings of the file.
     """
     import tiktoken
 
-    ranks, _ = read_vocabulary(path)
+    ranks, special = read_vocabulary(path)
     with open(path, encoding="utf-8") as file:
         ids = json.load(file)["model"]["vocab"]
     if any(ids.get(a + b) != 256 + rank for (a, b), rank in ranks.items()):
-        return None
+        return None, special
     byte_of = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
     as_bytes = {bytes(byte_of[c] for c in token): i for token, i in ids.items() if i < 256 + len(ranks)}
     encoding = tiktoken.Encoding("ranks", pat_str=TIKTOKEN_PATTERN, mergeable_ranks=as_bytes, special_tokens={})
-    return encoding.encode_ordinary
+    return encoding.encode_ordinary, special
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -200,7 +206,8 @@ def pack(
     Repeated rows and null ids are packed like all others, in an order that does not
     depend on partitions. An empty table gives no rows. Extra columns are not read.
     """
-    pieces = land(cut(docs, vocabulary, length, key, text), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = land(cut(docs, vocabulary, length, key, text), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slots_of(patterns_of(histogram, length))
     return placed(ranked(pieces), slots)

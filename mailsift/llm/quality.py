@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.llm import common
-from mailsift.llm.common import kept, rows_of, with_ids
+from mailsift.llm.common import kept, rows_of, small_batches, with_ids
 from mailsift.sources.scratch import land
 
 ORDER = 4
@@ -30,6 +30,8 @@ CHUNK = 1 << 22
 #: and arrays of half a megabyte are garbage that it collects late.
 PIECE = 128
 _BUFFER = 1 << 20
+#: Different n-grams that a task counts for a model, 16 bytes each, before it hands them on.
+MOST_COUNTED = 500_000
 
 # The alphabet: letters a-z, accented letters by their base, and classes of characters. In the
 # n-grams of documents every other letter is a symbol of its own, by its code point, and so are
@@ -177,32 +179,25 @@ def _context(gram: Column) -> Column:
 
 
 class _Tally:
-    """Counts of n-grams: a table for those of the alphabet, the others added up by sorting."""
+    """Counts of n-grams, by key: as large as they are different, added up by sorting."""
 
     def __init__(self):
-        self.table, self.others, self.size = np.zeros(GRAMS, np.int32), {}, 0
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
         grams = np.concatenate([g for g, _ in found])
-        self.size += len(grams)
         there, times = np.unique(grams[grams >= 0], return_counts=True)
-        self.table[there] += times.astype(np.int32)
         keys, counts = np.unique(np.concatenate([k for _, k in found]), return_counts=True)
-        for key, n in zip(keys.tolist(), counts.tolist()):
-            self.others[key] = self.others.get(key, 0) + n
-
-    def take_others(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.others)
-        out = np.fromiter(self.others, np.int64, n), np.fromiter(self.others.values(), np.int64, n)
-        self.others = {}
+        more = np.concatenate([self.counts, times, counts])
+        self.keys, places = np.unique(np.concatenate([self.keys, _keys(there), keys]), return_inverse=True)
+        self.counts = np.zeros(len(self.keys), np.int64)
+        np.add.at(self.counts, places, more)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.keys, self.counts
+        self.__init__()
         return out
 
-    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        seen = np.flatnonzero(self.table)
-        yield _keys(seen), self.table[seen].astype(np.int64)
-        yield self.take_others()
-        self.table[:], self.size = 0, 0
-
 
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``model, gram, n`` over all rows of ``model, text``; each task adds up its own first."""
@@ -221,11 +216,8 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             for model, found in held.items():
                 tally = total.setdefault(model, _Tally())
                 tally.add(found)
-                if len(tally.others) > common.SMALL_CACHE_ENTRIES:
-                    yield from rows(model, tally.take_others())
-                if tally.size > 1 << 30:
-                    for counted in tally.take():
-                        yield from rows(model, counted)
+                if len(tally.keys) > MOST_COUNTED:
+                    yield from rows(model, tally.take())
             held.clear()
 
         for batch in batches:
@@ -238,8 +230,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     size = 0
         yield from add()
         for model, tally in total.items():
-            for counted in tally.take():
-                yield from rows(model, counted)
+            yield from rows(model, tally.take())
 
     counted = texts.select("model", "text").mapInArrow(run, "model int, gram bigint, n bigint")
     return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
@@ -391,7 +382,8 @@ def fold(key: str = "id") -> Column:
 
 def train_held_out(texts: DataFrame) -> DataFrame:
     """The parts of models of ``id, text``: one without each fold of ids, and at last one of all rows."""
-    counts = land(gram_counts(texts.select(fold().alias("model"), "text")), "gram_counts")
+    with small_batches(texts.sparkSession):
+        counts = land(gram_counts(texts.select(fold().alias("model"), "text")), "gram_counts")
     return _parts(held_out_counts(counts))
 
 
@@ -554,7 +546,8 @@ def measured(docs: DataFrame, parts: DataFrame) -> DataFrame:
     once a chunk, not once a document, and no table of the model comes to a task whole.
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), "text", F.col("lang").cast("string"), fold().alias("part"))
-    found = land(rows.select("text").mapInArrow(_all_grams, "gram bigint").distinct(), "grams")
+    with small_batches(docs.sparkSession):
+        found = land(rows.select("text").mapInArrow(_all_grams, "gram bigint").distinct(), "grams")
     every = F.explode(F.array([F.lit(k) for k in range(FOLDS + 1)])).alias("model")
     p = probabilities(parts, found.select(every, "gram"))
     log2 = F.log2("p").cast("float")
@@ -629,13 +622,14 @@ def classify(
     known = ids.withColumn("trusted", F.lit(True))
     few = ids.count() <= common.MOST_BROADCAST_IDS
     marked = measured(rows, parts).join(F.broadcast(known) if few else known, "id", "left")
-    scored = land(
-        marked.select(
-            "id", "lang", "n", "trusted", F.col("bits").alias("fitted_bits"),
-            *[F.when(F.col("trusted"), F.col(f"held_{c}")).otherwise(F.col(c)).alias(c) for c in ("bits", "word")],
-        ),
-        "bits",
-    )
+    with small_batches(docs.sparkSession):
+        scored = land(
+            marked.select(
+                "id", "lang", "n", "trusted", F.col("bits").alias("fitted_bits"),
+                *[F.when(F.col("trusted"), F.col(f"held_{c}")).otherwise(F.col(c)).alias(c) for c in ("bits", "word")],
+            ),
+            "bits",
+        )
     usual = (F.sum("bits") / F.sum("n")).alias("usual")
     fitted = (F.sum("fitted_bits") / F.sum("n")).alias("fitted")
     by_language, overall = _by_language(

@@ -122,3 +122,12 @@ def test_a_full_cache_forgets_and_goes_on(prose, monkeypatch):
         text = prose(seed, 150)
         assert np.frombuffer(encoded.encode(text), "<u4").tolist() == ids_of(text)[:-1]
     assert len(encoded) <= 300
+
+
+def test_plain_texts_need_no_second_library(prose):
+    encoded = packing.Encoded(PATH)
+    encoded.encode(prose(1, 50))
+    assert "tokenizer" not in vars(encoded)
+    special = "a <|endoftext|> b"
+    assert np.frombuffer(encoded.encode(special), "<u4").tolist() == ids_of(special)[:-1]
+    assert sorted(encoded.special) == sorted(t.content for t in LIBRARY.get_added_tokens_decoder().values())

@@ -4,7 +4,7 @@ import test_minhash as by_pairs
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from mailsift.llm import packing, quality
+from mailsift.llm import common, minhash, packing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +77,51 @@ def test_packing(stages):
 def test_run(spark, stages):
     rows = pipeline.run(spark, SF).collect()
     assert rows and {r.doc_id for r in rows} == {r.doc_id for r in stages["packing"][1].collect()} - {None, 9_999}
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """The setting holds where texts are read, and the session's own comes back."""
+    used = {}
+
+    def spied(land):
+        def run(df, name="table"):
+            used[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+            return land(df, name)
+
+        return run
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for module in (quality, minhash, packing):
+        monkeypatch.setattr(module, "land", spied(module.land))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name in ("quality_classifier", "near_dedup", "packing"):
+        dict(pipeline.STAGES)[name](spark, docs, SF)
+    reads_texts = ("gram_counts", "grams", "bits", "signatures", "sets", "pieces")
+    assert {name: used[name] for name in reads_texts} == dict.fromkeys(reads_texts, common.BATCH_ROWS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_small_batches_stay_small(spark):
+    sizes = spark.range(3000).coalesce(1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with common.small_batches(spark):
+        assert max(r.n for r in sizes.mapInArrow(run, "n long").collect()) == common.BATCH_ROWS
+
+
+def test_one_thing_is_kept_at_a_time():
+    import weakref
+
+    class Cache:
+        def __init__(self, before=None):
+            assert before is None or before() is None
+
+    first = weakref.ref(common.kept(Cache))
+    assert common.kept(Cache) is first()
+    common.kept(Cache, first)
+    common.kept(dict)

@@ -308,3 +308,37 @@ def test_no_row_of_the_shuffle_is_large(prose):
     back = [r for p in sent["payload"] for r in pa.ipc.open_stream(p.as_buffer()).read_all().to_pylist()]
     assert [tuple(r.values()) for r in back] == rows
     assert list(dict.fromkeys(sent["chunk"].to_pylist())) == [n for n, *_ in quality._chunks(iter([batch]))]
+
+
+def test_counts_take_room_by_different_ngrams(prose):
+    import tracemalloc
+
+    grams = quality.Grams()
+    texts = [prose(1, 300), "日本語のテキスト " * 3, "", prose(2, 50), prose(1, 20)]
+    tracemalloc.start()
+    tallies = [quality._Tally() for _ in range(quality.FOLDS)]
+    for tally in tallies:
+        for i in range(0, len(texts), 2):
+            tally.add([grams.split(t) for t in texts[i : i + 2]])
+    room, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert room < 1 << 20
+    expected = Counter()
+    for found, keys in map(grams.split, texts):
+        expected.update(quality._keys(found[found >= 0]).tolist())
+        expected.update(keys.tolist())
+    keys, counts = tallies[0].take()
+    assert dict(zip(keys.tolist(), counts.tolist())) == expected
+    assert not any(map(len, tallies[0].take()))
+
+
+def test_many_different_ngrams_are_handed_on(spark):
+    codes = np.random.default_rng(1).integers(0x4E00, 0x9FA5, (5, 250_000))
+    texts = ["".join(map(chr, row)) for row in codes] * 2
+    found = quality.gram_counts(spark.createDataFrame([(0, t) for t in texts], "model int, text string").coalesce(1))
+    keys, times = np.unique(np.concatenate([quality.Grams().split(t)[1] for t in texts]), return_counts=True)
+    assert len(keys) > 2 * quality.MOST_COUNTED
+    row = found.agg(F.count("*"), F.sum("n")).first()
+    again = spark.createDataFrame(list(zip(keys.tolist()[::1000], times.tolist()[::1000])), "gram long, n long")
+    assert row[0] == len(keys) and row[1] == times.sum()
+    assert again.join(found, ["gram", "n"]).count() == again.count()
