@@ -17,7 +17,9 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries that a Python worker keeps in a cache, some 200 bytes each, and of those for
 #: which looking them up saves little.
-CACHE_ENTRIES, SMALL_CACHE_ENTRIES = 1_000_000, 100_000
+CACHE_ENTRIES, SMALL_CACHE_ENTRIES = 1_000_000, 250_000
+#: Hashes of words that are kept; one is soon made anew.
+WORD_HASHES = 100_000
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -104,7 +106,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= SMALL_CACHE_ENTRIES:
+        if len(self) >= WORD_HASHES:
             halve(self)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

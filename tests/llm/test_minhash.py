@@ -142,3 +142,13 @@ def test_components(spark, seed):
 
 def test_query_equals_sql(spark, sf):
     assert difference(QUERIES["op1_minhash_dedup"](spark, sf), connect(sf), ORACLE["op1_minhash_dedup"]) is None
+
+
+def test_few_hashes_of_words_are_kept(monkeypatch):
+    from mailsift.llm import common
+
+    words = [b"%d" % (i % 150) for i in range(1000)]
+    expected = common.WordHashes().of(words).tolist()
+    monkeypatch.setattr(common, "WORD_HASHES", 100)
+    hashes = common.WordHashes()
+    assert hashes.of(words).tolist() == expected and len(hashes) <= 100
