@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -9,12 +10,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailsift.llm.common import id_and_text, kept, rows_of
-from mailsift.llm.packing import Encoded
+from mailsift.llm.packing import Encoded, _bytes
 from mailsift.sources.scratch import scratch_path
 
 END_ID = 0
@@ -24,11 +26,158 @@ BLOCK = 1 << 19
 #: A pair becomes a rule if it is found so often; the rarest pairs of a round are so many
 #: times rarer than its most frequent; rounds end when one saves less than this share.
 LEAST_COUNT, SPREAD, LEAST_GAIN = 8, 64, 1 / 32
-#: Words whose ids a task keeps. A word costs some 200 bytes, and a missing one six look-ups.
+#: Words whose ids a task keeps: those of a run of texts, at 8 bytes a word.
 CACHE_WORDS = 500_000
+RUN_BYTES = 8 * CACHE_WORDS
+#: Words of more bytes are encoded one by one.
+LONG_WORD = 1000
 #: Row groups of a file, so that a reader holds a few shards at a time.
 ROW_GROUP = 32 << 20
 
+# --- words --------------------------------------------------------------------------
+
+#: What a piece of text that begins with a space does not go on with, in UTF-8.
+_WHITE = frozenset(
+    c.encode()
+    for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+)
+_WHITE_BYTE = np.isin(np.arange(256), [c[0] for c in _WHITE if len(c) == 1])
+_WHITE_LEAD = np.isin(np.arange(256), [c[0] for c in _WHITE if len(c) > 1])
+
+
+def _among(places: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``some`` places stand or would stand among others, both ascending, and which do."""
+    at = np.searchsorted(places, some)
+    return at, np.append(places, -1)[at] == some
+
+
+def _cuts(data: np.ndarray, ends: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Places from ``low`` to ``high`` of spaces before visible characters of the same text."""
+    at = low + np.flatnonzero(data[low:high] == 32)
+    place, last = _among(at, ends - 1)
+    at = np.delete(at, place[last])
+    lead = data[at + 1]
+    white = _WHITE_BYTE[lead]
+    for i in np.flatnonzero(_WHITE_LEAD[lead]).tolist():
+        after = data[at[i] + 1 : at[i] + 4].tobytes()
+        white[i] = after in _WHITE or after[:2] in _WHITE
+    return at[~white]
+
+
+class Words:
+    """Ids of texts, by their words in UTF-8 with the space in front of them."""
+
+    def __init__(self, path: str):
+        self.encoded = Encoded(path)
+        with open(path, encoding="utf-8") as file:
+            ids = json.load(file)["model"]["vocab"]
+        # Bytes that an id stands for; a character of a vocabulary of this kind is a byte.
+        self.n_bytes = np.zeros(max(ids.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(ids.values())] = [len(token) for token in ids]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text, in the order given. No text is null."""
+        offsets, _ = _buffers(texts)
+        start = 0
+        while start < len(texts):
+            stop = int(np.searchsorted(offsets, offsets[start] + RUN_BYTES, "right")) - 1
+            stop = min(max(stop, start + 1), len(texts))
+            yield from self._run(texts.slice(start, stop - start))
+            start = stop
+
+    def _run(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        offsets, data = _buffers(texts)
+        marked = np.zeros(len(texts), bool)
+        for s in self.encoded.special:
+            marked |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        parts, sizes, low = [np.empty(0, "<u4")], np.zeros(len(texts), np.int64), 0
+        while low < len(data):
+            bounds, heads = _words(data, offsets, marked, low)
+            ids, counts = self._ids(data, bounds, heads)
+            doc = np.searchsorted(offsets, bounds[:-1], "right") - 1
+            sizes += np.bincount(doc, counts, len(sizes)).astype(np.int64)
+            parts.append(ids)
+            low = int(bounds[-1])
+        ids = parts[-1] if len(parts) < 3 else np.concatenate(parts)
+        del parts
+        stops = np.cumsum(sizes).tolist()
+        for first, stop in zip([0, *stops], stops):
+            yield ids[first:stop]
+
+    def _ids(self, data: np.ndarray, bounds: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words between bounds, and how many each has. Every different word is encoded once."""
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+        ).dictionary_encode()
+        different, which = words.dictionary, words.indices.to_numpy()
+        alone = np.diff(_buffers(different)[0]) > LONG_WORD
+        alone[which[heads]] = True
+        if self.encoded.merged == self.encoded._by_library:
+            alone[:] = True
+        ids, sizes = self._joined(different.filter(pa.array(~alone)))
+        others = [self._alone(word) for word in different.filter(pa.array(alone)).to_pylist()]
+        size, first = np.empty(len(different), np.int64), np.empty(len(different), np.int64)
+        size[~alone], size[alone] = sizes, [len(i) // 4 for i in others]
+        first[~alone] = np.cumsum(sizes) - sizes
+        first[alone] = len(ids) + np.cumsum(size[alone]) - size[alone]
+        flat = np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")])
+        counts = size[which]
+        at = np.repeat(first[which] - (np.cumsum(counts) - counts), counts)
+        at += np.arange(len(at))
+        return flat[at], counts
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that begin at cuts, encoded as one text, and how many each has.
+
+        No id goes beyond a cut, so the bytes of the ids tell where words end.
+        """
+        offsets, data = _buffers(words)
+        ids = np.frombuffer(_bytes(self.encoded.merged(data.tobytes().decode())), "<u4")
+        stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), offsets[1:]) + 1
+        return ids, np.diff(stops, prepend=0)
+
+    def _alone(self, word: bytes) -> bytes:
+        text = word.decode()
+        marked = any(s in text for s in self.encoded.special)
+        return self.encoded.encode(text) if marked else self.encoded.whole(text)
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins and the last ends, and the bytes of all."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    return offsets - first, np.frombuffer(data, np.uint8, size, first) if size else np.empty(0, np.uint8)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, marked: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin from ``low`` on and the last ends, and the places of those not at a cut.
+
+    Words begin with texts and at cuts; a marked text, which holds a special string, is one
+    word. They are those of some ``RUN_BYTES``, or one that is longer.
+    """
+    filled = np.diff(offsets) > 0
+    begins, ends = offsets[:-1][filled], offsets[1:][filled]
+    width = RUN_BYTES
+    while True:
+        high = min(low + width, len(data))
+        at = _cuts(data, ends, low, high)
+        if marked.any():
+            at = at[~marked[np.searchsorted(offsets, at, "right") - 1]]
+        heads = begins[np.searchsorted(begins, low) : np.searchsorted(begins, high)]
+        place, known = _among(at, heads)
+        bounds = np.insert(at, place[~known], heads[~known])
+        place = place[~known] + np.arange(np.count_nonzero(~known))
+        if high == len(data):
+            return np.append(bounds, high), place
+        if len(bounds) > 1:
+            return bounds, place[place < len(bounds) - 1]
+        width *= 2
+
+
 # --- grammars -----------------------------------------------------------------------
 
 #: Pairs that become rules are looked up in so many slots (as a power of two) by their hash.
@@ -295,7 +444,7 @@ def write_tokens(
     )
 
     def run(batches):
-        encoded = kept(Encoded, vocabulary, CACHE_WORDS)
+        words = kept(Words, vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         part, written = TaskContext.get().partitionId(), 0
         doc_ids, sizes, held = [], [], bytearray()
@@ -311,13 +460,13 @@ def write_tokens(
             )
 
         for batch in batches:
-            for i, value in rows_of(batch):
-                ids = encoded.encode(value) + end
-                if held and len(held) + len(ids) > 4 * block:
+            for i, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1))):
+                if held and len(held) + 4 * len(ids) + len(end) > 4 * block:
                     yield flush()
                 doc_ids.append(i)
-                sizes.append(len(ids) // 4)
-                held += ids
+                sizes.append(len(ids) + 1)
+                held += ids.data
+                held += end
         if held:
             yield flush()
 
@@ -378,7 +527,8 @@ def roundtrip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
     Tokens are those of the vocabulary's own library without special ones, closed by id 0.
     Documents are dealt by ranges of id; a task writes shards of about half a million ids, one
-    after another, so it holds one shard and one document. In every block of a shard,
+    after another, so it holds one shard and a run of texts of some 4 MB, or one document that
+    is longer. Every different word of a run is encoded once. In every block of a shard,
     frequent pairs of ids are replaced by new symbols, round after round; rules and the
     lengths that they expand to are stored, so a document, or some tokens of it, is decoded
     without the rest. ``start`` counts the ids of all documents before it in the files.

@@ -1,8 +1,10 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -117,3 +119,63 @@ def test_ids_do_not_depend_on_the_words_that_are_kept(prose):
         encoded = Encoded(PATH, entries)
         assert [np.frombuffer(encoded.encode(t), "<u4").tolist() for t in texts] == [LIBRARY.encode(t).ids for t in texts]
         assert len(encoded) <= entries and (entries == 4 or len(encoded) > 100)
+
+
+@pytest.mark.parametrize("run_bytes", [1, 7, 100, token_files.RUN_BYTES])
+def test_words_of_a_run_have_the_ids_of_the_library(monkeypatch, odd_texts, prose, run_bytes):
+    monkeypatch.setattr(token_files, "RUN_BYTES", run_bytes)
+    texts = [t or "" for t in odd_texts] + ["", " a", "a", " a b  c  d ", "b<|endoftext|> a b", "q" * 1200 + " a b"]
+    texts += ["", " “a” 　x 中 ", "\x00 \x00a", *(prose(i, 30) for i in range(4)), ""]
+    expected = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    words = token_files.Words(PATH)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["before", *texts, "after"], kind).slice(1, len(texts))
+        assert [ids.tolist() for ids in words.encode(column)] == expected
+    assert list(words.encode(pa.array([], pa.string()))) == []
+
+
+def test_a_word_of_a_run_is_encoded_once(prose):
+    """However often words come back and whatever came before, a run encodes each of them once."""
+    words, encoded = token_files.Words(PATH), []
+    plain = words.encoded.merged
+    words.encoded.merged = lambda text: encoded.append(text) or plain(text)
+    texts = [prose(i, 200) for i in range(50)]
+    for _ in range(2):
+        encoded.clear()
+        assert [ids.tolist() for ids in words.encode(pa.array(texts))] == [LIBRARY.encode(t).ids for t in texts]
+        different = {w for t in texts for w in t.split(" ")}
+        assert sum(map(len, encoded)) <= sum(len(w) + 1 for w in different) + sum(len(t.split(" ")[0]) + 1 for t in texts)
+        assert len(encoded) <= 1 + len(texts)
+
+
+def test_a_vocabulary_whose_ids_are_not_ranks(tmp_path, prose, odd_texts):
+    with open(PATH, encoding="utf-8") as file:
+        data = json.load(file)
+    data["added_tokens"] = []
+    last = max(data["model"]["vocab"].values())
+    data["model"]["vocab"] = {token: last - i for token, i in data["model"]["vocab"].items()}
+    path = str(tmp_path / "turned.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(data, file)
+    texts = [*(t or "" for t in odd_texts), prose(1, 50)]
+    library = Tokenizer.from_file(path)
+    got = [ids.tolist() for ids in token_files.Words(path).encode(pa.array(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_spaces_at_the_end_of_a_text_stay_together(tmp_path):
+    """Two spaces are one id here, so a cut between them would show."""
+    with open(PATH, encoding="utf-8") as file:
+        data = json.load(file)
+    for token in data.pop("added_tokens"):
+        data["model"]["vocab"].pop(token["content"], None)
+    data["added_tokens"] = []
+    data["model"]["vocab"]["ĠĠ"] = 256 + len(data["model"]["merges"])
+    data["model"]["merges"].append("Ġ Ġ" if isinstance(data["model"]["merges"][0], str) else ["Ġ", "Ġ"])
+    path = str(tmp_path / "spaces.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(data, file)
+    texts = ["a  ", "b", " c  ", " ", "  ", "   d   e", "", "f  ", "", "g   h"]
+    library, words = Tokenizer.from_file(path), token_files.Words(path)
+    assert words.encoded.merged != words.encoded._by_library and len(library.encode("a  ").ids) == 2
+    assert [ids.tolist() for ids in words.encode(pa.array(texts))] == [library.encode(t).ids for t in texts]
