@@ -36,13 +36,15 @@ ROW_GROUP = 32 << 20
 
 # --- words --------------------------------------------------------------------------
 
-#: What a piece of text that begins with a space does not go on with, in UTF-8.
-_WHITE = frozenset(
+#: White space, before which no cut can be, in UTF-8: by its first byte if that is all, and as
+#: numbers if it has two bytes or three.
+_WHITE = [
     c.encode()
     for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-)
-_WHITE_BYTE = np.isin(np.arange(256), [c[0] for c in _WHITE if len(c) == 1])
-_WHITE_LEAD = np.isin(np.arange(256), [c[0] for c in _WHITE if len(c) > 1])
+]
+_ONE = np.isin(np.arange(256), [c[0] for c in _WHITE if len(c) == 1])
+_LEAD = np.isin(np.arange(256), [c[0] for c in _WHITE if len(c) > 1])
+_TWO, _THREE = ([int.from_bytes(c, "big") for c in _WHITE if len(c) == n] for n in (2, 3))
 
 
 def _among(places: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +59,11 @@ def _cuts(data: np.ndarray, ends: np.ndarray, low: int, high: int) -> np.ndarray
     place, last = _among(at, ends - 1)
     at = np.delete(at, place[last])
     lead = data[at + 1]
-    white = _WHITE_BYTE[lead]
-    for i in np.flatnonzero(_WHITE_LEAD[lead]).tolist():
-        after = data[at[i] + 1 : at[i] + 4].tobytes()
-        white[i] = after in _WHITE or after[:2] in _WHITE
+    white = _ONE[lead]
+    longer = np.flatnonzero(_LEAD[lead])
+    first, second, third = (data[np.minimum(at[longer] + n, len(data) - 1)].astype(np.int64) for n in (1, 2, 3))
+    two = first << 8 | second
+    white[longer] = np.isin(two, _TWO) | np.isin(two << 8 | third, _THREE)
     return at[~white]
 
 
