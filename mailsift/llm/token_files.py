@@ -26,9 +26,9 @@ BLOCK = 1 << 19
 #: A pair becomes a rule if it is found so often; the rarest pairs of a round are so many
 #: times rarer than its most frequent; rounds end when one saves less than this share.
 LEAST_COUNT, SPREAD, LEAST_GAIN = 8, 64, 1 / 32
-#: Words whose ids a task keeps: those of a run of texts, at 8 bytes a word.
+#: Words whose ids a task keeps: those of a run of texts, at 16 bytes a word.
 CACHE_WORDS = 500_000
-RUN_BYTES = 8 * CACHE_WORDS
+RUN_BYTES = 16 * CACHE_WORDS
 #: Words of more bytes are encoded one by one.
 LONG_WORD = 1000
 #: Row groups of a file, so that a reader holds a few shards at a time.
@@ -197,7 +197,7 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     there = np.flatnonzero(np.bincount(ids))
     place = np.zeros(int(ids.max()) + 1, np.uint32)
     place[there] = np.arange(len(there))
-    return there, place[ids]
+    return there, place.take(ids)
 
 
 def _frequent(keys: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,20 +259,23 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         weight = np.zeros(1 << _SLOT_BITS, np.int32)
         owner[slot], weight[slot] = rising, np.arange(1, len(pairs) + 1)
         key_of = pairs[owner]
-        slots = (keys * whole(odd + 2 * rounds)) >> down
-        weights = weight[slots]
-        weights *= key_of[slots] == keys
+        slots = ((keys * whole(odd + 2 * rounds)) >> down).astype(np.intp)
+        weights = weight.take(slots)
+        weights *= key_of.take(slots) == keys
         weights[closed] = 0
         at = _places(weights)
-        which = owner[slots[at]]
+        which = owner.take(slots.take(at))
         worth = np.bincount(which, minlength=len(pairs)) >= LEAST_COUNT // 2
-        at, which = at[worth[which]], which[worth[which]]
+        still = np.flatnonzero(worth.take(which))
+        at, which = at.take(still), which.take(still)
         if not len(at):
             break
-        symbols[at] = (made + np.cumsum(worth) - 1)[which]
+        symbols[at] = (made + np.cumsum(worth) - 1).astype(half).take(which)
         ends = ends - np.searchsorted(at + 1, ends, "right")
         n = len(symbols)
-        symbols = np.delete(symbols, at + 1)
+        left = np.ones(n, bool)
+        left[at + 1] = False
+        symbols = symbols.take(np.flatnonzero(left))
         rules.append(pairs[worth])
         made, rounds = made + int(worth.sum()), rounds + 1
         if len(at) < LEAST_GAIN * n:
@@ -530,7 +533,7 @@ def roundtrip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
     Tokens are those of the vocabulary's own library without special ones, closed by id 0.
     Documents are dealt by ranges of id; a task writes shards of about half a million ids, one
-    after another, so it holds one shard and a run of texts of some 4 MB, or one document that
+    after another, so it holds one shard and a run of texts of some 8 MB, or one document that
     is longer. Every different word of a run is encoded once. In every block of a shard,
     frequent pairs of ids are replaced by new symbols, round after round; rules and the
     lengths that they expand to are stored, so a document, or some tokens of it, is decoded
